@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, sharding
+from . import exact_dedup, language_id, line_quality, mixing, packing, quality_classifier, sharding
 from .common import documents
+from .tokenizers import path as tokenizer
 
 
 def op3_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,12 +21,28 @@ def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_line_frequency_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_quality.line_rules(documents(spark, sf_dir))
+
+
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir), tokenizer("byte_bpe_50k.json"))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.label(documents(spark, sf_dir), tokenizer("piece_bpe_32k.model"))
+
+
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(documents(spark, sf_dir), keep="max")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_kd_sharding, op5_source_mixing, op10_exact_dedup)}
+    return {f.__name__: f for f in (op3_kd_sharding, op5_source_mixing, op6_line_frequency_rules, op7_best_fit_packing, op8_language_id, op9_quality_classifier, op10_exact_dedup)}
 
 
 OP5_SQL = r"""
