@@ -8,6 +8,7 @@ from collections.abc import Iterable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,6 +65,20 @@ def row_key(id_col: Column, text: Column) -> Column:
     return F.unhex(F.md5(F.concat_ws("|", F.coalesce(id_col.cast("string"), F.lit("null")), text.isNull().cast("string"), F.coalesce(text, F.lit("")))))
 
 
+#: A worker remembers the hashes of at most so many words.
+REMEMBERED = 300_000
+
+
+class WordHashes(dict):
+    """64-bit hashes of words, remembered."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        h = self[word] = xxhash.xxh64_intdigest(word)
+        return h
+
+
 def words(text: bytes) -> list[bytes]:
     """The words of a UTF-8 text; bytes.split() cuts at exactly space and 9 to 13."""
     return text.split()

@@ -11,10 +11,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary, durable, release, ship, slices
+from .common import WordHashes, binary, durable, release, ship, slices
 
-#: A worker remembers the hashes of at most so many words.
-REMEMBERED = 300_000
 #: Shingles whose permutations are computed at once.
 BLOCK = 4_096
 #: A pair at the threshold shares no band with this probability.
@@ -29,14 +27,6 @@ RARE = 8
 SKETCH = [f"s{k}" for k in range(SKETCH_BITS // 64)]
 
 
-class WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word)
-        return h
-
-
 def shingle_set(text: bytes, width: int, hashes: WordHashes) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the text's shingles; one for a text of fewer words, none without words."""
     ws = text.lower().split()  # on bytes: A-Z alone, and cut at space and 9 to 13

@@ -7,23 +7,12 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary, crc_mod, ship, slices, words
+from .common import WordHashes, binary, crc_mod, ship, slices, words
 
 BITS = 18
-#: A worker remembers the hashes of at most so many words.
-REMEMBERED = 300_000
-
-
-class WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word)
-        return h
 
 
 def features(text: bytes, hashes: WordHashes) -> np.ndarray:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language_id, line_quality, minhash, mixing, packing, quality_classifier, sharding
+from . import exact_dedup, language_id, line_quality, lm_scoring, minhash, mixing, packing, quality_classifier, sharding
 from .common import documents
 from .tokenizers import path as tokenizer
 
@@ -21,6 +21,10 @@ def op3_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op4_bloom_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score(documents(spark, sf_dir))
+
+
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -46,7 +50,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minmax_near_dedup, op3_kd_sharding, op5_source_mixing, op6_line_frequency_rules, op7_best_fit_packing, op8_language_id, op9_quality_classifier, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_minmax_near_dedup, op3_kd_sharding, op4_bloom_lm_scoring, op5_source_mixing, op6_line_frequency_rules, op7_best_fit_packing, op8_language_id, op9_quality_classifier, op10_exact_dedup)}
 
 
 OP5_SQL = r"""
