@@ -149,6 +149,43 @@ def train(docs: DataFrame, vocabulary_path: str, rows_per_language: int = 2_000,
     return langs, table
 
 
+def _predictor(langs: list[str], table, vocabulary_path: str):
+    """A function from texts to (language, score) that remembers words; one for each task."""
+    lattice, p = Lattice(vocabulary(vocabulary_path)), table
+    known: dict[str, int] = {}
+    scores = np.zeros((REMEMBERED * 2, len(langs)))
+
+    def predict(raw: list[str | None]) -> tuple[list[str], list[float]]:
+        nonlocal known, scores
+        texts = [text_words(t) if t and langs else [] for t in raw]
+        new = list({w for ws in texts for w in ws}.difference(known))
+        if len(known) + len(new) > len(scores):
+            known, new = {}, list({w for ws in texts for w in ws})
+            if len(new) > len(scores):
+                scores = np.zeros((len(new), len(langs)))
+        for some in np.array_split(np.array(sorted(new, key=len), object), len(new) // 2_000 + 1) if new else []:
+            parts = [(i, w[k : k + LONGEST_WORD]) for i, w in enumerate(some) for k in range(0, len(w), LONGEST_WORD)]
+            at = len(known)
+            known.update(zip(some, range(at, at + len(some)), strict=True))
+            scores[at : at + len(some)] = 0
+            for k in range(0, len(parts), 4_000):
+                which, cut = zip(*parts[k : k + 4_000], strict=True)
+                np.add.at(scores, np.array(which) + at, lattice.log_probability(list(cut), p))
+        preds, sure = [], []
+        for ws in texts:
+            if not ws:
+                preds.append("und")
+                sure.append(0.0)
+                continue
+            s = scores[np.fromiter(map(known.__getitem__, ws), np.int64, len(ws))].sum(axis=0)
+            k = int(s.argmax())
+            preds.append(langs[k])
+            sure.append(float(1 / np.exp(s - s[k]).sum()))
+        return preds, sure
+
+    return predict
+
+
 def identify(docs: DataFrame, langs: list[str], table: np.ndarray, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, lang_pred, score for each whole text, in one pass without a shuffle.
 
@@ -161,39 +198,29 @@ def identify(docs: DataFrame, langs: list[str], table: np.ndarray, vocabulary_pa
     held = docs.sparkSession.sparkContext.broadcast(table)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice, p = Lattice(vocabulary(vocabulary_path)), held.value
-        known: dict[str, int] = {}
-        scores = np.zeros((REMEMBERED * 2, len(langs)))
+        predict = _predictor(langs, held.value, vocabulary_path)
         for b in slices(batches):
-            texts = [text_words(t) if t and langs else [] for t in b.column("text").to_pylist()]
-            new = list({w for ws in texts for w in ws}.difference(known))
-            if len(known) + len(new) > len(scores):
-                known, new = {}, list({w for ws in texts for w in ws})
-                if len(new) > len(scores):
-                    scores = np.zeros((len(new), len(langs)))
-            for some in np.array_split(np.array(sorted(new, key=len), object), len(new) // 2_000 + 1) if new else []:
-                parts = [(i, w[k : k + LONGEST_WORD]) for i, w in enumerate(some) for k in range(0, len(w), LONGEST_WORD)]
-                at = len(known)
-                known.update(zip(some, range(at, at + len(some)), strict=True))
-                scores[at : at + len(some)] = 0
-                for k in range(0, len(parts), 4_000):
-                    which, cut = zip(*parts[k : k + 4_000], strict=True)
-                    np.add.at(scores, np.array(which) + at, lattice.log_probability(list(cut), p))
-            preds, sure = [], []
-            for ws in texts:
-                if not ws:
-                    preds.append("und")
-                    sure.append(0.0)
-                    continue
-                s = scores[np.fromiter(map(known.__getitem__, ws), np.int64, len(ws))].sum(axis=0)
-                k = int(s.argmax())
-                preds.append(langs[k])
-                sure.append(float(1 / np.exp(s - s[k]).sum()))
+            preds, sure = predict(b.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(preds, pa.string()), pa.array(sure, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
+def keep_identified(docs: DataFrame, langs: list[str], table: np.ndarray, vocabulary_path: str, least: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns as they are, whose text has a language with at least this score."""
+    ship(docs.sparkSession)
+    held = docs.sparkSession.sparkContext.broadcast(table)
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        predict = _predictor(langs, held.value, vocabulary_path)
+        for b in slices(batches):
+            preds, sure = predict(b.column(at).to_pylist())
+            yield b.filter(pa.array([k != "und" and s >= least for k, s in zip(preds, sure, strict=True)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def label(docs: DataFrame, vocabulary_path: str, fold: int = 5) -> DataFrame:
     """doc_id, held_out, lang_pred, score. Rows whose crc32(id) mod ``fold`` is 0 are never learned from."""
     mod = crc_mod("doc_id", fold)

@@ -276,7 +276,7 @@ def near_classes(classes: DataFrame, texts: DataFrame, width: int, percent: int,
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, rows: int = 7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id, kept.
+    """One row per input row: doc_id, n_shingles, component_id, kept, text_hash.
 
     Words are lower-cased (A-Z) and split at white space; a document is its set of ``width``
     word shingles, or its whole sequence if it has fewer words. Documents whose sets share at
@@ -294,7 +294,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, rows: in
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_hash"))
     bands = plan_bands(percent / 100, rows)
     signed = durable(texts.mapInArrow(_signatures(width, bands, rows), "doc_id long, text_hash long, n_shingles long, fp binary, bands array<long>, " + ", ".join(f"{c} long" for c in SKETCH)))
-    narrow = signed.select("doc_id", "n_shingles", "fp")
+    narrow = signed.select("doc_id", "n_shingles", "fp", "text_hash")
     full = signed.where("n_shingles > 0")
     # Band keys and sketch are functions of the set, so any row of a class will do.
     classes = durable(full.groupBy("fp").agg(F.min("text_hash").alias("text_hash"), F.min("doc_id").alias("least"), *(F.first(c).alias(c) for c in ("n_shingles", "bands", *SKETCH))))
@@ -304,4 +304,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, rows: in
     final = durable(rooted.join(linked, "root", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")))
     out = narrow.join(final, "fp", "left")
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "text_hash")
+
+
+def drop_near_copies(docs: DataFrame, width: int = 5, percent: int = 80, rows: int = 7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns as they are, that ``near_duplicates`` keeps: one document of each group."""
+    fallen = near_duplicates(docs, width, percent, rows, id_col, text_col).where("not kept").select(F.col("doc_id").alias("id"), "text_hash").distinct()
+    every = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_hash"))
+    return every.join(fallen, every["id"].eqNullSafe(fallen["id"]) & (every["text_hash"] == fallen["text_hash"]), "left_anti").select("row.*")

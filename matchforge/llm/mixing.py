@@ -42,19 +42,14 @@ def fill_targets(sources: DataFrame, budget: Column, most: float) -> DataFrame:
     return x.withColumn("target", F.when(F.col("free").isNull(), F.col("cap")).otherwise(F.least("cap", F.col("free") * F.col("w")))).drop("level", "free", "budget", "cap")
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: int = 2, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """One row per input row: doc_id, size, source_size, target, taken, copies.
+def mixing_plan(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: int = 2, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> tuple[DataFrame, DataFrame]:
+    """Narrow rows (doc_id, source, size, hash), and for each source (of, source_size, target, passes, edge).
 
     Each source's words are summed by hash bucket. The budget is spent on whole passes over
     the source, then on the documents whose hash is under a threshold, so a larger budget
     takes a superset. The threshold lies in one bucket; only that bucket is summed again at
     finer buckets, until the whole hash is used. Documents are then filtered by comparing
     hashes: nothing is sorted but the at most 65,536 buckets of a source.
-
-    ``copies``: how often the document is taken, at most ``most``; taken = size * copies. The
-    last document goes in if at least half of it fits, so a source misses its target by at
-    most half a document. Null text has size 0; null is a source like any other; rows with
-    equal ids share a hash and so their fate. An empty table gives an empty result.
     """
     rows = durable(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")).withColumn("hash", id_hash(F.col("doc_id"), seed)))
     sources = durable(rows.groupBy("source").agg(F.sum("size").alias("source_size")))
@@ -80,6 +75,30 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
     edge = state.select("at", (F.col("bucket") + (F.col("rest") - F.col("before") >= F.col("here") / 2).cast("long")).alias("edge"))
     # A source without a boundary has its whole rest taken: target = passes * size, rest 0.
     final = plan.join(edge, F.col("source").eqNullSafe(F.col("at")), "left").select(F.col("source").alias("of"), "source_size", "target", "passes", F.coalesce("edge", F.lit(0)).alias("edge"))
-    out = rows.join(durable(final), F.col("source").eqNullSafe(F.col("of")))
-    copies = (F.col("passes") + ((F.col("hash") < F.col("edge")) & (F.col("passes") < most)).cast("int")).cast("int")
+    return rows, durable(final)
+
+
+def _copies(most: int, hash_: Column) -> Column:
+    return (F.col("passes") + ((hash_ < F.col("edge")) & (F.col("passes") < most)).cast("int")).cast("int")
+
+
+def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: int = 2, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """One row per input row: doc_id, size, source_size, target, taken, copies.
+
+    ``copies``: how often the document is taken, at most ``most``; taken = size * copies. The
+    last document goes in if at least half of it fits, so a source misses its target by at
+    most half a document. Null text has size 0; null is a source like any other; rows with
+    equal ids share a hash and so their fate. An empty table gives an empty result.
+    """
+    rows, plan = mixing_plan(docs, weights, share, most, seed, id_col, text_col, source_col)
+    copies = _copies(most, F.col("hash"))
+    out = rows.join(plan, F.col("source").eqNullSafe(F.col("of")))
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * copies).cast("long").alias("taken"), copies.alias("copies"))
+
+
+def take_mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: int = 2, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The rows of ``docs``, all columns as they are, each as often as ``mix`` takes it."""
+    _, plan = mixing_plan(docs, weights, share, most, seed, id_col, text_col, source_col)
+    rows = docs.select(F.struct("*").alias("row"), F.col(source_col).alias("__source"), id_hash(F.col(id_col), seed).alias("__hash"))
+    out = rows.join(plan, F.col("__source").eqNullSafe(F.col("of"))).withColumn("copies", _copies(most, F.col("__hash"))).where("copies > 0")
+    return out.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")

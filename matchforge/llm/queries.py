@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language_id, line_quality, lm_scoring, minhash, mixing, packing, quality_classifier, sharding
+from . import exact_dedup, language_id, line_quality, lm_scoring, minhash, mixing, packing, quality_classifier, quotes, sharding
 from .common import documents
 from .tokenizers import path as tokenizer
 
@@ -16,6 +16,10 @@ def op1_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(documents(spark, sf_dir), width=3, percent=85)
 
 
+def op2_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.rebuild(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def op3_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.kd_shards(documents(spark, sf_dir), 16)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -50,7 +54,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minmax_near_dedup, op3_kd_sharding, op4_bloom_lm_scoring, op5_source_mixing, op6_line_frequency_rules, op7_best_fit_packing, op8_language_id, op9_quality_classifier, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_minmax_near_dedup, op2_quotation_linking, op3_kd_sharding, op4_bloom_lm_scoring, op5_source_mixing, op6_line_frequency_rules, op7_best_fit_packing, op8_language_id, op9_quality_classifier, op10_exact_dedup)}
 
 
 OP5_SQL = r"""
