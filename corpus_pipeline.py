@@ -1,4 +1,54 @@
 """From raw documents to packed training sequences."""
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from matchforge.llm import exact_dedup, language_id, minhash, mixing, packing
+from matchforge.llm.common import crc_mod, documents, durable
+from matchforge.llm.tokenizers import path as tokenizer
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without a language, or with none that is likelier than not, go."""
+    vocabulary = tokenizer("piece_bpe_32k.model")
+    learn = docs.where(F.coalesce(crc_mod("doc_id", 5) != 0, F.lit(False)))
+    langs, table = language_id.train(learn, vocabulary)
+    return language_id.keep_identified(docs, langs, table, vocabulary)
+
+
+def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the one with the least doc_id stays."""
+    return exact_dedup.drop_copies(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of a group of near copies (five-word shingles, 80 %) the one with the least doc_id stays."""
+    return minhash.drop_near_copies(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as its source's target takes it: not at all, once or twice."""
+    return mixing.take_mix(docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of token ids placed in sequences of at most 1024."""
+    return packing.pack(docs, tokenizer("byte_bpe_50k.json"))
+
+
+STAGES: list = [
+    ("language_id", identify_language),
+    ("exact_dedup", drop_exact_copies),
+    ("near_dedup", drop_near_copies),
+    ("mixing", mix_sources),
+    ("packing", pack_sequences),
+]
+#: Language identification and packing cannot be said in SQL.
 ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    for _, stage in STAGES:
+        docs = durable(stage(spark, docs, sf_dir))
+    return docs
