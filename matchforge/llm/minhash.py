@@ -8,7 +8,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import WordHashes, binary, durable, release, ship, slices
@@ -208,20 +208,20 @@ def near_classes(classes: DataFrame, texts: DataFrame, width: int, percent: int,
     all others, or documents that share a passage, give hardly a row.
     """
     about = classes.select("fp", F.col("n_shingles").cast("int").alias("n"), F.col("n_shingles").cast("int").alias("all"), *SKETCH)
-    bucketed = classes.select("fp", F.explode("bands").alias("bucket"))
+    bucketed = classes.select("fp", F.posexplode("bands").alias("band", "bucket"))
     hubs = bucketed.groupBy("bucket").agg(F.min("fp").alias("hub"), F.count("*").alias("members")).where("members > 1")
-    met = durable(bucketed.join(hubs, "bucket").select("bucket", "fp", "hub", F.col("members").cast("int").alias("members")))
-    candidates = durable(classes.join(met.select("fp").distinct(), "fp", "left_semi").select("fp", "text_hash", F.col("n_shingles").cast("int").alias("all"), *SKETCH))
+    met = durable(bucketed.join(hubs, "bucket").select("bucket", "band", "fp", "hub", F.col("members").cast("int").alias("members")))
+    candidates = durable(classes.join(met.select("fp").distinct(), "fp", "left_semi").select("fp", "text_hash", F.col("n_shingles").cast("int").alias("all"), "bands", *SKETCH))
     sets = durable(candidate_sets(texts, candidates, width))
 
     def side(rows: DataFrame, key: str, suffix: str) -> DataFrame:
         return rows.join(about.select(F.col("fp").alias(key), *(F.col(c).alias(c + suffix) for c in ("n", "all", *SKETCH))), key)
 
-    def near(rows: DataFrame) -> DataFrame:
+    def near(rows: DataFrame, more: Column = F.lit(True)) -> DataFrame:
         bits = sum((F.bit_count(F.col(c + "_a").bitwiseXOR(F.col(c + "_b"))) for c in SKETCH[1:]), F.bit_count(F.col("s0_a").bitwiseXOR(F.col("s0_b"))))
         # n is what a class may share with others; of all its shingles where that isn't known yet.
         most = F.least("n_a", "n_b")
-        rows = rows.where((100 * most >= percent * (F.col("all_a") + F.col("all_b") - most)) & (bits <= most_bits))
+        rows = rows.where((100 * most >= percent * (F.col("all_a") + F.col("all_b") - most)) & (bits <= most_bits) & more)
         return rows.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
     def starred(rows: DataFrame) -> DataFrame:
@@ -245,7 +245,7 @@ def near_classes(classes: DataFrame, texts: DataFrame, width: int, percent: int,
     if links.take(1):
         labels = _relabel(labels, links)
     release(links)
-    rest = durable(split(rest.select("bucket", "fp", "members")))
+    rest = durable(split(rest.select("bucket", "band", "fp", "members")))
     # Pairs that share a rare shingle are listed from those; all others can't count their rare ones.
     held = sets.join(rest.select("fp").distinct(), "fp", "left_semi").select("fp", F.explode("shingles").alias("x"))
     few = durable(held.join(held.groupBy("x").agg(F.count("*").alias("k")).where(F.col("k") <= RARE), "x"))
@@ -257,16 +257,17 @@ def near_classes(classes: DataFrame, texts: DataFrame, width: int, percent: int,
     if links.take(1):
         labels = _relabel(labels, links)
     release(links, few)
-    # A class's place in its bucket says in which round it is held against the others.
+    # A class's place in its bucket says in which round it is held against the others; a pair
+    # is tried in the first band that it shares and in no other.
     place = F.shiftrightunsigned(F.xxhash64("bucket", "fp"), 11) / float(1 << 53) * F.col("members")
-    for low, high in ((0.0, 16.0), (16.0, math.inf)):
+    for hubs_only in (True, False):
         old = rest
-        rest = durable(split(rest.select("bucket", "fp", "members")))
+        rest = durable(split(rest.select("bucket", "band", "fp", "members")))
         release(old)
-        x = rest.join(known, "fp")
-        chosen = x.where((place >= low) & (place < high)).select("bucket", F.col("fp").alias("a"), F.col("root").alias("root_a"), *(F.col(c).alias(c + "_a") for c in ("n", "all", *SKETCH)))
-        others = x.select("bucket", F.col("fp").alias("b"), F.col("root").alias("root_b"), *(F.col(c).alias(c + "_b") for c in ("n", "all", *SKETCH)))
-        links = durable(confirm(near(chosen.join(others, "bucket").where("root_a != root_b")), sets, percent))
+        x = rest.join(known, "fp").withColumn("bands", F.slice("bands", F.lit(1), F.col("band"))).withColumn("first", place < 16)
+        a, b = (x.where(F.col("first") if hubs_only and c == "a" else F.lit(True) if hubs_only else ~F.col("first")).select("bucket", F.col("fp").alias(c), *(F.col(k).alias(f"{k}_{c}") for k in ("root", "n", "all", "bands", "first", *SKETCH))) for c in "ab")
+        once = (F.col("a") < F.col("b")) | (~F.col("first_b") if hubs_only else F.lit(False))
+        links = durable(confirm(near(a.join(b, "bucket").where((F.col("root_a") != F.col("root_b")) & once), ~F.arrays_overlap("bands_a", "bands_b")), sets, percent))
         if links.take(1):
             labels = _relabel(labels, links)
         release(links)
