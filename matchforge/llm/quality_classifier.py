@@ -79,11 +79,15 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 16_000, shards: in
         return pd.DataFrame({"at": np.append(at, -1), "w": np.append(w[at], bias)})
 
     found = rows.mapInArrow(extract, "order long, y double, buckets array<int>")
-    learned = found.groupBy(F.pmod("order", F.lit(shards)).alias("shard")).applyInPandas(learn, "at long, w double").toPandas()
-    w, used = np.zeros(1 << BITS), max(1, int((learned["at"] == -1).sum()))
-    if len(learned):
-        np.add.at(w, learned["at"][learned["at"] >= 0].to_numpy(), learned["w"][learned["at"] >= 0].to_numpy() / used)
-    return w, float(learned["w"][learned["at"] == -1].sum() / used)
+    learned = found.groupBy(F.pmod("order", F.lit(shards)).alias("shard")).applyInPandas(learn, "at long, w double")
+    # Added in order of size, so that the sum is the same in every run; the driver gets one row for each weight.
+    total = F.aggregate(F.sort_array(F.collect_list("w")), F.lit(0.0), lambda x, y: x + y)
+    sums = learned.groupBy("at").agg(total.alias("w"), F.count("*").alias("learners")).toArrow()
+    at, mean = sums["at"].to_numpy(), sums["w"].to_numpy()
+    mean = mean / max(1, sums["learners"].to_numpy()[at == -1].sum())
+    w = np.zeros(1 << BITS)
+    w[at[at >= 0]] = mean[at >= 0]
+    return w, float(mean[at == -1].sum())
 
 
 def score(docs: DataFrame, weights: np.ndarray, bias: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
