@@ -3,24 +3,24 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, binary, crc_mod, durable, release, ship, slices
+from .common import WordHashes, binary, crc_mod, durable, release, ship
 
-#: The filter's size: what is broadcast has 2**FILTER_BITS bits for any input. A key's first byte names its region.
+#: A key's first byte names its region in a filter. A filter over a whole table of counts has 2**FILTER_BITS bits.
 FILTER_BITS, REGIONS = 28, 256
-#: Bits that one entry sets, and entries the filter takes.
-PROBES, CAPACITY = 4, (1 << FILTER_BITS) // 10
+#: Bits that one entry sets, bits of a part's filter for each of its entries, and bits of a region at least.
+PROBES, ENTRY_BITS, REGION_BITS = 4, 16, 1024
+#: Bytes of text in a slice, and keys in a part (about, before copies in a slice are joined): what one task holds.
+SLICE_BYTES, PART_KEYS = 3 << 20, 7 << 18
 #: Counts are held as floor(log(count) / log(BASE)) + 1.
 BASE = 1.5
-#: Exact counts of at most so many of the commonest words go to all workers; those of all others are joined.
+#: Without effect since every slice of texts is told the exact counts of all its words; tests set it.
 COMMON = 200_000
 #: Weights of the pair estimate to choose from.
 WEIGHTS = (0.01, 0.05, 0.1, 0.2, 0.35, 0.5)
@@ -47,17 +47,17 @@ def gram_keys(tokens: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return flat & ~np.uint64(1), pair | np.uint64(1)
 
 
-def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hashes = WordHashes()
-    for b in slices(batches, 1024):
-        keys, n = np.unique(np.concatenate(gram_keys([token_hashes(t, hashes) for t in binary(b.column("text"))])), return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n.astype(np.int32))], names=["key", "n"])
+def part_of(keys: np.ndarray, parts: int) -> np.ndarray:
+    """The part that counts a key; other bits of the key than those that name its region."""
+    return (((keys >> np.uint64(8)) & np.uint64(0xFFFFFFFF)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
 
 
-def gram_counts(texts: DataFrame) -> DataFrame:
-    """(key, n): exact counts of all words, and of pairs seen twice or more."""
-    found = texts.mapInArrow(_count, "key long, n int").repartition("key")
-    return found.groupBy("key").agg(F.sum("n").alias("n")).where("n > 1 or (key & 1) = 0")
+def slice_keys(tokens: list[np.ndarray], parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys of some texts, in order; the order by part; and each part's first place in it, then the end."""
+    keys = np.unique(np.concatenate(gram_keys(tokens)))
+    part = part_of(keys, parts)
+    order = np.argsort(part, kind="stable")
+    return keys, order, np.searchsorted(part[order], np.arange(parts + 1))
 
 
 def level_of(n: np.ndarray) -> np.ndarray:
@@ -98,31 +98,44 @@ class Filter:
         return out
 
 
+def _fill(keys: np.ndarray, level: np.ndarray, size: int) -> np.ndarray:
+    """A filter's bits with regions of ``size`` bits (a multiple of 8)."""
+    bits = np.zeros(REGIONS * size, bool)
+    start = _region(keys) * size
+    for j in range(1, int(level.max(initial=0)) + 1):
+        at = level >= j
+        for probe in range(PROBES):
+            bits[start[at] + _positions(keys[at], j, probe, size).astype(np.int64)] = True
+    return np.packbits(bits, bitorder="little")
+
+
+def sized_filter(keys: np.ndarray, n: np.ndarray) -> Filter:
+    """A filter of all these keys, as large as their entries ask for."""
+    level = level_of(n)
+    return Filter(_fill(keys, level, max(REGION_BITS, int(level.sum()) * ENTRY_BITS // REGIONS + 8 & ~7)))
+
+
 def build_filter(counts: DataFrame, least: int) -> np.ndarray:
-    """The filter's bytes. A region is a group of at most about CAPACITY / REGIONS keys."""
-    size = (1 << FILTER_BITS) // REGIONS
+    """The bytes of one filter of 2**FILTER_BITS bits over counts that fit the driver."""
+    x = counts.where(F.col("n") >= least).toPandas()
+    return _fill(x["key"].to_numpy(np.int64).view(np.uint64), level_of(x["n"].to_numpy()), (1 << FILTER_BITS) // REGIONS)
 
-    def fill(part: pd.DataFrame) -> pd.DataFrame:
-        keys, level = part["key"].to_numpy().view(np.uint64), level_of(part["n"].to_numpy())
-        bits = np.zeros(size, bool)
-        for j in range(1, int(level.max()) + 1):
-            for probe in range(PROBES):
-                bits[_positions(keys[level >= j], j, probe, size).astype(np.int64)] = True
-        return pd.DataFrame({"region": [int(part["region"].iloc[0])], "bits": [np.packbits(bits, bitorder="little").tobytes()]})
 
-    region = F.shiftrightunsigned("key", 56).cast("int")
-    out = np.zeros((REGIONS, size // 8), np.uint8)
-    kept = counts.where(F.col("n") >= least).select("key", "n", region.alias("region"))
-    for r in kept.groupBy("region").applyInPandas(fill, "region int, bits binary").toLocalIterator():
-        out[r["region"]] = np.frombuffer(r["bits"], np.uint8)
-    return out.ravel()
+class Levels:
+    """Levels that the filters gave for the keys of some texts."""
+
+    def __init__(self, keys: np.ndarray, level: np.ndarray):
+        self.keys, self.level = keys, level
+
+    def levels(self, keys: np.ndarray) -> np.ndarray:
+        return self.level[np.searchsorted(self.keys, keys)]
 
 
 class Model:
-    """Interpolated word and pair estimates; all counts come from the filter."""
+    """Interpolated word and pair estimates; all counts come from a filter, given as its bits or as the levels read from it."""
 
-    def __init__(self, bits: np.ndarray, mean: dict[tuple[int, int], float], total: int, unseen: float):
-        self.filter, self.unseen, self.total = Filter(bits), unseen, total
+    def __init__(self, bits: np.ndarray | Levels, mean: dict[tuple[int, int], float], total: int, unseen: float):
+        self.filter, self.unseen, self.total = bits if isinstance(bits, Levels) else Filter(bits), unseen, total
         # Mean true count of the keys at each level, for words and for pairs.
         self.mean = [np.array([mean.get((order, j), BASE ** (j - 0.5) if j else 0.0) for j in range(64)]) for order in (0, 1)]
 
@@ -147,82 +160,120 @@ class Model:
         return out[0], out[1]
 
 
+#: Remembered by a worker over the groups it is given.
+_HASHES = WordHashes()
+
+
+def _tokens(table: pa.Table) -> list[np.ndarray]:
+    return [token_hashes(t, _HASHES) for t in binary(table.column("text"))]
+
+
+def _packer(parts: int):
+    def pack(table: pa.Table) -> pa.Table:
+        """(part, slice, keys, n): the distinct keys of a slice of texts by part, and how often its training texts have each."""
+        tokens = _tokens(table)
+        keys, order, first = slice_keys(tokens, parts)
+        # The pair before the first token of a text is with the end, in any choice of texts.
+        trained = [t for t, held in zip(tokens, table.column("held_out").to_pylist(), strict=True) if not held]
+        n = np.zeros(len(keys), np.int32)
+        if trained:
+            found, often = np.unique(np.concatenate(gram_keys(trained)), return_counts=True)
+            n[np.searchsorted(keys, found)] = often
+        keys, n = keys[order], n[order]
+        some = np.flatnonzero(np.diff(first))
+        cut = [(first[k], first[k + 1]) for k in some]
+        return pa.table({"part": pa.array(some, pa.int32()), "slice": pa.array([table.column("slice")[0].as_py()] * len(some), pa.int64()), "keys": pa.array([keys[i:j].tobytes() for i, j in cut], pa.binary()), "n": pa.array([n[i:j].tobytes() for i, j in cut], pa.binary())})
+
+    return pack
+
+
+def _answer(table: pa.Table) -> pa.Table:
+    """(part, slice, level, n, hist): of each slice's keys the levels by the part's filter, and exact counts of those that are words.
+
+    One more row has no slice but the part's keys and their counts, by order and true level.
+    """
+    asked = [np.frombuffer(x, np.uint64) for x in table.column("keys").to_pylist()]
+    keys, at = np.unique(np.concatenate(asked), return_inverse=True)
+    n = np.bincount(at, np.concatenate([np.frombuffer(x, np.int32) for x in table.column("n").to_pylist()]), len(keys)).astype(np.int64)
+    seen = n > 0
+    group = (keys[seen] & np.uint64(1)).astype(np.int64) * 64 + level_of(n[seen])
+    hist = np.concatenate([np.bincount(group, minlength=128), np.bincount(group, n[seen], 128).astype(np.int64)])
+    level = sized_filter(keys[seen], n[seen]).levels(keys).astype(np.uint8)[at]
+    n, word = n[at], (keys[at] & np.uint64(1)) == 0
+    ends = np.cumsum(list(map(len, asked)))
+    cut = list(zip(ends - list(map(len, asked)), ends, strict=True))
+    part = table.column("part")[0].as_py()
+    return pa.table({
+        "part": pa.array([part] * (len(cut) + 1), pa.int32()),
+        "slice": pa.array([*table.column("slice").to_pylist(), None], pa.int64()),
+        "level": pa.array([*(level[i:j].tobytes() for i, j in cut), None], pa.binary()),
+        "n": pa.array([*(n[i:j][word[i:j]].tobytes() for i, j in cut), None], pa.binary()),
+        "hist": pa.array([*[None] * len(cut), hist.tolist()], pa.list_(pa.int64())),
+    })
+
+
+def _scorer(parts: int, mean: dict[tuple[int, int], float], total: int, unseen: float):
+    def run(table: pa.Table, answers: pa.Table) -> pa.Table:
+        every = _tokens(table)
+        keys, order, _ = slice_keys(every, parts)
+        answers = answers.sort_by("part")
+        level, exact = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
+        level[order] = np.frombuffer(b"".join(answers.column("level").to_pylist()), np.uint8)
+        exact[order[(keys[order] & np.uint64(1)) == 0]] = np.frombuffer(b"".join(answers.column("n").to_pylist()), np.int64)
+        model = Model(Levels(keys, level), mean, max(total, 1), unseen)
+        cols = []
+        for k in range(0, len(every), 256):
+            tokens = every[k : k + 256]
+            sizes = np.array(list(map(len, tokens)))
+            starts = np.cumsum(sizes) - sizes
+            n = exact[np.searchsorted(keys, np.concatenate(tokens) & ~np.uint64(1))]
+            cols.append((sizes, np.add.reduceat((n > 0).astype(np.int64), starts), np.add.reduceat(np.log10(n + 1), starts), *(np.add.reduceat(x, starts) for x in model.log_probabilities(tokens))))
+        sizes, known, base, full, left_out = map(np.concatenate, zip(*cols, strict=True))
+        offsets = pa.array(np.arange(len(sizes) + 1, dtype=np.int32) * len(WEIGHTS))
+        return pa.table({"doc_id": table.column("doc_id"), "held_out": table.column("held_out"), "n_tokens": sizes, "n_known": known, "base": base, "full": pa.ListArray.from_arrays(offsets, pa.array(full.ravel())), "left_out": pa.ListArray.from_arrays(offsets, pa.array(left_out.ravel()))})
+
+    return run
+
+
 def score(docs: DataFrame, fold: int = 7, held: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
-    Words (lower-cased A-Z) and pairs of all texts but the held-out ones are counted exactly
-    by a shuffle on their hashes; a pair must be seen twice. Their counts go, as logarithmic
-    levels, into a Bloom filter of fixed size; if they do not fit, counts under the least
-    value that lets them fit stay out, which is the bound on what is broadcast. Probabilities
-    are read by probing levels: a word's share of all tokens, unseen words having the share of
-    words seen once, mixed with the share among what follows the word before. The weight of
-    the mix is the one that scores the training texts best when each token is left out of its
-    own counts.
-
-    base_score is exact add-one smoothing: common words' counts are looked up, others joined.
+    Words (lower-cased A-Z) and pairs of all texts but the held-out ones are counted exactly,
+    pairs seen once too. Texts are dealt into slices and keys into parts, of which there are
+    as many as the text's bytes ask for, so a task's memory does not grow with the input. A
+    slice sends each part its distinct keys; the part adds up their counts, puts them as
+    logarithmic levels into a Bloom filter sized by its entries, and answers every slice with
+    the levels it reads there. No count is left out at any size. Probabilities come from the
+    levels: a word's share of all tokens, unseen words having the share of words seen once,
+    mixed with the share among what follows the word before. The weight of the mix is the one
+    that scores the training texts best when each token is left out of its own counts.
+
+    base_score is exact add-one smoothing; parts answer with words' exact counts too.
     Null text is empty: one token, the end. Null ids train and are not held out. Repeated rows
-    count as often as they come. With no training text every token is unseen. An empty table
-    gives an empty result. No other column is read.
+    count as often as they come; rows equal in id and text share a slice. With no training text
+    every token is unseen. An empty table gives an empty result. No other column is read.
     """
     spark = docs.sparkSession
     ship(spark)
     mod = crc_mod(id_col, fold)
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.coalesce(mod == held, F.lit(False)).alias("held_out"))
-    counts = durable(gram_counts(rows.where("not held_out").select("text")))
-    order, small = F.col("key").bitwiseAND(1).cast("int"), F.least("n", F.lit(64))
-    level = (F.floor(F.log("n") / math.log(BASE) + 1e-9) + 1).cast("int")
-    hist = counts.groupBy(order.alias("order"), small.alias("small"), level.alias("level")).agg(F.count("*").alias("keys"), F.sum("n").alias("n")).collect()
-    total = sum(r["n"] for r in hist if r["order"] == 0)
-    distinct = sum(r["keys"] for r in hist if r["order"] == 0)
-    once = sum(r["keys"] for r in hist if r["order"] == 0 and r["small"] == 1)
-    least = next((k for k in range(1, 64) if sum(r["keys"] * r["level"] for r in hist if r["small"] >= k) <= CAPACITY), None)
-    if least is None:  # levels from 64 up, by powers
-        least = next(2**k for k in range(6, 63) if sum(r["keys"] * r["level"] for r in hist if BASE ** (r["level"] - 1) >= 2**k) <= CAPACITY)
-    mean: dict[tuple[int, int], float] = {}
-    for key in {(r["order"], r["level"]) for r in hist}:
-        same = [r for r in hist if (r["order"], r["level"]) == key]
-        mean[key] = sum(r["n"] for r in same) / sum(r["keys"] for r in same)
+    size = rows.agg(F.sum(F.octet_length("text").cast("long")).alias("bytes"), F.count("*").alias("texts")).first()
+    # A word and the space after it have some six bytes, and each token two keys.
+    slices = (size["bytes"] or 0) // SLICE_BYTES + 1
+    parts = ((size["bytes"] or 0) // 3 + 2 * size["texts"]) // PART_KEYS + 1
+    rows = rows.withColumn("slice", F.pmod(F.xxhash64("doc_id", "text"), F.lit(slices)))
+    packed = rows.groupBy("slice").applyInArrow(_packer(parts), "part int, slice long, keys binary, n binary")
+    answers = durable(packed.groupBy("part").applyInArrow(_answer, "part int, slice long, level binary, n binary, hist array<long>"))
+    sums = {r["pos"]: r["n"] for r in answers.where("slice is null").select(F.posexplode("hist")).groupBy("pos").agg(F.sum("col").alias("n")).collect()}
+    keys, often = (np.array([[sums.get(at + 64 * order + j, 0) for j in range(64)] for order in (0, 1)]) for at in (0, 128))
+    total, distinct, once = int(often[0].sum()), int(keys[0].sum()), int(keys[0, 1])  # the first level is one
+    mean = {(order, j): float(often[order, j] / keys[order, j]) for order in (0, 1) for j in range(64) if keys[order, j]}
     unseen = min(0.5, max(once, 1) / max(total, 2))
-    bits = spark.sparkContext.broadcast(build_filter(counts, least))
-    words = counts.where("(key & 1) = 0")
-    # The words from the least count on at which at most COMMON remain.
-    cut = next(j for j in range(1, 200) if sum(r["keys"] for r in hist if r["order"] == 0 and r["level"] >= j) <= COMMON)
-    top = words.where(level >= cut).toPandas().sort_values("key")
-    common = spark.sparkContext.broadcast((top["key"].to_numpy(np.int64), top["n"].to_numpy(np.float64)))
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, model = WordHashes(), Model(bits.value, mean, max(total, 1), unseen)
-        keys, exact = common.value
-        for b in slices(batches):
-            tokens = [token_hashes(t, hashes) for t in binary(b.column("text"))]
-            sizes = np.array(list(map(len, tokens)))
-            starts = np.cumsum(sizes) - sizes
-            full, left_out = (np.add.reduceat(x, starts) for x in model.log_probabilities(tokens))
-            flat = (np.concatenate(tokens) & ~np.uint64(1)).view(np.int64)
-            at = np.minimum(np.searchsorted(keys, flat), max(len(keys) - 1, 0))
-            hit = keys[at] == flat if len(keys) else np.zeros(len(flat), bool)
-            base = np.zeros(len(flat))
-            if len(keys):
-                base[hit] = np.log10(exact[at[hit]] + 1)
-            rare, often, offsets = [], [], [0]
-            for s, n in zip(starts, sizes, strict=True):
-                k, c = np.unique(flat[s : s + n][~hit[s : s + n]], return_counts=True)
-                rare.append(k)
-                often.append(c)
-                offsets.append(offsets[-1] + len(k))
-            pairs = pa.StructArray.from_arrays([pa.array(np.concatenate(rare)), pa.array(np.concatenate(often).astype(np.int32))], ["key", "tf"])
-            lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1, dtype=np.int32) * len(WEIGHTS)), pa.array(x.ravel())) for x in (full, left_out)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), b.column("text_key"), pa.array(sizes), pa.array(np.add.reduceat(hit.astype(np.int64), starts)), pa.array(np.add.reduceat(base, starts)), *lists, pa.ListArray.from_arrays(pa.array(np.array(offsets, np.int32)), pairs)], names=["doc_id", "held_out", "text_key", "n_tokens", "known", "base", "full", "left_out", "rare"])
-
-    scored = rows.withColumn("text_key", F.unhex(F.md5("text"))).mapInArrow(run, "doc_id long, held_out boolean, text_key binary, n_tokens long, known long, base double, full array<double>, left_out array<double>, rare array<struct<key:long,tf:int>>")
-    scored = durable(scored)
+    told = answers.where("slice is not null").select("slice", "part", "level", "n")
+    scored = durable(rows.groupBy("slice").cogroup(told.groupBy("slice")).applyInArrow(_scorer(parts, mean, total, unseen), "doc_id long, held_out boolean, n_tokens long, n_known long, base double, full array<double>, left_out array<double>"))
+    release(answers)
     fits = scored.where("not held_out").agg(*(F.sum(F.col("left_out")[k]).alias(str(k)) for k in range(len(WEIGHTS)))).first()
     best = max(range(len(WEIGHTS)), key=lambda k: (fits[k] if fits[k] is not None else 0.0, -k))
-    # A text's rare words once, however many copies it has.
-    rare = scored.select("text_key", F.explode("rare").alias("r")).groupBy("text_key", F.col("r.key").alias("key")).agg(F.first("r.tf").alias("tf"))
-    more = durable(rare.join(words, "key").groupBy("text_key").agg(F.sum(F.col("tf") * F.log10(F.col("n") + 1)).alias("more_base"), F.sum("tf").alias("more_known")))
-    release(counts)
-    out = scored.drop("rare").join(more, "text_key", "left")
-    base = F.col("base") + F.coalesce("more_base", F.lit(0.0)) - F.col("n_tokens") * math.log10(total + distinct + 1)
-    return out.select("doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("more_known", F.lit(0))).cast("long").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), F.col("full")[best].alias("score"))
+    base = F.col("base") - F.col("n_tokens") * math.log10(total + distinct + 1)
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), F.col("full")[best].alias("score"))

@@ -76,3 +76,29 @@ def test_mix_is_a_probability():
         full, _ = m.log_probabilities([np.array([first, w])])
         total += 10 ** full[1]
     assert (total <= 1 + 1e-9).all() and (total > 0.5).all()
+
+
+def test_pairs_seen_once_count(spark):
+    """Every pair of a training text is seen once; the held-out text with its words turned round must score less."""
+    rows = [(i, f"one{i} two{i} three{i}") for i in range(200) if trains(i)]
+    held = [i for i in range(1000, 3000) if not trains(i)][: len(rows)]
+    twice = [(h, t) for h, (_, t) in zip(held, rows)] + [(h + 10_000, " ".join(reversed(t.split()))) for h, (_, t) in zip(held, rows) if not trains(h + 10_000)]
+    got = {r["doc_id"]: r["score"] for r in lm_scoring.score(spark.createDataFrame(rows + twice, "doc_id long, text string")).collect()}
+    pairs = [(got[h], got[h + 10_000]) for h in held if h + 10_000 in got]
+    assert len(pairs) > 10 and np.mean([a > b for a, b in pairs]) > 0.9
+
+
+def test_slices_and_parts_change_no_score(spark, monkeypatch):
+    """However little a slice and a part hold, every key is counted and scored alike."""
+    docs = spark.createDataFrame([(i, f"one{i} two{i % 7} three{i % 3}") for i in range(200)], "doc_id long, text string")
+    want = {r["doc_id"]: r["score"] for r in lm_scoring.score(docs).collect()}
+    monkeypatch.setattr(lm_scoring, "SLICE_BYTES", 200)
+    monkeypatch.setattr(lm_scoring, "PART_KEYS", 20)
+    got = {r["doc_id"]: r["score"] for r in lm_scoring.score(docs).collect()}
+    assert np.isclose([got[i] for i in want], list(want.values())).mean() > 0.95
+
+
+def test_a_filter_grows_with_its_entries():
+    keys = np.random.default_rng(3).integers(0, 1 << 64, 300_000, dtype=np.uint64)
+    few, many = (lm_scoring.sized_filter(k, np.ones(len(k), np.int64)) for k in (keys[:1000], keys))
+    assert many.bits.size > 10 * few.bits.size and all((f.levels(k) == 1).mean() > 0.99 for f, k in ((few, keys[:1000]), (many, keys)))
