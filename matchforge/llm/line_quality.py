@@ -70,22 +70,25 @@ def profiles(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ho
 
 
 def frequent_lines(profiled: DataFrame, least_documents: int, share: float) -> DataFrame:
-    """(host, hash) of lines in more than max(``least_documents``, ``share`` of the host's) documents.
+    """(host, hash) of lines in more than ``least_documents`` documents of the host, however large it is.
 
-    Copies of one text count as one document, so a page that was fetched often does not turn
-    its own lines into boilerplate. Counts are taken of (host, line, text) first, which
-    spreads a line that is everywhere over all tasks.
+    A ``share`` above 0 asks for more than that share of the host's documents too. Copies of
+    one text count as one document, so a page that was fetched often does not turn its own
+    lines into boilerplate. Counts are taken of (host, line, text) first, which spreads a line
+    that is everywhere over all tasks.
     """
     seen = profiled.select("host", "text_hash", F.explode("lines.hash").alias("hash")).groupBy("host", "hash", "text_hash").agg(F.lit(1))
     counts = seen.groupBy("host", "hash").agg(F.count("*").alias("documents")).where(F.col("documents") > least_documents)
+    if not share:
+        return counts.select("host", "hash")
     hosts = profiled.groupBy("host", "text_hash").agg(F.lit(1)).groupBy("host").agg(F.count("*").alias("host_documents"))
     return counts.join(hosts, "host").where(F.col("documents") > F.col("host_documents") * share).select("host", "hash")
 
 
-def line_rules(docs: DataFrame, least_documents: int = 20, share: float = 0.01, depleted: float = 0.5, min_words: int = 50, max_repeat: float = 0.5, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
+def line_rules(docs: DataFrame, least_documents: int = 20, share: float = 0.0, depleted: float = 0.5, min_words: int = 50, max_repeat: float = 0.5, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
     """One row per input row: doc_id, base figures, base_failed, removed_words, kept.
 
-    Lines above the frequency limits of their host are removed; a document that keeps less
+    Lines in more than ``least_documents`` documents of their host are removed; a document that keeps less
     than ``depleted`` of its words is rejected, as is one that fails the base rules. Equal
     texts of a host have equal lines, so removed words are summed once for each text.
 
@@ -102,7 +105,7 @@ def line_rules(docs: DataFrame, least_documents: int = 20, share: float = 0.01,
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), kept.alias("kept"), "removed_words")
 
 
-def remove_lines(docs: DataFrame, least_documents: int = 20, share: float = 0.01, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
+def remove_lines(docs: DataFrame, least_documents: int = 20, share: float = 0.0, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
     """doc_id and the text without the lines above the limits; other lines stay as they were."""
     base = durable(profiles(docs, id_col, text_col, host_col))
     frequent = durable(frequent_lines(base, least_documents, share))

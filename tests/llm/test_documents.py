@@ -140,6 +140,17 @@ def test_line_rules_removes_frequent_lines(spark):
     assert clean[0] == own(0) and clean[300].startswith("cookie") and clean[101] == "only1"
 
 
+def test_line_rules_limit_does_not_grow_with_the_host(spark):
+    """A line in 30 documents goes from a host of 6,000 (0.5%) as from one of 30; one in 20 stays in both."""
+    text = lambda i, often, rare: "\n".join([*["share this page"] * often, *["rarer line"] * rare, " ".join(f"w{i}x{k}" for k in range(60))])
+    rows = [(i, text(i, i < 30, i < 20), "large") for i in range(6000)] + [(10_000 + i, text(i, True, i < 20), "small") for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r["doc_id"]: r["removed_words"] for r in line_quality.line_rules(docs).collect()}
+    assert all(got[i] == got[10_000 + i] == 3 for i in range(30)) and sum(got.values()) == 180
+    clean = {r["doc_id"]: r["text"] for r in line_quality.remove_lines(docs).collect()}
+    assert clean[0] == clean[10_000] == text(0, False, True)
+
+
 def check_packing(rows, texts):
     from tokenizers import Tokenizer
 
