@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -89,32 +90,40 @@ def elo(matches: DataFrame, start: float = 1500.0, home_bonus: float = 50.0) ->
     """match_id, league, home_elo, away_elo before each match, replayed apart for each league.
 
     Both ratings after a match depend on both before it, so a league is one ordered replay;
-    leagues run side by side. A league's matches must fit one task.
+    leagues run side by side. Spark sorts a league's matches, on disk if need be, and they
+    stream by in batches: a task holds one batch and its league's teams, whatever the number
+    of matches.
     """
 
-    def replay(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["day", "match_id"])
+    def replay(parts: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rating: dict[str, float] = {}
         played: dict[str, int] = {}
-        out = []
-        for h, a, hg, ag in part[["home", "away", "home_goals", "away_goals"]].itertuples(index=False):
-            rh, ra = rating.get(h, start), rating.get(a, start)
-            out.append((rh, ra))
-            lead = rh + home_bonus - ra
-            expected = 1 / (1 + 10 ** (-lead / 400))
-            score, gap = (hg > ag) + 0.5 * (hg == ag), abs(hg - ag)
-            won = lead if hg > ag else -lead
-            margin = _margin(gap, won)
-            for team, sign in ((h, 1), (a, -1)):
-                k = 40 if played.get(team, 0) < 10 else 32
-                before = rh if team == h else ra
-                rating[team] = float(round(before + sign * k * margin * (score - expected)))
-                played[team] = played.get(team, 0) + 1
-        part["home_elo"], part["away_elo"] = zip(*out, strict=True)
-        return part[["match_id", "league", "home_elo", "away_elo"]]
+        current = object()
+        for part in parts:
+            out = []
+            for league, h, a, hg, ag in part[["league", "home", "away", "home_goals", "away_goals"]].itertuples(index=False):
+                if league != current:
+                    current = league
+                    rating.clear()
+                    played.clear()
+                rh, ra = rating.get(h, start), rating.get(a, start)
+                out.append((rh, ra))
+                lead = rh + home_bonus - ra
+                expected = 1 / (1 + 10 ** (-lead / 400))
+                score, gap = (hg > ag) + 0.5 * (hg == ag), abs(hg - ag)
+                won = lead if hg > ag else -lead
+                margin = _margin(gap, won)
+                for team, sign in ((h, 1), (a, -1)):
+                    k = 40 if played.get(team, 0) < 10 else 32
+                    before = rh if team == h else ra
+                    rating[team] = float(round(before + sign * k * margin * (score - expected)))
+                    played[team] = played.get(team, 0) + 1
+            if out:
+                part["home_elo"], part["away_elo"] = zip(*out, strict=True)
+                yield part[["match_id", "league", "home_elo", "away_elo"]]
 
     rows = matches.select("match_id", "day", "league", "home", "away", "home_goals", "away_goals")
-    return rows.groupBy("league").applyInPandas(replay, "match_id long, league string, home_elo double, away_elo double")
+    return rows.repartition("league").sortWithinPartitions("league", "day", "match_id").mapInPandas(replay, "match_id long, league string, home_elo double, away_elo double")
 
 
 def _margin(gap: int, lead_of_winner: float) -> float:

@@ -74,6 +74,20 @@ def test_elo_moves_both_teams(spark):
     assert got[1] == got[3] == (1500.0, 1500.0) and got[2][0] < 1500 < got[2][1] and sum(got[2]) == 3000
 
 
+def test_elo_streams_a_league_in_small_batches(spark, sf):
+    """No task gathers a league, and neither the batches nor leagues that share a task change a rating."""
+    import __spark_entry__ as e
+
+    elo = lambda: e.queries()["elo_replay"](spark, sf)
+    assert "FlatMapGroups" not in elo()._jdf.queryExecution().executedPlan().toString()
+    want = sorted(map(tuple, elo().collect()))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        assert sorted(map(tuple, elo().collect())) == want and len(want) > 1000
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_runs_and_trend(spark):
     rows = spark.createDataFrame([("g", k, float(k), k > 2) for k in range(1, 6)] + [("all", 1, 1.0, True)], "g string, n int, v double, bad boolean")
     runs = {r["g"]: r["run"] for r in evaluate.leading_run(rows, "g", [F.desc("n")], F.col("bad")).collect()}
