@@ -139,6 +139,10 @@ def alias_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return places(merge.alias_candidates(m))
 
 
+def club_alias_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return places(merge.alias_candidates(bridge.matches(spark, sf_dir, clubs=True)))
+
+
 def identity_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return places(merge.conflicts(_matches(spark, sf_dir), ["home", "away", "day"], ["home_goals", "away_goals", "home_shots"]))
 
@@ -217,7 +221,7 @@ def page_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return places(p.select("page_id", title.alias("title"), F.regexp_count("html", F.lit("<a ")).alias("links"), F.regexp_count("html", F.lit("<li")).alias("items")))
 
 
-QUERIES = (league_report, matches, team_form, team_shots, head_to_head, rest_days, final_standings, standings_as_of, elo_replay, predictions, calibration, temperature, blended, open_and_close, best_prices, value_bets, portfolio, source_rank, fill_missing_shots, natural_key_dedupe, equivalence_diff, audited_backfill, alias_candidates, identity_conflicts, validation, key_drift, provider_windows, provider_errors, provider_rollup, provider_choice, provider_quota, divergence_spread, degraded_run, trend, walk_forward, keys_and_seasons, parsed_statistics, latest_per_key, page_titles)
+QUERIES = (league_report, matches, team_form, team_shots, head_to_head, rest_days, final_standings, standings_as_of, elo_replay, predictions, calibration, temperature, blended, open_and_close, best_prices, value_bets, portfolio, source_rank, fill_missing_shots, natural_key_dedupe, equivalence_diff, audited_backfill, alias_candidates, club_alias_candidates, identity_conflicts, validation, key_drift, provider_windows, provider_errors, provider_rollup, provider_choice, provider_quota, divergence_spread, degraded_run, trend, walk_forward, keys_and_seasons, parsed_statistics, latest_per_key, page_titles)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -16,15 +16,21 @@ def first_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.min(order).alias("x")).select("l_orderkey", "x.*")
 
 
-def matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """match_id, day, league, home, away, home_goals, away_goals, result, home_shots, away_shots (both may be null)."""
+def matches(spark: SparkSession, sf_dir: str, clubs: bool = False) -> DataFrame:
+    """match_id, day, league, home, away, home_goals, away_goals, result, home_shots, away_shots (both may be null).
+
+    Teams are nations, of which all meet; or clubs, numbered by customer (home) and supplier (away).
+    """
     nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
     home = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_nationkey").alias("hk"), F.col("n_name").alias("home"), F.col("r_name").alias("league"))
     away = nation.select(F.col("n_nationkey").alias("ak"), F.col("n_name").alias("away"))
     customers = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("hk")).join(home, "hk")
     suppliers = table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").alias("ak")).join(away, "ak")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
-    x = orders.join(first_lines(spark, sf_dir), F.col("o_orderkey") == F.col("l_orderkey")).join(customers, F.col("o_custkey") == F.col("c_custkey")).join(suppliers, F.col("l_suppkey") == F.col("s_suppkey")).where("home <> away")
+    x = orders.join(first_lines(spark, sf_dir), F.col("o_orderkey") == F.col("l_orderkey")).join(customers, F.col("o_custkey") == F.col("c_custkey")).join(suppliers, F.col("l_suppkey") == F.col("s_suppkey"))
+    if clubs:
+        x = x.withColumns({"home": F.concat(F.lit("club "), "c_custkey"), "away": F.concat(F.lit("club "), "s_suppkey")})
+    x = x.where("home <> away")
     hg, ag = F.expr("cast(floor(l_quantity) as bigint) % 5"), F.expr("cast(floor(l_extendedprice) as bigint) % 4")
     x = x.select(F.col("o_orderkey").alias("match_id"), F.to_date("o_orderdate").alias("day"), "league", "home", "away", hg.alias("home_goals"), ag.alias("away_goals"), F.expr("case when l_partkey % 7 = 0 then null else l_partkey % 15 end").alias("home_shots"), F.expr("case when l_partkey % 6 = 0 then null else l_partkey % 11 end").alias("away_shots"))
     return x.withColumn("result", F.expr("case when home_goals > away_goals then 'H' when home_goals < away_goals then 'A' else 'D' end"))

@@ -67,6 +67,24 @@ def test_alias_candidates_excludes_pairs_that_met(spark):
     assert {tuple(r) for r in merge.alias_candidates(m).collect()} == {("A", "B", 1), ("B", "C", 1)}
 
 
+def test_alias_candidates_take_all_matches(spark):
+    """On all matches between clubs, of which most pairs never met, against SQL; one pair of scale 0.1 met."""
+    import duckdb
+
+    from matchforge.plans import oracle, queries
+
+    sf = "/root/testdata/sf0.1"
+    clubs = oracle.MATCHES.replace("hn.n_name AS home, an.n_name AS away", "'club ' || c_custkey AS home, 'club ' || s_suppkey AS away").replace("hn.n_name <> an.n_name", "c_custkey <> s_suppkey")
+    con = duckdb.connect()
+    for t in ("region", "nation", "customer", "supplier", "orders", "lineitem"):
+        con.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
+    want = con.sql(f"""WITH {clubs}, s AS (SELECT DISTINCT day, league, 'h' AS side, home AS name, away AS other, home_goals, away_goals FROM m UNION SELECT DISTINCT day, league, 'a', away, home, home_goals, away_goals FROM m),
+        c AS (SELECT a.name AS one, b.name AS two, count(*) AS evidence FROM s a JOIN s b USING (day, league, side, other, home_goals, away_goals) WHERE a.name < b.name GROUP BY 1, 2)
+        SELECT one, two, evidence, EXISTS (SELECT 1 FROM m WHERE least(home, away) = one AND greatest(home, away) = two) AS met FROM c""").fetchall()
+    got = sorted(map(tuple, queries.queries()["club_alias_candidates"](spark, sf).collect()))
+    assert got == sorted(r[:3] for r in want if not r[3]) and len(got) > 50 and any(r[3] for r in want)
+
+
 def test_elo_moves_both_teams(spark):
     rows = [(1, "2024-01-01", "l", "a", "b", 2, 0), (2, "2024-01-08", "l", "b", "a", 1, 1), (3, "2024-01-01", "other", "a", "b", 0, 1)]
     m = spark.createDataFrame(rows, "match_id int, day string, league string, home string, away string, home_goals int, away_goals int").withColumn("day", F.to_date("day"))
