@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, ship, slices
+from .common import crc_mod, durable, release, ship, slices
 
 LETTERS = re.compile(r"[^\W\d_]+")
 START = "▁"
@@ -115,12 +115,13 @@ class Lattice:
         return out
 
 
-def train(docs: DataFrame, vocabulary_path: str, rows_per_language: int = 2_000, words_per_language: int = 8_000, rounds: int = 4, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], np.ndarray]:
+def train(docs: DataFrame, vocabulary_path: str, rows_per_language: int = 2_000, rounds: int = 4, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], np.ndarray]:
     """Languages and piece probabilities (pieces + 1 by languages).
 
-    Learned by expectation maximisation from the commonest ``words_per_language`` words of
-    about ``rows_per_language`` whole texts of each language, drawn by a hash of the id (the
-    documented bounds). Null texts and null languages are left out.
+    Learned by expectation maximisation from all words of about ``rows_per_language`` whole
+    texts of each language, drawn by a hash of the id (the documented bound). Tasks compute
+    the expected uses of pieces, which are added up. Null texts and null languages are left
+    out.
     """
     ship(docs.sparkSession)
     rows = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.lit("lang"), F.col(id_col)).alias("h")).where("lang is not null and text is not null")
@@ -135,17 +136,38 @@ def train(docs: DataFrame, vocabulary_path: str, rows_per_language: int = 2_000,
             found = [text_words(t) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("lang"), pa.array(found, pa.list_(pa.string()))], names=["lang", "words"])
 
-    counted = drawn.mapInArrow(split, "lang string, words array<string>").select("lang", F.explode("words").alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n"))
     langs, pieces = sorted(sizes), vocabulary(vocabulary_path)
-    lattice, table = Lattice(pieces), np.zeros((len(pieces) + 1, len(langs)))
-    for k, lang in enumerate(langs):
-        top = counted.where(F.col("lang") == lang).orderBy(F.desc("n"), "word").limit(words_per_language).toPandas()
-        p = np.full(len(pieces) + 1, 1 / (len(pieces) + 1))
-        ws = [w[:LONGEST_WORD] for w in top["word"]]
-        for _ in range(rounds if ws else 0):
-            p = lattice.expected(ws, top["n"].to_numpy(float), p) + 0.01
-            p /= p.sum()
-        table[:, k] = p
+    counted = drawn.mapInArrow(split, "lang string, words array<string>").select("lang", F.explode("words").alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n"))
+    counted = durable(counted)
+
+    def expect(held):
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            lattice, p = Lattice(pieces), held.value
+            out = np.zeros_like(p)
+            for b in slices(batches, 8_192):
+                rows = b.to_pandas()
+                rows["word"] = rows["word"].str[:LONGEST_WORD]
+                rows["size"] = rows["word"].str.len()
+                for lang, part in rows.sort_values("size").groupby("lang", sort=False):
+                    k = langs.index(lang)
+                    for at in range(0, len(part), 2_000):
+                        some = part.iloc[at : at + 2_000]
+                        out[:, k] += lattice.expected(some["word"].tolist(), some["n"].to_numpy(float), p[:, k])
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(out))), pa.array(list(out))], names=["piece", "uses"])
+
+        return run
+
+    table = np.full((len(pieces) + 1, len(langs)), 1 / (len(pieces) + 1))
+    for _ in range(rounds):
+        held = docs.sparkSession.sparkContext.broadcast(table)
+        uses = counted.mapInArrow(expect(held), "piece long, uses array<double>")
+        sums = uses.groupBy("piece").agg(*(F.sum(F.col("uses")[k]).alias(f"u{k}") for k in range(len(langs)))).toPandas()
+        table = np.zeros((len(pieces) + 1, len(langs)))
+        if len(sums):
+            table[sums["piece"].to_numpy()] = sums.drop(columns="piece").to_numpy()
+        table += 0.01
+        table /= table.sum(axis=0)
+    release(counted)
     return langs, table
 
 

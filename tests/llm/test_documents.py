@@ -236,6 +236,17 @@ def test_language_accuracy(spark):
     assert (held.lang == held.lang_pred).mean() > 0.97
 
 
+def test_language_learns_from_every_word(spark):
+    """A word seen once counts, though 9,000 words that come before it are seen twice."""
+    name = lambda i: "".join("abcdefghij"[int(d)] for d in f"{i:04d}")
+    common = [name(i) for i in range(9_000)]
+    rows = [(1, " ".join(common * 2 + ["zur"] + ["zq" + w for w in common[:3000]]), "de")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    _, table = language_id.train(docs, path("piece_bpe_32k.model"))
+    pieces = language_id.vocabulary(path("piece_bpe_32k.model"))
+    assert sum(table[i, 0] for i, x in enumerate(pieces) if "z" in x) > 10 * sum(table[i, 0] for i, x in enumerate(pieces) if "w" in x)
+
+
 def test_language_odd(spark, odd_documents, no_documents):
     voc = path("piece_bpe_32k.model")
     got = {r["doc_id"]: r for r in language_id.label(odd_documents, voc).collect()}
