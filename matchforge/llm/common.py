@@ -2,35 +2,47 @@
 
 from __future__ import annotations
 
-import os
+import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterable, Iterator
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-ROOT = str(Path(__file__).resolve().parents[2])
+PACKAGE = Path(__file__).resolve().parents[1]
 #: One word: a run of characters other than space and the ASCII controls 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
 def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package from where the driver found it."""
-    env = spark.sparkContext.environment
-    have = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
-    if ROOT not in have:
-        env["PYTHONPATH"] = os.pathsep.join([ROOT, *have])
+    """Send this package to the Python workers, once for each application."""
+    context = spark.sparkContext
+    env = context.environment
     env.setdefault("TOKENIZERS_PARALLELISM", "false")
     env.setdefault("OMP_NUM_THREADS", "1")
+    if env.get("MATCHFORGE_SHIPPED") != context.applicationId:
+        made = Path(tempfile.mkdtemp()) / f"{PACKAGE.name}.zip"
+        with zipfile.ZipFile(made, "w") as z:
+            for f in [PACKAGE / "__init__.py", *sorted((PACKAGE / "llm").glob("*.py"))]:
+                z.write(f, str(f.relative_to(PACKAGE.parent)))
+        context.addPyFile(str(made))
+        env["MATCHFORGE_SHIPPED"] = context.applicationId
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a local one only where the session names none (tests)."""
+    """This application's folder in the one that all executors share. A local master may do without, as in tests."""
     given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return (given or "file:///tmp/checkpoints").rstrip("/")
+    if not given:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        given = "file://" + tempfile.gettempdir() + "/checkpoints"
+    return f"{given.rstrip('/')}/matchforge-{spark.sparkContext.applicationId}"
 
 
 def durable(df: DataFrame) -> DataFrame:
@@ -51,6 +63,12 @@ def release(*tables: DataFrame) -> None:
             path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+def clear(spark: SparkSession) -> None:
+    """Delete all tables that ``durable`` made in this application; DataFrames that read them end here."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -84,11 +102,23 @@ def words(text: bytes) -> list[bytes]:
     return text.split()
 
 
+#: Bytes of text that are turned into Python objects at once; a longer text goes alone.
+SLICE_BYTES = 4 << 20
+
+
 def slices(batches: Iterable[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
-    """Small pieces of each batch, so that Python objects exist for few texts at a time."""
+    """Small pieces of each batch, by rows and by the bytes of its texts."""
     for b in batches:
-        for at in range(0, b.num_rows, rows):
-            yield b.slice(at, rows)
+        size = np.zeros(b.num_rows, np.int64)
+        for column in b.columns:
+            if pa.types.is_string(column.type) or pa.types.is_binary(column.type):
+                size += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+        upto = np.concatenate([[0], np.cumsum(size)])
+        at = 0
+        while at < b.num_rows:
+            stop = max(at + 1, min(at + rows, int(np.searchsorted(upto, upto[at] + SLICE_BYTES, side="right")) - 1))
+            yield b.slice(at, stop - at)
+            at = stop
 
 
 def binary(column: pa.Array) -> list[bytes]:

@@ -38,7 +38,7 @@ def op6_line_frequency_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(documents(spark, sf_dir), tokenizer("byte_bpe_50k.json"))
+    return packing.pack(documents(spark, sf_dir), tokenizer("byte_bpe_50k.json"), tokenizer("byte_bpe_50k.tiktoken"))
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,3 +12,10 @@ def path(name: str, folder: str | None = None) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
+
+
+def byte_pattern() -> str:
+    """The pattern by which the byte-level vocabularies cut a text before merging."""
+    import public_tokenizers
+
+    return public_tokenizers.PATTERN

@@ -196,6 +196,27 @@ def test_packing_odd(odd_documents, no_documents):
     assert packing.pack(no_documents, path("byte_bpe_50k.json")).count() == 0
 
 
+def test_fast_and_exact_ids_are_equal():
+    texts = ["", " ", "a", "It's  naïve\t\tüber—日本語 ½ 12345 <|endoftext|> x", "\x1c\x1f\x85\u3000 x", "z" * 50_000, " " * 50_000 + "q", "\n" * 9_000, "ab " * 20_000]
+    plain = packing.TokenBytes(path("byte_bpe_50k.json"))
+    fast = packing.TokenBytes(path("byte_bpe_50k.json"), path("byte_bpe_50k.tiktoken"))
+    assert [fast.of(t) for t in texts] == [plain.of(t) for t in texts]
+
+
+def test_patterns_need_no_more_than_best_fit():
+    rng = np.random.default_rng(2)
+    for size in (10, 100, 1000, 4000):
+        counts = Counter((rng.lognormal(5, 1, size).astype(int) % 1024 + 1).tolist())
+        room: list[int] = []
+        for x in sorted(counts.elements(), reverse=True):
+            fits = [k for k, g in enumerate(room) if g >= x]
+            if fits:
+                room[min(fits, key=lambda k: room[k])] -= x
+            else:
+                room.append(1024 - x)
+        assert sum(n for _, n in packing.plan_patterns(dict(counts), 1024)) <= len(room)
+
+
 def test_patterns_use_every_piece():
     rng = np.random.default_rng(1)
     for _ in range(20):
