@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from .common import durable, release
 
-#: A quoted line: its marks, each with white space around it.
-MARKS = r"^[ \t]*(?:>[ \t]*)+"
+#: A quoted line: its marks, each with white space around it. No group is repeated, so a run of any length is matched in a loop.
+MARKS = r"^[ \t]*>[> \t]*"
+#: Characters cut from the ends of texts.
+BLANK = " \t\n\x0b\x0c\r"
 #: Turns of one passage are searched in runs of so many.
 RUN = 1_024
 
@@ -24,18 +26,25 @@ def text_lines(text: Column) -> Column:
 
 
 def passages(lines: Column) -> Column:
-    """Runs of non-blank lines of one level, as (level, body). A blank line or another level ends a run."""
-    start = F.struct(F.lit(-1).alias("level"), F.lit("").alias("body"))
-    # A run is closed by the line that differs; the element -1 marks that none is open.
-    begun = F.array(start)
+    """Runs of non-blank lines of one level, as (level, body). A blank line or another level ends a run.
 
-    def step(found: Column, line: Column) -> Column:
-        last = F.element_at(found, -1)
-        blank = normal(line["body"]) == ""
-        joined = F.concat(F.slice(found, F.lit(1), F.size(found) - 1), F.array(F.struct(last["level"].alias("level"), F.concat_ws("\n", last["body"], line["body"]).alias("body"))))
-        return F.when(blank, F.when(last["level"] == -1, found).otherwise(F.concat(found, begun))).when(last["level"] == line["level"], joined).otherwise(F.concat(found, F.array(line)))
+    Runs are cut out by the places where they begin and end, so each line is copied once
+    however long a run is.
+    """
+
+    def runs(xs: Column) -> Column:
+        level = F.transform(xs, lambda x: F.when(F.rtrim(x["body"], F.lit(BLANK)) == "", F.lit(-1)).otherwise(x["level"]))
+        return F.transform(F.array(level), lambda kinds: cut(xs, kinds))[0]
+
+    def cut(xs: Column, kinds: Column) -> Column:
+        last = F.size(xs) - 1
+        places = F.sequence(F.lit(0), last)
+        begins = F.filter(places, lambda i: (kinds[i] >= 0) & ((i == 0) | (kinds[F.greatest(i - 1, F.lit(0))] != kinds[i])))
+        ends = F.filter(places, lambda i: (kinds[i] >= 0) & ((i == last) | (kinds[F.least(i + 1, last)] != kinds[i])))
+        return F.transform(F.arrays_zip(begins.alias("a"), ends.alias("z")), lambda r: F.struct(kinds[r["a"]].alias("level"), F.array_join(F.transform(F.slice(xs, r["a"] + 1, r["z"] - r["a"] + 1), lambda x: x["body"]), "\n").alias("body")))
 
-    return F.filter(F.aggregate(lines, begun, step), lambda p: p["level"] >= 0)
+    # The one-element array gives the lines a name inside the lambda, so they are computed once.
+    return F.transform(F.array(lines), runs)[0]
 
 
 def parse(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
@@ -43,12 +52,12 @@ def parse(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn"
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = messages.select(F.col(conv_col).alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), F.col(role_col).alias("role"), text.alias("text"))
     # Texts without a mark are one level: their runs are found by splitting at blank lines.
-    marked = F.expr(r"regexp_like(text, '(?m)^[ \\t]*>')")
-    plain = F.transform(F.filter(F.split("text", r"\n(?:[\x20\x09-\x0D]*\n)+"), lambda x: normal(x) != ""), lambda x: F.struct(F.lit(0).alias("level"), x.alias("body")))
+    marked = F.expr(r"regexp_like(text, '(?md)^[ \\t]*>')")
+    plain = F.transform(F.filter(F.split("text", r"\n[\x20\x09-\x0D]*\n"), lambda x: normal(x) != ""), lambda x: F.struct(F.lit(0).alias("level"), x.alias("body")))
     rows = rows.withColumn("marked", marked).withColumn("lines", F.when(F.col("marked"), text_lines(F.col("text"))))
     found = F.when(F.col("marked"), passages(F.col("lines"))).otherwise(plain)
     own = F.when(F.col("marked"), F.array_join(F.transform(F.filter("lines", lambda x: x["level"] == 0), lambda x: x["body"]), "\n")).otherwise(F.col("text"))
-    own = F.regexp_replace(F.regexp_replace(own, r"^(?:[\x20\x09-\x0D]*\n)+", ""), r"[\x20\x09-\x0D]+$", "")
+    own = F.rtrim(F.regexp_replace(own, r"^[\x20\x09-\x0D]*\n", ""), F.lit(BLANK))
     hashed = F.transform(found, lambda p: F.struct(p["level"].alias("level"), F.unhex(F.md5(normal(p["body"]))).alias("hash")))
     return rows.select("conv_id", "turn", "role", "text", own.alias("own_text"), F.coalesce(F.array_max(F.transform("lines", lambda x: x["level"])), F.lit(0)).cast("int").alias("quote_levels"), hashed.alias("passages"))
 
@@ -73,7 +82,9 @@ def link(parsed: DataFrame) -> DataFrame:
     inside = Window.partitionBy("conv_id", "hash", "run").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)
     here = both.withColumn("here", F.max(author).over(inside)).where("level > 0")
     out = here.join(runs, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("hash") == F.col("h")) & (F.col("run") == F.col("r")), "left")
-    return out.select("conv_id", "turn", "hash", "level", F.coalesce("here", "carried").alias("origin"))
+    found = durable(out.select("conv_id", "turn", "hash", "level", F.coalesce("here", "carried").alias("origin")))
+    release(both)
+    return found
 
 
 def roots(parents: DataFrame) -> DataFrame:
@@ -104,10 +115,11 @@ def rebuild(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "tur
     text counts as empty. Null is a conversation like any other. A null turn can neither
     quote nor be quoted and comes last. Rows that repeat a turn share parent and root, and
     are ordered by role and text. A turn may come more than once, and then all its passages
-    are its own. An empty table gives an empty result.
+    are its own. Lines, runs of marks or of blanks and quoted passages may be of any length.
+    Other columns are not read, whatever their names. An empty table gives an empty result.
     """
     parsed = durable(parse(messages, conv_col, turn_col, role_col, text_col))
-    links = durable(link(parsed))
+    links = link(parsed)
     turns = links.groupBy("conv_id", "turn").agg(F.count("*").alias("n_quotes"), F.count("origin").alias("n_linked"), F.min(F.when(F.col("origin").isNotNull(), F.struct("level", (-F.col("origin")).alias("o")))).alias("best"))
     turns = turns.select("conv_id", "turn", "n_quotes", "n_linked", (-F.col("best.o")).alias("parent"))
     parents = durable(turns)
@@ -121,6 +133,7 @@ def rebuild(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "tur
     order = [first, turn, F.col("role"), F.xxhash64("text")]
     parts = max(8, int(messages.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     dealt = durable(rows.repartitionByRange(parts, F.col("conv_id"), *order).withColumn("part", F.spark_partition_id()))
+    release(parsed, links, parents, root)
     counts = dealt.groupBy("conv_id", "part").agg(F.count("*").alias("n"))
     counts = counts.withColumn("ahead", F.sum("n").over(Window.partitionBy("conv_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))).select(F.col("conv_id").alias("c"), F.col("part").alias("p"), F.coalesce("ahead", F.lit(0)).alias("ahead"))
     within = F.row_number().over(Window.partitionBy("conv_id", "part").orderBy(*order)) - 1

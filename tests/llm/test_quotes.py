@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 from matchforge.llm import queries, quotes
 
@@ -98,6 +99,19 @@ def test_odd(spark):
     assert quotes.rebuild(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
+def test_long_runs_take_no_more_than_their_length(spark):
+    """50,000 marks on a line, 100,000 blanks inside and around a text, 20,000 quoted lines, a mark after a carriage return."""
+    said = "\n".join(f"line {k}" for k in range(20_000))
+    texts = [said, "\n".join("> " + x for x in said.split("\n")), ">" * 50_000 + " deep", "a" + " " * 100_000 + "b\n" + " " * 100_000, "\n" * 50_000 + "x" + " \n" * 50_000 + "y", "one\r> two"]
+    spark.range(1).count()
+    began = time.time()
+    got = quotes.rebuild(spark.createDataFrame([(1, k, "u", t, 0) for k, t in enumerate(texts)], "conv_id long, turn long, role string, text string, level int")).collect()
+    assert time.time() - began < 60
+    by = {r["turn"]: r for r in got}
+    assert by[1]["parent_turn"] == 0 and by[1]["n_linked"] == 1 and by[2]["quote_levels"] == 50_000
+    assert by[3]["own_text"] == "a" + " " * 100_000 + "b" and by[4]["own_text"] == "x" + " \n" * 50_000 + "y" and by[5]["quote_levels"] == 0
+
+
 def test_chats_without_quotes_keep_their_order(spark, sf):
     got = queries.op2_quotation_linking(spark, sf).collect()
     source = spark.read.parquet(f"{sf}/conversations.parquet").collect()
