@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary, durable, ship, slices, words
+from .common import binary, durable, release, ship, slices, words
 
 SYMBOLS = re.compile(rb"[#*$%&|<>]")
 PROFILE = "doc_id long, host string, text_hash long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, lines array<struct<hash:long,words:int>>"
@@ -69,46 +69,51 @@ def profiles(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ho
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), host.alias("host")).mapInArrow(_profile, PROFILE)
 
 
-def frequent_lines(profiled: DataFrame, least_documents: int, share: float) -> DataFrame:
-    """(host, hash) of lines in more than ``least_documents`` documents of the host, however large it is.
+def frequent_lines(profiled: DataFrame, least_documents: int, share: float, copies_count_once: bool) -> DataFrame:
+    """(host, hash) of lines in more than ``least_documents`` distinct documents of the host, however large it is.
 
-    A ``share`` above 0 asks for more than that share of the host's documents too. Copies of
-    one text count as one document, so a page that was fetched often does not turn its own
-    lines into boilerplate. Counts are taken of (host, line, text) first, which spreads a line
-    that is everywhere over all tasks.
+    A document is a doc_id (rows without one are told apart by their texts), or a text with
+    ``copies_count_once``. A ``share`` above 0 asks for more than that share of the host's
+    documents too. Counts are taken of (host, line, document) first, which spreads a line that
+    is everywhere over all tasks.
     """
-    seen = profiled.select("host", "text_hash", F.explode("lines.hash").alias("hash")).groupBy("host", "hash", "text_hash").agg(F.lit(1))
+    document = ["text_hash"] if copies_count_once else ["doc_id", F.when(F.col("doc_id").isNull(), F.col("text_hash")).alias("unnamed")]
+    seen = profiled.select("host", *document, F.explode("lines.hash").alias("hash")).distinct()
     counts = seen.groupBy("host", "hash").agg(F.count("*").alias("documents")).where(F.col("documents") > least_documents)
     if not share:
         return counts.select("host", "hash")
-    hosts = profiled.groupBy("host", "text_hash").agg(F.lit(1)).groupBy("host").agg(F.count("*").alias("host_documents"))
+    hosts = profiled.select("host", *document).distinct().groupBy("host").agg(F.count("*").alias("host_documents"))
     return counts.join(hosts, "host").where(F.col("documents") > F.col("host_documents") * share).select("host", "hash")
 
 
-def line_rules(docs: DataFrame, least_documents: int = 20, share: float = 0.0, depleted: float = 0.5, min_words: int = 50, max_repeat: float = 0.5, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
+def line_rules(docs: DataFrame, least_documents: int = 20, share: float = 0.0, copies_count_once: bool = False, depleted: float = 0.5, min_words: int = 50, max_repeat: float = 0.5, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
     """One row per input row: doc_id, base figures, base_failed, removed_words, kept.
 
-    Lines in more than ``least_documents`` documents of their host are removed; a document that keeps less
-    than ``depleted`` of its words is rejected, as is one that fails the base rules. Equal
-    texts of a host have equal lines, so removed words are summed once for each text.
+    Lines in more than ``least_documents`` documents of their host are removed, those of
+    copies too; a document that keeps less than ``depleted`` of its words is rejected, as is
+    one that fails the base rules. Equal texts of a host have equal lines, so removed words
+    are summed once for each text.
 
-    Null text has no words and fails the base rules; null is a host of its own; repeated rows
-    each get a row; an empty table gives an empty result.
+    Null text has no words and fails the base rules; null is a host of its own; rows that
+    repeat a doc_id are one document to the counts and each get a row; a line of any length
+    is one line; other columns are not read; an empty table gives an empty result.
     """
     base = durable(profiles(docs, id_col, text_col, host_col))
-    frequent = durable(frequent_lines(base, least_documents, share))
+    frequent = durable(frequent_lines(base, least_documents, share, copies_count_once))
     lines = base.select("host", "text_hash", F.explode("lines").alias("line")).select("host", "text_hash", F.col("line.hash").alias("hash"), F.col("line.words").alias("words"))
     removed = lines.join(frequent, ["host", "hash"]).groupBy("host", "text_hash", "hash").agg(F.first("words").alias("words")).groupBy("host", "text_hash").agg(F.sum("words").alias("removed_words"))
-    out = base.drop("lines").join(durable(removed), ["host", "text_hash"], "left").withColumn("removed_words", F.coalesce("removed_words", F.lit(0)))
+    removed = durable(removed)
+    release(frequent)
+    out = base.drop("lines").join(removed, ["host", "text_hash"], "left").withColumn("removed_words", F.coalesce("removed_words", F.lit(0)))
     failed = (F.col("n_words") < min_words) | (F.col("n_repeat_words") > F.col("n_words") * max_repeat)
     kept = ~failed & (F.col("n_words") - F.col("removed_words") >= F.col("n_words") * depleted)
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), kept.alias("kept"), "removed_words")
 
 
-def remove_lines(docs: DataFrame, least_documents: int = 20, share: float = 0.0, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
+def remove_lines(docs: DataFrame, least_documents: int = 20, share: float = 0.0, copies_count_once: bool = False, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
     """doc_id and the text without the lines above the limits; other lines stay as they were."""
     base = durable(profiles(docs, id_col, text_col, host_col))
-    frequent = durable(frequent_lines(base, least_documents, share))
+    frequent = durable(frequent_lines(base, least_documents, share, copies_count_once))
     lines = base.select("host", "text_hash", F.explode("lines.hash").alias("hash")).distinct()
     cut = durable(lines.join(frequent, ["host", "hash"]).groupBy("host", "text_hash").agg(F.collect_set("hash").alias("cut")))
     host = F.coalesce(F.concat(F.lit("="), F.col(host_col).cast("string")), F.lit(""))
