@@ -51,17 +51,18 @@ def ftrl(examples: list[tuple[np.ndarray, float]], epochs: int, alpha: float, be
     return w[:-1], float(w[-1])
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = 16_000, shards: int = 1, epochs: int = 8, alpha: float = 8.0, beta: float = 0.05, l1: float = 0.03, l2: float = 0.1, label: str = "quality", id_col: str = "doc_id", text_col: str = "text") -> tuple[np.ndarray, float]:
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = 16_000, shards: int = 1, epochs: int = 4, alpha: float = 8.0, beta: float = 0.05, l1: float = 0.0, l2: float = 0.0, label: str = "quality", id_col: str = "doc_id", text_col: str = "text") -> tuple[np.ndarray, float]:
     """Weights from at most about ``max_rows`` labelled rows (the documented bound).
 
     Labels are thinned by a hash of the id to that expected number, which bounds what is
     broadcast; texts stay where they are and only buckets are shuffled. ``shards`` learners
     run FTRL on their rows in order of the hash, and their weights are averaged; one learner
     fits far better than the mean of several, and its rows are bounded by ``max_rows``. Without
-    labelled rows all weights are zero. Null labels are left out.
+    labelled rows all weights are zero. Null labels are left out; an id with several labels
+    has their mean. Of a text of any length a learner holds at most 2**18 bucket numbers.
     """
     ship(docs.sparkSession)
-    usable = labels.select(F.col(id_col).alias("label_id"), F.col(label).cast("double").alias("y")).where(F.col("y").isNotNull() & F.col("label_id").isNotNull())
+    usable = labels.select(F.col(id_col).alias("label_id"), F.col(label).cast("double").alias("y")).where(F.col("y").isNotNull() & F.col("label_id").isNotNull()).groupBy("label_id").agg(F.avg("y").alias("y"))
     n = usable.count()
     order = F.pmod(F.xxhash64(F.lit("sample"), F.col("label_id")), F.lit(1 << 30))
     usable = usable.withColumn("order", order).where(F.col("order") < int((1 << 30) * min(1.0, max_rows / max(1, n))))
@@ -75,7 +76,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 16_000, shards: in
 
     def learn(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["order", "y"], kind="stable")
-        w, bias = ftrl([(np.asarray(b, np.int64), y) for b, y in zip(part["buckets"], part["y"], strict=True)], epochs, alpha, beta, l1, l2)
+        w, bias = ftrl(list(zip(part["buckets"], part["y"], strict=True)), epochs, alpha, beta, l1, l2)
         at = np.flatnonzero(w)
         return pd.DataFrame({"at": np.append(at, -1), "w": np.append(w[at], bias)})
 
@@ -113,7 +114,13 @@ def score(docs: DataFrame, weights: np.ndarray, bias: float, id_col: str = "doc_
 
 
 def classify(docs: DataFrame, labels: DataFrame, fold: int = 5, threshold: float = 0.3) -> DataFrame:
-    """doc_id, held_out, score, predicted. Rows whose crc32(id) mod ``fold`` is 0 are never learned from."""
+    """One row per input row: doc_id, held_out, score, predicted. Rows whose crc32(id) mod ``fold`` is 0 are never learned from.
+
+    Null and empty texts score by the bias alone. Null ids are not held out and have no label.
+    Rows that repeat an id are learned from as often as they come, by the id's one label. Equal
+    texts have equal scores; ties among training rows are broken by label, so reruns agree.
+    Other columns are not read. An empty table gives an empty result.
+    """
     mod = crc_mod("doc_id", fold)
     w, bias = train(docs, labels.where(mod != 0))
     out = score(docs, w, bias)
