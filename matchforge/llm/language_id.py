@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -14,10 +15,10 @@ from .common import crc_mod, durable, release, ship, slices
 
 LETTERS = re.compile(r"[^\W\d_]+")
 START = "▁"
-#: Longer letter runs are cut here, and pieces longer than the second are not used.
-LONGEST_WORD, LONGEST_PIECE = 64, 10
-#: A worker remembers at most so many words.
-REMEMBERED = 200_000
+#: Longer letter runs are summed over one at a time, by position; shorter ones many at a time.
+LONG_WORD = 64
+#: A worker remembers so many words at least, and as many more as fit two million numbers.
+REMEMBERED = 20_000
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -32,26 +33,30 @@ def vocabulary(path: str) -> list[str]:
 
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
     pieces = {sp.id_to_piece(i).lower() for i in range(sp.get_piece_size())}
-    return sorted(p for p in pieces if len(p) <= LONGEST_PIECE and p.removeprefix(START).isalpha())
+    return sorted(p for p in pieces if p.removeprefix(START).isalpha())
 
 
 class Lattice:
-    """All segmentations of a batch of words over the vocabulary, found by rolling hashes."""
+    """All segmentations of a batch of words over the vocabulary, found by rolling hashes.
+
+    The table holds every beginning of every piece, so a search stops where no piece goes on.
+    """
 
     def __init__(self, pieces: list[str]):
-        keys = np.array([self._hash(np.array([list(map(ord, p))], np.uint64), 0, len(p))[0] for p in pieces], np.uint64)
-        self.order = np.argsort(keys)
-        self.keys = keys[self.order]
+        begun = {p[:k]: -1 for p in pieces for k in range(1, len(p) + 1)} | {p: i for i, p in enumerate(pieces)}
+        chars = np.zeros((len(begun) or 1, max(map(len, begun), default=1)), np.uint64)
+        size = np.array([*map(len, begun)] or [1])
+        chars[np.arange(chars.shape[1]) < size[:, None]] = np.frombuffer("".join(begun).encode("utf-32-le") or b"\0" * 4, "<u4")
+        keys = np.zeros(len(chars), np.uint64)
+        for j in range(chars.shape[1]):
+            on = size > j
+            keys[on] = (keys[on] ^ chars[on, j]) * _MULTIPLIER
+            keys[on] ^= keys[on] >> np.uint64(29)
+        order = np.argsort(keys)
+        self.keys, self.ids = keys[order], np.array(list(begun.values()) or [-1])[order]
+        self.longest = max(map(len, pieces), default=1)
         self.unknown = len(pieces)  # a character that no piece has
 
-    @staticmethod
-    def _hash(chars: np.ndarray, start: int, stop: int) -> np.ndarray:
-        h = np.zeros(len(chars), np.uint64)
-        for j in range(start, stop):
-            h = (h ^ chars[:, j]) * _MULTIPLIER
-            h ^= h >> np.uint64(29)
-        return h
-
     def matrix(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         cut = [START + w for w in words]
         length = np.array(list(map(len, cut)))
@@ -60,60 +65,145 @@ class Lattice:
         chars[np.arange(chars.shape[1]) < length[:, None]] = flat
         return chars, length
 
+    def _find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The piece with each hash (-1: none), and whether a piece begins so."""
+        at = np.searchsorted(self.keys, h)
+        at[at == len(self.keys)] = 0
+        known = self.keys[at] == h
+        return np.where(known, self.ids[at], -1), known
+
     def arcs(self, chars: np.ndarray, length: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         """(start, stop, words, piece ids) by start: words[i] has the piece between the two."""
         for start in range(chars.shape[1]):
-            h = np.zeros(len(chars), np.uint64)
-            for stop in range(start + 1, min(start + LONGEST_PIECE, chars.shape[1]) + 1):
-                h = (h ^ chars[:, stop - 1]) * _MULTIPLIER
+            i = np.flatnonzero(length > start)
+            h = np.zeros(len(i), np.uint64)
+            stop = start
+            while len(i):
+                h = (h ^ chars[i, stop]) * _MULTIPLIER
                 h ^= h >> np.uint64(29)
-                at = np.searchsorted(self.keys, h)
-                at[at == len(self.keys)] = 0
-                hit = (self.keys[at] == h) & (length >= stop)
-                ids = self.order[at]
+                stop += 1
+                ids, known = self._find(h)
+                hit = ids >= 0
                 if stop == start + 1:
-                    ids = np.where(hit, ids, self.unknown)
-                    hit = length >= stop
-                i = np.flatnonzero(hit)
-                if len(i):
-                    yield start, stop, i, ids[i]
+                    ids, hit = np.where(hit, ids, self.unknown), np.ones(len(i), bool)
+                if hit.any():
+                    yield start, stop, i[hit], ids[hit]
+                on = known & (length[i] > stop)
+                i, h = i[on], h[on]
+
+    def positions(self, word: str) -> np.ndarray:
+        """Pieces by length - 1 and place of their end in the marked word; -1 where there is none."""
+        chars = self.matrix([word])[0][0]
+        out = np.full((self.longest, len(chars) + 1), -1)
+        h = np.zeros(len(chars), np.uint64)
+        for k in range(min(self.longest, len(chars))):
+            n = len(chars) - k
+            h = (h[:n] ^ chars[k:]) * _MULTIPLIER
+            h ^= h >> np.uint64(29)
+            out[k, k + 1 :] = self._find(h)[0]
+        first = out[0, 1:]
+        first[first < 0] = self.unknown
+        return out
+
+    def _forward(self, word: str, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pieces by position, and for each place and language the log of the sum over all ways there."""
+        ids, k = self.positions(word), self.longest
+        with np.errstate(divide="ignore"):
+            logs = np.log(np.vstack([p, np.zeros((1, p.shape[1]))]))
+        at = np.full((ids.shape[1] + k, p.shape[1]), -np.inf)  # k places before the start that nothing reaches
+        at[k] = 0
+        for stop in range(1, ids.shape[1]):
+            ways = at[stop : stop + k][::-1] + logs[ids[:, stop]]
+            top = ways.max(axis=0)
+            at[stop + k] = top + np.log(np.exp(ways - top).sum(axis=0))
+        return ids, at[k:]
 
     def log_probability(self, words: list[str], p: np.ndarray) -> np.ndarray:
         """Words by languages: the log of the sum over all segmentations of the product of p."""
-        chars, length = self.matrix(words)
-        n, width = chars.shape
-        alpha = np.zeros((width + 1, n, p.shape[1]))
-        alpha[0] = 1
-        scale = np.zeros((n, p.shape[1]))
-        done = -1
-        for start, stop, i, ids in self.arcs(chars, length):
-            if start != done and start % 8 == 0 and start:
-                top = alpha[start : start + LONGEST_PIECE + 1].max(axis=0)
-                top[top == 0] = 1
-                alpha[start : start + LONGEST_PIECE + 1] /= top
-                scale += np.where((length > start)[:, None], np.log(top), 0)
-                alpha[start : start + LONGEST_PIECE + 1, length <= start] *= top[length <= start]
-            done = start
-            alpha[stop, i] += alpha[start, i] * p[ids]
-        end = alpha[length, np.arange(n)]
-        return np.log(np.maximum(end, 1e-300)) + scale
+        out = np.zeros((len(words), p.shape[1]))
+        for some in _batches(words):
+            if len(words[some[0]]) > LONG_WORD:
+                out[some[0]] = self._forward(words[some[0]], p)[1][-1]
+                continue
+            chars, length = self.matrix([words[k] for k in some])
+            n, width = chars.shape
+            alpha = np.zeros((width + self.longest + 1, n, p.shape[1]))
+            alpha[0] = 1
+            scale = np.zeros((n, p.shape[1]))
+            done = -1
+            for start, stop, i, ids in self.arcs(chars, length):
+                if start != done and start % 8 == 0 and start:
+                    ahead = slice(start, start + self.longest + 1)
+                    top = alpha[ahead].max(axis=0)
+                    top[top == 0] = 1
+                    top[length <= start] = 1
+                    alpha[ahead] /= top
+                    scale += np.log(top)
+                done = start
+                alpha[stop, i] += alpha[start, i] * p[ids]
+            out[some] = np.log(np.maximum(alpha[length, np.arange(n)], 1e-300)) + scale
+        return out
 
     def expected(self, words: list[str], counts: np.ndarray, p: np.ndarray) -> np.ndarray:
         """Expected uses of each piece under p (one language), by the forward and backward sums."""
-        chars, length = self.matrix(words)
-        n, width = chars.shape
-        arcs = list(self.arcs(chars, length))
-        alpha, beta = np.zeros((width + 1, n)), np.zeros((width + 1, n))
-        alpha[0], beta[length, np.arange(n)] = 1, 1
-        for start, stop, i, ids in arcs:
-            alpha[stop, i] += alpha[start, i] * p[ids]
-        for start, stop, i, ids in reversed(arcs):
-            beta[start, i] += beta[stop, i] * p[ids]
-        out, total = np.zeros(len(p)), np.maximum(beta[0], 1e-300)
-        for start, stop, i, ids in arcs:
-            np.add.at(out, ids, counts[i] * alpha[start, i] * p[ids] * beta[stop, i] / total[i])
+        out = np.zeros(len(p))
+        for some in _batches(words):
+            if len(words[some[0]]) > LONG_WORD:
+                self._expected_long(words[some[0]], counts[some[0]], p, out)
+                continue
+            chars, length = self.matrix([words[k] for k in some])
+            n, width = chars.shape
+            arcs = list(self.arcs(chars, length))
+            alpha, beta = np.zeros((width + 1, n)), np.zeros((width + 1, n))
+            alpha[0], beta[length, np.arange(n)] = 1, 1
+            for start, stop, i, ids in arcs:
+                alpha[stop, i] += alpha[start, i] * p[ids]
+            for start, stop, i, ids in reversed(arcs):
+                beta[start, i] += beta[stop, i] * p[ids]
+            weight = counts[some] / np.maximum(beta[0], 1e-300)
+            for start, stop, i, ids in arcs:
+                out += np.bincount(ids, weight[i] * alpha[start, i] * p[ids] * beta[stop, i], len(p))
         return out
 
+    def _expected_long(self, word: str, count: float, p: np.ndarray, out: np.ndarray) -> None:
+        ids, ahead = self._forward(word, p[:, None])
+        ahead, n, k = ahead[:, 0], ids.shape[1] - 1, self.longest
+        with np.errstate(divide="ignore"):
+            logs = np.log(np.append(p, 0.0))
+        back = np.full(n + 1 + k, -np.inf)  # log of the sum over all ways from a place to the end
+        back[n] = 0
+        lengths = np.arange(1, k + 1)
+        for start in range(n - 1, -1, -1):
+            stop = np.minimum(start + lengths, n)
+            ways = np.where(start + lengths <= n, logs[ids[lengths - 1, stop]] + back[start + lengths], -np.inf)
+            top = ways.max()
+            back[start] = top + np.log(np.exp(ways - top).sum())
+        for j in range(min(k, n)):
+            stops = np.flatnonzero(ids[j] >= 0)
+            uses = np.exp(ahead[stops - j - 1] + logs[ids[j, stops]] + back[stops] - ahead[n])
+            out += count * np.bincount(ids[j, stops], uses, len(out))
+
+
+@lru_cache
+def lattice_of(vocabulary_path: str) -> Lattice:
+    """A worker's lattice over the vocabulary, built once."""
+    return Lattice(vocabulary(vocabulary_path))
+
+
+def _batches(words: list[str], cells: int = 40_000) -> Iterator[np.ndarray]:
+    """Places of the words, those of like length together: as many as fit a matrix of ``cells``, long words alone."""
+    size = np.array(list(map(len, words)))
+    order = np.argsort(size, kind="stable")
+    at = 0
+    while at < len(order):
+        stop = at + 1
+        if size[order[at]] <= LONG_WORD:
+            stop = min(at + 4_000, int(np.searchsorted(size[order], LONG_WORD, side="right")))
+            while stop > at + 1 and (size[order[stop - 1]] + 1) * (stop - at) > cells:
+                stop = at + max(1, (stop - at) // 2)
+        yield order[at:stop]
+        at = stop
+
 
 def train(docs: DataFrame, vocabulary_path: str, rows_per_language: int = 2_000, rounds: int = 4, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], np.ndarray]:
     """Languages and piece probabilities (pieces + 1 by languages).
@@ -124,8 +214,9 @@ def train(docs: DataFrame, vocabulary_path: str, rows_per_language: int = 2_000,
     out.
     """
     ship(docs.sparkSession)
+    # Counting reads the narrow language column alone; texts are read once to learn and once to predict.
+    sizes = {r["lang"]: r["n"] for r in docs.where(F.col(lang_col).isNotNull()).groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n")).collect()}
     rows = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.lit("lang"), F.col(id_col)).alias("h")).where("lang is not null and text is not null")
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
         return [], np.zeros((0, 0))
     share = F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(min(1.0, rows_per_language / n)))])
@@ -142,17 +233,12 @@ def train(docs: DataFrame, vocabulary_path: str, rows_per_language: int = 2_000,
 
     def expect(held):
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            lattice, p = Lattice(pieces), held.value
+            lattice, p = lattice_of(vocabulary_path), held.value
             out = np.zeros_like(p)
             for b in slices(batches, 8_192):
-                rows = b.to_pandas()
-                rows["word"] = rows["word"].str[:LONGEST_WORD]
-                rows["size"] = rows["word"].str.len()
-                for lang, part in rows.sort_values("size").groupby("lang", sort=False):
+                for lang, part in b.to_pandas().groupby("lang", sort=False):
                     k = langs.index(lang)
-                    for at in range(0, len(part), 2_000):
-                        some = part.iloc[at : at + 2_000]
-                        out[:, k] += lattice.expected(some["word"].tolist(), some["n"].to_numpy(float), p[:, k])
+                    out[:, k] += lattice.expected(part["word"].tolist(), part["n"].to_numpy(float), p[:, k])
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(out))), pa.array(list(out))], names=["piece", "uses"])
 
         return run
@@ -173,9 +259,9 @@ def train(docs: DataFrame, vocabulary_path: str, rows_per_language: int = 2_000,
 
 def _predictor(langs: list[str], table, vocabulary_path: str):
     """A function from texts to (language, score) that remembers words; one for each task."""
-    lattice, p = Lattice(vocabulary(vocabulary_path)), table
+    lattice, p = lattice_of(vocabulary_path), table
     known: dict[str, int] = {}
-    scores = np.zeros((REMEMBERED * 2, len(langs)))
+    scores = np.zeros((max(REMEMBERED, 2_000_000 // max(1, len(langs))), len(langs)))
 
     def predict(raw: list[str | None]) -> tuple[list[str], list[float]]:
         nonlocal known, scores
@@ -185,14 +271,10 @@ def _predictor(langs: list[str], table, vocabulary_path: str):
             known, new = {}, list({w for ws in texts for w in ws})
             if len(new) > len(scores):
                 scores = np.zeros((len(new), len(langs)))
-        for some in np.array_split(np.array(sorted(new, key=len), object), len(new) // 2_000 + 1) if new else []:
-            parts = [(i, w[k : k + LONGEST_WORD]) for i, w in enumerate(some) for k in range(0, len(w), LONGEST_WORD)]
+        if new:
             at = len(known)
-            known.update(zip(some, range(at, at + len(some)), strict=True))
-            scores[at : at + len(some)] = 0
-            for k in range(0, len(parts), 4_000):
-                which, cut = zip(*parts[k : k + 4_000], strict=True)
-                np.add.at(scores, np.array(which) + at, lattice.log_probability(list(cut), p))
+            known.update(zip(new, range(at, at + len(new)), strict=True))
+            scores[at : at + len(new)] = lattice.log_probability(new, p)
         preds, sure = [], []
         for ws in texts:
             if not ws:
@@ -244,7 +326,15 @@ def keep_identified(docs: DataFrame, langs: list[str], table: np.ndarray, vocabu
 
 
 def label(docs: DataFrame, vocabulary_path: str, fold: int = 5) -> DataFrame:
-    """doc_id, held_out, lang_pred, score. Rows whose crc32(id) mod ``fold`` is 0 are never learned from."""
+    """One row per input row: doc_id, held_out, lang_pred, score. Rows whose crc32(id) mod ``fold`` is 0 are never learned from.
+
+    Null, empty and blank texts and texts without a letter are ``und`` with score 0; so are all
+    texts if no row names a language to learn. Rows with a null id are neither learned from nor
+    held out. Repeated rows count and are labelled as often as they come; equal texts get equal
+    labels, and a tie goes to the first language by code point. Texts, words and pieces of any
+    length are summed over whole. Other columns are not read. An empty table gives an empty
+    result.
+    """
     mod = crc_mod("doc_id", fold)
     langs, table = train(docs.where(mod != 0), vocabulary_path)
     out = identify(docs, langs, table, vocabulary_path)

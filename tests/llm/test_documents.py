@@ -134,12 +134,33 @@ def test_line_rules_removes_frequent_lines(spark):
     got = {r["doc_id"]: r for r in line_quality.line_rules(docs, least_documents=20, share=0.01, max_repeat=1.0).collect()}
     assert all(got[i]["kept"] and got[i]["removed_words"] == 3 for i in range(30))
     assert all(got[100 + i]["removed_words"] == 60 and not got[100 + i]["kept"] for i in range(3))
-    assert all(got[200 + i]["kept"] and got[200 + i]["removed_words"] == 0 for i in range(40))  # copies are one document
+    assert all(not got[200 + i]["kept"] and got[200 + i]["removed_words"] == 62 for i in range(40))  # copies are documents
+    once = {r["doc_id"]: r for r in line_quality.line_rules(docs, copies_count_once=True, max_repeat=1.0).collect()}
+    assert all(once[200 + i]["kept"] and once[200 + i]["removed_words"] == 0 for i in range(40)) and once[0]["removed_words"] == 3
     assert got[300]["removed_words"] == 0
     clean = {r["doc_id"]: r["text"] for r in line_quality.remove_lines(docs).collect()}
     assert clean[0] == own(0) and clean[300].startswith("cookie") and clean[101] == "only1"
 
 
+def test_line_rules_verdicts(spark):
+    """kept of every row of a whole table by brute force, at the query's limit and at one by which lines decide some rows."""
+    sf = "/root/testdata/sf0.1"
+    docs = docs_of(spark, sf)
+    normal = lambda x: " ".join(re.sub("[A-Z]", lambda m: m[0].lower(), " ".join(WORDS.findall(x))).split(" "))
+    lines = [Counter(normal(x) for x in (t or "").split("\n") if WORDS.search(x)) for t in docs.text]
+    seen = Counter((h, x) for h, ls in zip(docs.source, lines, strict=True) for x in ls)
+    base = [brute_line_base(t) for t in docs.text]
+    for limit, rows in ((20, queries.op6_line_frequency_rules(spark, sf)), (3, line_quality.line_rules(spark.read.parquet(f"{sf}/documents.parquet"), least_documents=3))):
+        want = {}
+        for i, (n, _, _, _, repeated), h, ls in zip(docs.doc_id, base, docs.source, lines, strict=True):
+            gone = sum(k * len(x.split(" ")) for x, k in ls.items() if seen[h, x] > limit)
+            failed = n < 50 or 100 * repeated > 50 * n
+            want[i] = (gone, failed, not failed and n - gone >= n * 0.5)
+        assert {r["doc_id"]: (r["removed_words"], r["base_failed"], r["kept"]) for r in rows.collect()} == want
+        assert any(gone for gone, _, _ in want.values())
+    assert sum(not f and not k for _, f, k in want.values()) > 5
+
+
 def test_line_rules_limit_does_not_grow_with_the_host(spark):
     """A line in 30 documents goes from a host of 6,000 (0.5%) as from one of 30; one in 20 stays in both."""
     text = lambda i, often, rare: "\n".join([*["share this page"] * often, *["rarer line"] * rare, " ".join(f"w{i}x{k}" for k in range(60))])
@@ -249,6 +270,25 @@ def test_forward_sums_every_segmentation():
         prob[x] /= 1 + eps
 
 
+def test_long_words_are_summed_whole(monkeypatch):
+    """Word by word and many at a time give the same sums, and no piece or word is cut."""
+    rng = np.random.default_rng(4)
+    pieces = ["▁", "▁a", "a", "ab", "b", "ba", "abbabbaabbab", "▁abab"]
+    p = rng.dirichlet(np.ones(len(pieces) + 1), 3).T
+    ws = ["".join(rng.choice(list("abx"), n, p=[0.5, 0.45, 0.05])) for n in (1, 3, 20, 63, 64, 65, 200, 900)] + ["abbabbaabbab" * 9]
+    lattice = language_id.Lattice(pieces)
+    n = np.arange(1.0, len(ws) + 1)
+    many, one = [], []
+    for limit, out in ((2_000, many), (0, one)):
+        monkeypatch.setattr(language_id, "LONG_WORD", limit)
+        out += [lattice.log_probability(ws, p), lattice.expected(ws[:7], n[:7], p[:, 1])]
+    assert all(np.allclose(a, b) for a, b in zip(many, one, strict=True))
+    cut = language_id.Lattice([x for x in pieces if len(x) <= 10])
+    assert (cut.log_probability(ws[-1:], np.delete(p, 6, axis=0)) < many[0][-1:] - 1).all()
+    assert any(len(x) > 10 for x in language_id.vocabulary(path("piece_bpe_32k.model")))
+    assert np.isfinite(lattice.log_probability(["ab" * 20_000], p)).all()
+
+
 def test_language_accuracy(spark):
     sf = "/root/testdata/sf0.01"
     got = queries.op8_language_id(spark, sf).join(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang", F.length("text").alias("n")), "doc_id").toPandas()
@@ -282,6 +322,35 @@ def test_quality(spark):
     assert got.score.between(0, 1).all() and (held.predicted == held.quality).mean() > 0.9
 
 
+def test_quality_weights_equal_a_plain_learner(spark, sf):
+    """The distributed features and the learner against FTRL written out feature by feature."""
+    from matchforge.llm.common import WordHashes
+
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    alpha, beta, l1, l2 = 0.5, 1.0, 0.02, 0.3
+    got, bias = quality_classifier.train(docs, labels.union(labels.limit(5)), epochs=2, alpha=alpha, beta=beta, l1=l1, l2=l2)
+    rows = docs.join(labels, "doc_id").select("doc_id", "text", "quality", F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 30)).alias("at")).orderBy("at", "quality").collect()
+    z, n, hashes = Counter(), Counter(), WordHashes()
+
+    def weight(k):
+        if abs(z[k]) <= l1:
+            return 0.0
+        return -(z[k] - (1 if z[k] > 0 else -1) * l1) / ((beta + n[k] ** 0.5) / alpha + l2)
+
+    for _ in range(2):
+        for r in rows:
+            x = {int(b): 1.0 for b in quality_classifier.features((r["text"] or "").encode(), hashes)}
+            x = {b: len(x) ** -0.5 for b in x} | {-1: 1.0}
+            w = {k: weight(k) for k in x}
+            p = 1 / (1 + np.exp(-sum(w[k] * x[k] for k in x)))
+            for k in x:
+                g = (p - r["quality"]) * x[k]
+                z[k] += g - ((n[k] + g * g) ** 0.5 - n[k] ** 0.5) / alpha * w[k]
+                n[k] += g * g
+    assert abs(bias - weight(-1)) < 1e-9 and len(rows) > 50
+    assert np.allclose([got[k] for k in z if k >= 0], [weight(k) for k in z if k >= 0])
+
+
 def test_quality_odd(spark, odd_documents, no_documents):
     labels = spark.createDataFrame([(1, 1), (5, 0), (None, 1), (6, None), (99, 1)], "doc_id long, quality int")
     got = quality_classifier.classify(odd_documents, labels).collect()
