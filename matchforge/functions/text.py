@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Letters with marks and what they are without.
-MARKED = "áàâäãåçéèêëíìîïñóòôöõúùûüýÿÁÀÂÄÃÅÇÉÈÊËÍÌÎÏÑÓÒÔÖÕÚÙÛÜÝ"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY"
+#: Letters that Unicode decomposes into one letter and marks, what they are without, and the marks themselves.
+_SPLIT = {c: unicodedata.normalize("NFD", c) for c in map(chr, [*range(0xC0, 0x250), *range(0x370, 0x530), *range(0x1E00, 0x2000)])}
+MARKS = "".join(map(chr, range(0x300, 0x370)))
+MARKED = "".join(c for c, d in _SPLIT.items() if len(d) > 1 and all(map(unicodedata.combining, d[1:])))
+PLAIN = "".join(_SPLIT[c][0] for c in MARKED)
 
 
 def unmarked(x: Column) -> Column:
-    return F.translate(x, MARKED, PLAIN)
+    """Letters without their marks, composed or not."""
+    return F.translate(x, MARKED + MARKS, PLAIN)
 
 
 def alias_of(name: Column, aliases: dict[str, str]) -> Column:

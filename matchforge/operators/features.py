@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 import math
+import tempfile
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scoring
 
+ELO_COLUMNS = ["home_elo", "away_elo", "home_elo_after", "away_elo_after"]
+
 
 def _before(n: int, *keys: str) -> Window:
     return Window.partitionBy(*keys).orderBy("day", "match_id").rowsBetween(-n, -1)
@@ -69,30 +73,70 @@ def standings(team_rows: DataFrame) -> DataFrame:
 def standings_as_of(team_rows: DataFrame) -> DataFrame:
     """match_id, team, rank in league and season before the match; null for a team not yet seen.
 
-    Each team's running totals are intervals between its matches. A match meets the one
-    interval of each team of its league and season that holds its place in time, so rows are
-    matches times teams, never matches times matches. Ties keep the order of first match.
+    The matches of a league and season are numbered. A team's running totals hold from the
+    match after one of its own to its next, and are repeated for exactly these numbers; so
+    the rows are matches times teams, and no pair is tried in vain. Ties keep the order of
+    first match.
     """
     points = F.when(F.col("outcome") == "W", 3).when(F.col("outcome") == "D", 1).otherwise(0)
     key = ["league", "season"]
-    x = team_rows.withColumn("season", season(F.col("day"))).withColumn("at", F.struct("day", "match_id"))
-    own = Window.partitionBy(*key, "team").orderBy("at")
+    together = Window.partitionBy(*key)
+    x = team_rows.withColumn("season", season(F.col("day"))).withColumn("k", F.dense_rank().over(together.orderBy("day", "match_id"))).withColumn("last", F.max("k").over(together))
+    own = Window.partitionBy(*key, "team").orderBy("k")
     upto = own.rowsBetween(Window.unboundedPreceding, 0)
-    table = x.select(*key, F.col("team").alias("t"), F.col("at").alias("since"), F.lead("at").over(own).alias("until"), F.sum(points).over(upto).alias("p"), F.sum(F.col("gf") - F.col("ga")).over(upto).alias("gd"), F.sum("gf").over(upto).alias("g"), F.first("at").over(upto).alias("seen"))
-    wanted = x.groupBy(*key, "match_id", "at").agg(F.collect_list("team").alias("teams"))
-    met = wanted.join(table, key).where((F.col("since") < F.col("at")) & (F.col("until").isNull() | (F.col("until") >= F.col("at"))))
-    order = Window.partitionBy("match_id").orderBy(F.desc("p"), F.desc("gd"), F.desc("g"), "seen", "t")
-    ranked = met.withColumn("rank", F.row_number().over(order)).where(F.array_contains("teams", F.col("t"))).select("match_id", F.col("t").alias("team"), "rank")
-    return team_rows.select("match_id", "team").join(ranked, ["match_id", "team"], "left")
+    table = x.select(*key, "team", (F.col("k") + 1).alias("since"), F.coalesce(F.lead("k").over(own), "last").alias("until"), F.sum(points).over(upto).alias("p"), F.sum(F.col("gf") - F.col("ga")).over(upto).alias("gd"), F.sum("gf").over(upto).alias("g"), F.first("k").over(upto).alias("seen"))
+    held = table.where("since <= until").select("*", F.explode(F.sequence("since", "until")).alias("k"))
+    order = Window.partitionBy(*key, "k").orderBy(F.desc("p"), F.desc("gd"), F.desc("g"), "seen", "team")
+    ranked = held.select(*key, "k", "team", F.row_number().over(order).alias("rank"))
+    return x.join(ranked, [*key, "k", "team"], "left").select("match_id", "team", "rank")
+
+
+def rolling_known(team_rows: DataFrame, stats: list[str], last_n: int = 10) -> DataFrame:
+    """match_id, team, avg_<stat> of each statistic over the team's last ``last_n`` matches in which it is known.
+
+    All statistics go through the same two windows: the mean over known values ends at each of
+    them, and a match takes the last mean before it.
+    """
+    long = team_rows.select("match_id", "team", "day", F.explode(F.array(*(F.struct(F.lit(c).alias("stat"), F.col(c).cast("double").alias("value")) for c in stats))).alias("s")).select("match_id", "team", "day", "s.*")
+    keys = ["team", "stat"]
+    known = Window.partitionBy(*keys, F.col("value").isNull()).orderBy("day", "match_id").rowsBetween(1 - last_n, 0)
+    before = Window.partitionBy(*keys).orderBy("day", "match_id").rowsBetween(Window.unboundedPreceding, -1)
+    x = long.repartition(*keys).withColumn("mean", F.when(F.col("value").isNotNull(), F.avg("value").over(known)))
+    x = x.withColumn("mean", F.last("mean", ignorenulls=True).over(before))
+    return x.groupBy("match_id", "team").agg(*(F.max(F.when(F.col("stat") == c, F.col("mean"))).alias(f"avg_{c}") for c in stats))
+
+
+def team_groups(matches: DataFrame) -> DataFrame:
+    """(team, root): teams that matches connect, however indirectly, have one root.
+
+    Runs on the distinct pairs of teams. Each round a team takes the least root among its
+    opponents and then that root's root; rounds are checkpointed and end when none changes.
+    """
+    context = matches.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(tempfile.gettempdir() + "/checkpoints")
+    pairs = matches.select(F.explode(F.array(F.struct(F.col("home").alias("team"), F.col("away").alias("other")), F.struct(F.col("away").alias("team"), F.col("home").alias("other")))).alias("x")).select("x.*").distinct().checkpoint()
+    now = pairs.groupBy("team").agg(F.least("team", F.min("other")).alias("root")).checkpoint()
+    while True:
+        root = now.select(F.col("team").alias("other"), F.col("root").alias("seen"))
+        least = pairs.join(root, "other").groupBy("team").agg(F.min("seen").alias("seen"))
+        step = now.join(least, "team").select("team", "root", F.least("root", "seen").alias("next"))
+        jump = step.join(root.select(F.col("other").alias("at"), "seen"), F.col("next") == F.col("at"), "left")
+        after = jump.select("team", F.least("next", F.coalesce("seen", "next")).alias("root"), (F.least("next", F.coalesce("seen", "next")) != F.col("root")).alias("moved")).checkpoint()
+        now = after.select("team", "root")
+        if not after.where("moved").take(1):
+            return now
 
 
 def elo(matches: DataFrame, start: float = 1500.0, home_bonus: float = 50.0) -> DataFrame:
-    """match_id, league, home_elo, away_elo before each match, replayed apart for each league.
+    """match_id, league, home_elo, away_elo before each match and home_elo_after, away_elo_after; rounded when read, never in the state.
 
-    Both ratings after a match depend on both before it, so a league is one ordered replay;
-    leagues run side by side. Spark sorts a league's matches, on disk if need be, and they
-    stream by in batches: a task holds one batch and its league's teams, whatever the number
-    of matches.
+    Both ratings after a match depend on both before it, over all leagues, so the teams that
+    matches connect are one ordered replay; groups of teams that never meet run side by side.
+    Spark sorts a group's matches, on disk if need be, and they stream by in batches: a task
+    holds one batch and its group's teams, whatever the number of matches.
     """
 
     def replay(parts: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -101,31 +145,48 @@ def elo(matches: DataFrame, start: float = 1500.0, home_bonus: float = 50.0) ->
         current = object()
         for part in parts:
             out = []
-            for league, h, a, hg, ag in part[["league", "home", "away", "home_goals", "away_goals"]].itertuples(index=False):
-                if league != current:
-                    current = league
+            for group, h, a, hg, ag in part[["root", "home", "away", "home_goals", "away_goals"]].itertuples(index=False):
+                if group != current:
+                    current = group
                     rating.clear()
                     played.clear()
                 rh, ra = rating.get(h, start), rating.get(a, start)
-                out.append((rh, ra))
                 lead = rh + home_bonus - ra
-                expected = 1 / (1 + 10 ** (-lead / 400))
-                score, gap = (hg > ag) + 0.5 * (hg == ag), abs(hg - ag)
-                won = lead if hg > ag else -lead
-                margin = _margin(gap, won)
-                for team, sign in ((h, 1), (a, -1)):
-                    k = 40 if played.get(team, 0) < 10 else 32
-                    before = rh if team == h else ra
-                    rating[team] = float(round(before + sign * k * margin * (score - expected)))
-                    played[team] = played.get(team, 0) + 1
+                moved = _margin(abs(hg - ag), lead if hg > ag else -lead) * ((hg > ag) + 0.5 * (hg == ag) - 1 / (1 + 10 ** (-lead / 400)))
+                # The home side moves first, as it matters for a team that meets itself.
+                rating[h] = rh + (40 if played.get(h, 0) < 10 else 32) * moved
+                rating[a] = rating.get(a, start) - (40 if played.get(a, 0) < 10 else 32) * moved
+                played[h] = played.get(h, 0) + 1
+                played[a] = played.get(a, 0) + 1
+                out.append((rh, ra, rating[h], rating[a]))
             if out:
-                part["home_elo"], part["away_elo"] = zip(*out, strict=True)
-                yield part[["match_id", "league", "home_elo", "away_elo"]]
+                for c, x in zip(ELO_COLUMNS, zip(*out, strict=True), strict=True):
+                    part[c] = np.rint(x)
+                yield part[["match_id", "league", *ELO_COLUMNS]]
 
     rows = matches.select("match_id", "day", "league", "home", "away", "home_goals", "away_goals")
-    return rows.repartition("league").sortWithinPartitions("league", "day", "match_id").mapInPandas(replay, "match_id long, league string, home_elo double, away_elo double")
+    rows = rows.join(team_groups(matches).withColumnRenamed("team", "home"), "home")
+    return rows.repartition("root").sortWithinPartitions("root", "day", "match_id").mapInPandas(replay, "match_id long, league string, " + ", ".join(f"{c} double" for c in ELO_COLUMNS))
+
+
+def latest_elo(matches: DataFrame, ratings: DataFrame, lookback: int = 5) -> DataFrame:
+    """team, elo: the last known rating after a match among the team's last ``lookback`` matches."""
+    x = matches.join(ratings.drop("league"), "match_id")
+    sides = x.select("match_id", "day", F.explode(F.array(*(F.struct(F.col(s).alias("team"), F.col(f"{s}_elo_after").alias("elo")) for s in ("home", "away")))).alias("x")).select("match_id", "day", "x.*")
+    at = F.struct("day", "match_id")
+    recent = sides.withColumn("place", F.row_number().over(Window.partitionBy("team").orderBy(F.desc("day"), F.desc("match_id")))).where(F.col("place") <= lookback)
+    return recent.groupBy("team").agg(F.max_by(F.col("elo"), F.when(F.col("elo").isNotNull(), at)).alias("elo"))
+
+
+def recent(team_rows: DataFrame, keys: list[str], last_n: int, days: int | None = None) -> DataFrame:
+    """Each key's last ``last_n`` rows, of the ``days`` before the table's last day only if given, with their place (1 is the latest)."""
+    if days is not None:
+        last = team_rows.agg(F.max("day").alias("today"))  # one row
+        team_rows = team_rows.join(F.broadcast(last)).where(F.col("day") >= F.date_sub("today", days)).drop("today")
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("day"), F.desc("match_id")))
+    return team_rows.withColumn("place", place).where(F.col("place") <= last_n)
 
 
 def _margin(gap: int, lead_of_winner: float) -> float:
     """How much a win by ``gap`` counts; less if the favourite won. A draw counts 1."""
-    return math.log(gap + 1) * 4.4 / (0.0005 * lead_of_winner + 4.4) if gap else 1.0
+    return math.log(gap + 1) * (4.4 / (0.0005 * lead_of_winner + 4.4)) if gap else 1.0

@@ -14,6 +14,25 @@ def team_rating(avg_for: Column, avg_against: Column, cap: float = 2.5) -> tuple
     return F.round(F.coalesce(attack, F.lit(1.0)), 4), F.round(F.coalesce(F.least(avg_against, F.lit(cap)), F.lit(1.0)), 4)
 
 
+# Weights of goals, shots on target and possession, caps of attack and defence, the share of the ELO.
+WEIGHTS, CAPS, ELO_SHARE = (0.45, 0.30, 0.25), (3.5, 2.5), 0.35
+
+
+def full_rating(avg_for: Column, avg_against: Column, on_target: Column, elo: Column, possession: float = 50.0, baseline: float = 1.25) -> tuple[Column, Column]:
+    """Attack and defence from goals, shots on target, possession and the ELO before the match, 4 places.
+
+    Unknown shots are taken as 0.45 of the goals. A team without matches is rated by its ELO alone.
+    """
+    goals = F.least(avg_for / 2.0, F.lit(1.0)) * 1.5
+    shots = F.least(F.coalesce(on_target, avg_for * 0.45) / 6.0, F.lit(1.0)) * 1.5
+    held = max(0.0, min((possession - 30.0) / 40.0 * 0.5, 0.5))
+    attack = F.least(goals * WEIGHTS[0] + shots * WEIGHTS[1] + held * WEIGHTS[2] + avg_for * 0.2, F.lit(CAPS[0]))
+    mixed = lambda own, by_elo, cap: F.least(F.round((1 - ELO_SHARE) * own + ELO_SHARE * by_elo, 4), F.lit(cap))
+    off, deff = scoring.offensive_multiplier(elo), scoring.defensive_multiplier(elo)
+    seen = avg_for.isNotNull()
+    return F.when(seen, mixed(attack, off, CAPS[0])).otherwise(F.round(off * baseline, 4)), F.when(seen, mixed(F.least(avg_against, F.lit(CAPS[1])), deff, CAPS[1])).otherwise(F.round(deff, 4))
+
+
 def predictions(matches: DataFrame, form: DataFrame, h2h: DataFrame) -> DataFrame:
     """match_id, league, result, home_xg, away_xg, p_home, p_draw, p_away."""
     def side(name: str) -> DataFrame:
@@ -26,16 +45,16 @@ def predictions(matches: DataFrame, form: DataFrame, h2h: DataFrame) -> DataFram
     m, n = F.col("modifier"), F.col("meetings")
     x = x.withColumn("home_xg", scoring.expected_goals(F.col("home_att"), F.col("away_def"), F.col("home_form"), 1.12, m, n, 1))
     x = x.withColumn("away_xg", scoring.expected_goals(F.col("away_att"), F.col("home_def"), F.col("away_form"), 0.92, m, n, -1))
-    h, d, a = scoring.poisson_1x2(F.col("home_xg"), F.col("away_xg"))
-    return x.select("match_id", "league", "day", "result", "home_xg", "away_xg", h.alias("p_home"), d.alias("p_draw"), a.alias("p_away"))
+    x = x.withColumn("grid", scoring.poisson_grid(F.col("home_xg"), F.col("away_xg")))
+    return x.select("match_id", "league", "day", "result", "home_xg", "away_xg", *(F.col(f"grid.{k}").alias(f"p_{k}") for k in ("home", "draw", "away")))
 
 
 def value_bets(predicted: DataFrame, closing: DataFrame, least_edge: float = 5.0) -> DataFrame:
-    """match_id, selection, price, p, fair_p, edge, rating, stake of bets whose edge over the market is enough."""
+    """match_id, bookmaker, selection, price, p, fair_p, edge, rating, stake of bets whose edge over a bookmaker's closing prices is enough."""
     x = predicted.join(closing, "match_id")
     total = sum((scoring.implied(F.col(f"{k}_price")) for k in ("draw", "away")), scoring.implied(F.col("home_price")))
     each = F.explode(F.array(*(F.struct(F.lit(s).alias("selection"), F.col(f"{k}_price").alias("price"), F.col(f"p_{k}").alias("p"), scoring.fair(scoring.implied(F.col(f"{k}_price")), total).alias("fair_p")) for s, k in (("H", "home"), ("D", "draw"), ("A", "away")))))
-    x = x.select("match_id", "result", each.alias("x")).select("match_id", "result", "x.*").withColumn("edge", scoring.edge(F.col("p"), F.col("fair_p")))
+    x = x.select("match_id", "bookmaker", "result", each.alias("x")).select("match_id", "bookmaker", "result", "x.*").withColumn("edge", scoring.edge(F.col("p"), F.col("fair_p")))
     x = x.where((F.col("edge") >= least_edge) & (F.col("price") > 1))
     return x.withColumn("rating", scoring.band(F.col("edge"))).withColumn("stake", scoring.kelly(F.col("p"), F.col("price")))
 

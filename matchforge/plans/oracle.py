@@ -54,8 +54,8 @@ oc AS (SELECT match_id, bookmaker, count(*) AS n_quotes, max(CASE WHEN a = 1 THE
          max(CASE WHEN z = 1 THEN home_price END) AS close_home_price, max(CASE WHEN z = 1 THEN draw_price END) AS close_draw_price, max(CASE WHEN z = 1 THEN away_price END) AS close_away_price FROM qn GROUP BY match_id, bookmaker)
 """
 BETS = """
-b0 AS (SELECT p.match_id, p.result, p_home, p_draw, p_away, close_home_price AS hp, close_draw_price AS dp, close_away_price AS ap, 1 / close_home_price + 1 / close_draw_price + 1 / close_away_price AS total FROM p JOIN oc USING (match_id) WHERE bookmaker = 'N'),
-b1 AS (SELECT match_id, result, 'H' AS selection, hp AS price, p_home AS pr, 1 / hp / total AS fair FROM b0 UNION ALL SELECT match_id, result, 'D', dp, p_draw, 1 / dp / total FROM b0 UNION ALL SELECT match_id, result, 'A', ap, p_away, 1 / ap / total FROM b0),
+b0 AS (SELECT p.match_id, p.result, p_home, p_draw, p_away, close_home_price AS hp, close_draw_price AS dp, close_away_price AS ap, 1 / close_home_price + 1 / close_draw_price + 1 / close_away_price AS total, bookmaker FROM p JOIN oc USING (match_id)),
+b1 AS (SELECT match_id, bookmaker, result, 'H' AS selection, hp AS price, p_home AS pr, 1 / hp / total AS fair FROM b0 UNION ALL SELECT match_id, bookmaker, result, 'D', dp, p_draw, 1 / dp / total FROM b0 UNION ALL SELECT match_id, bookmaker, result, 'A', ap, p_away, 1 / ap / total FROM b0),
 b2 AS (SELECT *, round((pr - fair) / fair * 100, 2) AS edge FROM b1),
 bets AS (SELECT *, CASE WHEN edge >= 25 THEN 'elite' WHEN edge >= 15 THEN 'high' WHEN edge >= 8 THEN 'medium' ELSE 'low' END AS rating,
            CASE WHEN pr > 0 THEN round(10.0::DOUBLE * greatest(((price - 1) * pr - (1 - pr)) / (price - 1), 0.0::DOUBLE) * 0.25::DOUBLE, 2) ELSE 0.0::DOUBLE END AS stake FROM b2 WHERE edge >= 5)
@@ -66,6 +66,18 @@ c AS (SELECT event_id, event_type AS provider, ts AS called_at, event_id % 9 <>
 cw AS (SELECT provider, hours, count(*) AS calls, CAST(sum(CASE WHEN success THEN 0 ELSE 1 END) AS BIGINT) AS errors, avg(CASE WHEN success THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS success_rate, avg(latency_ms) AS latency_ms
        FROM (SELECT *, (SELECT max(called_at) FROM c) AS e FROM c), (VALUES (24), (168)) AS w(hours) WHERE epoch(e) - epoch(called_at) < hours * 3600 GROUP BY provider, hours)
 """
+ELO = """
+em AS (SELECT match_id, row_number() OVER (ORDER BY day, match_id) AS k, home, away, home_goals AS hg, away_goals AS ag FROM m),
+tn AS (SELECT team, row_number() OVER (ORDER BY team) AS i FROM (SELECT home AS team FROM m UNION SELECT away FROM m)),
+e AS (SELECT k, match_id, h.i AS h, a.i AS a, hg, ag FROM em JOIN tn h ON h.team = home JOIN tn a ON a.team = away),
+z AS (SELECT 0::BIGINT AS k, NULL::BIGINT AS match_id, 0.0::DOUBLE AS hb, 0.0::DOUBLE AS ab, 0.0::DOUBLE AS ha, 0.0::DOUBLE AS aa, list_transform(range(1, (SELECT count(*) FROM tn) + 1), lambda x: 1500.0::DOUBLE) AS r, list_transform(range(1, (SELECT count(*) FROM tn) + 1), lambda x: 0) AS c
+  UNION ALL
+  SELECT k, match_id, hb, ab, hn, an, list_transform(r, lambda x, i: CASE i WHEN h THEN hn WHEN a THEN an ELSE x END), list_transform(c, lambda x, i: CASE WHEN i = h OR i = a THEN x + 1 ELSE x END)
+  FROM (SELECT *, hb + CASE WHEN c[h] < 10 THEN 40 ELSE 32 END * mult * (s - ex) AS hn, ab - CASE WHEN c[a] < 10 THEN 40 ELSE 32 END * mult * (s - ex) AS an
+    FROM (SELECT *, 1 / (1 + pow(10.0::DOUBLE, -(hb + 50.0::DOUBLE - ab) / 400)) AS ex, CASE WHEN hg > ag THEN 1.0::DOUBLE WHEN hg < ag THEN 0.0::DOUBLE ELSE 0.5::DOUBLE END AS s,
+            CASE WHEN hg = ag THEN 1.0::DOUBLE ELSE ln(abs(hg - ag) + 1) * (4.4::DOUBLE / (0.0005::DOUBLE * CASE WHEN hg > ag THEN hb + 50.0::DOUBLE - ab ELSE ab - 50.0::DOUBLE - hb END + 4.4::DOUBLE)) END AS mult
+      FROM (SELECT e.k, e.match_id, e.h, e.a, e.hg, e.ag, z.r, z.c, z.r[e.h] AS hb, z.r[e.a] AS ab FROM z JOIN e ON e.k = z.k + 1))))
+"""
 RES = "CASE result WHEN 'H' THEN p_home WHEN 'D' THEN p_draw ELSE p_away END"
 
 
@@ -98,6 +110,8 @@ def oracle_sql() -> dict[str, str]:
             st AS (SELECT pairs.match_id, pairs.team, run.p, run.gd, run.g, run.seen FROM pairs ASOF JOIN run ON run.league = pairs.league AND run.season = pairs.season AND run.team = pairs.team AND run.k < pairs.k),
             ra AS (SELECT match_id, team, row_number() OVER (PARTITION BY match_id ORDER BY p DESC, gd DESC, g DESC, seen, team) AS rank FROM st)
             SELECT t.match_id, t.team, ra.rank FROM t LEFT JOIN ra USING (match_id, team)""",
+        "elo_replay": _with(MATCHES, ELO).replace("WITH", "WITH RECURSIVE", 1) + "SELECT match_id, league, round(hb) AS home_elo, round(ab) AS away_elo, round(ha) AS home_elo_after, round(aa) AS away_elo_after FROM z JOIN m USING (match_id)",
+        "latest_elo": _with(MATCHES, ELO).replace("WITH", "WITH RECURSIVE", 1) + ", s AS (SELECT home AS team, k, ha AS elo FROM z JOIN m USING (match_id) UNION ALL SELECT away, k, aa FROM z JOIN m USING (match_id)) SELECT team, round(max_by(elo, k)) AS elo FROM s GROUP BY team",
         "predictions": pred + "SELECT match_id, league, day, result, round(home_xg, 6) AS home_xg, round(away_xg, 6) AS away_xg, round(p_home, 6) AS p_home, round(p_draw, 6) AS p_draw, round(p_away, 6) AS p_away FROM p",
         "calibration": pred + """, e AS (SELECT 'H' AS class, p_home AS pr, (result = 'H')::INT::DOUBLE AS hit FROM p UNION ALL SELECT 'D', p_draw, (result = 'D')::INT::DOUBLE FROM p UNION ALL SELECT 'A', p_away, (result = 'A')::INT::DOUBLE FROM p),
             bn AS (SELECT class, least(greatest(CAST(floor(pr * 10) AS BIGINT), 0), 9) AS bin, count(*) AS n, avg(pr) AS mean_p, avg(hit) AS rate FROM e GROUP BY 1, 2)
@@ -108,28 +122,29 @@ def oracle_sql() -> dict[str, str]:
             SELECT match_id, round(a / (a + b + c), 4) AS b_home, round(b / (a + b + c), 4) AS b_draw, round(c / (a + b + c), 4) AS b_away FROM v""",
         "open_and_close": _with(QUOTES) + "SELECT match_id, bookmaker, n_quotes, " + ", ".join(f"round({k}_{s}_price, 6) AS {k}_{s}_price" for k in ("open", "close") for s in ("home", "draw", "away")) + " FROM oc",
         "best_prices": _with(QUOTES) + "SELECT match_id, round(max(home_price), 6) AS home_price, round(max(draw_price), 6) AS draw_price, round(max(away_price), 6) AS away_price, first(bookmaker ORDER BY home_price DESC, bookmaker) AS bookmaker FROM qv GROUP BY match_id",
-        "value_bets": _with(MATCHES, FORM, H2H, PREDICTED, QUOTES, BETS) + "SELECT match_id, selection, round(price, 4) AS price, edge, rating, stake FROM bets",
+        "value_bets": _with(MATCHES, FORM, H2H, PREDICTED, QUOTES, BETS) + "SELECT match_id, bookmaker, selection, round(price, 4) AS price, edge, rating, stake FROM bets",
         "portfolio": _with(MATCHES, FORM, H2H, PREDICTED, QUOTES, BETS) + """, s AS (SELECT selection, count(*) AS bets, CAST(sum((selection = result)::INT) AS BIGINT) AS won, sum(stake) AS staked, sum(CASE WHEN selection = result THEN stake * (price - 1) ELSE -stake END) AS profit FROM bets GROUP BY selection)
             SELECT selection, bets, won, round(staked, 4) AS staked, round(profit, 4) AS profit, round(profit / staked * 100, 4) AS roi FROM s""",
         "source_rank": """SELECT l_orderkey, value, l_returnflag FROM (SELECT l_orderkey, l_quantity AS value, l_returnflag, row_number() OVER (PARTITION BY l_orderkey ORDER BY CASE l_returnflag WHEN 'R' THEN 1 WHEN 'A' THEN 2 WHEN 'N' THEN 3 ELSE 99 END, l_shipdate, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS k
             FROM lineitem WHERE l_partkey % 4 <> 0) WHERE k = 1""",
         "fill_missing_shots": base + "SELECT match_id, coalesce(home_shots, home_goals + 5) AS home_shots, coalesce(away_shots, CASE WHEN match_id % 2 = 0 THEN away_goals + 3 END) AS away_shots FROM m",
         "natural_key_dedupe": base + "SELECT home, away, league, day, match_id, home_goals, away_goals FROM (SELECT *, row_number() OVER (PARTITION BY home, away, league, day ORDER BY match_id) AS k FROM m) WHERE k = 1",
-        "equivalence_diff": base + """, st AS (SELECT CASE WHEN match_id % 11 = 0 THEN -match_id ELSE match_id END AS match_id, league, CASE WHEN match_id % 7 = 0 THEN home_goals + 1 ELSE home_goals END AS home_goals, CASE WHEN match_id % 5 = 0 THEN NULL ELSE away_shots END AS away_shots FROM m WHERE match_id % 10 <> 3),
+        "equivalence_diff": base + """, st AS (SELECT CASE WHEN match_id % 11 = 0 THEN -match_id ELSE match_id END AS match_id, league, CASE WHEN match_id % 7 = 0 THEN home_goals + 1 ELSE home_goals END AS home_goals, CASE WHEN match_id % 5 = 0 THEN NULL ELSE away_shots END AS away_shots FROM m),
             j AS (SELECT a.match_id AS ia, b.match_id AS ib, a.league <> b.league AS d1, a.home_goals <> b.home_goals AS d2, a.away_shots IS DISTINCT FROM b.away_shots AS d3 FROM m a FULL JOIN st b ON a.match_id = b.match_id),
             s AS (SELECT *, CASE WHEN ia IS NULL THEN 'only_stored' WHEN ib IS NULL THEN 'only_live' ELSE 'matched' END AS status FROM j)
             SELECT status, '*' AS field, count(*) AS n FROM s GROUP BY status UNION ALL SELECT status, 'home_goals', count(*) FROM s WHERE status = 'matched' AND d2 GROUP BY status
             UNION ALL SELECT status, 'league', count(*) FROM s WHERE status = 'matched' AND d1 GROUP BY status UNION ALL SELECT status, 'away_shots', count(*) FROM s WHERE status = 'matched' AND d3 GROUP BY status""",
-        "audited_backfill": base + """, r AS (SELECT day, home, away, CASE WHEN match_id % 13 = 0 THEN home_goals + 1 ELSE home_goals END AS g FROM m WHERE match_id % 4 <> 3), l AS (SELECT * FROM m WHERE match_id % 3 <> 1),
-            j AS (SELECT l.match_id, count(r.g) AS n, max(CASE WHEN r.g = l.home_goals THEN 1 ELSE 0 END) AS same FROM l LEFT JOIN r ON r.day = l.day AND r.home = l.home AND r.away = l.away GROUP BY l.match_id)
+        "audited_backfill": base + """, r AS (SELECT CASE WHEN match_id % 4 <> 3 THEN day END AS day, home, away, CASE WHEN match_id % 13 = 0 THEN home_goals + 1 ELSE home_goals END AS g FROM m),
+            j AS (SELECT l.match_id, count(r.g) AS n, max(CASE WHEN r.g = l.home_goals THEN 1 ELSE 0 END) AS same FROM m l LEFT JOIN r ON r.day = l.day AND r.home = l.home AND r.away = l.away GROUP BY l.match_id)
             SELECT CASE WHEN n = 0 THEN 'no_match' WHEN n > 1 THEN 'ambiguous' WHEN same = 0 THEN 'mismatch' ELSE 'filled' END AS outcome, count(*) AS n FROM j GROUP BY 1""",
-        "alias_candidates": base + """, z AS (SELECT * FROM m WHERE match_id % 40 = 0), s AS (SELECT DISTINCT day, league, 'h' AS side, home AS name, away AS other, home_goals, away_goals FROM z UNION SELECT DISTINCT day, league, 'a', away, home, home_goals, away_goals FROM z),
+        "alias_candidates": _with(MATCHES.replace("hn.n_name AS home, an.n_name AS away", "hn.n_name || ' ' || c_custkey % 7 AS home, an.n_name || ' ' || s_suppkey % 7 AS away").replace("hn.n_name <> an.n_name", "(hn.n_name <> an.n_name OR c_custkey % 7 <> s_suppkey % 7)")) + """, s AS (SELECT DISTINCT day, league, 'h' AS side, home AS name, away AS other, home_goals, away_goals FROM m UNION SELECT DISTINCT day, league, 'a', away, home, home_goals, away_goals FROM m),
             c AS (SELECT a.name AS one, b.name AS two, count(*) AS evidence FROM s a JOIN s b USING (day, league, side, other, home_goals, away_goals) WHERE a.name < b.name GROUP BY 1, 2)
-            SELECT * FROM c WHERE NOT EXISTS (SELECT 1 FROM z WHERE least(home, away) = one AND greatest(home, away) = two)""",
+            SELECT * FROM c WHERE NOT EXISTS (SELECT 1 FROM m WHERE least(home, away) = one AND greatest(home, away) = two)""",
         "identity_conflicts": base + """SELECT home, away, day, count(*) AS copies, CAST(coalesce((count(DISTINCT home_goals) > 1)::INT, 0) + coalesce((count(DISTINCT away_goals) > 1)::INT, 0) + coalesce((count(DISTINCT home_shots) > 1)::INT, 0) AS BIGINT) AS n_conflicts FROM m GROUP BY home, away, day HAVING count(*) > 1""",
         "validation": _with(QUOTES) + """, r AS (SELECT *, CASE WHEN home_price IS NULL THEN 'no_price' WHEN NOT (home_price > 1 AND draw_price > 1 AND away_price > 1) THEN 'price_not_above_1' WHEN NOT captured < TIMESTAMP '2023-01-01' THEN 'late' END AS reason FROM q),
             v AS (SELECT reason, row_number() OVER (PARTITION BY match_id, bookmaker, reason IS NULL ORDER BY captured) AS k FROM r) SELECT coalesce(reason, CASE WHEN k > 1 THEN 'duplicate' ELSE 'valid' END) AS reason, count(*) AS n FROM v GROUP BY 1""",
-        "key_drift": base + "SELECT 'new' AS status, count(*) AS n FROM m WHERE match_id % 7 <> 0 AND match_id % 5 = 0 UNION ALL SELECT 'resolved', count(*) FROM m WHERE match_id % 5 <> 0 AND match_id % 7 = 0",
+        "key_drift": base + """, b AS (SELECT DISTINCT CASE WHEN match_id % 5 = 0 THEN -match_id ELSE match_id END AS k FROM m), n AS (SELECT DISTINCT CASE WHEN match_id % 7 = 0 THEN -match_id ELSE match_id END AS k FROM m)
+            SELECT 'new' AS status, count(*) AS n FROM (SELECT k FROM n EXCEPT SELECT k FROM b) UNION ALL SELECT 'resolved', count(*) FROM (SELECT k FROM b EXCEPT SELECT k FROM n)""",
         "provider_windows": _with(CALLS) + "SELECT provider, CAST(hours AS BIGINT) AS hours, calls, errors, round(success_rate, 6) AS success_rate, round(latency_ms, 6) AS latency_ms FROM cw",
         "provider_errors": _with(CALLS) + "SELECT provider, " + ", ".join(f"count(*) FILTER (reason = '{r}') AS {r}" for r in ("quota", "timeout", "parse")) + ", count(*) FILTER (reason = 'server') AS other FROM c GROUP BY provider",
         "provider_rollup": _with(CALLS) + """, d AS (SELECT provider, CAST(called_at AS DATE) AS day, count(*) AS calls, count(*) FILTER (NOT success) AS errors, avg(latency_ms) AS l FROM c GROUP BY 1, 2)

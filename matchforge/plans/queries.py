@@ -33,8 +33,8 @@ def _predicted(spark, sf_dir):
 
 
 def _closing(spark, sf_dir):
-    x = merge.open_and_close(bridge.quotes(spark, sf_dir)).where("bookmaker = 'N'")
-    return x.select("match_id", *(F.col(f"close_{p}").alias(p) for p in merge.PRICES))
+    x = merge.open_and_close(bridge.quotes(spark, sf_dir))
+    return x.select("match_id", "bookmaker", *(F.col(f"close_{p}").alias(p) for p in merge.PRICES))
 
 
 def league_report(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,7 +70,12 @@ def standings_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def elo_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features.elo(_matches(spark, sf_dir))
+    return places(features.elo(_matches(spark, sf_dir)))
+
+
+def latest_elo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = _matches(spark, sf_dir)
+    return features.latest_elo(m, features.elo(m))
 
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,7 +104,7 @@ def best_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def value_bets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pricing.value_bets(_predicted(spark, sf_dir), _closing(spark, sf_dir)).select("match_id", "selection", F.round("price", 4).alias("price"), "edge", "rating", "stake")
+    return pricing.value_bets(_predicted(spark, sf_dir), _closing(spark, sf_dir)).select("match_id", "bookmaker", "selection", F.round("price", 4).alias("price"), "edge", "rating", "stake")
 
 
 def portfolio(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,20 +128,20 @@ def natural_key_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def equivalence_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = _matches(spark, sf_dir).select("match_id", "league", "home_goals", "away_shots")
-    stored = m.where("match_id % 10 <> 3").select(F.expr("case when match_id % 11 = 0 then -match_id else match_id end").alias("match_id"), "league", F.expr("case when match_id % 7 = 0 then home_goals + 1 else home_goals end").alias("home_goals"), F.expr("case when match_id % 5 = 0 then null else away_shots end").alias("away_shots"))
+    stored = m.select(F.expr("case when match_id % 11 = 0 then -match_id else match_id end").alias("match_id"), "league", F.expr("case when match_id % 7 = 0 then home_goals + 1 else home_goals end").alias("home_goals"), F.expr("case when match_id % 5 = 0 then null else away_shots end").alias("away_shots"))
     return places(merge.diff(m, stored, ["match_id"], ["league", "home_goals", "away_shots"]))
 
 
 def audited_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = _matches(spark, sf_dir)
-    left = m.select("match_id", "day", "home", "away", "home_goals").where("match_id % 3 <> 1")
-    right = m.select("day", "home", "away", F.expr("case when match_id % 13 = 0 then home_goals + 1 else home_goals end").alias("home_goals")).where("match_id % 4 <> 3")
+    left = m.select("match_id", "day", "home", "away", "home_goals")
+    # Every match is on both sides; the right one has some on another day and some with another score.
+    right = m.select(F.expr("case when match_id % 4 = 3 then date_add(day, 100000) else day end").alias("day"), "home", "away", F.expr("case when match_id % 13 = 0 then home_goals + 1 else home_goals end").alias("home_goals"))
     return merge.audited_join(left, right, ["day", "home", "away"], "match_id", ["home_goals"]).groupBy("outcome").agg(F.count("*").alias("n"))
 
 
 def alias_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = _matches(spark, sf_dir).where("match_id % 40 = 0")  # so few meetings that some pairs never met
-    return places(merge.alias_candidates(m))
+    return places(merge.alias_candidates(bridge.matches(spark, sf_dir, split=7)))
 
 
 def club_alias_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -155,7 +160,8 @@ def validation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def key_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = _matches(spark, sf_dir)
-    return merge.drift(m.where("match_id % 5 <> 0"), m.where("match_id % 7 <> 0"), ["match_id"])
+    renamed = lambda n: m.select(F.expr(f"case when match_id % {n} = 0 then -match_id else match_id end").alias("match_id"))
+    return merge.drift(renamed(5), renamed(7), ["match_id"])
 
 
 def provider_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -221,7 +227,7 @@ def page_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return places(p.select("page_id", title.alias("title"), F.regexp_count("html", F.lit("<a ")).alias("links"), F.regexp_count("html", F.lit("<li")).alias("items")))
 
 
-QUERIES = (league_report, matches, team_form, team_shots, head_to_head, rest_days, final_standings, standings_as_of, elo_replay, predictions, calibration, temperature, blended, open_and_close, best_prices, value_bets, portfolio, source_rank, fill_missing_shots, natural_key_dedupe, equivalence_diff, audited_backfill, alias_candidates, club_alias_candidates, identity_conflicts, validation, key_drift, provider_windows, provider_errors, provider_rollup, provider_choice, provider_quota, divergence_spread, degraded_run, trend, walk_forward, keys_and_seasons, parsed_statistics, latest_per_key, page_titles)
+QUERIES = (league_report, matches, team_form, team_shots, head_to_head, rest_days, final_standings, standings_as_of, elo_replay, latest_elo, predictions, calibration, temperature, blended, open_and_close, best_prices, value_bets, portfolio, source_rank, fill_missing_shots, natural_key_dedupe, equivalence_diff, audited_backfill, alias_candidates, club_alias_candidates, identity_conflicts, validation, key_drift, provider_windows, provider_errors, provider_rollup, provider_choice, provider_quota, divergence_spread, degraded_run, trend, walk_forward, keys_and_seasons, parsed_statistics, latest_per_key, page_titles)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

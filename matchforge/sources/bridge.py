@@ -16,10 +16,28 @@ def first_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.min(order).alias("x")).select("l_orderkey", "x.*")
 
 
-def matches(spark: SparkSession, sf_dir: str, clubs: bool = False) -> DataFrame:
+#: Stand-ins for what providers count in a match, as SQL over the order's first line. Most are unknown (null) for some matches.
+STATS = {
+    "home_fouls": "case when l_partkey % 8 = 0 then null else l_suppkey % 17 + 5 end",
+    "away_fouls": "case when l_partkey % 9 = 0 then null else l_partkey % 14 + 6 end",
+    "home_corners": "case when l_suppkey % 5 = 0 then null else l_partkey % 12 end",
+    "away_corners": "case when l_partkey % 10 = 0 then null else l_suppkey % 11 end",
+    "home_cards": "case when l_partkey % 4 = 3 then null else l_partkey % 5 end",
+    "away_cards": "case when l_suppkey % 4 = 3 then null else l_suppkey % 3 end",
+    "home_on_target": "case when l_partkey % 7 = 0 then null else l_partkey % 15 % 6 end",
+    "away_on_target": "case when l_partkey % 6 = 0 then null else l_partkey % 11 % 5 end",
+    "home_xg_actual": "case when l_partkey % 6 = 5 then null else l_partkey % 30 / cast(10 as double) end",
+    "away_xg_actual": "case when l_suppkey % 7 = 3 then null else l_suppkey % 25 / cast(10 as double) end",
+    "home_possession": "35 + l_partkey % 31",
+    "away_possession": "65 - l_partkey % 31",
+}
+
+
+def matches(spark: SparkSession, sf_dir: str, clubs: bool = False, split: int = 0, stats: bool = False) -> DataFrame:
     """match_id, day, league, home, away, home_goals, away_goals, result, home_shots, away_shots (both may be null).
 
-    Teams are nations, of which all meet; or clubs, numbered by customer (home) and supplier (away).
+    Teams are nations, of which all meet; or clubs, numbered by customer (home) and supplier
+    (away); or, with ``split``, so many teams of each nation. ``stats`` adds the columns of STATS.
     """
     nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
     home = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_nationkey").alias("hk"), F.col("n_name").alias("home"), F.col("r_name").alias("league"))
@@ -30,16 +48,20 @@ def matches(spark: SparkSession, sf_dir: str, clubs: bool = False) -> DataFrame:
     x = orders.join(first_lines(spark, sf_dir), F.col("o_orderkey") == F.col("l_orderkey")).join(customers, F.col("o_custkey") == F.col("c_custkey")).join(suppliers, F.col("l_suppkey") == F.col("s_suppkey"))
     if clubs:
         x = x.withColumns({"home": F.concat(F.lit("club "), "c_custkey"), "away": F.concat(F.lit("club "), "s_suppkey")})
+    if split:
+        x = x.withColumns({"home": F.concat_ws(" ", "home", F.col("c_custkey") % split), "away": F.concat_ws(" ", "away", F.col("s_suppkey") % split)})
     x = x.where("home <> away")
     hg, ag = F.expr("cast(floor(l_quantity) as bigint) % 5"), F.expr("cast(floor(l_extendedprice) as bigint) % 4")
-    x = x.select(F.col("o_orderkey").alias("match_id"), F.to_date("o_orderdate").alias("day"), "league", "home", "away", hg.alias("home_goals"), ag.alias("away_goals"), F.expr("case when l_partkey % 7 = 0 then null else l_partkey % 15 end").alias("home_shots"), F.expr("case when l_partkey % 6 = 0 then null else l_partkey % 11 end").alias("away_shots"))
+    more = [F.expr(e).alias(c) for c, e in STATS.items()] if stats else []
+    x = x.select(F.col("o_orderkey").alias("match_id"), F.to_date("o_orderdate").alias("day"), "league", "home", "away", hg.alias("home_goals"), ag.alias("away_goals"), F.expr("case when l_partkey % 7 = 0 then null else l_partkey % 15 end").alias("home_shots"), F.expr("case when l_partkey % 6 = 0 then null else l_partkey % 11 end").alias("away_shots"), *more)
     return x.withColumn("result", F.expr("case when home_goals > away_goals then 'H' when home_goals < away_goals then 'A' else 'D' end"))
 
 
-def team_matches(matches_: DataFrame) -> DataFrame:
-    """Two rows of a match, one for each side: team, opponent, is_home, gf, ga, outcome W/D/L, shots."""
+def team_matches(matches_: DataFrame, *stats: str) -> DataFrame:
+    """Two rows of a match, one for each side: team, opponent, is_home, gf, ga, outcome W/D/L, shots and the side's ``stats``."""
     def side(own: str, other: str, home: bool):
-        return F.struct(F.col(own).alias("team"), F.col(other).alias("opponent"), F.lit(home).alias("is_home"), F.col(f"{own}_goals").alias("gf"), F.col(f"{other}_goals").alias("ga"), F.col(f"{own}_shots").alias("shots"))
+        more = [F.col(f"{own}_{c}").alias(c) for c in stats]
+        return F.struct(F.col(own).alias("team"), F.col(other).alias("opponent"), F.lit(home).alias("is_home"), F.col(f"{own}_goals").alias("gf"), F.col(f"{other}_goals").alias("ga"), F.col(f"{own}_shots").alias("shots"), *more)
 
     x = matches_.select("match_id", "day", "league", F.explode(F.array(side("home", "away", True), side("away", "home", False))).alias("s")).select("match_id", "day", "league", "s.*")
     return x.withColumn("outcome", F.expr("case when gf > ga then 'W' when gf < ga then 'L' else 'D' end"))

@@ -41,6 +41,14 @@ def test_text_parsers(spark):
     assert one(spark, text.alias_of(F.lit(" Málaga "), {"malaga": "malaga cf"})) == "malaga cf" and one(spark, text.alias_of(F.lit(" Xyz "), {"a": "b"})) == "Xyz"
 
 
+def test_marks_are_taken_off_any_letter(spark):
+    import unicodedata
+
+    name = "Şəki Đorđe Łódź Gençlerbirliği Žalgiris Ñandú Ελλάς e\u0301"
+    want = "".join(c for c in unicodedata.normalize("NFD", name) if not unicodedata.combining(c))
+    assert one(spark, text.unmarked(F.lit(name))) == want
+
+
 def test_calibration_has_empty_bins_and_a_closed_top(spark):
     rows = spark.createDataFrame([("H", 1.0, 0.0, 0.0)], "result string, p_home double, p_draw double, p_away double")
     got = {(r["class"], r["bin"]): r["n"] for r in evaluate.calibration(rows).collect()}
@@ -85,11 +93,22 @@ def test_alias_candidates_take_all_matches(spark):
     assert got == sorted(r[:3] for r in want if not r[3]) and len(got) > 50 and any(r[3] for r in want)
 
 
-def test_elo_moves_both_teams(spark):
-    rows = [(1, "2024-01-01", "l", "a", "b", 2, 0), (2, "2024-01-08", "l", "b", "a", 1, 1), (3, "2024-01-01", "other", "a", "b", 0, 1)]
+def test_elo_is_one_replay_over_leagues_and_rounds_only_when_read(spark):
+    """Teams keep their ratings from league to league; a plain replay gives the same numbers, and teams that never meet don't matter."""
+    rows = [(1, "2024-01-01", "l", "a", "b", 2, 0), (2, "2024-01-08", "l", "b", "a", 1, 1), (3, "2024-01-05", "other", "a", "c", 0, 3), (4, "2024-01-02", "l", "x", "y", 5, 0)]
+    rows += [(k, f"2024-02-{k:02d}", "l", "abc"[k % 3], "abc"[(k + 1 + k % 2) % 3], k % 4, k % 3) for k in range(5, 29)]
     m = spark.createDataFrame(rows, "match_id int, day string, league string, home string, away string, home_goals int, away_goals int").withColumn("day", F.to_date("day"))
-    got = {r["match_id"]: (r["home_elo"], r["away_elo"]) for r in features.elo(m).collect()}
-    assert got[1] == got[3] == (1500.0, 1500.0) and got[2][0] < 1500 < got[2][1] and sum(got[2]) == 3000
+    rating, played, want = {}, {}, {}
+    for i, _, _, h, a, hg, ag in sorted(rows, key=lambda r: (r[1], r[0])):
+        rh, ra = rating.get(h, 1500.0), rating.get(a, 1500.0)
+        lead, gap = rh + 50 - ra, abs(hg - ag)
+        m_ = 1.0 if not gap else math.log(gap + 1) * (4.4 / (0.0005 * (lead if hg > ag else -lead) + 4.4))
+        d = m_ * ((1.0 if hg > ag else 0.5 if hg == ag else 0.0) - 1 / (1 + 10 ** (-lead / 400)))
+        rating[h], rating[a] = rh + (40 if played.get(h, 0) < 10 else 32) * d, ra - (40 if played.get(a, 0) < 10 else 32) * d
+        played[h], played[a] = played.get(h, 0) + 1, played.get(a, 0) + 1
+        want[i] = tuple(map(round, (rh, ra, rating[h], rating[a])))
+    got = {r["match_id"]: (r["home_elo"], r["away_elo"], r["home_elo_after"], r["away_elo_after"]) for r in features.elo(m).collect()}
+    assert got == want and got[3][0] != 1500 and len({g for _, g in features.team_groups(m).collect()}) == 2
 
 
 def test_elo_streams_a_league_in_small_batches(spark, sf):
