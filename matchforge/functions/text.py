@@ -48,3 +48,47 @@ def digits(x: Column) -> Column:
 
 def slug(x: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(F.trim(x)), "[^a-z0-9]+", "_"), "^_+|_+$", "")
+
+
+def whole_number(x: Column) -> Column:
+    """An integer read through a double, cut towards 0; null for what is no number."""
+    d = F.trim(x.cast("string")).try_cast("double")
+    return F.when(~F.isnan(d), d.try_cast("int"))
+
+
+def plain_text(x: Column) -> Column:
+    return F.coalesce(F.trim(x.cast("string")), F.lit(""))
+
+
+def season_start(day: Column, back: int = 0) -> Column:
+    """The first of July that begins the season of a day, or of so many seasons before."""
+    return F.make_date(F.year(F.add_months(day, -6)) - back, F.lit(7), F.lit(1))
+
+
+# Prefixes of fixture ids and the sources they name.
+SOURCES = {"fd_": "football_data", "espn_": "espn", "odds_": "odds_api", "kaggle_": "kaggle_historical", "flashscore_": "flashscore", "tsdb_": "tsdb", "openfootball_": "openfootball"}
+# Positions that may follow a player's name, and the note after a team's.
+POSITION_NAMES = ("Goalkeeper", "Defender", "Centre back", "Fullback", "Wingback", "Winger", "Midfielder", "Attacking midfielder", "Forward", "Striker")
+NOTE = "Advancing to next round"
+
+
+def source_of(fixture: Column) -> Column:
+    """The source that a fixture id's prefix names, else null."""
+    return F.coalesce(*(F.when(fixture.startswith(prefix), F.lit(name)) for prefix, name in SOURCES.items()))
+
+
+def incident_minute(x: Column) -> Column:
+    """The regular minute of 45+6' and the like."""
+    return F.nullif(F.regexp_extract(F.trim(x), r"^(\d+)", 1), F.lit("")).try_cast("int")
+
+
+def name_and_position(x: Column) -> Column:
+    """(name, position): a position at the end is cut off, the longest that fits."""
+    one = "|".join(sorted(POSITION_NAMES, key=len, reverse=True))
+    pattern = f"^(?:(.*) )?({one})$"
+    found = F.regexp_extract(x, pattern, 2)
+    return F.when(found == "", F.struct(x.alias("name"), F.lit(None).cast("string").alias("position"))).otherwise(F.struct(F.trim(F.regexp_extract(x, pattern, 1)).alias("name"), found.alias("position")))
+
+
+def without_note(x: Column) -> Column:
+    return F.trim(F.substring_index(x, NOTE, 1))

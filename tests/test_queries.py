@@ -4,10 +4,11 @@ import duckdb
 import pandas as pd
 import pytest
 
-from matchforge.plans import oracle, queries
+from matchforge.plans import oracle, profile_queries, queries
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
-SQL = oracle.oracle_sql()
+SQL = oracle.oracle_sql() | profile_queries.oracle_sql()
+QUERIES = queries.queries() | profile_queries.queries()
 
 
 def plain(x):
@@ -34,7 +35,7 @@ def duck(sf):
 
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_sql(spark, sf, duck, name):
-    want, got = duck.sql(SQL[name]).df(), queries.queries()[name](spark, sf).toPandas()
+    want, got = duck.sql(SQL[name]).df(), QUERIES[name](spark, sf).toPandas()
     cols = sorted(want.columns)
     assert sorted(got.columns) == cols
     assert rows(got, cols) == rows(want, cols)
