@@ -254,7 +254,7 @@ def oracle_sql() -> dict[str, str]:
             v AS (SELECT f.*, elo, (SELECT v FROM ka WHERE ka.match_id = f.match_id AND ka.team = f.team AND stat = 'on_target') AS sot, 0.55::DOUBLE + 1.1::DOUBLE * (1 / (1 + exp(-((elo - 1500) / 400)))) AS eo, 1.8::DOUBLE - 1.2::DOUBLE * (1 / (1 + exp(-((elo - 1500) / 400)))) AS ed FROM f JOIN eb USING (match_id, team)),
             u AS (SELECT *, least(least(avg_for / 2, 1.0::DOUBLE) * 1.5::DOUBLE * 0.45::DOUBLE + least(coalesce(sot, avg_for * 0.45::DOUBLE) / 6, 1.0::DOUBLE) * 1.5::DOUBLE * 0.3::DOUBLE + 0.25::DOUBLE * 0.25::DOUBLE + avg_for * 0.2::DOUBLE, 3.5::DOUBLE) AS own FROM v),
             y AS (SELECT *, CASE WHEN n_form > 0 THEN 0.65::DOUBLE * own + 0.35::DOUBLE * eo ELSE eo * 1.25::DOUBLE END AS att, CASE WHEN n_form > 0 THEN 0.65::DOUBLE * least(avg_against, 2.5::DOUBLE) + 0.35::DOUBLE * ed ELSE ed END AS def FROM u)
-            SELECT match_id, team, elo, round(form_score, 4) AS form_score, least(CAST(round(CAST(att AS DECIMAL(24, 12)), 4) AS DOUBLE), 3.5) AS attack, least(CAST(round(CAST(def AS DECIMAL(24, 12)), 4) AS DOUBLE), 2.5) AS defence FROM y""",
+            SELECT match_id, team, elo, round(form_score, 4) AS form_score, least(CAST(round(CAST(CAST(att AS VARCHAR) AS DECIMAL(38, 20)), 4) AS DOUBLE), 3.5) AS attack, least(CAST(round(CAST(CAST(def AS VARCHAR) AS DECIMAL(38, 20)), 4) AS DOUBLE), 2.5) AS defence FROM y""",
         "missing_features": with_(m, SIDES) + ", v AS (SELECT match_id, list_filter([" + ", ".join(f"CASE WHEN {s}_{c} IS NULL THEN '{s}_{c}' END" for s in ("home", "away") for c in ("fouls", "corners", "cards", "xg_actual")) + "], lambda c: c IS NOT NULL) AS x FROM sm) SELECT match_id, coalesce(array_to_string(x, ','), '') AS missing, CAST(len(x) AS BIGINT) AS n_missing FROM v",
         "missing_by_league": with_(m) + "SELECT league, count(*) AS n, count(*) FILTER (home_shots IS NOT NULL AND away_shots IS NOT NULL) AS complete, count(*) FILTER (home_shots IS NULL OR away_shots IS NULL) AS incomplete, count(*) FILTER (day >= (SELECT make_date(year(max(day) - INTERVAL 6 MONTH), 7, 1) FROM m)) AS this_season FROM m GROUP BY league",
         "recency_weights": with_(m) + "SELECT match_id, round(CASE WHEN day < DATE '2023-06-30' THEN pow(0.5::DOUBLE, (DATE '2023-06-30' - day) / 365.0::DOUBLE) ELSE 1.0::DOUBLE END, 6) AS weight FROM m",
