@@ -24,6 +24,8 @@ MAP_BITS = 24
 SKETCH_BITS = 256
 #: In open buckets, shingles of at most so many classes are rare.
 RARE = 8
+#: Members that share a hub are dealt to so many parts.
+SALTS = 64
 SKETCH = [f"s{k}" for k in range(SKETCH_BITS // 64)]
 
 
@@ -240,7 +242,10 @@ def near_classes(classes: DataFrame, texts: DataFrame, width: int, percent: int,
 
     rest = durable(split(met))
     release(met)
-    cross = rest.join(labels.toDF("hub", "hub_root"), "hub", "left").where(F.coalesce("hub_root", "hub") != F.col("root"))
+    # A hub of many buckets has a copy of its label for each of SALTS parts of its members.
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    roots = labels.toDF("hub", "hub_root").join(rest.select("hub").distinct(), "hub", "left_semi").select("hub", "hub_root", salts)
+    cross = rest.withColumn("salt", F.pmod(F.xxhash64("fp", "bucket"), F.lit(SALTS)).cast("int")).join(roots, ["hub", "salt"], "left").where(F.coalesce("hub_root", "hub") != F.col("root"))
     links = durable(confirm(starred(cross.select(F.col("fp").alias("a"), F.col("hub").alias("b")).distinct()), sets, percent))
     if links.take(1):
         labels = _relabel(labels, links)
@@ -285,8 +290,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, rows: in
     component_id is the least id that links reach. Rows with equal sets form a class and are
     compared once, so copies cost nothing further.
 
-    A row without words (null or blank text) is linked with nothing and kept. A null id is
-    never the least of a component with a real one. Rows that repeat id and text share a
+    A row without words (null or blank text) is linked with nothing and kept. A text of any
+    length is taken whole, and signed in blocks. A null id is never the least of a component
+    with a real one. Of equal ids the rows stay or go by their texts. Rows that repeat id and text share a
     class, and stay or go together. An empty table gives an empty result. No other column is
     read.
     """
