@@ -9,7 +9,7 @@ from matchforge.llm.tokenizers import path as tokenizer
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without a language, or with none that is likelier than not, go."""
+    """Texts without a language, or with none that is likelier than not, go: null, empty and letterless ones with them. Other columns stay as they are."""
     vocabulary = tokenizer("piece_bpe_32k.model")
     learn = docs.where(F.coalesce(crc_mod("doc_id", 5) != 0, F.lit(False)))
     langs, table = language_id.train(learn, vocabulary)
@@ -17,23 +17,23 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the one with the least doc_id stays."""
+    """Of equal texts the one with the least doc_id stays; null counts as empty, and rows that repeat id and text stay or go together."""
     return exact_dedup.drop_copies(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of a group of near copies (five-word shingles, 80 %) the one with the least doc_id stays."""
+    """Of a group of near copies (five-word shingles, 80 %) the one with the least doc_id stays; a text without words is near nothing."""
     return minhash.drop_near_copies(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as its source's target takes it: not at all, once or twice."""
+    """Each document as often as its source's target takes it: not at all, once or twice. Null is a source too; rows of one id share their fate."""
     return mixing.take_mix(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of token ids placed in sequences of at most 1024."""
-    return packing.pack(docs, tokenizer("byte_bpe_50k.json"))
+    """Pieces of token ids placed in sequences of at most 1024, one row a piece. Null text is the end id alone; repeated rows are packed as often."""
+    return packing.pack(docs, tokenizer("byte_bpe_50k.json"), tokenizer("byte_bpe_50k.tiktoken"))
 
 
 STAGES: list = [
@@ -48,6 +48,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packed pieces of ``documents`` after all stages, each written and read again. Empty tables pass every stage; columns whose names clash with the operators' own stay apart."""
     docs = documents(spark, sf_dir)
     for _, stage in STAGES:
         docs = durable(stage(spark, docs, sf_dir))
