@@ -74,22 +74,17 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 16_000, shards: in
             found = [features(t, hashes).astype(np.int32) for t in binary(b.column("text"))]
             yield pa.RecordBatch.from_arrays([b.column("order"), b.column("y"), pa.array(found, pa.list_(pa.int32()))], names=["order", "y", "buckets"])
 
-    def learn(part: pd.DataFrame) -> pd.DataFrame:
+    def learn(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["order", "y"], kind="stable")
         w, bias = ftrl(list(zip(part["buckets"], part["y"], strict=True)), epochs, alpha, beta, l1, l2)
-        at = np.flatnonzero(w)
-        return pd.DataFrame({"at": np.append(at, -1), "w": np.append(w[at], bias)})
+        return pd.DataFrame({"shard": [key[0]], "w": [np.append(w, bias).tobytes()]})
 
     found = rows.mapInArrow(extract, "order long, y double, buckets array<int>")
-    learned = found.groupBy(F.pmod("order", F.lit(shards)).alias("shard")).applyInPandas(learn, "at long, w double")
-    # Added in order of size, so that the sum is the same in every run; the driver gets one row for each weight.
-    total = F.aggregate(F.sort_array(F.collect_list("w")), F.lit(0.0), lambda x, y: x + y)
-    sums = learned.groupBy("at").agg(total.alias("w"), F.count("*").alias("learners")).toArrow()
-    at, mean = sums["at"].to_numpy(), sums["w"].to_numpy()
-    mean = mean / max(1, sums["learners"].to_numpy()[at == -1].sum())
-    w = np.zeros(1 << BITS)
-    w[at[at >= 0]] = mean[at >= 0]
-    return w, float(mean[at == -1].sum())
+    learned = found.groupBy(F.pmod("order", F.lit(shards)).alias("shard")).applyInPandas(learn, "shard long, w binary")
+    # The driver gets one row of 2 MB for each learner.
+    weights = [np.frombuffer(r["w"]) for r in sorted(learned.collect(), key=lambda r: r["shard"])]
+    mean = sum(weights) / len(weights) if weights else np.zeros((1 << BITS) + 1)
+    return mean[:-1], float(mean[-1])
 
 
 def score(docs: DataFrame, weights: np.ndarray, bias: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
