@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 from ..functions import scoring, text
 from ..operators import features, health, pricing, profiles
 from ..sources import bridge
+from ..streaming.health import windowed_health
 from . import oracle
 from .queries import _matches, _predicted, _teams, places
 
 STATS = ("fouls", "corners", "cards", "on_target", "xg_actual", "possession")
-HOUR = 3600
 
 
 def _sides(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -166,6 +166,10 @@ def shadow_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.agg(F.count("*").alias("total"), F.count_if(~changed & named.isNotNull()).alias("identical"), F.count_if(changed).alias("different"), F.count_if(named.isNull()).alias("unavailable"), F.count_if(changed & (F.col("best") > F.col("own"))).alias("better"))
 
 
+def provider_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return places(windowed_health(bridge.provider_calls(spark, sf_dir)))
+
+
 def page_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = bridge.table(spark, sf_dir, "pages")
     flags = {k: F.col("html").contains(f"<{k}") for k in ("title", "a ", "li", "table", "p>")}
@@ -209,7 +213,7 @@ def parsed_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return places(both.select("p_partkey", F.col("x.name").alias("name"), F.col("x.position").alias("position"), "minute", "team"))
 
 
-QUERIES = (team_discipline, dominance, team_ratings, missing_features, missing_by_league, recency_weights, recent_results, recent_shots, form_records, team_dna, league_finishing, stat_means, data_quality, engine_metrics, combined_engines, consensus, reliability, calibration_error, xg_errors, live_health, kept_seasons, dominant_cause, latest_calls, shadow_counts, page_coverage, absence_impacts, running_profit, lenient_values, season_dates, fixture_sources, parsed_labels)
+QUERIES = (team_discipline, dominance, team_ratings, missing_features, missing_by_league, recency_weights, recent_results, recent_shots, form_records, team_dna, league_finishing, stat_means, data_quality, engine_metrics, combined_engines, consensus, reliability, calibration_error, xg_errors, live_health, kept_seasons, dominant_cause, latest_calls, shadow_counts, provider_hours, page_coverage, absence_impacts, running_profit, lenient_values, season_dates, fixture_sources, parsed_labels)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -285,6 +289,7 @@ def oracle_sql() -> dict[str, str]:
             b AS (SELECT day, first(provider ORDER BY round(rate, 9) DESC, provider DESC) AS rec, max(rate) AS best, max(CASE WHEN provider = 'click' THEN rate END) AS own, count(*) AS n FROM d GROUP BY day),
             x AS (SELECT *, CASE WHEN n > 3 THEN rec END AS named FROM b)
             SELECT count(*) AS total, count(*) FILTER (named = 'click') AS identical, count(*) FILTER (named <> 'click') AS different, count(*) FILTER (named IS NULL) AS unavailable, count(*) FILTER (named <> 'click' AND best > own) AS better FROM x""",
+        "provider_hours": with_(o.CALLS) + "SELECT date_trunc('hour', called_at) AS since, provider, count(*) AS calls, count(*) FILTER (NOT success) AS errors, round(avg(latency_ms), 6) AS latency_ms FROM c GROUP BY 1, 2",
         "page_coverage": "WITH v AS (SELECT page_id, " + ", ".join(f"contains(html, '<{k}') AS \"{k.strip(' >')}\"" for k in ("title", "a ", "li", "table", "p>")) + ' FROM pages) SELECT *, round(100.0::DOUBLE * ("title"::INT + "a"::INT + "li"::INT + "table"::INT + "p"::INT) / 5, 2) AS coverage FROM v',
         "absence_impacts": """WITH v AS (SELECT c_custkey, greatest(greatest(floor(c_acctbal * 10000), 0), 100000) AS value, [1.5::DOUBLE, 1.0::DOUBLE, 0.8::DOUBLE, 1.2::DOUBLE, 0.8::DOUBLE][c_custkey % 5 + 1] AS w, (c_custkey % 4 + 1) / 4.0::DOUBLE AS sure FROM customer)
             SELECT c_custkey, -round(least(log10(value + 1) / log10(150000001.0::DOUBLE) * w * sure * 0.25::DOUBLE, 0.18::DOUBLE), 4) AS impact FROM v""",
