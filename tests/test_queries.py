@@ -4,11 +4,11 @@ import duckdb
 import pandas as pd
 import pytest
 
-from matchforge.plans import oracle, profile_queries, queries
+from matchforge.plans import oracle, profile_queries, queries, record_queries
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
-SQL = oracle.oracle_sql() | profile_queries.oracle_sql()
-QUERIES = queries.queries() | profile_queries.queries()
+SQL = oracle.oracle_sql() | profile_queries.oracle_sql() | record_queries.oracle_sql()
+QUERIES = queries.queries() | profile_queries.queries() | record_queries.queries()
 
 
 def plain(x):
