@@ -197,3 +197,28 @@ def name_collisions(rows: DataFrame, keys: list[str], raw: str) -> DataFrame:
     """keys, n, names, kind: keys of several rows; ``collision`` if different raw names meet in one, else ``duplicate``."""
     x = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.count_distinct(raw).alias("names")).where("n > 1")
     return x.withColumn("kind", F.when(F.col("names") > 1, "collision").otherwise("duplicate"))
+
+
+def also_held(rows: DataFrame, keys: list[str], id_: str) -> DataFrame:
+    """Rows whose keys another id holds too. Keys are counted by least and greatest id, so nothing is joined pair by pair."""
+    held = rows.groupBy(*keys).agg(F.min(id_).alias("a_"), F.max(id_).alias("z_")).where("a_ <> z_")
+    return rows.join(held.select(*keys), keys, "left_semi")
+
+
+def subsets(rows: DataFrame, keys: list[str], id_: str, engine: str, names: list[str], measure: str) -> DataFrame:
+    """keys, for each engine the number and mean of ``measure`` over its own rows, and the same over ids that all engines have.
+
+    ``rows`` hold one row for each id and engine, whose values reach one row by id in one grouping.
+    """
+    x = rows.groupBy(*keys, id_).agg(*(F.max(F.when(F.col(engine) == n, F.col(measure))).alias(n) for n in names))
+    shared = F.lit(True)
+    for n in names:
+        shared &= F.col(n).isNotNull()
+    own = [a for n in names for a in (F.count(n).alias(f"{n}_n"), F.avg(n).alias(n), F.avg(F.when(shared, F.col(n))).alias(f"{n}_common"))]
+    return x.groupBy(*keys).agg(*own, F.count_if(shared).alias("common_n"))
+
+
+def fit_providers(available: DataFrame, capable: DataFrame, mapped: DataFrame) -> DataFrame:
+    """league, kind, providers: those that are available, capable of the kind of data and mapped in the league, in order of their names."""
+    x = mapped.where("state = 'available'").join(available, "provider", "left_semi").join(capable, "provider")
+    return x.groupBy("league", "kind").agg(F.array_join(F.array_sort(F.collect_set("provider")), ",").alias("providers"))

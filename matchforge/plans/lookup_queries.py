@@ -12,7 +12,7 @@ from ..functions import scoring
 from ..operators import features, gates, lookups, profiles
 from ..sources import bridge, csv_files
 from . import oracle
-from .profile_queries import SIDES, _sides
+from .profile_queries import ENGINES, SIDES, _engines, _sides
 from .queries import _matches, _predicted, _teams, places
 
 LINE = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]
@@ -211,7 +211,44 @@ def order_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookups.order_state(m, "home", "match_id", "day", 1000)
 
 
-QUERIES = (odds_cascade, meeting_cascade, form_context, recent_side_means, recent_elsewhere, player_ratings, melted_statistics, latest_snapshot, lineup_sides, retained_calls, table_counts, bet_ledger, absence_reports, absence_bands, penalised_xg, signed_ranks, median_split, experiment_status, decision_checks, failure_classes, csv_matches, csv_home_rows, rating_collisions, order_states)
+def complete_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Matches with every statistic known whose two sides, in this order, met in another such match."""
+    m = bridge.matches(spark, sf_dir, stats=True)
+    whole = m.where(" and ".join(f"{c} is not null" for c in bridge.STATS)).select("match_id", "home", "away")
+    return lookups.also_held(whole, ["home", "away"], "match_id").select("match_id")
+
+
+def finishing_readiness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many matches since a day have a result, shots on target and expected goals, by league in one pass."""
+    m = bridge.matches(spark, sf_dir, stats=True).where("day >= date '1994-01-01'")
+    both = lambda c: F.count_if(F.col(f"home_{c}").isNotNull() & F.col(f"away_{c}").isNotNull())
+    return m.groupBy("league").agg(F.count("home_goals").alias("played"), both("on_target").alias("on_target"), both("xg_actual").alias("xg"))
+
+
+def teams_with_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each team of a window of days once, with its least known id."""
+    m = _matches(spark, sf_dir).where("day between date '1996-01-01' and date '1996-03-31'")
+    sides = m.select(F.inline(F.array(*(F.struct(F.col(s).alias("team"), F.expr(f"if(match_id % {n} = 0, null, match_id * 10 + {n})").alias("id")) for s, n in (("home", 3), ("away", 4))))))
+    return sides.where("id is not null").groupBy("team").agg(F.min("id").alias("id"))
+
+
+def engine_subsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each engine's Brier score by league on the matches that it has and on those that all engines have."""
+    e = _engines(spark, sf_dir)
+    x = e.withColumn("brier", scoring.brier(F.col("result"), F.col("p_home"), F.col("p_draw"), F.col("p_away")))
+    return places(lookups.subsets(x, ["league"], "match_id", "engine", ["rules", "bold", "flat"], "brier"))
+
+
+def provider_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Providers with enough good calls that serve a kind of data and are mapped in a league."""
+    c = bridge.provider_calls(spark, sf_dir)
+    available = c.groupBy("provider").agg(F.avg(F.col("success").cast("double")).alias("rate")).where("rate > 0.885").select("provider")
+    capable = c.select("provider", F.expr("if(event_id % 2 = 0, 'odds', concat('stats of ', provider))").alias("kind")).distinct()
+    mapped = c.select("provider", F.expr("element_at(array('A', 'B', 'C'), int(event_id % 3 + 1))").alias("league"), F.expr("if(event_id % 3 = length(provider) % 3, 'unavailable', 'available')").alias("state")).distinct()
+    return lookups.fit_providers(available, capable, mapped)
+
+
+QUERIES = (odds_cascade, meeting_cascade, form_context, recent_side_means, recent_elsewhere, player_ratings, melted_statistics, latest_snapshot, lineup_sides, retained_calls, table_counts, bet_ledger, absence_reports, absence_bands, penalised_xg, signed_ranks, median_split, experiment_status, decision_checks, failure_classes, csv_matches, csv_home_rows, rating_collisions, order_states, complete_pairs, finishing_readiness, teams_with_ids, engine_subsets, provider_fit)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -290,4 +327,11 @@ def oracle_sql() -> dict[str, str]:
         "order_states": with_(m) + """, x AS (SELECT home, match_id, CASE league WHEN 'ASIA' THEN DATE '1990-01-01' + match_id::INT WHEN 'EUROPE' THEN DATE '1990-01-01' - match_id::INT WHEN 'AFRICA' THEN NULL ELSE day END AS day FROM m), y AS (SELECT *, lag(day) OVER (PARTITION BY home ORDER BY match_id) AS b FROM x WHERE day IS NOT NULL),
             z AS (SELECT home, count(*) FILTER (day > b) AS up, count(*) FILTER (day < b) AS down FROM y GROUP BY 1)
             SELECT n.home, CASE WHEN up IS NULL THEN 'unknown' WHEN up = 0 THEN 'descending' WHEN down = 0 THEN 'ascending' ELSE 'unsorted' END AS state FROM (SELECT DISTINCT home FROM x) n LEFT JOIN z ON z.home = n.home""",
+        "complete_pairs": with_(m, SIDES) + ", w AS (SELECT * FROM sm WHERE " + " AND ".join(f"{c} IS NOT NULL" for c in bridge.STATS) + ") SELECT match_id FROM w WHERE EXISTS (SELECT 1 FROM w o WHERE o.home = w.home AND o.away = w.away AND o.match_id <> w.match_id)",
+        "finishing_readiness": with_(m, SIDES) + "SELECT league, count(home_goals) AS played, count(*) FILTER (home_on_target IS NOT NULL AND away_on_target IS NOT NULL) AS on_target, count(*) FILTER (home_xg_actual IS NOT NULL AND away_xg_actual IS NOT NULL) AS xg FROM sm WHERE day >= DATE '1994-01-01' GROUP BY league",
+        "teams_with_ids": with_(m) + "SELECT team, min(id) AS id FROM (SELECT home AS team, match_id * 10 + 3 AS id FROM m WHERE match_id % 3 <> 0 AND day BETWEEN DATE '1996-01-01' AND DATE '1996-03-31' UNION ALL SELECT away, match_id * 10 + 4 FROM m WHERE match_id % 4 <> 0 AND day BETWEEN DATE '1996-01-01' AND DATE '1996-03-31') GROUP BY team",
+        "engine_subsets": with_(*pred, ENGINES) + f""", b AS (SELECT match_id, league, engine, {BRIER.format("p")} AS s, count(*) OVER (PARTITION BY match_id) = 3 AS shared FROM en)
+            SELECT league, {", ".join(f"count(*) FILTER (engine = '{n}') AS {n}_n, round(avg(s) FILTER (engine = '{n}'), 6) AS {n}, round(avg(s) FILTER (engine = '{n}' AND shared), 6) AS {n}_common" for n in ("rules", "bold", "flat"))}, count(DISTINCT match_id) FILTER (shared) AS common_n FROM b GROUP BY league""",
+        "provider_fit": with_(o.CALLS) + """, av AS (SELECT provider FROM c GROUP BY 1 HAVING avg(success::INT) > 0.885), ca AS (SELECT DISTINCT provider, CASE WHEN event_id % 2 = 0 THEN 'odds' ELSE 'stats of ' || provider END AS kind FROM c), ma AS (SELECT DISTINCT provider, ['A', 'B', 'C'][event_id % 3 + 1] AS league FROM c WHERE event_id % 3 <> length(provider) % 3)
+            SELECT league, kind, string_agg(DISTINCT provider, ',' ORDER BY provider) AS providers FROM ma JOIN ca USING (provider) WHERE provider IN (SELECT provider FROM av) GROUP BY ALL""",
     }
