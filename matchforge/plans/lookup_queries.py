@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scoring
 from ..operators import features, gates, lookups, profiles
+from ..operators import recalibration as replay
 from ..sources import bridge, csv_files
 from . import oracle
 from .profile_queries import ENGINES, SIDES, _engines, _sides
@@ -248,7 +249,14 @@ def provider_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookups.fit_providers(available, capable, mapped)
 
 
-QUERIES = (odds_cascade, meeting_cascade, form_context, recent_side_means, recent_elsewhere, player_ratings, melted_statistics, latest_snapshot, lineup_sides, retained_calls, table_counts, bet_ledger, absence_reports, absence_bands, penalised_xg, signed_ranks, median_split, experiment_status, decision_checks, failure_classes, csv_matches, csv_home_rows, rating_collisions, order_states, complete_pairs, finishing_readiness, teams_with_ids, engine_subsets, provider_fit)
+def recalibration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weights of each league after all its matches. Without SQL: a test replays it by a plain loop."""
+    x = _predicted(spark, sf_dir).select("match_id", "league", "day", "home_xg", "away_xg").join(_matches(spark, sf_dir).select("match_id", "home_goals", "away_goals"), "match_id")
+    x = x.withColumn("recency", profiles.recency_weight(F.col("day"), F.to_date(F.lit("1998-12-31"))))
+    return places(replay.latest_weights(replay.recalibrate(x)))
+
+
+QUERIES = (odds_cascade, meeting_cascade, form_context, recent_side_means, recent_elsewhere, player_ratings, melted_statistics, latest_snapshot, lineup_sides, retained_calls, table_counts, bet_ledger, absence_reports, absence_bands, penalised_xg, signed_ranks, median_split, experiment_status, decision_checks, failure_classes, csv_matches, csv_home_rows, rating_collisions, order_states, complete_pairs, finishing_readiness, teams_with_ids, engine_subsets, provider_fit, recalibration)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
