@@ -23,10 +23,12 @@ _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 
 
 @lru_cache
-def _exact_encoder(tokenizer_path: str):
+def _exact_encoder(tokenizer_path: str, specials_as_text: bool = False):
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(tokenizer_path)
+    t = Tokenizer.from_file(tokenizer_path)
+    t.encode_special_tokens = specials_as_text
+    return t
 
 
 @lru_cache
@@ -43,13 +45,14 @@ class TokenBytes:
 
     With ``ranks_path``, the ranks of the same vocabulary, ordinary texts go through the
     library that reads ranks, which gives the same ids in a third of the time. Texts with a
-    special token or a very long run go through the tokenizer itself.
+    special token or a very long run go through the tokenizer itself. With
+    ``specials_as_text`` a special token's string in a text is ordinary text.
     """
 
-    def __init__(self, tokenizer_path: str, ranks_path: str | None = None):
-        self.exact = _exact_encoder(tokenizer_path)
+    def __init__(self, tokenizer_path: str, ranks_path: str | None = None, specials_as_text: bool = False):
+        self.exact = _exact_encoder(tokenizer_path, specials_as_text)
         self.fast = _fast_encoder(ranks_path) if ranks_path else None
-        self.special = [t.content for t in self.exact.get_added_tokens_decoder().values()]
+        self.special = [] if specials_as_text else [t.content for t in self.exact.get_added_tokens_decoder().values()]
 
     def _plain(self, text: str) -> bool:
         if self.fast is None or any(s in text for s in self.special):

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language_id, line_quality, lm_scoring, minhash, mixing, packing, quality_classifier, quotes, sharding
+from . import alignment, exact_dedup, language_id, line_quality, lm_scoring, minhash, mixing, packing, quality_classifier, quotes, sharding
 from .common import documents
 from .tokenizers import path as tokenizer
 
@@ -53,8 +53,12 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(documents(spark, sf_dir), keep="max")
 
 
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(documents(spark, sf_dir), tokenizer("byte_bpe_50k.json"), tokenizer("byte_bpe_50k.tiktoken"), tokenizer("piece_bpe_32k.model"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minmax_near_dedup, op2_quotation_linking, op3_kd_sharding, op4_bloom_lm_scoring, op5_source_mixing, op6_line_frequency_rules, op7_best_fit_packing, op8_language_id, op9_quality_classifier, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_minmax_near_dedup, op2_quotation_linking, op3_kd_sharding, op4_bloom_lm_scoring, op5_source_mixing, op6_line_frequency_rules, op7_best_fit_packing, op8_language_id, op9_quality_classifier, op10_exact_dedup, op13_tokenizer_alignment)}
 
 
 OP5_SQL = r"""
