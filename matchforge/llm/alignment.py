@@ -16,8 +16,6 @@ from pyspark.sql import functions as F
 from .common import durable, ship, slices
 from .packing import TokenBytes
 
-#: Bytes of text whose pairs are counted together before anything is shuffled.
-SLICE = 32 << 20
 #: Segments longer than this are not remembered, and so many are at most.
 LONGEST, MOST = 48, 400_000
 DOCS = "slice long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, places binary, times binary, keys array<long>, docs array<int>"
@@ -203,7 +201,7 @@ def _packed(values: np.ndarray, upto: np.ndarray) -> list[bytes]:
     return [raw[4 * i : 4 * j] for i, j in zip(upto[:-1].tolist(), upto[1:].tolist(), strict=True)]
 
 
-def align_slices(byte_path: str, ranks_path: str | None, piece_path: str):
+def align_slices(byte_path: str, ranks_path: str | None, piece_path: str, slice_bytes: int):
     """For mapInArrow: (doc_id, text) to a row per document and one per slice.
 
     A document's row has its digest and its distinct pairs as places in the slice's list of
@@ -246,7 +244,7 @@ def align_slices(byte_path: str, ranks_path: str | None, piece_path: str):
             per_doc = np.bincount(distinct >> 32, minlength=len(texts))
             held.append((ids, *map(spread, (got.n_a, got.n_b, got.n_groups, got.n_links)), sha, per_doc, distinct & 0xFFFFFFFF, times))
             size += b.nbytes
-            if size >= SLICE:
+            if size >= slice_bytes:
                 yield from close(number, held)
                 number, held, size = number + 1, [], 0
         if held:
@@ -272,10 +270,10 @@ def _summed(docs: pa.Table, pairs: pa.Table) -> pa.Table:
     return pa.table({c: made[c] for c in (x.split()[0] for x in RESULT.split(", "))})
 
 
-def align(docs: DataFrame, byte_path: str, ranks_path: str | None, piece_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def align(docs: DataFrame, byte_path: str, ranks_path: str | None, piece_path: str, id_col: str = "doc_id", text_col: str = "text", slice_bytes: int = 32 << 20) -> DataFrame:
     """One row per input row: doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256.
 
-    Texts are encoded once, in slices of about ``SLICE`` bytes. A slice counts its own pairs,
+    Texts are encoded once, in slices of about ``slice_bytes``. A slice counts its own pairs,
     so a pair that is everywhere gives one row a slice; the counts are added up by Spark and
     come back to each slice by a join that Spark may split. Nothing that grows with the corpus is
     broadcast: the best count of each id of the first vocabulary is, at most its size in rows.
@@ -286,7 +284,7 @@ def align(docs: DataFrame, byte_path: str, ranks_path: str | None, piece_path: s
     """
     ship(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    base = durable(texts.mapInArrow(align_slices(byte_path, ranks_path, piece_path), DOCS))
+    base = durable(texts.mapInArrow(align_slices(byte_path, ranks_path, piece_path, slice_bytes), DOCS))
     rows = base.where("keys is not null").select("slice", F.explode(F.arrays_zip("keys", "docs")).alias("x")).select("slice", F.col("x.keys").alias("key"), F.col("x.docs").alias("docs"))
     counts = durable(rows.groupBy("key").agg(F.sum("docs").alias("count")))
     top = counts.groupBy(F.shiftright("key", 16).alias("a")).agg(F.max("count").alias("top"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, exact_dedup, language_id, line_quality, lm_scoring, minhash, mixing, packing, quality_classifier, quotes, sharding
+from . import alignment, collocations, exact_dedup, language_id, line_quality, lm_scoring, minhash, mixing, oracle, packing, quality_classifier, quotes, sharding, url_templates
 from .common import documents
 from .tokenizers import path as tokenizer
 
@@ -53,40 +53,25 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(documents(spark, sf_dir), keep="max")
 
 
+#: What the query allows and blocks.
+URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
+
+
+def op11_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_templates.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"), URL_RULES)
+
+
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(documents(spark, sf_dir), least=100, top=2000)
+
+
 def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align(documents(spark, sf_dir), tokenizer("byte_bpe_50k.json"), tokenizer("byte_bpe_50k.tiktoken"), tokenizer("piece_bpe_32k.model"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minmax_near_dedup, op2_quotation_linking, op3_kd_sharding, op4_bloom_lm_scoring, op5_source_mixing, op6_line_frequency_rules, op7_best_fit_packing, op8_language_id, op9_quality_classifier, op10_exact_dedup, op13_tokenizer_alignment)}
-
-
-OP5_SQL = r"""
-WITH RECURSIVE d AS (
-  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-         CAST('0x' || substr(md5('0:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS h FROM documents),
-s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
-w AS (SELECT *, [5.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS w, 2.0::DOUBLE * source_size AS cap,
-             1.5::DOUBLE * (SELECT sum(size) FROM d) AS budget FROM s),
-l AS (SELECT *, (budget - coalesce(sum(cap) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
-             / sum(w) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
-f AS (SELECT (SELECT min_by(level, cap / w) FROM l WHERE cap > level * w) AS free),
-t AS (SELECT source, source_size, CASE WHEN free IS NULL THEN cap ELSE least(cap, free * w) END AS target FROM l, f),
-p AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(least(2, floor(target / source_size)) AS BIGINT) ELSE 0 END AS passes FROM t),
-c AS (SELECT d.doc_id, d.size, p.source_size, p.target, p.passes, p.target - p.passes * p.source_size AS rest, p.source,
-             sum(d.size) OVER (PARTITION BY d.source ORDER BY d.h) AS upto, sum(d.size) OVER (PARTITION BY d.source, d.h) AS here
-      FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source)
-SELECT doc_id, size, source_size, target,
-       CAST(size * (passes + CASE WHEN passes < 2 AND (upto <= rest OR (upto > rest AND upto - here <= rest AND rest - (upto - here) >= here / 2)) THEN 1 ELSE 0 END) AS BIGINT) AS taken
-FROM c
-"""
-
-OP10_SQL = """
-SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
-       doc_id IS NOT DISTINCT FROM max(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256
-FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)
-"""
+    return {f.__name__: f for f in (op1_minmax_near_dedup, op2_quotation_linking, op3_kd_sharding, op4_bloom_lm_scoring, op5_source_mixing, op6_line_frequency_rules, op7_best_fit_packing, op8_language_id, op9_quality_classifier, op10_exact_dedup, op11_url_templates, op12_phrase_collocations, op13_tokenizer_alignment)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_source_mixing": OP5_SQL, "op10_exact_dedup": OP10_SQL}
+    return {"op5_source_mixing": oracle.OP5_SQL, "op10_exact_dedup": oracle.OP10_SQL, "op11_url_templates": oracle.op11_sql(URL_RULES), "op12_phrase_collocations": oracle.OP12_SQL}

@@ -93,11 +93,10 @@ def test_alignment_whole_table(spark, sf):
 
 
 @pytest.mark.parametrize("size", [1, 1 << 25])
-def test_alignment_odd(spark, monkeypatch, size):
-    monkeypatch.setattr(alignment, "SLICE", size)
+def test_alignment_odd(spark, size):
     texts = [*ODD, None, *ODD[:5]]
     docs = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, key int").repartition(3)
-    got = alignment.align(docs, *FILES).toPandas().sort_values("doc_id")
+    got = alignment.align(docs, *FILES, slice_bytes=size).toPandas().sort_values("doc_id")
     want = list(plain(texts))
     assert [tuple(r) for r in got[COLUMNS].values.tolist()] == want
     assert want[7] == (0, 0, 0, 0, 0, 0, "") and want[6][0] > 0

@@ -23,7 +23,7 @@ def docs_of(spark, sf):
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_sql(spark, sf, name):
     con = duckdb.connect()
-    for t in ("documents", "labels", "conversations"):
+    for t in ("documents", "labels", "conversations", "pages"):
         con.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
     want = con.sql(queries.oracle_sql()[name]).df()
     got = queries.queries()[name](spark, sf).toPandas()
