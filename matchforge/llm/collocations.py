@@ -8,7 +8,6 @@ from itertools import count
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
@@ -48,7 +47,7 @@ def number_slices(slice_bytes: int):
     def close(number: int, held: list[np.ndarray], books: dict[str, Numbered]) -> Iterator[pa.RecordBatch]:
         codes = np.concatenate(held)
         times = np.bincount(codes[codes >= 0], minlength=sum(map(len, books.values())))
-        raw = _deflate(codes.astype("<i4").tobytes())
+        raw = _deflate(codes)
         yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([raw], pa.binary()), pa.nulls(1, pa.string()), pa.nulls(1, pa.list_(pa.string())), pa.nulls(1, pa.list_(pa.int32())), pa.nulls(1, pa.list_(pa.int64()))], names=names)
         for lang, book in books.items():
             words, numbers = list(book), np.fromiter(book.values(), np.int32, len(book))
@@ -79,12 +78,13 @@ def number_slices(slice_bytes: int):
     return run
 
 
-def _deflate(raw: bytes) -> bytes:
-    return zstandard.ZstdCompressor(1).compress(raw)
+def _deflate(numbers: np.ndarray) -> bytes:
+    """32-bit numbers, packed byte by byte of their places, as most are small."""
+    return zstandard.ZstdCompressor(1).compress(np.ascontiguousarray(numbers, "<i4").reshape(-1, 1).view(np.uint8).T.tobytes())
 
 
-def _inflate(blob: bytes) -> bytes:
-    return zstandard.ZstdDecompressor().decompress(blob)
+def _inflate(blob: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8).reshape(4, -1).T).view("<i4").ravel()
 
 
 def _hash_rows(rows: np.ndarray) -> np.ndarray:
@@ -104,25 +104,25 @@ class Slice:
     """
 
     def __init__(self, data: pa.Table, back: pa.Table):
-        codes = np.frombuffer(_inflate(data.column("codes")[0].as_py()), "<i4")
-        single = back.filter(pc.is_null(back.column("other")))
-        number, f, ids = (single.column(c).to_numpy() for c in ("number", "f", "id"))
+        codes = _inflate(data.column("codes")[0].as_py())
+        number, f, ids = (back.column(c).to_numpy() for c in ("number", "f", "id"))
         order = np.lexsort((ids, -f))
-        self.ids, self.f, number = ids[order].astype(np.int64), f[order], number[order]
+        self.ids, self.f, number = ids[order], f[order], number[order]
         self.none = len(number)
+        # The last entry stands for -1.
         rank = np.full(max(int(codes.max(initial=-1)), int(number.max(initial=-1))) + 2, self.none, np.int32)
         rank[number] = np.arange(self.none)
-        self.number = number
-        # The last entry stands for -1.
         self.at = np.concatenate([np.full(SIDE, self.none, np.int32), rank[codes], np.full(SIDE, self.none, np.int32)])
 
-    def fragments(self, step: int = 1 << 19) -> Iterator[np.ndarray]:
+    def fragments(self, step: int = 1_500_000) -> Iterator[np.ndarray]:
         """Rows of nine ranks, the pivot in the middle, -1 where nothing is."""
         at = self.at
         for begin in range(SIDE, len(at) - SIDE, step):
             here = np.arange(begin, min(begin + step, len(at) - SIDE))
             here = here[at[here] < self.none]
             pivot = at[here]
+            before, after = at[here - 1] < pivot, at[here + 1] <= pivot
+            here, pivot = here[before | after], pivot[before | after]
             rows = np.full((len(here), 2 * SIDE + 1), -1, np.int32)
             rows[:, SIDE] = pivot
             for side in (-1, 1):
@@ -131,88 +131,58 @@ class Slice:
                     x = at[here + side * k]
                     open_ &= x < pivot if side < 0 else x <= pivot
                     rows[open_, SIDE + side * k] = x[open_]
-            yield rows[(rows[:, SIDE - 1] >= 0) | (rows[:, SIDE + 1] >= 0)]
-
+            yield rows
 
-PAIRS = "slice long, number int, other int, left boolean, pivot long, neighbour long, n long"
 
+def _added_up(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct rows and how often each comes. Rows are brought together by hash and compared; a collision only leaves equal ones apart."""
+    h = _hash_rows(rows)
+    order = np.argsort(h)
+    rows, h = rows[order], h[order]
+    new = np.ones(len(rows), bool)
+    new[1:] = (h[1:] != h[:-1]) | (rows[1:] != rows[:-1]).any(1)
+    return rows[new], np.diff(np.append(np.flatnonzero(new), len(rows)))
 
-def hot_neighbours(hot: int):
-    """For a cogroup: neighbours of pivots that occur more than ``hot`` times, with their counts in the slice."""
 
-    def run(data: pa.Table, back: pa.Table) -> pa.Table:
-        s = Slice(data, back)
-        found = []
-        for rows in s.fragments():
-            rows = rows[s.f[rows[:, SIDE]] > hot]
-            for is_left, x in ((0, rows[:, SIDE + 1]), (1, rows[:, SIDE - 1])):
-                found.append(((rows[x >= 0, SIDE].astype(np.int64) << 32 | x[x >= 0]) << 1) | is_left)
-        keys, n = np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-        pivot, x = keys >> 33, keys >> 1 & 0xFFFFFFFF
-        number = int(data.column("slice")[0].as_py())
-        return pa.table([pa.array(np.full(len(keys), number)), pa.array(s.number[pivot].astype(np.int32)), pa.array(s.number[x].astype(np.int32)), pa.array((keys & 1).astype(bool)), pa.array(s.ids[pivot]), pa.array(s.ids[x]), pa.array(n.astype(np.int64))], names=[c.split()[0] for c in PAIRS.split(", ")])
-
-    return run
-
-
-ROUTED = "part int, fragments binary"
+ROUTED = "part int, pivot int, beside int, mode int, rows long, fragments binary"
 
 
 def route(parts: int, hot: int):
-    """For a cogroup: a slice's fragments, equal ones added up, packed by the part that mines them.
+    """For a cogroup: a slice's fragments, equal ones added up, packed by what mines them.
 
     A pivot of at most ``hot`` occurrences is mined whole by one part. A more frequent one is
-    split by the word after it, and for phrases that it ends by the word before it, which keeps
-    phrases whole as well. Where such a pair is itself that frequent, its fragments are dealt
-    by hash; their counts are partial and no phrase is dropped before all are added up.
+    split by the word after it (mode 1), and for phrases that it ends by the word before it
+    (mode 2), which keeps phrases whole as well; such classes get their part when the size
+    of all of them is known.
     """
 
-    def run(data: pa.Table, back: pa.Table) -> pa.Table:
+    def run(data: pa.Table, back: pa.Table) -> Iterator[pa.RecordBatch]:
         s = Slice(data, back)
-        pairs = back.filter(pc.is_valid(back.column("other")))
-        rank = {int(n): r for r, n in enumerate(s.number)}
-        salts = {(rank[p], rank[o], bool(left)): -(-int(f) // hot) for p, o, left, f in zip(*(pairs.column(c).to_pylist() for c in ("number", "other", "left", "f")), strict=True)}
-        salted = np.array(sorted((p << 32 | o) << 1 | left for p, o, left in salts), np.int64)
-        many = np.array([salts[int(k) >> 33, int(k) >> 1 & 0xFFFFFFFF, bool(k & 1)] for k in salted], np.int64)
-        held = []
         for rows in s.fragments():
             whole = s.f[rows[:, SIDE]] <= hot
             ends = rows[~whole & (rows[:, SIDE - 1] >= 0)].copy()
             ends[:, SIDE + 1 :] = -1
             goes_on = rows[~whole & (rows[:, SIDE + 1] >= 0)]
-            rows = np.concatenate([rows[whole], ends, goes_on])
             mode = np.repeat(np.array([0, 2, 1], np.int32), [int(whole.sum()), len(ends), len(goes_on)])
-            held.append(np.column_stack([rows, mode]))
-        rows = np.concatenate(held) if held else np.zeros((0, 2 * SIDE + 2), np.int32)
-        h = _hash_rows(rows)
-        order = np.argsort(h)
-        rows, h = rows[order], h[order]
-        new = np.ones(len(rows), bool)
-        new[1:] = (h[1:] != h[:-1]) | (rows[1:] != rows[:-1]).any(1)
-        n = np.diff(np.append(np.flatnonzero(new), len(rows)))
-        rows = rows[new]
-        ids = np.where(rows[:, :-1] >= 0, np.append(s.ids, -1)[rows[:, :-1]], -1)
-        pivot, mode = rows[:, SIDE].astype(np.int64), rows[:, -1]
-        beside = np.where(mode == 0, 0, np.where(mode == 1, rows[:, SIDE + 1], rows[:, SIDE - 1])).astype(np.int64)
-        key = (pivot << 32 | beside) << 1 | (mode == 2)
-        times = np.ones(len(rows), np.int64)
-        if len(salted):
-            place = np.minimum(np.searchsorted(salted, key), len(salted) - 1)
-            hit = (salted[place] == key) & (mode > 0)
-            times[hit] = many[place[hit]]
-        salt = np.where(times > 1, (_hash_rows(ids) % times.astype(np.uint64)).astype(np.int64), 0)
-        beside_id = np.where(mode == 0, -1, s.ids[beside] if len(s.ids) else -1)
-        part = (_hash_rows(np.column_stack([ids[:, SIDE], beside_id, mode, salt])) % np.uint64(parts)).astype(np.int64)
-        # Mode, and whether the part sees all fragments of the phrase.
-        kind = np.where(mode == 1, 1, 0) | np.where(times > 1, 2, 0)
-        wide = np.column_stack([ids, kind, n]).astype("<i4")
-        order = np.argsort(part, kind="stable")
-        wide, part = wide[order], part[order]
-        cuts = np.flatnonzero(np.diff(part, prepend=-1))
-        blobs = [_deflate(wide[i:j].T.tobytes()) for i, j in zip(cuts, np.append(cuts, len(part))[1:], strict=True)]
-        return pa.table([pa.array(part[cuts].astype(np.int32)), pa.array(blobs, pa.binary())], names=["part", "fragments"])
-
-    return run
+            rows, n = _added_up(np.column_stack([np.concatenate([rows[whole], ends, goes_on]), mode]))
+            mode, rows = rows[:, -1], rows[:, :-1]
+            ids = np.where(rows >= 0, np.append(s.ids, -1)[rows], -1).astype(np.int32)
+            pivot = ids[:, SIDE]
+            beside = np.where(mode == 0, -1, np.where(mode == 1, ids[:, SIDE + 1], ids[:, SIDE - 1]))
+            part = np.where(mode == 0, (_hash_rows(pivot[:, None]) % np.uint64(parts)).astype(np.int64), -1)
+            order = np.lexsort((ids[:, SIDE + 1], pivot, beside, np.where(mode == 0, 0, pivot), mode, part))
+            wide, part, pivot, beside, mode = np.column_stack([ids, n])[order], part[order], pivot[order], beside[order], mode[order]
+            key = np.column_stack([part, np.where(mode == 0, -1, pivot), beside, mode])
+            cuts = np.flatnonzero(np.append(True, (key[1:] != key[:-1]).any(1))) if len(key) else np.zeros(0, np.int64)
+            stops = np.append(cuts, len(key))[1:]
+            blobs = [_deflate(wide[i:j].T) for i, j in zip(cuts, stops, strict=True)]
+            kind = lambda x: pa.array(x[cuts].astype(np.int32))  # noqa: E731, B023
+            yield pa.RecordBatch.from_arrays([pa.array(np.where(mode[cuts] == 0, part[cuts], 0).astype(np.int32), mask=mode[cuts] != 0), kind(pivot), kind(beside), kind(mode), pa.array((stops - cuts).astype(np.int64)), pa.array(blobs, pa.binary())], names=[c.split()[0] for c in ROUTED.split(", ")])
+
+    def table(data: pa.Table, back: pa.Table) -> pa.Table:
+        return pa.Table.from_batches(run(data, back), schema=pa.schema([(n, {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}[t]) for n, t in map(str.split, ROUTED.split(", "))]))
+
+    return table
 
 
 FOUND = ", ".join(f"{w} int" for w in WORDS) + ", a long"
@@ -225,9 +195,11 @@ def mine(least: int):
     """
 
     def run(group: pa.Table) -> pa.Table:
-        rows = np.concatenate([np.frombuffer(_inflate(x), "<i4").reshape(2 * SIDE + 3, -1).T for x in group.column("fragments").to_pylist()])
-        fragment, kind, n = rows[:, : 2 * SIDE + 1], rows[:, -2], rows[:, -1]
-        after, partial = (kind & 1) > 0, (kind & 2) > 0
+        blobs = [_inflate(x).reshape(2 * SIDE + 2, -1).T for x in group.column("fragments").to_pylist()]
+        rows, sizes = np.concatenate(blobs), [len(x) for x in blobs]
+        fragment, n = rows[:, : 2 * SIDE + 1], rows[:, -1]
+        after = np.repeat(group.column("mode").to_numpy() == 1, sizes)
+        partial = np.repeat(group.column("partial").to_numpy(zero_copy_only=False), sizes)
         codes: dict[tuple[int, int], np.ndarray] = {}
         out, totals = [], []
         for m in range(2, WIDTH + 1):
@@ -286,34 +258,37 @@ def phrase_counts(docs: DataFrame, least: int, lang_col: str, text_col: str, sli
     ship(docs.sparkSession)
     texts = docs.where(F.col(text_col).isNotNull()).select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).alias("text"))
     base = durable(texts.mapInArrow(number_slices(slice_bytes), SLICES))
-    books = base.where("codes is null")
+    books, data = base.where("codes is null"), base.where("codes is not null").select("slice", "codes")
     totals = durable(books.select("lang", F.aggregate("times", F.lit(0).cast("long"), lambda x, y: x + y).alias("n")).groupBy("lang").agg(F.sum("n").alias("n")))
     rows = books.select("slice", "lang", F.explode(F.arrays_zip("words", "numbers", "times")).alias("x")).select("slice", "lang", F.col("x.words").alias("word"), F.col("x.numbers").alias("number"), F.col("x.times").alias("n"))
-    frequent = durable(rows.groupBy("lang", "word").agg(F.sum("n").alias("f")).where(F.col("f") >= least))
+    # One shuffle: a slice has a word once, so no word has more rows than there are slices. They are listed in blocks of so many slices.
+    block = F.pmod(F.xxhash64("slice"), F.lit(1 + data.count() // 10_000)).alias("block")
+    listed = rows.repartition("lang", "word").groupBy("lang", "word", block).agg(F.sum("n").alias("n"), F.collect_list(F.struct("slice", "number")).alias("places"))
+    listed = durable(listed.withColumn("f", F.sum("n").over(Window.partitionBy("lang", "word"))).where(F.col("f") >= least).drop("n"))
+    frequent = listed.groupBy("lang", "word").agg(F.first("f").alias("f"))
+    size, number = frequent.agg(F.sum("f"), F.count("*")).first()
     # Dense ids: the place in one of so many buckets, and the bucket.
-    buckets = max(1, frequent.count() // 200_000)
+    buckets = max(1, number // 200_000)
     bucket = F.pmod(F.xxhash64("lang", "word"), F.lit(buckets)).cast("int")
     numbered = frequent.withColumn("bucket", bucket).withColumn("id", ((F.row_number().over(Window.partitionBy("bucket").orderBy("lang", "word")) - 1) * buckets + F.col("bucket")).cast("int"))
     words = durable(numbered.drop("bucket"))
-    back = durable(rows.select("slice", "lang", "word", "number").join(words, ["lang", "word"]).select("slice", "number", F.lit(None).cast("int").alias("other"), F.lit(None).cast("boolean").alias("left"), "id", "f"))
-    data = base.where("codes is not null").select("slice", "codes")
-    size, most = words.agg(F.sum("f"), F.max("f")).first()
-
-    def with_slices(back: DataFrame, f, schema: str) -> DataFrame:
-        return data.groupBy("slice").cogroup(back.withColumnRenamed("slice", "home").groupBy("home")).applyInArrow(f, schema)
-
-    if (most or 0) > hot:
-        beside = durable(with_slices(back, hot_neighbours(hot), PAIRS))
-        pairs = beside.groupBy("pivot", "neighbour", "left").agg(F.sum("n").alias("f")).where(F.col("f") > hot)
-        more = beside.join(pairs, ["pivot", "neighbour", "left"]).select("slice", "number", "other", "left", F.lit(None).cast("int").alias("id"), "f")
-        back = back.unionByName(more)
+    back = listed.drop("f").join(words, ["lang", "word"]).select("id", "f", F.explode("places").alias("x")).select(F.col("x.slice").alias("home"), F.col("x.number").alias("number"), "id", "f")
     parts = max(1, -(-(size or 0) // part_fragments))
-    mined = with_slices(back, route(parts, hot), ROUTED).groupBy("part").applyInArrow(mine(least), FOUND)
-    phrases = durable(mined.groupBy(*WORDS).agg(F.sum("a").alias("a")).where(F.col("a") >= least))
+    routed = durable(data.groupBy("slice").cogroup(back.groupBy("home")).applyInArrow(route(parts, hot), ROUTED))
+    # Classes of frequent pivots: whole where they are small enough, else dealt out by slice, and their counts are partial.
+    classes = ["pivot", "beside", "mode"]
+    split = routed.where("part is null")
+    large = split.groupBy(*classes).agg(F.sum("rows").alias("all")).where(F.col("all") > hot)
+    split = split.join(large, classes, "left").withColumn("partial", F.col("all").isNotNull())
+    salt = F.when(F.col("partial"), F.pmod(F.xxhash64("fragments"), F.ceil(F.col("all") / hot))).otherwise(0)
+    split = split.withColumn("part", F.pmod(F.xxhash64(*classes, salt), F.lit(parts)).cast("int"))
+    columns = ["part", "mode", "partial", "fragments"]
+    grouped = routed.where("part is not null").withColumn("partial", F.lit(False)).select(*columns).unionByName(split.select(*columns)).groupBy("part")
+    phrases = durable(grouped.applyInArrow(mine(least), FOUND).groupBy(*WORDS).agg(F.sum("a").alias("a")).where(F.col("a") >= least))
     return words, totals, phrases
 
 
-def collocations(docs: DataFrame, least: int = 100, top: int = 2000, lang_col: str = "lang", text_col: str = "text", slice_bytes: int = 16 << 20, part_fragments: int = 250_000, hot: int = 1_000_000) -> DataFrame:
+def collocations(docs: DataFrame, least: int = 100, top: int = 2000, lang_col: str = "lang", text_col: str = "text", slice_bytes: int = 32 << 20, part_fragments: int = 250_000, hot: int = 1_000_000) -> DataFrame:
     """The first ``top`` phrases of two to five words of each language: lang, rank, phrase, a, l, r, n, score.
 
     Words are numbered slice by slice. Their counts are added up and come back to the slices,
