@@ -114,7 +114,7 @@ class Slice:
         rank[number] = np.arange(self.none)
         self.at = np.concatenate([np.full(SIDE, self.none, np.int32), rank[codes], np.full(SIDE, self.none, np.int32)])
 
-    def fragments(self, step: int = 1_500_000) -> Iterator[np.ndarray]:
+    def fragments(self, step: int = 400_000) -> Iterator[np.ndarray]:
         """Rows of nine ranks, the pivot in the middle, -1 where nothing is."""
         at = self.at
         for begin in range(SIDE, len(at) - SIDE, step):
@@ -242,6 +242,7 @@ def mine(least: int):
                 phrase[:, k] = fragment[at[first[keep]], starts[first[keep]] + k]
             out.append(phrase)
             totals.append(total[keep])
+            codes = {k: v for k, v in codes.items() if k[1] == m}
         phrases = np.concatenate(out) if out else np.zeros((0, WIDTH), np.int32)
         return pa.table([*(pa.array(phrases[:, k]) for k in range(WIDTH)), pa.array(np.concatenate(totals) if totals else np.zeros(0, np.int64))], names=[*WORDS, "a"])
 
@@ -288,7 +289,7 @@ def phrase_counts(docs: DataFrame, least: int, lang_col: str, text_col: str, sli
     return words, totals, phrases
 
 
-def collocations(docs: DataFrame, least: int = 100, top: int = 2000, lang_col: str = "lang", text_col: str = "text", slice_bytes: int = 32 << 20, part_fragments: int = 250_000, hot: int = 1_000_000) -> DataFrame:
+def collocations(docs: DataFrame, least: int = 100, top: int = 2000, lang_col: str = "lang", text_col: str = "text", slice_bytes: int = 32 << 20, part_fragments: int = 200_000, hot: int = 300_000) -> DataFrame:
     """The first ``top`` phrases of two to five words of each language: lang, rank, phrase, a, l, r, n, score.
 
     Words are numbered slice by slice. Their counts are added up and come back to the slices,
