@@ -69,10 +69,10 @@ def trend(rows: DataFrame, group: str, order: list[Column], value: str) -> DataF
 def walk_forward(rows: DataFrame, order: list[str], folds: int = 5) -> DataFrame:
     """Adds segment 0 to ``folds`` by place in time: fold k trains on lower segments and is judged on its own.
 
-    Places are counted by day first, so that only days are ranked in one task.
+    Segment k begins at place k * n / (folds + 1), cut down. Places are counted by day first, so that only days are ranked in one task.
     """
     days = rows.groupBy("day").agg(F.count("*").alias("n"))
     days = days.withColumn("ahead", F.sum("n").over(Window.orderBy("day")) - F.col("n")).withColumn("all", F.sum("n").over(Window.partitionBy()))
     x = rows.join(days.select("day", "ahead", "all"), "day")
     place = F.col("ahead") + F.row_number().over(Window.partitionBy("day").orderBy(*order)) - 1
-    return x.withColumn("segment", F.floor(place * (folds + 1) / F.col("all")).cast("int")).drop("ahead", "all")
+    return x.withColumn("segment", F.floor(((place + 1) * (folds + 1) - 1) / F.col("all")).cast("int")).drop("ahead", "all")

@@ -158,7 +158,7 @@ def oracle_sql() -> dict[str, str]:
         "degraded_run": base + ", v AS (SELECT home, result <> 'A' AS ok, row_number() OVER (PARTITION BY home ORDER BY day DESC, match_id DESC) AS k FROM m) SELECT home, coalesce(min(CASE WHEN NOT ok THEN k END) - 1, count(*)) AS run FROM v GROUP BY home",
         "trend": base + """, v AS (SELECT home, CAST(home_goals + away_goals AS DOUBLE) AS g, row_number() OVER (PARTITION BY home ORDER BY day, match_id) AS k, count(*) OVER (PARTITION BY home) AS n FROM m), e AS (SELECT home, avg(CASE WHEN k <= floor(n / 2) THEN g END) AS early, avg(CASE WHEN k > floor(n / 2) THEN g END) AS late FROM v GROUP BY home)
             SELECT home, round(early, 6) AS early, round(late, 6) AS late, late > early AS worse FROM e""",
-        "walk_forward": base + ", v AS (SELECT day, CAST(floor((row_number() OVER (ORDER BY day, match_id) - 1) * 6 / (SELECT count(*) FROM m)::DOUBLE) AS BIGINT) AS segment FROM m) SELECT segment, count(*) AS n, min(day) AS since, max(day) AS until FROM v GROUP BY segment",
+        "walk_forward": base + ", v AS (SELECT day, (row_number() OVER (ORDER BY day, match_id) * 6 - 1) // (SELECT count(*) FROM m) AS segment FROM m) SELECT segment, count(*) AS n, min(day) AS since, max(day) AS until FROM v GROUP BY segment",
         "keys_and_seasons": base + """, v AS (SELECT *, lower(home) || '||' || lower(away) || '||' || CAST(day AS VARCHAR) AS match_key, CAST(year(day - INTERVAL 6 MONTH) AS BIGINT) AS season FROM m)
             SELECT match_id, match_key, 'hist_' || substr(sha256(match_key), 1, 16) AS fixture, season, season || '-' || (season + 1) AS season_label, CASE lower(trim(home)) WHEN 'united states' THEN 'usa' WHEN 'united kingdom' THEN 'gbr' ELSE trim(home) END AS home_name FROM v""",
         "parsed_statistics": "SELECT p_partkey, CAST(p_size AS DOUBLE) AS leading, CAST(p_size AS DOUBLE) AS share, CAST('7' || p_size AS BIGINT) AS digits, regexp_replace(regexp_replace(lower(trim(p_name)), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS slug FROM part",

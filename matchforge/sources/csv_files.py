@@ -46,6 +46,45 @@ def inspect(spark: SparkSession, folder: str) -> DataFrame:
     return x.withColumns({"missing": missing, "known": known}).select("path", "bytes", "n_rows", "columns", "missing", "known", kind.alias("kind"))
 
 
+#: Kinds of a cell, the narrowest first; what fits none is text. Blank cells and these words are unknown.
+_UNKNOWN = ("", "na", "n/a", "nan", "null", "none")
+_CELL = r'(?:^|,)("(?:[^"]++|"")*+"|[^,]*+)'
+
+
+def cell_kind(cell: Column) -> Column:
+    """unknown, whole, number, day or text."""
+    bare = F.trim(F.regexp_replace(cell, '^"|"$', ""))
+    kind = F.when(F.lower(bare).isin(*_UNKNOWN), "unknown").when(bare.rlike("^[+-]?[0-9]{1,18}$"), "whole").when(bare.rlike(r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$"), "number")
+    return kind.when(bare.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}$") & F.try_to_date(bare).isNotNull(), "day").otherwise("text")
+
+
+def merged_kind(counts: dict[str, Column]) -> Column:
+    """The least kind that holds all cells of a column: whole numbers are numbers, all is text, and unknown cells fit each."""
+    known = counts["whole"] + counts["number"] + counts["day"] + counts["text"]
+    return F.when(known == 0, "unknown").when(counts["whole"] == known, "whole").when(counts["whole"] + counts["number"] == known, "number").when(counts["day"] == known, "day").otherwise("text")
+
+
+def types(spark: SparkSession, folder: str) -> DataFrame:
+    """path, place, column, kind, n, n_unknown of every column of every ``*.csv`` below a folder, from all its cells in one pass.
+
+    Counts of kinds are added up over a file's lines, wherever they are read, and the header's
+    own cells are taken off again, as only the whole file tells which line is first. Cells may
+    be quoted; a line break inside quotes counts as a new line. A line's cells beyond the
+    header are not counted, and those that it lacks count as unknown.
+    """
+    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").text(folder).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("k"), "value").where("value <> ''")
+    split = lambda c: F.regexp_extract_all(F.regexp_replace(c, "^\ufeff", ""), F.lit(_CELL), F.lit(1))
+    heads = lines.groupBy("path").agg((F.count("*") - 1).alias("n"), F.min_by("value", F.struct("at", "k")).alias("header"))
+    heads = heads.select("path", "n", F.posexplode(split(F.col("header"))).alias("place", "column"))
+    cells = lines.select("path", F.posexplode(split(F.col("value"))).alias("place", "cell")).groupBy("path", "place", cell_kind(F.col("cell")).alias("kind")).agg(F.count("*").alias("c"))
+    kinds = ("whole", "number", "day", "text")
+    wide = cells.groupBy("path", "place").agg(*(F.sum(F.when(F.col("kind") == k, F.col("c")).otherwise(0)).alias(k) for k in kinds))
+    x = heads.join(wide, ["path", "place"], "left").withColumns({k: F.coalesce(k, F.lit(0)) - (cell_kind(F.col("column")) == k).cast("int") for k in kinds})
+    counts = {k: F.col(k) for k in kinds}
+    name = F.trim(F.regexp_replace("column", '^"|"$', ""))
+    return x.select("path", (F.col("place") + 1).alias("place"), name.alias("column"), merged_kind(counts).alias("kind"), "n", (F.col("n") - sum(counts.values(), F.lit(0))).alias("n_unknown"))
+
+
 def matches(lines: DataFrame, line: str, columns: list[str], day_format: str, cutoff: Column | None, order: str, take: Column | None = None) -> DataFrame:
     """The lines' own columns with day, home, away, home_goals, away_goals, result, fixture and reason.
 

@@ -4,11 +4,11 @@ import duckdb
 import pandas as pd
 import pytest
 
-from matchforge.plans import lookup_queries, oracle, profile_queries, queries, record_queries
+from matchforge.plans import lookup_queries, model_queries, oracle, profile_queries, queries, record_queries
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
-SQL = oracle.oracle_sql() | profile_queries.oracle_sql() | record_queries.oracle_sql() | lookup_queries.oracle_sql()
-QUERIES = queries.queries() | profile_queries.queries() | record_queries.queries() | lookup_queries.queries()
+SQL = oracle.oracle_sql() | profile_queries.oracle_sql() | record_queries.oracle_sql() | lookup_queries.oracle_sql() | model_queries.oracle_sql()
+QUERIES = queries.queries() | profile_queries.queries() | record_queries.queries() | lookup_queries.queries() | model_queries.queries()
 
 
 def plain(x):
