@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import binary, durable, ship, slices
+from .common import binary, durable, release, ship, slices
 
 #: Longest phrase; a fragment holds so many words less one on each side of its pivot.
 WIDTH = 5
@@ -80,7 +80,7 @@ def number_slices(slice_bytes: int):
 
 def _deflate(numbers: np.ndarray) -> bytes:
     """32-bit numbers, packed byte by byte of their places, as most are small."""
-    return zstandard.ZstdCompressor(1).compress(np.ascontiguousarray(numbers, "<i4").reshape(-1, 1).view(np.uint8).T.tobytes())
+    return zstandard.ZstdCompressor(5).compress(np.ascontiguousarray(numbers, "<i4").reshape(-1, 1).view(np.uint8).T.tobytes())
 
 
 def _inflate(blob: bytes) -> np.ndarray:
@@ -276,6 +276,7 @@ def phrase_counts(docs: DataFrame, least: int, lang_col: str, text_col: str, sli
     back = listed.drop("f").join(words, ["lang", "word"]).select("id", "f", F.explode("places").alias("x")).select(F.col("x.slice").alias("home"), F.col("x.number").alias("number"), "id", "f")
     parts = max(1, -(-(size or 0) // part_fragments))
     routed = durable(data.groupBy("slice").cogroup(back.groupBy("home")).applyInArrow(route(parts, hot), ROUTED))
+    release(base, listed)
     # Classes of frequent pivots: whole where they are small enough, else dealt out by slice, and their counts are partial.
     classes = ["pivot", "beside", "mode"]
     split = routed.where("part is null")
@@ -286,10 +287,11 @@ def phrase_counts(docs: DataFrame, least: int, lang_col: str, text_col: str, sli
     columns = ["part", "mode", "partial", "fragments"]
     grouped = routed.where("part is not null").withColumn("partial", F.lit(False)).select(*columns).unionByName(split.select(*columns)).groupBy("part")
     phrases = durable(grouped.applyInArrow(mine(least), FOUND).groupBy(*WORDS).agg(F.sum("a").alias("a")).where(F.col("a") >= least))
+    release(routed)
     return words, totals, phrases
 
 
-def collocations(docs: DataFrame, least: int = 100, top: int = 2000, lang_col: str = "lang", text_col: str = "text", slice_bytes: int = 32 << 20, part_fragments: int = 200_000, hot: int = 300_000) -> DataFrame:
+def collocations(docs: DataFrame, least: int = 100, top: int = 2000, lang_col: str = "lang", text_col: str = "text", slice_bytes: int = 16 << 20, part_fragments: int = 200_000, hot: int = 300_000) -> DataFrame:
     """The first ``top`` phrases of two to five words of each language: lang, rank, phrase, a, l, r, n, score.
 
     Words are numbered slice by slice. Their counts are added up and come back to the slices,
