@@ -8,6 +8,7 @@ from itertools import count
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
@@ -105,7 +106,8 @@ class Slice:
 
     def __init__(self, data: pa.Table, back: pa.Table):
         codes = _inflate(data.column("codes")[0].as_py())
-        number, f, ids = (back.column(c).to_numpy() for c in ("number", "f", "id"))
+        number, ids, f, many = np.concatenate([np.zeros((4, 0), np.int64), *(_inflate(x).reshape(4, -1).astype(np.int64) for x in back.column("known").to_pylist())], axis=1)
+        f = f | many << 31
         order = np.lexsort((ids, -f))
         self.ids, self.f, number = ids[order], f[order], number[order]
         self.none = len(number)
@@ -144,6 +146,38 @@ def _added_up(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return rows[new], np.diff(np.append(np.flatnonzero(new), len(rows)))
 
 
+KNOWN = "home long, known binary"
+
+
+def hand_back(most: int = 1 << 20):
+    """For mapInArrow: (id, f, places) of words to what each slice gets: its numbers of them, their ids and counts, packed in one row a slice."""
+
+    def packed(held: list[np.ndarray]) -> pa.RecordBatch:
+        home, *known = np.concatenate(held, axis=1)
+        order = np.argsort(home, kind="stable")
+        home, known = home[order], np.stack(known)[:, order]
+        cuts = np.flatnonzero(np.diff(home, prepend=-1))
+        blobs = [_deflate(known[:, i:j]) for i, j in zip(cuts, np.append(cuts, len(home))[1:], strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(home[cuts]), pa.array(blobs, pa.binary())], names=["home", "known"])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for b in batches:
+            places = b.column("places")
+            home, number = places.flatten().flatten()
+            n = np.diff(places.offsets.to_numpy())
+            f = b.column("f").to_numpy()
+            held.append(np.stack([home.to_numpy(), number.to_numpy(), np.repeat(b.column("id").to_numpy(), n), np.repeat(f & 0x7FFFFFFF, n), np.repeat(f >> 31, n)]))
+            size += len(home)
+            if size >= most:
+                yield packed(held)
+                held, size = [], 0
+        if size:
+            yield packed(held)
+
+    return run
+
+
 ROUTED = "part int, pivot int, beside int, mode int, rows long, fragments binary"
 
 
@@ -156,8 +190,10 @@ def route(parts: int, hot: int):
     of all of them is known.
     """
 
-    def run(data: pa.Table, back: pa.Table) -> Iterator[pa.RecordBatch]:
+    def run(data: pa.Table, back: pa.Table) -> pa.Table:
         s = Slice(data, back)
+        # Little is kept of a step: ids and numbers of its distinct fragments.
+        held, modes = [np.zeros((0, 2 * SIDE + 2), np.int32)], [np.zeros(0, np.int32)]
         for rows in s.fragments():
             whole = s.f[rows[:, SIDE]] <= hot
             ends = rows[~whole & (rows[:, SIDE - 1] >= 0)].copy()
@@ -166,23 +202,24 @@ def route(parts: int, hot: int):
             mode = np.repeat(np.array([0, 2, 1], np.int32), [int(whole.sum()), len(ends), len(goes_on)])
             rows, n = _added_up(np.column_stack([np.concatenate([rows[whole], ends, goes_on]), mode]))
             mode, rows = rows[:, -1], rows[:, :-1]
-            ids = np.where(rows >= 0, np.append(s.ids, -1)[rows], -1).astype(np.int32)
-            pivot = ids[:, SIDE]
-            beside = np.where(mode == 0, -1, np.where(mode == 1, ids[:, SIDE + 1], ids[:, SIDE - 1]))
-            part = np.where(mode == 0, (_hash_rows(pivot[:, None]) % np.uint64(parts)).astype(np.int64), -1)
-            order = np.lexsort((ids[:, SIDE + 1], pivot, beside, np.where(mode == 0, 0, pivot), mode, part))
-            wide, part, pivot, beside, mode = np.column_stack([ids, n])[order], part[order], pivot[order], beside[order], mode[order]
-            key = np.column_stack([part, np.where(mode == 0, -1, pivot), beside, mode])
-            cuts = np.flatnonzero(np.append(True, (key[1:] != key[:-1]).any(1))) if len(key) else np.zeros(0, np.int64)
-            stops = np.append(cuts, len(key))[1:]
-            blobs = [_deflate(wide[i:j].T) for i, j in zip(cuts, stops, strict=True)]
-            kind = lambda x: pa.array(x[cuts].astype(np.int32))  # noqa: E731, B023
-            yield pa.RecordBatch.from_arrays([pa.array(np.where(mode[cuts] == 0, part[cuts], 0).astype(np.int32), mask=mode[cuts] != 0), kind(pivot), kind(beside), kind(mode), pa.array((stops - cuts).astype(np.int64)), pa.array(blobs, pa.binary())], names=[c.split()[0] for c in ROUTED.split(", ")])
+            held.append(np.column_stack([np.append(s.ids, -1).astype(np.int32)[rows], n]).astype(np.int32))
+            modes.append(mode)
+        wide, mode = np.concatenate(held), np.concatenate(modes)
+        del held
+        pivot = wide[:, SIDE]
+        beside = np.where(mode == 0, -1, np.where(mode == 1, wide[:, SIDE + 1], wide[:, SIDE - 1]))
+        part = np.where(mode == 0, (_hash_rows(pivot[:, None]) % np.uint64(parts)).astype(np.int32), -1)
+        own = np.where(mode == 0, -1, pivot)
+        order = np.lexsort((wide[:, SIDE + 1], pivot, beside, own, mode, part))
+        key = np.column_stack([part, own, beside, mode])[order]
+        cuts = np.flatnonzero(np.append(True, (key[1:] != key[:-1]).any(1))) if len(key) else np.zeros(0, np.int64)
+        stops = np.append(cuts, len(key))[1:]
+        blobs = [_deflate(wide[order[i:j]].T) for i, j in zip(cuts, stops, strict=True)]
+        part, own, beside, mode = (pa.array(x.astype(np.int32)) for x in key[cuts].T)
+        part = pc.if_else(pc.equal(mode, 0), part, pa.scalar(None, pa.int32()))
+        return pa.table([part, own, beside, mode, pa.array((stops - cuts).astype(np.int64)), pa.array(blobs, pa.binary())], names=[c.split()[0] for c in ROUTED.split(", ")])
 
-    def table(data: pa.Table, back: pa.Table) -> pa.Table:
-        return pa.Table.from_batches(run(data, back), schema=pa.schema([(n, {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}[t]) for n, t in map(str.split, ROUTED.split(", "))]))
-
-    return table
+    return run
 
 
 FOUND = ", ".join(f"{w} int" for w in WORDS) + ", a long"
@@ -273,7 +310,7 @@ def phrase_counts(docs: DataFrame, least: int, lang_col: str, text_col: str, sli
     bucket = F.pmod(F.xxhash64("lang", "word"), F.lit(buckets)).cast("int")
     numbered = frequent.withColumn("bucket", bucket).withColumn("id", ((F.row_number().over(Window.partitionBy("bucket").orderBy("lang", "word")) - 1) * buckets + F.col("bucket")).cast("int"))
     words = durable(numbered.drop("bucket"))
-    back = listed.drop("f").join(words, ["lang", "word"]).select("id", "f", F.explode("places").alias("x")).select(F.col("x.slice").alias("home"), F.col("x.number").alias("number"), "id", "f")
+    back = listed.drop("f").join(words, ["lang", "word"]).select("id", "f", "places").mapInArrow(hand_back(), KNOWN)
     parts = max(1, -(-(size or 0) // part_fragments))
     routed = durable(data.groupBy("slice").cogroup(back.groupBy("home")).applyInArrow(route(parts, hot), ROUTED))
     release(base, listed)

@@ -34,7 +34,8 @@ def exact_duplicates(docs: DataFrame, keep: str = "min", id_col: str = "doc_id",
 
     ``keep``: "min" or "max" id stays. Null text counts as empty. A null id never wins over a
     real one; rows that repeat id and text stand or fall together. An empty table gives an
-    empty result. Columns other than the id and the text are not read.
+    empty result. A text of any length is hashed and compared whole. Columns other than the id
+    and the text are not read.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).withColumn("h", hashed(F.col("t")))
     narrow = rows.select("doc_id", "h", F.sha2("t", 256).alias("s"))

@@ -88,7 +88,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
     ``copies``: how often the document is taken, at most ``most``; taken = size * copies. The
     last document goes in if at least half of it fits, so a source misses its target by at
     most half a document. Null text has size 0; null is a source like any other; rows with
-    equal ids share a hash and so their fate. An empty table gives an empty result.
+    equal ids share a hash and so their fate. The words of a text of any length are all counted. Columns
+    other than the id, the text and the source are not read. An empty table gives an empty result.
     """
     rows, plan = mixing_plan(docs, weights, share, most, seed, id_col, text_col, source_col)
     copies = _copies(most, F.col("hash"))

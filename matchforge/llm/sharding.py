@@ -16,13 +16,30 @@ BINS = 2048
 SLACK = 1 / 1024
 
 
-def metadata_number(df: DataFrame, name: str) -> Column:
-    """A metadata column as an ordered long: numbers as they are, text by its first six bytes; null is -1."""
-    if dict(df.dtypes)[name] == "string":
-        number = F.conv(F.hex(F.rpad(F.substring(F.encode(F.col(name), "UTF-8"), 1, 6), 6, b"\0")), 16, 10).cast("long")
-    else:
-        number = F.col(name).cast("long")
-    return F.coalesce(number, F.lit(-1).cast("long"))
+def ranks(df: DataFrame, name: str, parts: int = 32) -> DataFrame:
+    """(value, rank) of each distinct value of a text column, by its bytes from 0 on.
+
+    Values are dealt out by ranges and written, so a value's rank is its place in its range and
+    the values in the ranges before.
+    """
+    values = df.select(F.col(name).alias("value")).where("value is not null").distinct()
+    dealt = durable(values.repartitionByRange(parts, "value").withColumn("range", F.spark_partition_id()))
+    counts = dealt.groupBy("range").agg(F.count("*").alias("n"))
+    before = counts.select(F.col("range"), (F.sum("n").over(Window.orderBy("range")) - F.col("n")).alias("before"))  # a row a range
+    place = F.row_number().over(Window.partitionBy("range").orderBy("value")) - 1
+    return dealt.withColumn("place", place).join(before, "range").select("value", (F.col("before") + F.col("place")).alias("rank"))
+
+
+def with_numbers(rows: DataFrame, names: dict[str, str]) -> DataFrame:
+    """``rows`` with each metadata column as an ordered long under its new name: numbers as they are, whole texts by rank; null is -1."""
+    kinds = dict(rows.dtypes)
+    for name, new in names.items():
+        if kinds[name] == "string":
+            found = durable(ranks(rows, name))
+            rows = rows.join(found, rows[name] == found["value"], "left").drop("value").withColumn(new, F.coalesce("rank", F.lit(-1)).cast("long")).drop("rank")
+        else:
+            rows = rows.withColumn(new, F.coalesce(F.col(name).cast("long"), F.lit(-1)))
+    return rows.drop(*names)
 
 
 def _cut_lines(node: Column, cuts: dict) -> Column:
@@ -88,14 +105,17 @@ def kd_shards(docs: DataFrame, shards: int, dimensions: tuple[str, ...] = ("n_ch
     a third of the rows share does not make a heavy shard. The driver sees histograms of at
     most ``BINS`` bins for each node, never rows.
 
-    Size is the text's UTF-8 bytes plus 1; null text has size 1 and the CRC of no bytes.
-    Null metadata sort first. slot numbers a shard's rows from 0. An empty table gives an
-    empty result.
+    Size is the text's UTF-8 bytes plus 1; null text has size 1 and the CRC of no bytes, and a
+    text of any length counts whole. Text metadata are compared whole, by bytes. Null metadata sort first. Repeated rows
+    are placed as often as they come, each with a slot of its own; they may part only where a cut falls
+    among them. slot numbers a shard's rows from 0. Columns other than the id, the text and the
+    dimensions are not read, and names that clash with the operator's own do no harm. An
+    empty table gives an empty result.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     dims = [f"d{i}" for i in range(len(dimensions))]
-    rows = docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.shiftrightunsigned(F.xxhash64(text), 2).alias("tie"), F.shiftrightunsigned(F.xxhash64(F.lit("id"), F.col(id_col), text), 2).alias("tie2"), *(metadata_number(docs, c).alias(d) for c, d in zip(dimensions, dims, strict=True)))
-    rows = durable(rows.withColumn("node", F.lit(0)))
+    rows = docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.shiftrightunsigned(F.xxhash64(text), 2).alias("tie"), F.shiftrightunsigned(F.xxhash64(F.lit("id"), F.col(id_col), text), 2).alias("tie2"), *(F.col(c).alias(f"m_{d}") for c, d in zip(dimensions, dims, strict=True)))
+    rows = durable(with_numbers(rows, {f"m_{d}": d for d in dims}).withColumn("node", F.lit(0)))
     ranges = [F.min(d).alias(f"lo_{d}") for d in dims] + [F.max(d).alias(f"hi_{d}") for d in dims]
     todo, leaves, total = {0: shards}, {}, None
     n_rows = 0

@@ -76,6 +76,43 @@ def test_sharding_splits_a_hot_value(spark):
     assert len(load) == 6 and load.max() <= 1.05 * load.min()
 
 
+def test_sharding_compares_whole_texts(spark):
+    """Sources with one long prefix are different values."""
+    docs = spark.range(400).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"), F.when(F.col("id") % 2 == 0, "a/very/long/prefix/one").otherwise("a/very/long/prefix/two").alias("source"))
+    got = sharding.kd_shards(docs, 2, ("source",)).collect()
+    assert {(r["doc_id"] % 2, r["shard"]) for r in got} == {(0, 0), (1, 1)}
+
+
+@pytest.mark.parametrize("shards", [4, 7])
+def test_sharding_is_a_plain_kd_tree(spark, sf, shards):
+    """Each cut goes through the widest dimension, and its lower part has the bytes that it should."""
+    dims = ["n_chars", "lang", "source", "doc_id"]
+    ties = [F.shiftrightunsigned(F.xxhash64("text"), 2).alias("t1"), F.shiftrightunsigned(F.xxhash64(F.lit("id"), "doc_id", "text"), 2).alias("t2")]
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = [r.asDict() for r in docs.select("*", *ties).collect()]
+    shard = {r["doc_id"]: r["shard"] for r in sharding.kd_shards(docs, shards).collect()}
+    order = {c: {v: i for i, v in enumerate(sorted({r[c] for r in rows}, key=str.encode))} for c in ("lang", "source")}
+    for r in rows:
+        r |= {c: order[c][r[c]] for c in order} | {"size": len(r["text"].encode()) + 1, "shard": shard[r["doc_id"]]}
+    width = lambda rs, c: max(r[c] for r in rs) - min(r[c] for r in rs)
+    table = {c: max(1, width(rows, c)) for c in dims}
+
+    def check(rs, first, k):
+        assert {r["shard"] for r in rs} <= set(range(first, first + k))
+        if k == 1:
+            return
+        dim = max(dims, key=lambda c: (width(rs, c) / table[c], c == "n_chars"))
+        low, high = ([r for r in rs if (r["shard"] < first + k // 2) == side] for side in (True, False))
+        key = lambda r: (r[dim], r["t1"], r["t2"])
+        assert max(map(key, low)) < min(map(key, high))
+        want = sum(r["size"] for r in rs) * (k // 2) / k
+        assert abs(sum(r["size"] for r in low) - want) <= max(r["size"] for r in rs) + want / 500
+        check(low, first, k // 2)
+        check(high, first + k // 2, k - k // 2)
+
+    check(rows, 0, shards)
+
+
 def test_sharding_odd(odd_documents, no_documents):
     got = sharding.kd_shards(odd_documents, 4).collect()
     assert len(got) == 9
