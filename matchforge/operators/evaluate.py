@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scoring
+from .lookups import counts_below
 
 NAMES = ("p_home", "p_draw", "p_away")
 
@@ -22,7 +23,9 @@ def metrics() -> list[Column]:
 
 def report(predictions: DataFrame) -> DataFrame:
     """league (null: all of them), n, accuracy, log_loss, brier. Rows without a result or a probability are left out."""
-    rows = predictions.where("result is not null and p_home is not null and p_draw is not null and p_away is not null")
+    # Probabilities come from expected goals where there are any: asking for those keeps the filter away from the grid.
+    asked = ("home_xg", "away_xg") if {"home_xg", "away_xg"} <= set(predictions.columns) else NAMES
+    rows = predictions.where(" and ".join(f"{c} is not null" for c in ("result", *asked)))
     return rows.groupingSets([[], [F.col("league")]], F.col("league")).agg(*metrics())
 
 
@@ -44,12 +47,15 @@ def temperatures(predictions: DataFrame, grid: tuple[float, ...]) -> DataFrame:
     return row.select(F.explode(F.array(*(F.struct(F.lit(t).alias("temperature"), F.col(f"t{i}").alias("log_loss")) for i, t in enumerate(grid)))).alias("x")).select("x.*")
 
 
-def spread(rows: DataFrame, group: str, value: str, tie: str, small: float) -> DataFrame:
-    """n, n_zero, n_small, n_material, most, mean, median (upper middle) and p95 (index cut down) of absolute values."""
-    x = rows.select(group, F.abs(F.col(value)).alias("v"), F.col(tie).alias("tie"))
-    x = x.withColumn("at", F.row_number().over(Window.partitionBy(group).orderBy("v", "tie")) - 1).withColumn("all", F.count("*").over(Window.partitionBy(group)))
-    pick = lambda i: F.max(F.when(F.col("at") == i, F.col("v")))
-    return x.groupBy(group).agg(F.count("*").alias("n"), F.count_if(F.col("v") == 0).alias("n_zero"), F.count_if((F.col("v") > 0) & (F.col("v") <= small)).alias("n_small"), F.count_if(F.col("v") > small).alias("n_material"), F.max("v").alias("most"), F.avg("v").alias("mean"), pick(F.floor(F.col("all") / 2)).alias("median"), pick(F.floor(F.col("all") * 0.95)).alias("p95"))
+def spread(rows: DataFrame, group: str, value: str, small: float, width: float = 0.01) -> DataFrame:
+    """n, n_zero, n_small, n_material, most, mean, median (upper middle) and p95 (index cut down) of absolute values; unknown ones are left out."""
+    x = rows.select(group, F.abs(F.col(value)).alias("v")).where("v is not null")
+    total = x.groupBy(group).agg(F.count("*").alias("n_all"), F.count_if(F.col("v") == 0).alias("n_zero"), F.count_if((F.col("v") > 0) & (F.col("v") <= small)).alias("n_small"), F.count_if(F.col("v") > small).alias("n_material"), F.max("v").alias("most"), F.avg("v").alias("mean"))
+    # The least value with so many values up to it; equal values are one row, and no group is sorted as a whole.
+    places = counts_below(x, group, "v", [], width).join(total, group)
+    pick = lambda i: F.min(F.when(F.col("below") + F.col("n") > i, F.col("v")))
+    figures = ("n_zero", "n_small", "n_material", "most", "mean")
+    return places.groupBy(group, "n_all", *figures).agg(pick(F.floor(F.col("n_all") / 2)).alias("median"), pick(F.floor(F.col("n_all") * 0.95)).alias("p95")).select(group, F.col("n_all").alias("n"), *figures, "median", "p95")
 
 
 def leading_run(rows: DataFrame, group: str, order: list[Column], flag: Column) -> DataFrame:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-import tempfile
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -12,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scoring
+from ..workers import ship
+from .identity import components
 
 ELO_COLUMNS = ["home_elo", "away_elo", "home_elo_after", "away_elo_after"]
 
@@ -20,11 +21,11 @@ def _before(n: int, *keys: str) -> Window:
     return Window.partitionBy(*keys).orderBy("day", "match_id").rowsBetween(-n, -1)
 
 
-def form(team_rows: DataFrame, last_n: int = 10) -> DataFrame:
-    """match_id, team, n_form, form_score, avg_for, avg_against over a team's last matches."""
+def form(team_rows: DataFrame, last_n: int = 10, keep: tuple[str, ...] = ()) -> DataFrame:
+    """match_id, team, n_form, form_score, avg_for, avg_against over a team's last matches, and columns to ``keep``."""
     w = _before(last_n, "team")
     x = team_rows.withColumn("last", F.collect_list("outcome").over(w))
-    return x.select("match_id", "team", F.size("last").alias("n_form"), scoring.form_score(F.col("last")).alias("form_score"), F.avg("gf").over(w).alias("avg_for"), F.avg("ga").over(w).alias("avg_against"))
+    return x.select("match_id", "team", *keep, F.size("last").alias("n_form"), scoring.form_score(F.col("last")).alias("form_score"), F.avg("gf").over(w).alias("avg_for"), F.avg("ga").over(w).alias("avg_against"))
 
 
 def rolling_shots(team_rows: DataFrame, last_n: int = 10) -> DataFrame:
@@ -42,12 +43,18 @@ def rolling_shots(team_rows: DataFrame, last_n: int = 10) -> DataFrame:
 
 def head_to_head(matches: DataFrame, last_n: int = 10) -> DataFrame:
     """match_id, meetings, home_wins, away_wins, modifier over the pair's last meetings, whoever was at home."""
+    return with_meetings(matches, last_n).select("match_id", "meetings", "home_wins", "away_wins", "modifier")
+
+
+def with_meetings(matches: DataFrame, last_n: int = 10) -> DataFrame:
+    """``matches`` with meetings, home_wins, away_wins and modifier, in one window."""
     pair = matches.withColumn("one", F.least("home", "away")).withColumn("two", F.greatest("home", "away"))
     pair = pair.withColumn("winner", F.when(F.col("result") == "H", F.col("home")).when(F.col("result") == "A", F.col("away")))
     w = _before(last_n, "one", "two")
     wins = lambda c: F.sum((F.col("winner") == F.col(c)).cast("int")).over(w)
-    x = pair.select("match_id", "home", "one", F.count("*").over(w).alias("meetings"), F.coalesce(wins("one"), F.lit(0)).alias("w1"), F.coalesce(wins("two"), F.lit(0)).alias("w2"))
-    x = x.select("match_id", "meetings", F.when(F.col("home") == F.col("one"), F.col("w1")).otherwise(F.col("w2")).alias("home_wins"), F.when(F.col("home") == F.col("one"), F.col("w2")).otherwise(F.col("w1")).alias("away_wins"))
+    x = pair.select(*matches.columns, "one", F.count("*").over(w).alias("meetings"), F.coalesce(wins("one"), F.lit(0)).alias("w1"), F.coalesce(wins("two"), F.lit(0)).alias("w2"))
+    own = F.col("home") == F.col("one")
+    x = x.select(*matches.columns, "meetings", F.when(own, F.col("w1")).otherwise(F.col("w2")).alias("home_wins"), F.when(own, F.col("w2")).otherwise(F.col("w1")).alias("away_wins"))
     return x.withColumn("modifier", scoring.h2h_modifier(F.col("home_wins"), F.col("away_wins"), F.col("meetings")))
 
 
@@ -109,25 +116,10 @@ def rolling_known(team_rows: DataFrame, stats: list[str], last_n: int = 10) -> D
 def team_groups(matches: DataFrame) -> DataFrame:
     """(team, root): teams that matches connect, however indirectly, have one root.
 
-    Runs on the distinct pairs of teams. Each round a team takes the least root among its
-    opponents and then that root's root; rounds are checkpointed and end when none changes.
+    Runs on the distinct pairs of teams.
     """
-    context = matches.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        context.setCheckpointDir(tempfile.gettempdir() + "/checkpoints")
-    pairs = matches.select(F.explode(F.array(F.struct(F.col("home").alias("team"), F.col("away").alias("other")), F.struct(F.col("away").alias("team"), F.col("home").alias("other")))).alias("x")).select("x.*").distinct().checkpoint()
-    now = pairs.groupBy("team").agg(F.least("team", F.min("other")).alias("root")).checkpoint()
-    while True:
-        root = now.select(F.col("team").alias("other"), F.col("root").alias("seen"))
-        least = pairs.join(root, "other").groupBy("team").agg(F.min("seen").alias("seen"))
-        step = now.join(least, "team").select("team", "root", F.least("root", "seen").alias("next"))
-        jump = step.join(root.select(F.col("other").alias("at"), "seen"), F.col("next") == F.col("at"), "left")
-        after = jump.select("team", F.least("next", F.coalesce("seen", "next")).alias("root"), (F.least("next", F.coalesce("seen", "next")) != F.col("root")).alias("moved")).checkpoint()
-        now = after.select("team", "root")
-        if not after.where("moved").take(1):
-            return now
+    pairs = matches.select(F.col("home").alias("a"), F.col("away").alias("b")).distinct()
+    return components(pairs).withColumnRenamed("id", "team")
 
 
 def elo(matches: DataFrame, start: float = 1500.0, home_bonus: float = 50.0) -> DataFrame:
@@ -136,8 +128,10 @@ def elo(matches: DataFrame, start: float = 1500.0, home_bonus: float = 50.0) ->
     Both ratings after a match depend on both before it, over all leagues, so the teams that
     matches connect are one ordered replay; groups of teams that never meet run side by side.
     Spark sorts a group's matches, on disk if need be, and they stream by in batches: a task
-    holds one batch and its group's teams, whatever the number of matches.
+    holds one batch and its group's teams, whatever the number of matches. A match counts once
+    anything of its result is known; a missing number of goals is then 0. Others are left out.
     """
+    ship(matches.sparkSession)
 
     def replay(parts: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rating: dict[str, float] = {}
@@ -164,7 +158,9 @@ def elo(matches: DataFrame, start: float = 1500.0, home_bonus: float = 50.0) ->
                     part[c] = np.rint(x)
                 yield part[["match_id", "league", *ELO_COLUMNS]]
 
-    rows = matches.select("match_id", "day", "league", "home", "away", "home_goals", "away_goals")
+    known = "home_goals is not null or away_goals is not null" + (" or result is not null" if "result" in matches.columns else "")
+    goals = [F.coalesce(c, F.lit(0)).cast("double").alias(c) for c in ("home_goals", "away_goals")]
+    rows = matches.where(known).select("match_id", "day", "league", "home", "away", *goals)
     rows = rows.join(team_groups(matches).withColumnRenamed("team", "home"), "home")
     return rows.repartition("root").sortWithinPartitions("root", "day", "match_id").mapInPandas(replay, "match_id long, league string, " + ", ".join(f"{c} double" for c in ELO_COLUMNS))
 

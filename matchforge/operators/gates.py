@@ -65,23 +65,34 @@ def uniform(seed: int, *cols: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), *cols)), 1, 8), 16, 10).cast("double") / 2.0**32
 
 
-def poisson_one(u: Column, most: int = 8) -> Column:
-    """A Poisson number of mean 1 from a uniform one."""
+def poisson_one(u: Column, most: int = 12) -> Column:
+    """A Poisson number of mean 1 from a uniform one; above ``most`` there are 6e-11 of them."""
     bounds = [sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) for k in range(most)]
     return sum(F.when(u >= b, 1.0).otherwise(0.0) for b in bounds)
 
 
-def paired_tests(rows: DataFrame, group: str, id_: str, difference: Column, replicates: int = 100, seed: int = 1) -> DataFrame:
-    """Mean difference of paired values, its bootstrap interval of 95 %, and the share of sign flips with a mean as low (lower is better).
+def cell_of(seed: int, id_: str, cells: int) -> Column:
+    """One of so many cells, which the seed and the id fix."""
+    return F.floor(uniform(seed, F.col(id_)) * cells)
 
-    Each row meets each replicate in its own task: a Poisson weight stands for drawing with replacement, so no
-    sample is ever gathered, and sums by group and replicate combine before the shuffle. A group then sorts
-    ``replicates`` means.
+
+def paired_tests(rows: DataFrame, group: str, id_: str, differences: dict[str, Column], replicates: int = 2000, cells: int = 512, seed: int = 1) -> DataFrame:
+    """group, name, n, delta, low, high, p_value, better, better_by_flips for each named difference of paired values (lower is better).
+
+    delta is the mean, low and high its bootstrap interval of 95 %, p_value the share of sign flips with a mean as
+    low. Rows are added up by ``cells`` of their ids first, all differences in one pass; then cells are drawn and
+    flipped as wholes, so what meets the replicates has a bounded size whatever the number of rows. A Poisson weight
+    stands for drawing with replacement. As a cell's rows are drawn together, the interval's width has a standard error of
+    1 / sqrt(2 * cells), 3 %, besides that of the replicates; with fewer rows than cells it is the plain bootstrap but
+    for rows that share a cell by chance.
     """
-    u = uniform(seed, F.col("rep"), F.col(id_))
-    x = rows.select(group, id_, difference.alias("d")).where("d is not null").select("*", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("rep")).withColumn("u", u)
-    x = x.withColumn("w", poisson_one(F.col("u")))
-    x = x.groupBy(group, "rep").agg(F.count("*").alias("n"), F.avg("d").alias("mean"), (F.sum(F.col("w") * F.col("d")) / F.nullif(F.sum("w"), F.lit(0.0))).alias("boot"), F.avg(F.when(F.col("u") < 0.5, F.col("d")).otherwise(-F.col("d"))).alias("flip"))
-    x = x.groupBy(group).agg(F.max("n").alias("n"), F.max("mean").alias("delta"), F.sort_array(F.collect_list("boot")).alias("b"), F.avg((F.col("flip") <= F.col("mean")).cast("double")).alias("p_value"))
+    names = list(differences)
+    sums = [a for k, d in enumerate(differences.values()) for a in (F.count(d).alias(f"n{k}"), F.coalesce(F.sum(d), F.lit(0.0)).alias(f"d{k}"))]
+    x = rows.groupBy(group, cell_of(seed, id_, cells).alias("cell")).agg(*sums).select("*", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("rep"))
+    x = x.withColumn("u", uniform(seed, F.col("rep"), F.col("cell"))).withColumn("w", poisson_one(F.col("u")))
+    over = lambda v, n: F.sum(v) / F.nullif(F.sum(n), F.lit(0.0))
+    each = lambda k: F.struct(F.lit(names[k]).alias("name"), F.sum(f"n{k}").alias("n"), over(F.col(f"d{k}"), F.col(f"n{k}").cast("double")).alias("mean"), over(F.col("w") * F.col(f"d{k}"), F.col("w") * F.col(f"n{k}")).alias("boot"), over(F.when(F.col("u") < 0.5, F.col(f"d{k}")).otherwise(-F.col(f"d{k}")), F.col(f"n{k}").cast("double")).alias("flip"))
+    x = x.groupBy(group, "rep").agg(*(each(k).alias(f"x{k}") for k in range(len(names)))).select(group, F.explode(F.array(*(f"x{k}" for k in range(len(names))))).alias("x")).select(group, "x.*")
+    x = x.groupBy(group, "name").agg(F.max("n").alias("n"), F.max("mean").alias("delta"), F.sort_array(F.collect_list("boot")).alias("b"), F.avg((F.col("flip") <= F.col("mean")).cast("double")).alias("p_value"))
     at = lambda q: F.get("b", (F.size("b") * q).cast("int"))
-    return x.select(group, "n", "delta", at(0.025).alias("low"), at(0.975).alias("high"), "p_value", (at(0.975) < 0).alias("better"), (F.col("p_value") < 0.05).alias("better_by_flips"))
+    return x.select(group, "name", "n", "delta", at(0.025).alias("low"), at(0.975).alias("high"), "p_value", (at(0.975) < 0).alias("better"), (F.col("p_value") < 0.05).alias("better_by_flips"))

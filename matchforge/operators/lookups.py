@@ -142,22 +142,24 @@ def signed_ranks(rows: DataFrame, group: str, difference: str, width: float = 0.
     return x.select(group, F.coalesce("n", F.lit(0)).alias("n"), "delta", "w", "z", p.alias("p_value"), ((p < 0.05) & (F.col("delta") * favourable > 0)).alias("better"))
 
 
-def median_split(rows: DataFrame, group: str, id_: str, metric: str, score: str, least: int, width: float = 0.001, replicates: int = 100, seed: int = 1) -> DataFrame:
+def median_split(rows: DataFrame, group: str, id_: str, metric: str, score: str, least: int, width: float = 0.001, replicates: int = 2000, cells: int = 512, seed: int = 1) -> DataFrame:
     """group, n, median, delta, low, high, verdict: does the half with the higher metric score otherwise than the lower half?
 
-    The median is the value at place n // 2 from 0. Means of the halves are drawn again with seeded Poisson
-    weights, each half by its own, so no sample is gathered; ``delta`` is the lower half less the higher.
+    The median is the value at place n // 2 from 0. Rows are added up by cells first, as in ``gates.paired_tests``,
+    and the cells of both halves are drawn again with seeded Poisson weights; ``delta`` is the lower half less the higher.
     """
     x = rows.where(F.col(metric).isNotNull() & F.col(score).isNotNull())
     places = counts_below(x.withColumn("v_", F.col(metric)), group, "v_", [], width)
     total = x.groupBy(group).agg(F.count("*").alias("n_all"))
     median = places.join(total, group).where(F.col("below") + F.col("n") > F.floor(F.col("n_all") / 2)).groupBy(group).agg(F.min("v_").alias("median"), F.max("n_all").alias("n_all"))
     x = x.join(median, group).withColumn("up", F.col(metric) >= F.col("median"))
-    x = x.select(group, "n_all", "median", "up", F.col(score).alias("s"), F.col(id_), F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("rep"))
-    x = x.withColumn("w", gates.poisson_one(gates.uniform(seed, F.col("rep"), F.col(id_))))
-    half = lambda up: (F.sum(F.when(F.col("up") == up, F.col("w") * F.col("s"))) / F.nullif(F.sum(F.when(F.col("up") == up, F.col("w"))), F.lit(0.0)))
-    mean = lambda up: F.avg(F.when(F.col("up") == up, F.col("s")))
-    x = x.groupBy(group, "rep").agg(F.max("n_all").alias("n"), F.max("median").alias("median"), (mean(False) - mean(True)).alias("delta"), (half(False) - half(True)).alias("boot"), F.count_if("up").alias("n_up"))
+    x = x.groupBy(group, "up", gates.cell_of(seed, id_, cells).alias("cell")).agg(F.max("n_all").alias("n_all"), F.max("median").alias("median"), F.count("*").alias("c"), F.sum(score).alias("s"))
+    x = x.select("*", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("rep"))
+    x = x.withColumn("w", gates.poisson_one(gates.uniform(seed, F.col("rep"), F.col("cell"))))
+    of = lambda up, value: F.sum(F.when(F.col("up") == up, value))
+    half = lambda up: of(up, F.col("w") * F.col("s")) / F.nullif(of(up, F.col("w") * F.col("c")), F.lit(0.0))
+    mean = lambda up: of(up, F.col("s")) / of(up, F.col("c"))
+    x = x.groupBy(group, "rep").agg(F.max("n_all").alias("n"), F.max("median").alias("median"), (mean(False) - mean(True)).alias("delta"), (half(False) - half(True)).alias("boot"), F.coalesce(of(True, F.col("c")), F.lit(0)).alias("n_up"))
     x = x.groupBy(group).agg(F.max("n").alias("n"), F.max("median").alias("median"), F.max("delta").alias("delta"), F.sort_array(F.collect_list("boot")).alias("b"), F.max("n_up").alias("n_up"))
     at = lambda q: F.get("b", (F.size("b") * q).cast("int"))
     few = (F.col("n") < least) | (F.col("n_up") < 2) | (F.col("n") - F.col("n_up") < 2)

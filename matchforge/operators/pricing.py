@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scoring
+from . import features
 
 
 def team_rating(avg_for: Column, avg_against: Column, cap: float = 2.5) -> tuple[Column, Column]:
@@ -33,19 +34,25 @@ def full_rating(avg_for: Column, avg_against: Column, on_target: Column, elo: Co
     return F.when(seen, mixed(attack, off, CAPS[0])).otherwise(F.round(off * baseline, 4)), F.when(seen, mixed(F.least(avg_against, F.lit(CAPS[1])), deff, CAPS[1])).otherwise(F.round(deff, 4))
 
 
-def predictions(matches: DataFrame, form: DataFrame, h2h: DataFrame) -> DataFrame:
-    """match_id, league, result, home_xg, away_xg, p_home, p_draw, p_away."""
-    def side(name: str) -> DataFrame:
-        attack, defence = team_rating(F.col("avg_for"), F.col("avg_against"))
-        return form.select(F.col("match_id").alias(f"{name}_id"), F.col("team").alias(f"{name}_team"), attack.alias(f"{name}_att"), defence.alias(f"{name}_def"), F.col("form_score").alias(f"{name}_form"))
+def predicted(matches: DataFrame, last_n: int = 10) -> DataFrame:
+    """Matches by their own history: match_id, league, day, result, home_xg, away_xg, p_home, p_draw, p_away.
 
-    x = matches.join(h2h.select("match_id", "meetings", "modifier"), "match_id")
-    x = x.join(side("home"), (F.col("match_id") == F.col("home_id")) & (F.col("home") == F.col("home_team")))
-    x = x.join(side("away"), (F.col("match_id") == F.col("away_id")) & (F.col("away") == F.col("away_team")))
+    The matches are planned once: the pair's meetings are a window over them, both sides go
+    through the form's window with what the match carries, and meet again in one grouping.
+    """
+    carried = ("league", "day", "result", "meetings", "modifier")
+    side = lambda own, other, home: F.struct(F.col(own).alias("team"), F.lit(home).alias("is_home"), F.col(f"{own}_goals").alias("gf"), F.col(f"{other}_goals").alias("ga"))
+    x = features.with_meetings(matches, last_n).select("match_id", *carried, F.inline(F.array(side("home", "away", True), side("away", "home", False))))
+    x = x.withColumn("outcome", F.when(F.col("gf") > F.col("ga"), "W").when(F.col("gf") < F.col("ga"), "L").otherwise("D"))
+    x = features.form(x, last_n, (*carried, "is_home"))
+    attack, defence = team_rating(F.col("avg_for"), F.col("avg_against"))
+    rated = F.struct(attack.alias("att"), defence.alias("def"), F.col("form_score").alias("form"))
+    at = lambda home: F.max(F.when(F.col("is_home") == home, rated))
+    x = x.groupBy("match_id", *carried).agg(at(True).alias("h"), at(False).alias("a"))
     m, n = F.col("modifier"), F.col("meetings")
-    x = x.withColumn("home_xg", scoring.expected_goals(F.col("home_att"), F.col("away_def"), F.col("home_form"), 1.12, m, n, 1))
-    x = x.withColumn("away_xg", scoring.expected_goals(F.col("away_att"), F.col("home_def"), F.col("away_form"), 0.92, m, n, -1))
-    x = x.withColumn("grid", scoring.poisson_grid(F.col("home_xg"), F.col("away_xg")))
+    home = scoring.expected_goals(F.col("h.att"), F.col("a.def"), F.col("h.form"), 1.12, m, n, 1)
+    away = scoring.expected_goals(F.col("a.att"), F.col("h.def"), F.col("a.form"), 0.92, m, n, -1)
+    x = x.select("match_id", "league", "day", "result", home.alias("home_xg"), away.alias("away_xg")).withColumn("grid", scoring.poisson_grid(F.col("home_xg"), F.col("away_xg")))
     return x.select("match_id", "league", "day", "result", "home_xg", "away_xg", *(F.col(f"grid.{k}").alias(f"p_{k}") for k in ("home", "draw", "away")))
 
 

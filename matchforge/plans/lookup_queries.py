@@ -35,12 +35,12 @@ def odds_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def meeting_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Record of each pairing from the first source with three meetings: the league's, the nations', the home side's."""
-    m = _matches(spark, sf_dir)
+    """Record of each pairing from the first source with three meetings: the quarter's, the year's, the home side's."""
+    m = _matches(spark, sf_dir).withColumns({"year": F.year("day").cast("long"), "quarter": F.quarter("day").cast("long")})
     record = (F.count("*").alias("n"), F.count_if(F.col("result") == "H").alias("wins"), F.avg("home_goals").alias("goals"))
     by = lambda *keys: (m.groupBy(*keys).agg(*record).where("n >= 3"), list(keys))
-    levels = [("league", *by("league", "home", "away")), ("pair", *by("home", "away")), ("home", *by("home"))]
-    return places(lookups.cascade(m.select("league", "home", "away").distinct(), levels, ["n", "wins", "goals"]))
+    levels = [("quarter", *by("year", "quarter", "home", "away")), ("year", *by("year", "home", "away")), ("home", *by("home"))]
+    return places(lookups.cascade(m.select("year", "quarter", "home", "away").distinct(), levels, ["n", "wins", "goals"]))
 
 
 def form_context(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,8 +56,8 @@ def recent_side_means(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def recent_elsewhere(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each team's last eight matches since a day, outside the leagues left out."""
-    t = _teams(spark, sf_dir).where("league not in ('ASIA', 'AFRICA') and day >= date '1995-01-01'")
+    """Each team's last eight matches of a year, outside the leagues left out."""
+    t = _teams(spark, sf_dir).where("league not in ('ASIA', 'AFRICA') and day >= date '1998-01-01' and day < date '1999-01-01'")
     return features.recent(t, ["team"], 8).select("team", "match_id", "gf", "ga", F.col("place").cast("long").alias("place"))
 
 
@@ -65,7 +65,7 @@ def player_ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean rating and number of rated players by position; positions come from the player's last roster row."""
     x = bridge.table(spark, sf_dir, "lineitem")
     players = x.select("l_orderkey", F.col("l_partkey").alias("player"), F.expr("if(l_suppkey % 4 = 0, null, 5 + l_quantity / 10.0D)").alias("rating"))
-    roster = x.where("l_partkey % 7 <> 0").select(F.col("l_partkey").alias("player"), F.struct("l_shipdate", "l_orderkey", *LINE).alias("seq"), F.col("l_linestatus").alias("position"))
+    roster = x.select(F.expr("if(l_partkey % 7 = 0, -1 - l_partkey, l_partkey)").alias("player"), F.struct("l_shipdate", "l_orderkey", *LINE).alias("seq"), F.col("l_linestatus").alias("position"))
     got = lookups.with_roster(players, roster, ["player"], ["seq"], ["position"])
     return places(got.groupBy("position").agg(F.avg("rating").alias("rating"), F.count("rating").alias("n"), F.count("*").alias("players")))
 
@@ -76,11 +76,11 @@ def melted_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def latest_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A stored table of two leagues' pairs against a batch of later matches; the last row of a key wins."""
-    m = _matches(spark, sf_dir).select("home", "away", "day", "match_id", "home_goals")
-    old = m.where("day < date '1995-01-01'")
+    """Pairs of clubs as stored before 1998 against a batch of all later matches and some earlier ones again; the batch's last row of a key wins."""
+    m = bridge.matches(spark, sf_dir, clubs=True).select("home", "away", "day", "match_id", "home_goals")
+    old = m.where("day < date '1998-01-01'")
     stored = old.groupBy("home", "away").agg(F.max_by(F.struct("day", "match_id", "home_goals"), F.struct("day", "match_id")).alias("x")).select("home", "away", "x.*")
-    return lookups.snapshot(stored, m.where("day >= date '1998-01-01'"), ["home", "away"], ["day", "match_id"])
+    return lookups.snapshot(stored, m.where("day >= date '1998-01-01' or match_id % 5 = 0"), ["home", "away"], ["day", "match_id"])
 
 
 def lineup_sides(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -147,20 +147,25 @@ def median_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def experiment_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An engine that gives a fifth of the home side's chance to the away side, against the rules' on the same matches, by league: three paired metrics and the decision."""
+    """Another engine against the rules' on the same matches, by league: three paired metrics and the decision.
+
+    In Europe it leans to what came, in Asia it says the same, and elsewhere it gives a fifth of
+    the home side's chance to the away side.
+    """
     own = [F.col(c) for c in ("p_home", "p_draw", "p_away")]
-    new = [own[0] * 0.8, own[1], own[2] + own[0] * 0.2]
     result = F.col("result")
+    worse = [own[0] * 0.8, own[1], own[2] + own[0] * 0.2]
+    better = [0.7 * p + F.when(result == r, 0.3).otherwise(0.0) for p, r in zip(own, "HDA", strict=True)]
+    new = [F.when(F.col("league") == "EUROPE", b).when(F.col("league") != "ASIA", w).otherwise(o) for o, w, b in zip(own, worse, better, strict=True)]
     measures = {
         "brier": lambda e: scoring.brier(result, *e),
         "loss": lambda e: -F.ln(F.greatest(scoring.of_result(result, *e), F.lit(1e-10))),
         "misses": lambda e: (scoring.likeliest(*e) != result).cast("double"),
     }
     p = _predicted(spark, sf_dir)
-    x = None
-    for name, of in measures.items():
-        test = gates.paired_tests(p, "league", "match_id", of(new) - of(own), 100).select("league", F.col("delta").alias(name), F.col("better").alias(f"{name}_better"))
-        x = test if x is None else x.join(test, "league")
+    tests = gates.paired_tests(p, "league", "match_id", {name: of(new) - of(own) for name, of in measures.items()})
+    value = lambda name, c: F.max(F.when(F.col("name") == name, F.col(c)))
+    x = tests.groupBy("league").agg(*(value(n, c).alias(a) for n in measures for c, a in (("delta", n), ("better", f"{n}_better"))))
     status = lookups.experiment_status(F.col("brier"), F.col("brier_better"), F.col("loss"), F.col("loss_better"), -F.col("misses"), F.col("misses_better"))
     return places(x.withColumn("status", status), 5)
 
@@ -190,7 +195,7 @@ def _csv(spark, sf_dir):
 
 def csv_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each CSV line's match, or why it is none; later lines of a match are duplicates."""
-    x = csv_files.matches(_csv(spark, sf_dir), "line", ["date", "home", "away", "hg", "ag", "location"], "dd/MM/yyyy", F.to_date(F.lit("1994-01-01")), "match_id")
+    x = csv_files.matches(_csv(spark, sf_dir), "line", ["date", "home", "away", "hg", "ag", "location"], "dd/MM/yyyy", F.to_date(F.lit("1996-07-01")), "match_id")
     return places(x.select("match_id", "day", "home", "away", "home_goals", "away_goals", "result", "reason"))
 
 
@@ -221,7 +226,7 @@ def complete_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def finishing_readiness(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many matches since a day have a result, shots on target and expected goals, by league in one pass."""
-    m = bridge.matches(spark, sf_dir, stats=True).where("day >= date '1994-01-01'")
+    m = bridge.matches(spark, sf_dir, stats=True).where("day >= date '1998-01-01'")
     both = lambda c: F.count_if(F.col(f"home_{c}").isNotNull() & F.col(f"away_{c}").isNotNull())
     return m.groupBy("league").agg(F.count("home_goals").alias("played"), both("on_target").alias("on_target"), both("xg_actual").alias("xg"))
 
@@ -252,7 +257,8 @@ def provider_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 def recalibration(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weights of each league after all its matches. Without SQL: a test replays it by a plain loop."""
     x = _predicted(spark, sf_dir).select("match_id", "league", "day", "home_xg", "away_xg").join(_matches(spark, sf_dir).select("match_id", "home_goals", "away_goals"), "match_id")
-    x = x.withColumn("recency", profiles.recency_weight(F.col("day"), F.to_date(F.lit("1998-12-31"))))
+    x = x.join(F.broadcast(x.agg(F.max("day").alias("today"))))  # one row
+    x = x.withColumn("recency", profiles.recency_weight(F.col("day"), F.col("today"))).drop("today")
     return places(replay.latest_weights(replay.recalibrate(x)))
 
 
@@ -269,8 +275,11 @@ ABSENT = """ab0 AS (SELECT l_orderkey, l_linenumber, l_partkey, l_partkey % 40 *
 ab AS (SELECT *, 'p' || l_partkey || '-' || l_linenumber AS player, -round(least(log10(greatest(value, 100000) + 1) / log10(150000001.0::DOUBLE) * weight * certainty * 0.25::DOUBLE, 0.18::DOUBLE), 4) AS impact FROM ab0),
 ar AS (SELECT l_orderkey, count(*) AS n, round(greatest(sum(impact), -0.3::DOUBLE), 4) AS penalty, bool_or(value >= 20000000) AS has_key, array_to_string(list_slice(list(player ORDER BY impact, player), 1, 3), ', ') AS worst FROM ab GROUP BY 1)"""
 DIFF = "df AS (SELECT p.match_id, p.league, round((home_xg - home_goals) * (home_xg - home_goals) - (1.4::DOUBLE - home_goals) * (1.4::DOUBLE - home_goals), 2) AS d FROM p JOIN m ON m.match_id = p.match_id)"
-POISSON = " + ".join(f"CASE WHEN u >= {sum(exp(-1) / factorial(j) for j in range(k + 1))!r}::DOUBLE THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END" for k in range(8))
-DRAWN = "('0x' || substr(md5('1|' || range || '|' || match_id), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u"
+POISSON = " + ".join(f"CASE WHEN u >= {sum(exp(-1) / factorial(j) for j in range(k + 1))!r}::DOUBLE THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END" for k in range(12))
+DRAWN = "('0x' || substr(md5('1|' || range || '|' || cell), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u"
+CELL = "floor(('0x' || substr(md5('1|' || match_id), 1, 8))::BIGINT / 4294967296.0::DOUBLE * 512)::BIGINT"
+# The 2.5 % and 97.5 % places of so many sorted replicates.
+REPLICATES, LOW, HIGH = 2000, 51, 1951
 BRIER = " + ".join("pow({0}_" + s + f" - (result = '{r}')::INT, 2)" for s, r in (("home", "H"), ("draw", "D"), ("away", "A")))
 LINES = """cl AS (SELECT match_id, CASE WHEN match_id % 15 <> 0 THEN day END AS day, home, away, CASE WHEN match_id % 10 <> 0 THEN home_goals END AS home_goals, away_goals, match_id % 2 = 0 AS at_home FROM m)"""
 
@@ -288,17 +297,18 @@ def oracle_sql() -> dict[str, str]:
     return {
         "odds_cascade": with_(m, o.QUOTES, _newest("n1", "bookmaker <> 'N'"), _newest("n2", "bookmaker = 'N'")) + """SELECT m.match_id, CASE WHEN n1.match_id IS NOT NULL THEN 'history' WHEN n2.match_id IS NOT NULL THEN 'fallback' END AS source, round(coalesce(n1.home, n2.home), 6) AS home, round(coalesce(n1.draw, n2.draw), 6) AS draw, round(coalesce(n1.away, n2.away), 6) AS away, coalesce(n1.bookmaker, n2.bookmaker) AS bookmaker
             FROM m LEFT JOIN n1 ON n1.match_id = m.match_id LEFT JOIN n2 ON n2.match_id = m.match_id""",
-        "meeting_cascade": with_(m) + f""", a AS (SELECT league, home, away, {record} FROM m GROUP BY ALL), b AS (SELECT home, away, {record} FROM m GROUP BY ALL HAVING count(*) >= 3), c AS (SELECT home, {record} FROM m GROUP BY ALL HAVING count(*) >= 3)
-            SELECT a.league, a.home, a.away, CASE WHEN a.n >= 3 THEN 'league' WHEN b.n IS NOT NULL THEN 'pair' WHEN c.n IS NOT NULL THEN 'home' END AS source, CASE WHEN a.n >= 3 THEN a.n ELSE coalesce(b.n, c.n) END AS n, CASE WHEN a.n >= 3 THEN a.wins ELSE coalesce(b.wins, c.wins) END AS wins, round(CASE WHEN a.n >= 3 THEN a.goals ELSE coalesce(b.goals, c.goals) END, 6) AS goals
-            FROM a LEFT JOIN b ON b.home = a.home AND b.away = a.away LEFT JOIN c ON c.home = a.home""",
+        "meeting_cascade": with_(m) + f""", mq AS (SELECT *, year(day) AS year, quarter(day) AS quarter FROM m), a AS (SELECT year, quarter, home, away, {record} FROM mq GROUP BY ALL), b AS (SELECT year, home, away, {record} FROM mq GROUP BY ALL HAVING count(*) >= 3), c AS (SELECT home, {record} FROM m GROUP BY ALL HAVING count(*) >= 3)
+            SELECT a.year, a.quarter, a.home, a.away, CASE WHEN a.n >= 3 THEN 'quarter' WHEN b.n IS NOT NULL THEN 'year' WHEN c.n IS NOT NULL THEN 'home' END AS source, CASE WHEN a.n >= 3 THEN a.n ELSE coalesce(b.n, c.n) END AS n, CASE WHEN a.n >= 3 THEN a.wins ELSE coalesce(b.wins, c.wins) END AS wins, round(CASE WHEN a.n >= 3 THEN a.goals ELSE coalesce(b.goals, c.goals) END, 6) AS goals
+            FROM a LEFT JOIN b ON b.year = a.year AND b.home = a.home AND b.away = a.away LEFT JOIN c ON c.home = a.home""",
         "form_context": with_(m) + ", c AS (SELECT *, strftime(day, '%Y-%m') AS month FROM t), x AS (SELECT *, dense_rank() OVER (PARTITION BY team ORDER BY month DESC, league DESC) AS g, row_number() OVER (PARTITION BY team, month, league ORDER BY day DESC, match_id DESC) AS k FROM c) SELECT team, string_agg(outcome, '' ORDER BY k DESC) AS outcomes, count(*) AS n FROM x WHERE g = 1 AND k <= 5 GROUP BY team",
         "recent_side_means": with_(m, SIDES) + ", x AS (SELECT *, row_number() OVER (PARTITION BY team, league ORDER BY day DESC, match_id DESC) AS k FROM sd WHERE corners IS NOT NULL) SELECT team, league, count(*) AS n, round(avg(corners), 6) AS corners, round(avg(cards), 6) AS cards, round(avg(on_target), 6) AS on_target FROM x WHERE k <= 10 GROUP BY team, league",
-        "recent_elsewhere": with_(m) + "SELECT team, match_id, gf, ga, place FROM (SELECT *, row_number() OVER (PARTITION BY team ORDER BY day DESC, match_id DESC) AS place FROM t WHERE league NOT IN ('ASIA', 'AFRICA') AND day >= DATE '1995-01-01') WHERE place <= 8",
-        "player_ratings": f"""WITH r AS (SELECT l_partkey, l_linestatus AS position FROM (SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY l_shipdate DESC, l_orderkey DESC, {BACK}) AS k FROM lineitem WHERE l_partkey % 7 <> 0) WHERE k = 1)
+        "recent_elsewhere": with_(m) + "SELECT team, match_id, gf, ga, place FROM (SELECT *, row_number() OVER (PARTITION BY team ORDER BY day DESC, match_id DESC) AS place FROM t WHERE league NOT IN ('ASIA', 'AFRICA') AND day >= DATE '1998-01-01' AND day < DATE '1999-01-01') WHERE place <= 8",
+        "player_ratings": f"""WITH r AS (SELECT l_partkey, l_linestatus AS position FROM (SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY l_shipdate DESC, l_orderkey DESC, {BACK}) AS k FROM lineitem) WHERE k = 1 AND l_partkey % 7 <> 0)
             SELECT position, round(avg(CASE WHEN l_suppkey % 4 <> 0 THEN 5 + l_quantity / 10.0::DOUBLE END), 6) AS rating, count(*) FILTER (l_suppkey % 4 <> 0) AS n, count(*) AS players FROM lineitem l LEFT JOIN r ON r.l_partkey = l.l_partkey GROUP BY position""",
         "melted_statistics": " UNION ALL ".join(f"SELECT l_orderkey, l_suppkey, '{k}' AS stat_key, v::DOUBLE AS value FROM (SELECT l_orderkey, l_suppkey, {e} AS v, row_number() OVER (PARTITION BY l_orderkey, l_suppkey ORDER BY {BACK}) AS k FROM lineitem WHERE l_partkey % {n} <> 0) WHERE k = 1" for k, e, n in (("shots", "l_quantity", 3), ("passes", "l_partkey % 9", 4))),
-        "latest_snapshot": with_(m) + """, x AS (SELECT home, away, day, match_id, home_goals, day >= DATE '1998-01-01' AS new FROM m WHERE day < DATE '1995-01-01' OR day >= DATE '1998-01-01')
-            SELECT home, away, day, match_id, home_goals, CASE WHEN NOT new THEN 'kept' WHEN every THEN 'inserted' ELSE 'replaced' END AS action FROM (SELECT *, row_number() OVER (PARTITION BY home, away ORDER BY day DESC, match_id DESC) AS k, bool_and(new) OVER (PARTITION BY home, away) AS every FROM x) WHERE k = 1""",
+        "latest_snapshot": "WITH " + m.split("m0 AS")[0].rstrip().rstrip(",") + """, cl AS (SELECT 'club ' || o_custkey AS home, 'club ' || l_suppkey AS away, CAST(o_orderdate AS DATE) AS day, o_orderkey AS match_id, CAST(floor(l_quantity) AS BIGINT) % 5 AS home_goals FROM orders JOIN fl ON l_orderkey = o_orderkey WHERE o_custkey <> l_suppkey),
+            x AS (SELECT *, false AS new FROM cl WHERE day < DATE '1998-01-01' UNION ALL SELECT *, true FROM cl WHERE day >= DATE '1998-01-01' OR match_id % 5 = 0)
+            SELECT home, away, day, match_id, home_goals, CASE WHEN NOT new THEN 'kept' WHEN every THEN 'inserted' ELSE 'replaced' END AS action FROM (SELECT *, row_number() OVER (PARTITION BY home, away ORDER BY new DESC, day DESC, match_id DESC) AS k, bool_and(new) OVER (PARTITION BY home, away) AS every FROM x) WHERE k = 1""",
         "lineup_sides": f"""WITH x AS (SELECT *, CASE WHEN l_suppkey % 2 = 0 THEN 'home' ELSE 'away' END AS side, '4-' || l_partkey % 4 AS shape FROM lineitem), y AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, side ORDER BY {BACK}) AS k FROM x WHERE l_partkey % 5 <> 0)
             SELECT o.l_orderkey, max(y.shape) FILTER (y.side = 'home') AS home, max(y.shape) FILTER (y.side = 'away') AS away FROM (SELECT DISTINCT l_orderkey FROM lineitem) o LEFT JOIN y ON y.l_orderkey = o.l_orderkey AND y.k = 1 GROUP BY 1""",
         "retained_calls": with_(o.CALLS) + "SELECT provider, count(*) FILTER (called_at >= TIMESTAMP '2024-01-11') AS kept, count(*) FILTER (called_at < TIMESTAMP '2024-01-11') AS deleted FROM c GROUP BY provider",
@@ -313,21 +323,24 @@ def oracle_sql() -> dict[str, str]:
             v AS (SELECT *, coalesce(t * (0.254829592::DOUBLE + t * (-0.284496736::DOUBLE + t * (1.421413741::DOUBLE + t * (-1.453152027::DOUBLE + t * 1.061405429::DOUBLE)))) * exp(-z * z / 2), 1) AS p FROM y)
             SELECT league, coalesce(n, 0) AS n, round(delta, 5) AS delta, round(w, 5) AS w, round(z, 5) AS z, round(p, 5) AS p_value, p < 0.05 AND delta < 0 AS better FROM v""",
         "median_split": with_(*pred) + f""", tp AS (SELECT match_id, league, round(greatest(p_home, p_draw, p_away), 3) AS v, {BRIER.format("p")} AS s FROM p), nn AS (SELECT *, row_number() OVER (PARTITION BY league ORDER BY v) AS k, count(*) OVER (PARTITION BY league) AS n FROM tp),
-            md AS (SELECT league, n, v AS median FROM nn WHERE k = n // 2 + 1), ha AS (SELECT tp.*, md.n, median, v >= median AS up FROM tp JOIN md ON md.league = tp.league), rp AS (SELECT *, {DRAWN} FROM ha, range(100)), w AS (SELECT *, {POISSON} AS w FROM rp),
-            bt AS (SELECT league, range, max(n) AS n, max(median) AS median, count(*) FILTER (up) AS n_up, avg(s) FILTER (NOT up) - avg(s) FILTER (up) AS delta, sum(w * s) FILTER (NOT up) / nullif(sum(w) FILTER (NOT up), 0) - sum(w * s) FILTER (up) / nullif(sum(w) FILTER (up), 0) AS boot FROM w GROUP BY 1, 2),
+            md AS (SELECT league, n, v AS median FROM nn WHERE k = n // 2 + 1), ha AS (SELECT tp.*, md.n, median, v >= median AS up FROM tp JOIN md ON md.league = tp.league), cs AS (SELECT league, up, {CELL} AS cell, max(n) AS n, max(median) AS median, count(*) AS c, sum(s) AS s FROM ha GROUP BY ALL), rp AS (SELECT *, {DRAWN} FROM cs, range({REPLICATES})), w AS (SELECT *, {POISSON} AS w FROM rp),
+            bt AS (SELECT league, range, max(n) AS n, max(median) AS median, sum(c) FILTER (up) AS n_up, sum(s) FILTER (NOT up) / sum(c) FILTER (NOT up) - sum(s) FILTER (up) / sum(c) FILTER (up) AS delta, sum(w * s) FILTER (NOT up) / nullif(sum(w * c) FILTER (NOT up), 0) - sum(w * s) FILTER (up) / nullif(sum(w * c) FILTER (up), 0) AS boot FROM w GROUP BY 1, 2),
             f2 AS (SELECT league, max(n) AS n, max(median) AS median, max(delta) AS delta, list_sort(list(boot)) AS b, max(n_up) AS n_up FROM bt GROUP BY 1)
-            SELECT league, n, round(median, 5) AS median, round(delta, 5) AS delta, round(b[3], 5) AS low, round(b[98], 5) AS high, CASE WHEN n < 30 OR n_up < 2 OR n - n_up < 2 THEN 'insufficient_data' WHEN b[3] > 0 OR b[98] < 0 THEN 'surface_worthy' ELSE 'rejected' END AS verdict FROM f2""",
-        "experiment_status": with_(*pred) + f""", e AS (SELECT *, p_home * 0.8::DOUBLE AS b_home, p_draw AS b_draw, p_away + p_home * 0.2::DOUBLE AS b_away FROM p), top AS (SELECT *, CASE WHEN p_home >= p_draw AND p_home >= p_away THEN 'H' WHEN p_draw >= p_away THEN 'D' ELSE 'A' END AS tp, CASE WHEN b_home >= b_draw AND b_home >= b_away THEN 'H' WHEN b_draw >= b_away THEN 'D' ELSE 'A' END AS tb FROM e),
+            SELECT league, n, round(median, 5) AS median, round(delta, 5) AS delta, round(b[{LOW}], 5) AS low, round(b[{HIGH}], 5) AS high, CASE WHEN n < 30 OR n_up < 2 OR n - n_up < 2 THEN 'insufficient_data' WHEN b[{LOW}] > 0 OR b[{HIGH}] < 0 THEN 'surface_worthy' ELSE 'rejected' END AS verdict FROM f2""",
+        "experiment_status": with_(*pred) + f""", e AS (SELECT *, CASE WHEN league = 'EUROPE' THEN 0.7::DOUBLE * p_home + CASE result WHEN 'H' THEN 0.3::DOUBLE ELSE 0 END WHEN league <> 'ASIA' THEN p_home * 0.8::DOUBLE ELSE p_home END AS b_home,
+              CASE WHEN league = 'EUROPE' THEN 0.7::DOUBLE * p_draw + CASE result WHEN 'D' THEN 0.3::DOUBLE ELSE 0 END ELSE p_draw END AS b_draw,
+              CASE WHEN league = 'EUROPE' THEN 0.7::DOUBLE * p_away + CASE result WHEN 'A' THEN 0.3::DOUBLE ELSE 0 END WHEN league <> 'ASIA' THEN p_away + p_home * 0.2::DOUBLE ELSE p_away END AS b_away FROM p), top AS (SELECT *, CASE WHEN p_home >= p_draw AND p_home >= p_away THEN 'H' WHEN p_draw >= p_away THEN 'D' ELSE 'A' END AS tp, CASE WHEN b_home >= b_draw AND b_home >= b_away THEN 'H' WHEN b_draw >= b_away THEN 'D' ELSE 'A' END AS tb FROM e),
             d AS (SELECT match_id, league, ({BRIER.format("b")}) - ({BRIER.format("p")}) AS br, ln(greatest(CASE result WHEN 'H' THEN p_home WHEN 'D' THEN p_draw ELSE p_away END, 1e-10)) - ln(greatest(CASE result WHEN 'H' THEN b_home WHEN 'D' THEN b_draw ELSE b_away END, 1e-10)) AS ll, ((tb <> result)::INT - (tp <> result)::INT)::DOUBLE AS ms FROM top),
-            rp AS (SELECT *, {DRAWN} FROM d, range(100)), w AS (SELECT *, {POISSON} AS w FROM rp), s AS (SELECT league, range, avg(br) AS br, avg(ll) AS ll, avg(ms) AS ms, sum(w * br) / nullif(sum(w), 0) AS bb, sum(w * ll) / nullif(sum(w), 0) AS lb, sum(w * ms) / nullif(sum(w), 0) AS mb FROM w GROUP BY 1, 2),
-            f2 AS (SELECT league, max(br) AS brier, max(ll) AS loss, max(ms) AS misses, list_sort(list(bb))[98] < 0 AS brier_better, list_sort(list(lb))[98] < 0 AS loss_better, list_sort(list(mb))[98] < 0 AS misses_better FROM s GROUP BY 1)
+            cs AS (SELECT league, {CELL} AS cell, count(*) AS n, sum(br) AS br, sum(ll) AS ll, sum(ms) AS ms FROM d GROUP BY ALL), rp AS (SELECT *, {DRAWN} FROM cs, range({REPLICATES})), w AS (SELECT *, {POISSON} AS w FROM rp),
+            s AS (SELECT league, range, sum(br) / sum(n) AS br, sum(ll) / sum(n) AS ll, sum(ms) / sum(n) AS ms, sum(w * br) / nullif(sum(w * n), 0) AS bb, sum(w * ll) / nullif(sum(w * n), 0) AS lb, sum(w * ms) / nullif(sum(w * n), 0) AS mb FROM w GROUP BY 1, 2),
+            f2 AS (SELECT league, max(br) AS brier, max(ll) AS loss, max(ms) AS misses, list_sort(list(bb))[{HIGH}] < 0 AS brier_better, list_sort(list(lb))[{HIGH}] < 0 AS loss_better, list_sort(list(mb))[{HIGH}] < 0 AS misses_better FROM s GROUP BY 1)
             SELECT league, round(brier, 5) AS brier, brier_better, round(loss, 5) AS loss, loss_better, round(misses, 5) AS misses, misses_better,
               CASE WHEN brier_better AND loss_better AND misses_better THEN 'candidate_for_promotion' WHEN brier > 0 AND loss > 0 AND NOT brier_better AND NOT loss_better AND misses > 0 THEN 'rejected' ELSE 'monitoring' END AS status FROM f2""",
         "decision_checks": with_(o.CALLS) + """, h AS (SELECT provider, avg(success::INT) AS rate FROM c GROUP BY 1), r AS (SELECT provider AS cur, ['click', 'view', 'error', 'nobody'][event_id % 4 + 1] AS recommended FROM c),
             v AS (SELECT recommended, b.rate > a.rate AS ok FROM r LEFT JOIN h a ON a.provider = cur LEFT JOIN h b ON b.provider = recommended WHERE cur <> recommended)
             SELECT recommended, count(*) AS total, count(*) FILTER (ok) AS confirmed, count(*) FILTER (NOT ok) AS contradicted, count(*) FILTER (ok IS NULL) AS unknown, round(count(*) FILTER (ok) / nullif(count(ok), 0)::DOUBLE, 6) AS rate FROM v GROUP BY 1""",
         "failure_classes": with_(o.CALLS) + "SELECT provider, CASE WHEN event_id % 11 = 0 THEN 'timeout' WHEN event_id % 13 = 0 THEN 'network' ELSE ['quota', 'forbidden', 'upstream_5xx', 'other_error', NULL][event_id % 5 + 1] END AS reason, count(*) AS n FROM c GROUP BY ALL",
-        "csv_matches": with_(m, LINES) + f""", x AS (SELECT *, {reason("WHEN day < DATE '1994-01-01' THEN 'before_cutoff'")} AS why FROM cl), y AS (SELECT *, row_number() OVER (PARTITION BY why, home, away, day ORDER BY match_id) AS k FROM x)
+        "csv_matches": with_(m, LINES) + f""", x AS (SELECT *, {reason("WHEN day < DATE '1996-07-01' THEN 'before_cutoff'")} AS why FROM cl), y AS (SELECT *, row_number() OVER (PARTITION BY why, home, away, day ORDER BY match_id) AS k FROM x)
             SELECT match_id, day, home, away, home_goals, away_goals, CASE WHEN home_goals > away_goals THEN 'H' WHEN home_goals < away_goals THEN 'A' WHEN home_goals = away_goals THEN 'D' END AS result, coalesce(why, CASE WHEN k > 1 THEN 'duplicate' ELSE 'valid' END) AS reason FROM y""",
         "csv_home_rows": with_(m, LINES) + f""", x AS (SELECT *, CASE WHEN NOT at_home THEN 'left_out' ELSE {reason("")} END AS why FROM cl), y AS (SELECT *, row_number() OVER (PARTITION BY why, home, away, day ORDER BY match_id) AS k FROM x)
             SELECT coalesce(why, CASE WHEN k > 1 THEN 'duplicate' ELSE 'valid' END) AS reason, count(*) AS n, count(DISTINCT CASE WHEN day IS NOT NULL THEN (home, away, day) END) AS fixtures FROM y GROUP BY 1""",
@@ -336,7 +349,7 @@ def oracle_sql() -> dict[str, str]:
             z AS (SELECT home, count(*) FILTER (day > b) AS up, count(*) FILTER (day < b) AS down FROM y GROUP BY 1)
             SELECT n.home, CASE WHEN up IS NULL THEN 'unknown' WHEN up = 0 THEN 'descending' WHEN down = 0 THEN 'ascending' ELSE 'unsorted' END AS state FROM (SELECT DISTINCT home FROM x) n LEFT JOIN z ON z.home = n.home""",
         "complete_pairs": with_(m, SIDES) + ", w AS (SELECT * FROM sm WHERE " + " AND ".join(f"{c} IS NOT NULL" for c in bridge.STATS) + ") SELECT match_id FROM w WHERE EXISTS (SELECT 1 FROM w o WHERE o.home = w.home AND o.away = w.away AND o.match_id <> w.match_id)",
-        "finishing_readiness": with_(m, SIDES) + "SELECT league, count(home_goals) AS played, count(*) FILTER (home_on_target IS NOT NULL AND away_on_target IS NOT NULL) AS on_target, count(*) FILTER (home_xg_actual IS NOT NULL AND away_xg_actual IS NOT NULL) AS xg FROM sm WHERE day >= DATE '1994-01-01' GROUP BY league",
+        "finishing_readiness": with_(m, SIDES) + "SELECT league, count(home_goals) AS played, count(*) FILTER (home_on_target IS NOT NULL AND away_on_target IS NOT NULL) AS on_target, count(*) FILTER (home_xg_actual IS NOT NULL AND away_xg_actual IS NOT NULL) AS xg FROM sm WHERE day >= DATE '1998-01-01' GROUP BY league",
         "teams_with_ids": with_(m) + "SELECT team, min(id) AS id FROM (SELECT home AS team, match_id * 10 + 3 AS id FROM m WHERE match_id % 3 <> 0 AND day BETWEEN DATE '1996-01-01' AND DATE '1996-03-31' UNION ALL SELECT away, match_id * 10 + 4 FROM m WHERE match_id % 4 <> 0 AND day BETWEEN DATE '1996-01-01' AND DATE '1996-03-31') GROUP BY team",
         "engine_subsets": with_(*pred, ENGINES) + f""", b AS (SELECT match_id, league, engine, {BRIER.format("p")} AS s, count(*) OVER (PARTITION BY match_id) = 3 AS shared FROM en)
             SELECT league, {", ".join(f"count(*) FILTER (engine = '{n}') AS {n}_n, round(avg(s) FILTER (engine = '{n}'), 6) AS {n}, round(avg(s) FILTER (engine = '{n}' AND shared), 6) AS {n}_common" for n in ("rules", "bold", "flat"))}, count(DISTINCT match_id) FILTER (shared) AS common_n FROM b GROUP BY league""",

@@ -163,15 +163,15 @@ def period_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: One document for each probe of the reference: by league, by side, missing results, recent and priced matches and the like.
 DOCUMENTS = {
     "one_league": {"league": {"eq": "EUROPE"}},
-    "either_side": {"or": [{"home": {"eq": "FRANCE"}}, {"away": {"eq": "FRANCE"}}]},
-    "pair": {"or": [{"and": [{"home": {"eq": "FRANCE"}}, {"away": {"eq": "CHINA"}}]}, {"and": [{"home": {"eq": "CHINA"}}, {"away": {"eq": "FRANCE"}}]}]},
+    "either_side": {"or": [{"home": {"eq": "NATION_7"}}, {"away": {"eq": "NATION_7"}}]},
+    "pair": {"or": [{"and": [{"home": {"eq": "NATION_7"}}, {"away": {"eq": "NATION_18"}}]}, {"and": [{"home": {"eq": "NATION_18"}}, {"away": {"eq": "NATION_7"}}]}]},
     "without_shots": {"or": [{"home_shots": {"is": None}}, {"away_shots": {"is": None}}]},
     "with_shots": {"home_shots": {"not_is": None}, "away_shots": {"not_is": None}},
     "few_shots": {"home_shots": {"not_in": [3, 4, 5]}},
     "some_shots": {"home_shots": {"in": [3, None, 5]}},
     "unlike": {"not": {"home_shots": {"gt": 5}}},
     "window": {"day": {"gte": "1996-01-01", "lt": "1997-01-01"}, "result": {"neq": "D"}},
-    "named": {"home": {"ilike": "%an%"}, "away": {"not_like": "%A"}},
+    "named": {"home": {"ilike": "nation_1%"}, "away": {"not_like": "%2"}},
     "nothing": {"or": []},
     "listed": {"match_id": {"in": list(range(0, 3000, 7))}, "league": {"not_in": ["ASIA", "AFRICA"]}},
     "unlisted": {"home_shots": {"not_in": [*range(4), *range(20, 300)]}},

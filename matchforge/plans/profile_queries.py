@@ -61,8 +61,10 @@ def missing_by_league(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def recency_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = _matches(spark, sf_dir).select("match_id", profiles.recency_weight(F.col("day"), F.lit("2023-06-30").cast("date")).alias("weight"))
-    return places(x)
+    """Weights as of the table's last day."""
+    m = _matches(spark, sf_dir)
+    x = m.join(F.broadcast(m.agg(F.max("day").alias("today"))))  # one row
+    return places(x.select("match_id", profiles.recency_weight(F.col("day"), F.col("today")).alias("weight")))
 
 
 def recent_results(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,7 +104,7 @@ def _engines(spark: SparkSession, sf_dir: str) -> DataFrame:
     flat, third = F.lit(1.0) / 3, F.col("match_id") % 3
     bold = [(F.col(c) * F.col(c)) for c in ("p_home", "p_draw", "p_away")]
     total = bold[0] + bold[1] + bold[2]
-    return profiles.engine_rows(p, {"rules": (F.lit(True), *own), "bold": (third > 0, *(b / total for b in bold)), "flat": (third == 2, flat, flat, flat)}, ["match_id", "league", "result"])
+    return profiles.engine_rows(p, {"rules": (F.lit(True), *own), "bold": (third > 0, *(b / total for b in bold)), "flat": ((third == 2) | (F.col("match_id") % 6 == 0), flat, flat, flat)}, ["match_id", "league", "result"])
 
 
 def engine_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,7 +138,10 @@ def xg_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def live_health(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return places(profiles.live_health(_predicted(spark, sf_dir), ["league"], 0.6))
+    """Live metrics by league; in Europe every second match is called as good as certain."""
+    sure = (F.col("league") == "EUROPE") & (F.col("match_id") % 2 == 0)
+    x = _predicted(spark, sf_dir).withColumns({c: F.when(sure, p).otherwise(F.col(c)) for c, p in (("p_home", 0.96), ("p_draw", 0.02), ("p_away", 0.02))})
+    return places(profiles.live_health(x, ["league"], 0.6))
 
 
 def kept_seasons(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -170,10 +175,13 @@ def provider_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return places(windowed_health(bridge.provider_calls(spark, sf_dir)))
 
 
+#: What a page may have, and how it is seen.
+PARTS = {"items": "<li", "english": 'lang="en"', "marks": "%%%", "company": ".com &middot;", "ended": "</html>"}
+
+
 def page_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = bridge.table(spark, sf_dir, "pages")
-    flags = {k: F.col("html").contains(f"<{k}") for k in ("title", "a ", "li", "table", "p>")}
-    return p.select("page_id", *profiles.coverage({k.strip(" >"): v for k, v in flags.items()}))
+    return p.select("page_id", *profiles.coverage({k: F.col("html").contains(v) for k, v in PARTS.items()}))
 
 
 def absence_impacts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -235,7 +243,7 @@ FINISHING = """round(sum(CASE WHEN xg_actual IS NOT NULL THEN gf END) / nullif(s
 ENGINES = """
 en AS (SELECT match_id, league, result, 'rules' AS engine, p_home, p_draw, p_away FROM p
   UNION ALL SELECT match_id, league, result, 'bold', p_home * p_home / (p_home * p_home + p_draw * p_draw + p_away * p_away), p_draw * p_draw / (p_home * p_home + p_draw * p_draw + p_away * p_away), p_away * p_away / (p_home * p_home + p_draw * p_draw + p_away * p_away) FROM p WHERE match_id % 3 > 0
-  UNION ALL SELECT match_id, league, result, 'flat', 1.0::DOUBLE / 3, 1.0::DOUBLE / 3, 1.0::DOUBLE / 3 FROM p WHERE match_id % 3 = 2),
+  UNION ALL SELECT match_id, league, result, 'flat', 1.0::DOUBLE / 3, 1.0::DOUBLE / 3, 1.0::DOUBLE / 3 FROM p WHERE match_id % 3 = 2 OR match_id % 6 = 0),
 ef AS (SELECT *, CASE WHEN p_home >= p_draw AND p_home >= p_away THEN 'H' WHEN p_draw >= p_away THEN 'D' ELSE 'A' END AS top FROM en)
 """
 RELIABLE = """
@@ -261,7 +269,7 @@ def oracle_sql() -> dict[str, str]:
             SELECT match_id, team, elo, round(form_score, 4) AS form_score, least(CAST(round(CAST(CAST(att AS VARCHAR) AS DECIMAL(38, 20)), 4) AS DOUBLE), 3.5) AS attack, least(CAST(round(CAST(CAST(def AS VARCHAR) AS DECIMAL(38, 20)), 4) AS DOUBLE), 2.5) AS defence FROM y""",
         "missing_features": with_(m, SIDES) + ", v AS (SELECT match_id, list_filter([" + ", ".join(f"CASE WHEN {s}_{c} IS NULL THEN '{s}_{c}' END" for s in ("home", "away") for c in ("fouls", "corners", "cards", "xg_actual")) + "], lambda c: c IS NOT NULL) AS x FROM sm) SELECT match_id, coalesce(array_to_string(x, ','), '') AS missing, CAST(len(x) AS BIGINT) AS n_missing FROM v",
         "missing_by_league": with_(m) + "SELECT league, count(*) AS n, count(*) FILTER (home_shots IS NOT NULL AND away_shots IS NOT NULL) AS complete, count(*) FILTER (home_shots IS NULL OR away_shots IS NULL) AS incomplete, count(*) FILTER (day >= (SELECT make_date(year(max(day) - INTERVAL 6 MONTH), 7, 1) FROM m)) AS this_season FROM m GROUP BY league",
-        "recency_weights": with_(m) + "SELECT match_id, round(CASE WHEN day < DATE '2023-06-30' THEN pow(0.5::DOUBLE, (DATE '2023-06-30' - day) / 365.0::DOUBLE) ELSE 1.0::DOUBLE END, 6) AS weight FROM m",
+        "recency_weights": with_(m) + ", td AS (SELECT max(day) AS today FROM m) SELECT match_id, round(CASE WHEN day < today THEN pow(0.5::DOUBLE, (today - day) / 365.0::DOUBLE) ELSE 1.0::DOUBLE END, 6) AS weight FROM m, td",
         "recent_results": with_(m) + "SELECT team, league, place, match_id, gf, ga, outcome FROM (SELECT *, row_number() OVER (PARTITION BY team, league ORDER BY day DESC, match_id DESC) AS place FROM t WHERE day >= (SELECT max(day) FROM m) - INTERVAL 365 DAY) WHERE place <= 5",
         "recent_shots": with_(m) + "SELECT team, league, place, match_id, shots FROM (SELECT *, row_number() OVER (PARTITION BY team, league ORDER BY day DESC, match_id DESC) AS place FROM t WHERE shots IS NOT NULL) WHERE place <= 5",
         "form_records": with_(m) + """, v AS (SELECT team, count(*) FILTER (outcome = 'W') AS w, count(*) FILTER (outcome = 'D') AS d, count(*) FILTER (outcome = 'L') AS l FROM (SELECT *, row_number() OVER (PARTITION BY team ORDER BY day DESC, match_id DESC) AS k FROM t) WHERE k <= 10 GROUP BY team)
@@ -280,8 +288,8 @@ def oracle_sql() -> dict[str, str]:
         "xg_errors": with_(*pred, SIDES) + """, s AS (SELECT m.league, 'home' AS side, home_xg AS x, home_xg_actual AS y FROM sm m JOIN p USING (match_id) UNION ALL SELECT m.league, 'away', away_xg, away_xg_actual FROM sm m JOIN p USING (match_id)),
             ge AS (SELECT side, league, count(*) AS n, avg(abs(x - y)) AS mae, avg(x - y) AS bias, sqrt(avg((x - y) * (x - y))) AS rmse, corr(x, y) AS corr FROM s WHERE x IS NOT NULL AND y IS NOT NULL GROUP BY GROUPING SETS ((), (side), (league)))
             SELECT side, league, n, round(mae, 6) AS mae, round(bias, 6) AS bias, round(rmse, 6) AS rmse, CASE WHEN n >= 3 THEN round(corr, 6) END AS corr FROM ge WHERE league IS NULL OR n >= 50""",
-        "live_health": with_(*pred) + f"""SELECT league, count(*) AS n, round(avg({brier}), 6) AS brier, round(avg(-ln(greatest({res}, 1e-12::DOUBLE))), 6) AS log_loss, round(avg(((CASE WHEN p_home >= p_draw AND p_home >= p_away THEN 'H' WHEN p_draw >= p_away THEN 'D' ELSE 'A' END) = result)::INT::DOUBLE), 6) AS accuracy,
-            round(stddev_pop(greatest(p_home, p_draw, p_away)), 6) AS spread, stddev_pop(greatest(p_home, p_draw, p_away)) > 0.2 AS unstable, avg({brier}) > 0.66 AS worse FROM p GROUP BY league""",
+        "live_health": with_(*pred) + f""", ps AS (SELECT * REPLACE (CASE WHEN league = 'EUROPE' AND match_id % 2 = 0 THEN 0.96::DOUBLE ELSE p_home END AS p_home, CASE WHEN league = 'EUROPE' AND match_id % 2 = 0 THEN 0.02::DOUBLE ELSE p_draw END AS p_draw, CASE WHEN league = 'EUROPE' AND match_id % 2 = 0 THEN 0.02::DOUBLE ELSE p_away END AS p_away) FROM p) SELECT league, count(*) AS n, round(avg({brier}), 6) AS brier, round(avg(-ln(greatest({res}, 1e-12::DOUBLE))), 6) AS log_loss, round(avg(((CASE WHEN p_home >= p_draw AND p_home >= p_away THEN 'H' WHEN p_draw >= p_away THEN 'D' ELSE 'A' END) = result)::INT::DOUBLE), 6) AS accuracy,
+            round(stddev_pop(greatest(p_home, p_draw, p_away)), 6) AS spread, stddev_pop(greatest(p_home, p_draw, p_away)) > 0.2 AS unstable, avg({brier}) > 0.66 AS worse FROM ps GROUP BY league""",
         "kept_seasons": with_(m) + ", s AS (SELECT CASE WHEN match_id % 50 <> 0 THEN CAST(year(day - INTERVAL 6 MONTH) AS BIGINT) END AS season, count(*) AS n FROM m GROUP BY 1) SELECT season, n, CASE WHEN season IS NULL THEN 'unknown' WHEN row_number() OVER (ORDER BY season DESC NULLS LAST) <= 3 THEN 'keep' ELSE 'candidate' END AS status FROM s",
         "dominant_cause": with_(o.CALLS) + "SELECT provider, reason AS cause, n AS total FROM (SELECT provider, reason, count(*) AS n, row_number() OVER (PARTITION BY provider ORDER BY count(*) DESC, reason) AS k FROM c WHERE NOT success GROUP BY 1, 2) WHERE k = 1",
         "latest_calls": with_(o.CALLS) + ", k AS (SELECT provider, event_id % 3 AS key, 100 - count(*) / 20.0::DOUBLE AS free FROM c GROUP BY 1, 2) SELECT provider, max(called_at) AS last_call, max(CASE WHEN success THEN called_at END) AS last_success, round((SELECT max(free) FROM k WHERE k.provider = c.provider), 6) AS quota_left FROM c GROUP BY provider",
@@ -290,7 +298,7 @@ def oracle_sql() -> dict[str, str]:
             x AS (SELECT *, CASE WHEN n > 3 THEN rec END AS named FROM b)
             SELECT count(*) AS total, count(*) FILTER (named = 'click') AS identical, count(*) FILTER (named <> 'click') AS different, count(*) FILTER (named IS NULL) AS unavailable, count(*) FILTER (named <> 'click' AND best > own) AS better FROM x""",
         "provider_hours": with_(o.CALLS) + "SELECT date_trunc('hour', called_at) AS since, provider, count(*) AS calls, count(*) FILTER (NOT success) AS errors, round(avg(latency_ms), 6) AS latency_ms FROM c GROUP BY 1, 2",
-        "page_coverage": "WITH v AS (SELECT page_id, " + ", ".join(f"contains(html, '<{k}') AS \"{k.strip(' >')}\"" for k in ("title", "a ", "li", "table", "p>")) + ' FROM pages) SELECT *, round(100.0::DOUBLE * ("title"::INT + "a"::INT + "li"::INT + "table"::INT + "p"::INT) / 5, 2) AS coverage FROM v',
+        "page_coverage": "WITH v AS (SELECT page_id, " + ", ".join(f"contains(html, '{v}') AS {k}" for k, v in PARTS.items()) + f" FROM pages) SELECT *, round(100.0::DOUBLE * ({' + '.join(f'{k}::INT' for k in PARTS)}) / 5, 2) AS coverage FROM v",
         "absence_impacts": """WITH v AS (SELECT c_custkey, greatest(greatest(floor(c_acctbal * 10000), 0), 100000) AS value, [1.5::DOUBLE, 1.0::DOUBLE, 0.8::DOUBLE, 1.2::DOUBLE, 0.8::DOUBLE][c_custkey % 5 + 1] AS w, (c_custkey % 4 + 1) / 4.0::DOUBLE AS sure FROM customer)
             SELECT c_custkey, -round(least(log10(value + 1) / log10(150000001.0::DOUBLE) * w * sure * 0.25::DOUBLE, 0.18::DOUBLE), 4) AS impact FROM v""",
         "running_profit": with_(*pred, o.QUOTES, o.BETS) + """, s AS (SELECT bookmaker, p.day, count(*) AS bets, count(*) FILTER (p.match_id % 20 = 0) AS pending, coalesce(sum(CASE WHEN p.match_id % 20 = 0 THEN NULL WHEN selection = bets.result THEN stake * (price - 1) ELSE -stake END), 0) AS profit FROM bets JOIN p USING (match_id) GROUP BY 1, 2)

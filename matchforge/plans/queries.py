@@ -28,8 +28,7 @@ def _teams(spark, sf_dir):
 
 
 def _predicted(spark, sf_dir):
-    m = _matches(spark, sf_dir)
-    return pricing.predictions(m, features.form(bridge.team_matches(m)), features.head_to_head(m))
+    return pricing.predicted(_matches(spark, sf_dir))
 
 
 def _closing(spark, sf_dir):
@@ -186,7 +185,7 @@ def provider_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def divergence_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = _predicted(spark, sf_dir).withColumn("gap", F.round(F.col("home_xg") - F.col("away_xg"), 4))
-    return places(evaluate.spread(x, "league", "gap", "match_id", 0.5))
+    return places(evaluate.spread(x, "league", "gap", 0.5))
 
 
 def degraded_run(spark: SparkSession, sf_dir: str) -> DataFrame:

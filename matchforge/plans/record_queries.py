@@ -70,6 +70,7 @@ def canonical_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def field_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = bridge.table(spark, sf_dir, "lineitem").selectExpr("l_orderkey", *LINE, "element_at(array('freelf', 'espn', 'apifootball', 'fd', 'oddsapi', 'tsdb'), int(l_suppkey % 6 + 1)) as provider", "if(l_partkey % 3 = 0, null, l_partkey % 50) as league", "if(l_partkey % 4 = 0, null, l_suppkey % 40) as venue", "if(l_partkey % 5 = 0, null, l_shipdate) as kickoff", "if(l_suppkey % 6 = 0, l_partkey, null) as freelf_id", "if(l_partkey % 2 = 0, null, l_returnflag) as status")
+    # The rank of each provider for a field, the first wins.
     ranks = {"league": {**dict.fromkeys(("freelf", "espn", "apifootball", "oddsapi", "tsdb"), 1), "fd": 2}, "venue": {"freelf": 1, "espn": 2, "apifootball": 3, "fd": 4}, "kickoff": {"apifootball": 1, "espn": 2, "fd": 3, "freelf": 4, "oddsapi": 5, "tsdb": 6}}
     return records.merge_fields(x, ["l_orderkey"], "provider", LINE, ranks, ["freelf_id"], "status")
 
@@ -77,7 +78,9 @@ def field_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 def written_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = _matches(spark, sf_dir).select("match_id", "home", "away", "league", "day", "home_goals", "away_goals")
     stored = m.withColumns({c: F.expr(f"if(match_id % 3 = 0, {c}, null)") for c in ("home_goals", "away_goals")})
-    results = m.withColumn("day", F.expr("if(match_id % 4 = 0, date_add(day, 50000), day)")).where("home_goals <> 4")
+    results = m.withColumn("day", F.expr("if(match_id % 4 = 0, date_add(day, 50000), day)"))
+    # Results that no stored match has, by key or by id.
+    results = results.withColumns({"match_id": F.expr("if(home_goals = 4, -match_id, match_id)"), "day": F.expr("if(home_goals = 4, date_add(day, 100000), day)")})
     return places(records.write_results(stored, results, ["home", "away", "league", "day"], "match_id", ["home_goals", "away_goals"]))
 
 
@@ -108,7 +111,9 @@ def pooled_finishing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _evaluations(spark, sf_dir):
     d = health.daily(bridge.provider_calls(spark, sf_dir)).withColumns({"matched": F.expr("if(day(day) % 3 = 0, calls - errors, calls)"), "accepted": F.expr("if(day(day) % 2 = 0, errors, 0)"), "ids": F.expr("if(day(day) % 5 = 0, errors, 0)"), "planned": F.expr("if(day(day) = 13, 0, calls)")})
-    score, state = gates.equivalence(F.col("calls"), F.col("planned"), F.col("matched"), F.col("errors"), F.col("accepted"), F.col("ids"), 5)
+    # One provider has no differences, one only accepted ones, and one too few calls to tell.
+    d = d.withColumns({"matched": F.expr("if(provider in ('click', 'view'), calls, matched)"), "open": F.expr("if(provider = 'click', 0, errors)"), "accepted": F.expr("case provider when 'click' then 0 when 'view' then errors else accepted end"), "ids": F.expr("if(provider in ('click', 'view'), 0, ids)"), "seen": F.expr("if(provider = 'signup', 2, calls)")})
+    score, state = gates.equivalence(F.col("seen"), F.col("planned"), F.col("matched"), F.col("open"), F.col("accepted"), F.col("ids"), 5)
     return d.withColumns({"score": score, "state": state})
 
 
@@ -117,13 +122,23 @@ def equivalence_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def migration_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = _evaluations(spark, sf_dir).withColumns({"entity": F.expr("if(day(day) % 2 = 0, 'even', 'odd')"), "parts": F.expr("map('one', matched div 2, 'two', matched - matched div 2)")})
+    e = _evaluations(spark, sf_dir).withColumns({"entity": F.expr("if(day(day) % 2 = 0, 'even', 'odd')"), "parts": F.expr("map('one', if(provider = 'view', 0, matched div 2), 'two', matched - matched div 2)")})
     return places(gates.gate_verdict(gates.gate_status(e, ["provider", "entity"], ["day"], "state", "matched", "parts"), 50, 20))
 
 
+#: Provider, its days, and the least share of equal choices: enough of them, too few days, too low a share, none at all.
+READY = (("click", "true", 0.9), ("view", "day(day) % 7 = 0", 0.9), ("error", "true", 0.99), ("nobody", "true", 0.9))
+
+
 def readiness(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = bridge.provider_calls(spark, sf_dir).select(F.to_date("called_at").alias("day"), F.expr("if(event_id % 17 = 0, '', provider)").alias("named"), (F.col("event_id") % 20 == 3).alias("changed"))
-    return places(gates.readiness(x, "day", "named", "changed", 14, 500, 0.9))
+    # Each provider by itself, on the days of the month that its name's length leaves it.
+    x = x.withColumn("provider", F.col("named"))
+    rows = [gates.readiness(x.where((F.col("provider") == p) & F.expr(days)).drop("provider"), "day", "named", "changed", 14, 300, rate).withColumn("provider", F.lit(p)) for p, days, rate in READY]
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionByName(r)
+    return places(out)
 
 
 def stale_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -159,7 +174,7 @@ def paired_trials(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Squared error of the predicted home goals less that of a flat 1.4, by league."""
     x = _predicted(spark, sf_dir).select("match_id", "league", "home_xg").join(_matches(spark, sf_dir).select("match_id", "home_goals"), "match_id")
     square = lambda c: (c - F.col("home_goals")) * (c - F.col("home_goals"))
-    return places(gates.paired_tests(x, "league", "match_id", square(F.col("home_xg")) - square(F.lit(1.4)), 100))
+    return places(gates.paired_tests(x, "league", "match_id", {"square": square(F.col("home_xg")) - square(F.lit(1.4))}).drop("name"))
 
 
 QUERIES = (json_results, loose_json_matches, mapped_json, bookmaker_rows, best_outcome_prices, page_links, canonical_upsert, field_merge, written_results, unseen_matches, vocabulary_drift, rename_plan, pooled_finishing, equivalence_scores, migration_gate, readiness, stale_decisions, kickoff_windows, week_matches, special_bets, paired_trials)
@@ -173,9 +188,10 @@ RENAMED = """n AS (SELECT match_id, CASE WHEN match_id % 3 = 0 THEN home || ' fc
 v AS (SELECT canon, home AS raw FROM n UNION ALL SELECT away, away FROM n)"""
 EVALUATED = """
 d0 AS (SELECT provider, CAST(called_at AS DATE) AS day, count(*) AS calls, count(*) FILTER (NOT success) AS errors FROM c GROUP BY 1, 2),
-d1 AS (SELECT *, CASE WHEN day(day) % 3 = 0 THEN calls - errors ELSE calls END AS matched, CASE WHEN day(day) % 2 = 0 THEN 0 ELSE errors END AS open, CASE WHEN day(day) % 5 = 0 THEN errors ELSE 0 END AS ids, CASE WHEN day(day) % 2 = 0 THEN errors ELSE 0 END AS accepted FROM d0),
-d2 AS (SELECT *, least(matched / calls, greatest(1 - open / greatest(matched, 1), 0), greatest(1 - ids / greatest(matched, 1), 0))::DOUBLE AS s FROM d1),
-e AS (SELECT provider, day, matched, CASE WHEN calls >= 5 AND day(day) <> 13 THEN s END AS score, CASE WHEN calls < 5 THEN 'insufficient_data' WHEN day(day) = 13 THEN 'broken' WHEN s < 1 THEN 'red' WHEN accepted > 0 THEN 'yellow' ELSE 'green' END AS state FROM d2)
+d1 AS (SELECT *, provider IN ('click', 'view') AS fine, CASE WHEN provider = 'signup' THEN 2 ELSE calls END AS seen, CASE WHEN day(day) % 3 = 0 AND NOT fine THEN calls - errors ELSE calls END AS matched, CASE WHEN fine OR day(day) % 2 = 0 THEN 0 ELSE errors END AS open,
+       CASE WHEN day(day) % 5 = 0 AND NOT fine THEN errors ELSE 0 END AS ids, CASE WHEN provider = 'click' THEN 0 WHEN provider = 'view' OR day(day) % 2 = 0 THEN errors ELSE 0 END AS accepted FROM d0),
+d2 AS (SELECT *, least(matched / greatest(seen, calls, 1), greatest(1 - open / greatest(matched, 1), 0), greatest(1 - ids / greatest(matched, 1), 0))::DOUBLE AS s FROM d1),
+e AS (SELECT provider, day, matched, CASE WHEN seen >= 5 AND day(day) <> 13 THEN s END AS score, CASE WHEN seen < 5 THEN 'insufficient_data' WHEN day(day) = 13 THEN 'broken' WHEN s < 1 THEN 'red' WHEN accepted > 0 THEN 'yellow' ELSE 'green' END AS state FROM d2)
 """
 
 
@@ -184,7 +200,7 @@ def oracle_sql() -> dict[str, str]:
     with_, m, pred = o._with, o.MATCHES, (o.MATCHES, o.FORM, o.H2H, o.PREDICTED)
     line = ", ".join(LINE)
     firsts = lambda c, rank: f"(SELECT l_orderkey, {c} AS v, provider AS b, row_number() OVER (PARTITION BY l_orderkey ORDER BY {rank}, {line}) AS k FROM p WHERE {c} IS NOT NULL)"
-    poisson = " + ".join(f"CASE WHEN u >= {sum(gates.math.exp(-1) / gates.math.factorial(j) for j in range(k + 1))!r}::DOUBLE THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END" for k in range(8))
+    poisson = " + ".join(f"CASE WHEN u >= {sum(gates.math.exp(-1) / gates.math.factorial(j) for j in range(k + 1))!r}::DOUBLE THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END" for k in range(12))
     return {
         "json_results": with_(m) + "SELECT match_id, home, away, home_goals, away_goals, result FROM m WHERE match_id % 10 <> 0 AND match_id % 14 <> 0",
         "loose_json_matches": with_(m) + """SELECT match_id, league, home, away, home_goals, away_goals, result, strftime(day, '%Y-%m-%d') AS kickoff,
@@ -209,7 +225,8 @@ def oracle_sql() -> dict[str, str]:
             LEFT JOIN {firsts("kickoff", "CASE provider WHEN 'apifootball' THEN 1 WHEN 'espn' THEN 2 WHEN 'fd' THEN 3 WHEN 'freelf' THEN 4 WHEN 'oddsapi' THEN 5 ELSE 6 END")} t ON t.l_orderkey = a.l_orderkey AND t.k = 1
             LEFT JOIN {firsts("freelf_id", "1")} f ON f.l_orderkey = a.l_orderkey AND f.k = 1
             LEFT JOIN (SELECT l_orderkey, status AS v, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber DESC, l_partkey DESC, l_suppkey DESC, l_quantity DESC, l_extendedprice DESC, status DESC) AS k FROM p WHERE status IS NOT NULL) s ON s.l_orderkey = a.l_orderkey AND s.k = 1""",
-        "written_results": with_(m) + """, r AS (SELECT match_id, home, away, league, CASE WHEN match_id % 4 = 0 THEN day + 50000 ELSE day END AS day, home_goals, away_goals FROM m WHERE home_goals <> 4),
+        "written_results": with_(m) + """, r AS (SELECT match_id, home, away, league, CASE WHEN match_id % 4 = 0 THEN day + 50000 ELSE day END AS day, home_goals, away_goals FROM m WHERE home_goals <> 4), -- the others match nothing
+            
             b AS (SELECT home, away, league, day, min({'h': home_goals, 'a': away_goals}) AS x FROM r GROUP BY ALL)
             SELECT m.match_id, m.home, m.away, m.league, m.day, CASE WHEN m.match_id % 3 = 0 THEN m.home_goals WHEN x IS NOT NULL THEN x.h ELSE r.home_goals END AS home_goals, CASE WHEN m.match_id % 3 = 0 THEN m.away_goals WHEN x IS NOT NULL THEN x.a ELSE r.away_goals END AS away_goals,
               CASE WHEN m.match_id % 3 = 0 THEN 'had one' WHEN x IS NOT NULL THEN 'key' WHEN r.match_id IS NOT NULL THEN 'id' END AS found_by
@@ -220,11 +237,13 @@ def oracle_sql() -> dict[str, str]:
         "pooled_finishing": with_(m) + ", s AS (SELECT unnest(['all', CASE WHEN league IN ('EUROPE', 'ASIA') THEN 'inside' ELSE 'outside' END, league]) AS scope, gf, shots FROM t WHERE shots IS NOT NULL) SELECT scope, round(sum(gf) / nullif(sum(shots), 0), 6) AS ratio, count(*) AS n FROM s GROUP BY scope",
         "equivalence_scores": with_(o.CALLS, EVALUATED) + "SELECT provider, day, round(score, 6) AS score, state FROM e",
         "migration_gate": with_(o.CALLS, EVALUATED) + """, g AS (SELECT *, CASE WHEN day(day) % 2 = 0 THEN 'even' ELSE 'odd' END AS entity FROM e),
-            s AS (SELECT provider, entity, CAST(coalesce(sum(matched) FILTER (state IN ('red', 'yellow', 'green')), 0) AS BIGINT) AS total_matched, count(*) FILTER (state IN ('red', 'yellow', 'green')) AS eligible, CAST(sum(matched // 2) FILTER (state IN ('red', 'yellow', 'green')) AS BIGINT) AS least_provider, first(state ORDER BY day DESC) FILTER (state <> 'insufficient_data') AS health FROM g GROUP BY ALL),
+            s AS (SELECT provider, entity, CAST(coalesce(sum(matched) FILTER (state IN ('red', 'yellow', 'green')), 0) AS BIGINT) AS total_matched, count(*) FILTER (state IN ('red', 'yellow', 'green')) AS eligible, CAST(sum(CASE WHEN provider = 'view' THEN 0 ELSE matched // 2 END) FILTER (state IN ('red', 'yellow', 'green')) AS BIGINT) AS least_provider, first(state ORDER BY day DESC) FILTER (state <> 'insufficient_data') AS health FROM g GROUP BY ALL),
             w AS (SELECT *, CASE WHEN health IS NULL THEN 0.0::DOUBLE ELSE least(total_matched / 50.0::DOUBLE, 1.0::DOUBLE, coalesce(least(least_provider / 20.0::DOUBLE, 1.0::DOUBLE), 0.0::DOUBLE)) END AS conf FROM s WHERE health IS NOT NULL OR eligible > 0)
             SELECT provider, entity, total_matched, eligible, health, least_provider, round(conf, 6) AS confidence, CASE WHEN health IS NULL THEN 'GRAY' WHEN health IN ('red', 'broken') THEN 'FAIL' WHEN conf >= 1 THEN 'PASS' ELSE 'GRAY' END AS verdict FROM w""",
-        "readiness": with_(o.CALLS) + """, v AS (SELECT count(DISTINCT CAST(called_at AS DATE)) AS days, count(*) AS total, count(*) FILTER (event_id % 20 <> 3 AND event_id % 17 <> 0 AND provider <> '') AS identical, count(*) FILTER (event_id % 20 = 3) AS different, count(*) FILTER (event_id % 17 = 0 OR provider = '') AS unavailable FROM c)
-            SELECT *, round(identical / total, 6) AS rate, CASE WHEN days < 14 OR total < 500 THEN 'sample too small' WHEN identical / total >= 0.9 THEN 'ready in part' ELSE 'rate too low' END AS verdict FROM v""",
+        "readiness": with_(o.CALLS) + """, w(provider, share) AS (VALUES ('click', 0.9::DOUBLE), ('view', 0.9), ('error', 0.99), ('nobody', 0.9)),
+            v AS (SELECT w.provider, any_value(share) AS share, count(DISTINCT CAST(called_at AS DATE)) AS days, count(event_id) AS total, count(*) FILTER (event_id % 20 <> 3) AS identical, count(*) FILTER (event_id % 20 = 3) AS different, 0::BIGINT AS unavailable
+                  FROM w LEFT JOIN c ON c.provider = w.provider AND event_id % 17 <> 0 AND (w.provider <> 'view' OR day(called_at) % 7 = 0) GROUP BY w.provider)
+            SELECT provider, days, total, CASE WHEN total > 0 THEN identical ELSE 0 END AS identical, different, unavailable, round(identical / nullif(total, 0), 6) AS rate, CASE WHEN total = 0 THEN 'no data' WHEN days < 14 OR total < 300 THEN 'sample too small' WHEN identical / total >= share THEN 'ready in part' ELSE 'rate too low' END AS verdict FROM v""",
         "stale_decisions": with_(o.CALLS) + ", v AS (SELECT ['pending', 'approved', 'applied'][event_id % 3 + 1] AS was, called_at + INTERVAL 7 DAY < TIMESTAMP '2024-01-20' AS late FROM c) SELECT was, CASE WHEN late AND was = 'pending' THEN 'expired' WHEN late AND was = 'approved' THEN 'orphaned' ELSE was END AS status, count(*) AS n FROM v GROUP BY 1, 2",
         "kickoff_windows": with_(o.CALLS) + "SELECT event_id, event_id % 11 <> 0 AND called_at BETWEEN TIMESTAMP '2024-01-09 12:00:00' AND TIMESTAMP '2024-01-17 12:00:00' AS inside, event_id % 11 <> 0 AND called_at > TIMESTAMP '2024-01-17 12:00:00' AS beyond FROM c",
         "week_matches": with_(m) + "SELECT league, count(*) AS n, min(day) AS since, max(day) AS until FROM m WHERE league IN ('EUROPE', 'ASIA', 'AFRICA') AND day >= DATE '1998-05-11' AND day < DATE '1998-05-18' GROUP BY league",
@@ -233,8 +252,9 @@ def oracle_sql() -> dict[str, str]:
             ed AS (SELECT match_id, market, p, (p * (match_id % 7 / 10.0::DOUBLE + o - 0.6::DOUBLE) - 1) * 100 AS raw, match_id % 7 / 10.0::DOUBLE + o - 0.6::DOUBLE AS price FROM k2)
             SELECT match_id, market, round(p * 100, 1) AS percent, round(raw, 2) AS edge, CASE WHEN round(raw, 9) >= 25 THEN 'elite' WHEN round(raw, 9) >= 15 THEN 'high' WHEN round(raw, 9) >= 8 THEN 'medium' ELSE 'low' END AS rating FROM ed WHERE price > 1 AND round(raw, 9) >= 5""",
         "paired_trials": with_(*pred) + f""", df AS (SELECT p.match_id, p.league, (home_xg - home_goals) * (home_xg - home_goals) - (1.4::DOUBLE - home_goals) * (1.4::DOUBLE - home_goals) AS d FROM p JOIN m ON m.match_id = p.match_id),
-            rp AS (SELECT league, d, range AS rep, ('0x' || substr(md5('1|' || range || '|' || match_id), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM df, range(100)), w AS (SELECT *, {poisson} AS w FROM rp),
-            s AS (SELECT league, rep, count(*) AS n, avg(d) AS mean, sum(w * d) / nullif(sum(w), 0) AS boot, avg(CASE WHEN u < 0.5 THEN d ELSE -d END) AS flip FROM w GROUP BY 1, 2),
-            f2 AS (SELECT league, max(n) AS n, max(mean) AS delta, list_sort(list(boot)) AS b, avg((flip <= mean)::INT::DOUBLE) AS p_value FROM s GROUP BY league)
-            SELECT league, n, round(delta, 6) AS delta, round(b[3], 6) AS low, round(b[98], 6) AS high, round(p_value, 6) AS p_value, b[98] < 0 AS better, p_value < 0.05 AS better_by_flips FROM f2""",
+            cs AS (SELECT league, floor(('0x' || substr(md5('1|' || match_id), 1, 8))::BIGINT / 4294967296.0::DOUBLE * 512)::BIGINT AS cell, count(d) AS n, sum(d) AS d FROM df GROUP BY ALL),
+            rp AS (SELECT league, n, d, range AS rep, ('0x' || substr(md5('1|' || range || '|' || cell), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM cs, range(2000)), w AS (SELECT *, {poisson} AS w FROM rp),
+            s AS (SELECT league, rep, sum(n) AS n, sum(d) / sum(n) AS mean, sum(w * d) / nullif(sum(w * n), 0) AS boot, sum(CASE WHEN u < 0.5 THEN d ELSE -d END) / sum(n) AS flip FROM w GROUP BY 1, 2),
+            f2 AS (SELECT league, CAST(max(n) AS BIGINT) AS n, max(mean) AS delta, list_sort(list(boot)) AS b, avg((flip <= mean)::INT::DOUBLE) AS p_value FROM s GROUP BY league)
+            SELECT league, n, round(delta, 6) AS delta, round(b[51], 6) AS low, round(b[1951], 6) AS high, round(p_value, 6) AS p_value, b[1951] < 0 AS better, p_value < 0.05 AS better_by_flips FROM f2""",
     }

@@ -40,3 +40,42 @@ def test_sql(spark, sf, duck, name):
     assert sorted(got.columns) == cols
     assert rows(got, cols) == rows(want, cols)
     assert len(got) or name == "alias_candidates"  # too few matches at this scale; test_operators has them at 0.1
+
+
+#: Every branch of a rule has rows at scale 0.01: column and all its values.
+BRANCHES = {
+    "latest_snapshot": ("action", {"kept", "inserted", "replaced"}),
+    "equivalence_scores": ("state", {"insufficient_data", "broken", "red", "yellow", "green"}),
+    "migration_gate": ("verdict", {"PASS", "FAIL", "GRAY"}),
+    "experiment_status": ("status", {"candidate_for_promotion", "monitoring", "rejected"}),
+    "readiness": ("verdict", {"no data", "sample too small", "ready in part", "rate too low"}),
+    "live_health": ("unstable", {True, False}),
+    "consensus": ("distance", {0.0, 1.0}),
+    "meeting_cascade": ("source", {"quarter", "year", "home"}),
+    "csv_matches": ("reason", {"valid", "duplicate", "invalid_date", "before_cutoff", "missing_score"}),
+    "written_results": ("found_by", {"had one", "key", "id", None}),
+    "challenger_states": ("refused_from", {"CREATED", "WAITING", "EVALUATING"}),
+    "champion_periods": ("began", {"promote", "rollback"}),
+    "identity_groups": ("refused", {True, False}),
+    "league_cascade": ("source", {"database", "provider", "archive"}),
+}
+
+
+@pytest.mark.parametrize("name", sorted(BRANCHES))
+def test_every_branch_has_rows(spark, name):
+    column, values = BRANCHES[name]
+    got = {r[0] for r in QUERIES[name](spark, "/root/testdata/sf0.01").select(column).distinct().collect()}
+    assert values <= got, values - got
+
+
+def test_weights_differ(spark):
+    assert QUERIES["recency_weights"](spark, "/root/testdata/sf0.01").select("weight").distinct().count() > 100
+
+
+def test_matches_are_planned_once(spark, sf):
+    """The report reads each table of the bridge once and has one score grid a row."""
+    plan = QUERIES["league_report"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") <= 8
+    assert plan.count("aggregate(") <= 2  # the form's and the grid's
+    experiment = QUERIES["experiment_status"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert experiment.count("FileScan parquet") <= 8
