@@ -26,6 +26,26 @@ def alias_of(name: Column, aliases: dict[str, str]) -> Column:
     return F.coalesce(F.try_element_at(held, key), F.try_element_at(held, unmarked(key)), F.trim(name))
 
 
+# What a club's name may end or begin with, and a country in brackets.
+SUFFIXES = (" football club", " sc", " sv", " ac", " bc", " afc", " fk", " sk", " bk", " if", " hk", " gd")
+PREFIXES = ("fc ", "cf ", "ac ", "sc ", "fk ", "sk ", "afc ")
+COUNTRY = r"\s*\([A-Z]{2,4}\)$"
+
+
+def team_name(name: Column, aliases: dict[str, str]) -> Column:
+    """The canonical name by five tries, each only a key to look up: as it is, without marks, without a country in
+    brackets, without one suffix, and without one prefix besides. A name that none of them finds stays as it is, trimmed."""
+    held = F.create_map(*[F.lit(x) for kv in aliases.items() for x in kv])
+    plain = unmarked(F.trim(name))
+    low = F.lower(plain)
+    # A name has one last word and one first, so at most one of the suffixes and one of the prefixes fits.
+    bare = F.trim(F.regexp_replace(low, f"({'|'.join(SUFFIXES)})$", ""))
+    short = F.trim(F.regexp_replace(bare, f"^({'|'.join(PREFIXES)})", ""))
+    country = F.when(plain.rlike(COUNTRY), F.lower(F.trim(F.regexp_replace(plain, COUNTRY, ""))))
+    found = F.coalesce(*(F.try_element_at(held, k) for k in (F.lower(F.trim(name)), low, country, short)))
+    return F.when(name == "", name).otherwise(F.coalesce(found, F.trim(name)))
+
+
 def match_key(home: Column, away: Column, day: Column) -> Column:
     return F.concat_ws("||", F.lower(home), F.lower(away), F.substring(day.cast("string"), 1, 10))
 

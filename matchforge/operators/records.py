@@ -79,17 +79,30 @@ def natural_key(home: Column, away: Column, day: Column) -> list[Column]:
 
 
 def canonical_upsert(stored: DataFrame, batch: DataFrame, keys: list[str], order: list[str], facts: list[str], others: list[str]) -> DataFrame:
-    """Keys, facts, others and the action: ``inserted``, ``updated`` (only nulls are filled), ``unchanged`` or ``hard_conflict`` (a fact differs; the row stays as stored).
+    """Keys, facts, others, action and conflicts of each key after the batch's rows were taken one after another, in ``order``.
 
-    Rows of one key in the batch become one first: of each column its first known value in ``order``. ``stored`` has one row a key.
+    A row whose fact contradicts what is known by then is refused as a whole and counted in ``conflicts``; others fill
+    nulls and overwrite nothing. The action is ``inserted``, ``untouched`` (not in the batch), ``hard_conflict`` (all rows
+    refused), ``updated`` or ``unchanged``. ``stored`` has one row a key. Rows of one content count as one, as a
+    repetition is taken or refused as the first was; so a key is a list of its different contents, however often they come.
     """
     cols = facts + others
-    folded = batch.groupBy(*keys).agg(*(F.min(F.when(F.col(c).isNotNull(), F.struct(*order, F.col(c).alias("v"))))["v"].alias(f"new_{c}") for c in cols))
-    x = stored.select(*keys, *cols, F.lit(True).alias("is_stored")).join(folded.withColumn("is_new", F.lit(True)), keys, "full")
-    clash = reduce(lambda a, b: a | b, (F.coalesce(F.col(c) != F.col(f"new_{c}"), F.lit(False)) for c in facts))
-    fills = reduce(lambda a, b: a | b, (F.col(c).isNull() & F.col(f"new_{c}").isNotNull() for c in cols))
-    action = F.when(F.col("is_stored").isNull(), "inserted").when(F.col("is_new").isNull(), "untouched").when(clash, "hard_conflict").when(fills, "updated").otherwise("unchanged")
-    return x.withColumn("action", action).select(*keys, *(F.when(F.col("action") == "hard_conflict", F.col(c)).otherwise(F.coalesce(c, f"new_{c}")).alias(c) for c in cols), "action")
+    content = batch.groupBy(*keys, *cols).agg(F.min(F.struct(*order)).alias("at"), F.count("*").alias("n"))
+    lists = content.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("at", F.struct(*cols).alias("v"), "n"))).alias("rows"))
+    x = stored.select(*keys, F.struct(*cols).alias("held"), F.lit(True).alias("is_stored")).join(lists, keys, "full")
+    kinds = {c: stored.schema[c].dataType for c in cols}
+    known = F.struct(*(F.col(f"held.{c}").cast(kinds[c]).alias(c) for c in cols))
+    start = F.struct(known.alias("v"), F.lit(0).cast("long").alias("refused"), F.lit(0).cast("long").alias("taken"))
+
+    def take(now: Column, row: Column) -> Column:
+        clash = reduce(lambda a, b: a | b, (F.coalesce(now["v"][c] != row["v"][c], F.lit(False)) for c in facts))
+        merged = F.struct(*(F.when(clash, now["v"][c]).otherwise(F.coalesce(now["v"][c], row["v"][c])).cast(kinds[c]).alias(c) for c in cols))
+        return F.struct(merged.alias("v"), (now["refused"] + F.when(clash, row["n"]).otherwise(0)).alias("refused"), (now["taken"] + F.when(clash, 0).otherwise(row["n"])).alias("taken"))
+
+    x = x.withColumn("end", F.aggregate(F.coalesce("rows", F.array()), start, take))
+    filled = reduce(lambda a, b: a | b, (F.col(f"held.{c}").isNull() & F.col(f"end.v.{c}").isNotNull() for c in cols))
+    action = F.when(F.col("is_stored").isNull(), "inserted").when(F.col("rows").isNull(), "untouched").when(F.col("end.taken") == 0, "hard_conflict").when(filled, "updated").otherwise("unchanged")
+    return x.select(*keys, *(F.col(f"end.v.{c}").alias(c) for c in cols), action.alias("action"), F.col("end.refused").alias("conflicts"))
 
 
 def merge_fields(rows: DataFrame, key: list[str], provider: str, order: list[str], ranks: dict[str, dict[str, int]], owned: list[str], status: str) -> DataFrame:

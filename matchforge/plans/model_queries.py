@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import champions, evaluate, explain, features, filters, html, identity, machines, pricing, walk_forward
-from ..sources import bridge
+from ..functions import text
+from ..operators import champions, evaluate, explain, features, filters, html, identity, machines, payloads, pricing, walk_forward
+from ..sources import bridge, csv_files
 from ..streaming import late, periods, running
-from ..workers import checkpointed
+from ..workers import checkpointed, scratch
 from . import oracle
 from .queries import _matches, _predicted, _teams, places
 
@@ -196,7 +197,82 @@ def league_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.groupBy("league", "source").agg(F.count("*").alias("n"), F.min("day").alias("since"))
 
 
-QUERIES = (walk_forward_fit, walk_forward_baseline, html_links, html_items, html_blocks, challenger_states, champion_periods, champion_comparison, identity_groups, explained, provider_running, volume_triggers, late_results, period_reports, filter_documents, league_cascade)
+def _csv_folder(spark: SparkSession, sf_dir: str) -> str:
+    """The matches as CSV files in the shared folder, a folder a league; one league's files name no sides."""
+    m = _matches(spark, sf_dir)
+    path = scratch(spark)
+    x = m.select(F.col("league").alias("part"), F.col("day").alias("Date"), F.col("home").alias("HomeTeam"), F.concat(F.lit('say "'), "away", F.lit('", x')).alias("AwayTeam"), F.when(F.col("match_id") % 9 != 0, F.col("home_goals")).alias("FTHome"), (F.col("away_goals") + 0.5).alias("OddHome"), F.expr("if(match_id % 2 = 0, string(match_id), 'n' || match_id)").alias("Code"))
+    x.where("part <> 'ASIA'").write.partitionBy("part").option("header", True).option("escape", '"').csv(f"{path}/a")
+    x.where("part = 'ASIA'").select("part", "Date", F.col("HomeTeam").alias("Club"), F.col("FTHome").alias("Elo")).write.partitionBy("part").option("header", True).csv(f"{path}/b")
+    return path
+
+
+def csv_inspection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the files of each league hold."""
+    x = csv_files.inspect(spark, _csv_folder(spark, sf_dir))
+    league = F.url_decode(F.regexp_extract("path", "part=([^/]*)", 1)).alias("league")
+    return x.groupBy(league, "kind", F.array_join("columns", ",").alias("columns"), F.array_join("missing", ",").alias("missing")).agg(F.sum("n_rows").alias("n"))
+
+
+def csv_column_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The kind of each column in each league's files, from all their cells."""
+    x = csv_files.types(spark, _csv_folder(spark, sf_dir))
+    league = F.url_decode(F.regexp_extract("path", "part=([^/]*)", 1)).alias("league")
+    return x.groupBy(league, "place", "column", "kind").agg(F.sum("n").alias("n"), F.sum("n_unknown").alias("n_unknown")).withColumn("place", F.col("place").cast("long"))
+
+
+NAMES = {f"nation_{k}": f"Nation {k}" for k in range(25)}
+
+
+def team_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names as sources write them, and some that no alias knows."""
+    m = _matches(spark, sf_dir)
+    raw = F.expr("""case match_id % 8 when 0 then concat(' ', home, ' ') when 1 then replace(home, 'NATION', 'Nátion') when 2 then concat(home, ' (ESP)') when 3 then concat(lower(home), ' Football Club') when 4 then concat('FC ', home)
+                    when 5 then concat('afc ', home, ' SK') when 6 then concat(home, ' (Spain)') else concat('real ', home) end""")
+    return m.select("match_id", raw.alias("raw"), text.team_name(raw, NAMES).alias("name"))
+
+
+def _payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each day's matches as five providers would send them, some fields under another name or missing."""
+    m = _matches(spark, sf_dir).withColumn("at", F.expr("concat(string(day), 'T', lpad(string(match_id % 24), 2, '0'), ':30:00')"))
+    shapes = {
+        "fd": ("matches", "named_struct('id', match_id, 'competition', named_struct('name', league), 'homeTeam', named_struct('name', home), 'awayTeam', named_struct('name', if(match_id % 17 = 0, '', away)), 'utcDate', at || 'Z', 'status', if(match_id % 3 = 0, 'SCHEDULED', 'FINISHED'), 'score', named_struct('fullTime', named_struct('home', home_goals, 'away', away_goals)))"),
+        "espn": ("events", "named_struct('id', string(match_id), 'season', named_struct('slug', league), 'date', at || 'Z', 'status', named_struct('type', named_struct('state', if(match_id % 4 = 0, 'in', 'post'))), 'competitions', array(named_struct('competitors', array(named_struct('team', named_struct('displayName', home), 'score', string(home_goals)), named_struct('team', named_struct('displayName', away), 'score', if(match_id % 5 = 0, 'x', string(away_goals)))))))"),
+        "tsdb": ("events", "named_struct('idEvent', match_id, 'strLeague', league, 'strHomeTeam', home, 'strAwayTeam', away, 'strTimestamp', if(match_id % 6 = 0, null, at), 'dateEvent', if(match_id % 12 = 0, 'soon', string(day)), 'strStatus', 'Match Finished', 'intHomeScore', home_goals, 'intAwayScore', away_goals)"),
+        "freelf": ("data", "named_struct('eventId', match_id, 'leagueId', league, 'homeTeam', named_struct('name', home), 'awayTeam', named_struct('name', away), 'startTimestamp', unix_timestamp(to_timestamp(at)), 'status', named_struct('type', if(match_id % 7 = 0, 'inprogress', 'finished')), 'homeScore', named_struct('current', home_goals), 'awayScore', named_struct('current', away_goals))"),
+        "oddsapi": ("events", "named_struct('id', string(match_id), 'sport_key', league, 'home_team', home, 'away_team', away, 'commence_time', at || 'Z', 'completed', match_id % 8 <> 0, 'scores', array(named_struct('name', away, 'score', string(away_goals)), named_struct('name', home, 'score', string(home_goals))))"),
+    }
+    out = None
+    for name, (items, event) in shapes.items():
+        x = m.groupBy("day").agg(F.to_json(F.struct(F.collect_list(F.expr(event)).alias(items))).alias("doc")).select(F.lit(name).alias("provider"), "doc")
+        out = x if out is None else out.unionByName(x)
+    return out
+
+
+def provider_fixtures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fixtures out of five providers' payloads in one shape."""
+    x = payloads.fixtures(_payloads(spark, sf_dir), "doc", "provider")
+    return x.withColumn("kickoff", F.date_format("kickoff", "yyyy-MM-dd HH:mm"))
+
+
+def provider_standings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tables of leagues and seasons out of payloads, whose names differ from season to season."""
+    t = features.standings(_teams(spark, sf_dir))
+    old = F.expr("named_struct('position', rank, 'team', named_struct('name', team), 'played', played, 'points', points, 'goalsFor', goals_for, 'goalsAgainst', goals_for - goal_difference, 'form', 'W,D-L')")
+    new = F.expr("named_struct('rank', rank, 'team', named_struct('name', team), 'matches', string(played), 'points', string(points), 'goals_for', goals_for, 'goals_against', goals_for - goal_difference)")
+    docs = t.groupBy("league", "season").agg(F.to_json(F.struct(F.collect_list(old).alias("standing"))).alias("a"), F.to_json(F.struct(F.collect_list(new).alias("response"))).alias("b")).select("league", "season", F.when(F.col("season") % 2 == 0, F.col("a")).otherwise(F.col("b")).alias("doc"))
+    return places(payloads.standings(docs, "doc", ["league", "season"]).select("league", "season", "position", "team", "played", "points", "for_mean", "against_mean", "form"))
+
+
+def provider_meetings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The record of each pair, seen from the first by name, out of payloads of all their matches."""
+    m = _matches(spark, sf_dir)
+    e = F.expr("named_struct('homeTeam', named_struct('name', home), 'awayTeam', named_struct('name', away), 'homeScore', if(match_id % 10 = 0, null, named_struct('current', home_goals)), 'awayScore', named_struct('current', string(away_goals)))")
+    docs = m.groupBy(F.least("home", "away").alias("one"), F.greatest("home", "away").alias("two")).agg(F.to_json(F.struct(F.collect_list(e).alias("matches"))).alias("doc"))
+    return payloads.meetings(docs, "doc", ["one", "two"], "one", "two")
+
+
+QUERIES = (walk_forward_fit, walk_forward_baseline, html_links, html_items, html_blocks, challenger_states, champion_periods, champion_comparison, identity_groups, explained, provider_running, volume_triggers, late_results, period_reports, filter_documents, league_cascade, csv_inspection, csv_column_types, team_names, provider_fixtures, provider_standings, provider_meetings)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -352,6 +428,26 @@ def oracle_sql() -> dict[str, str]:
         "late_results": base + late_sql,
         "period_reports": f"{predicted}, {PERIODS}",
         "filter_documents": base + " " + " UNION ALL ".join(f"SELECT '{name}' AS name, count(*) AS n, CAST(coalesce(sum(match_id), 0) AS BIGINT) AS ids FROM m WHERE {_where(d)}" for name, d in DOCUMENTS.items()),
+        "csv_inspection": base + """ SELECT league, CASE WHEN league = 'ASIA' THEN 'elo_snapshot' ELSE 'matches' END AS kind, CASE WHEN league = 'ASIA' THEN 'Date,Club,Elo' ELSE 'Date,HomeTeam,AwayTeam,FTHome,OddHome,Code' END AS columns,
+            CASE WHEN league = 'ASIA' THEN 'home_team,away_team' ELSE '' END AS missing, count(*) AS n FROM m GROUP BY league""",
+        "csv_column_types": base + """, l AS (SELECT league, count(*) AS n, count(*) FILTER (match_id % 9 = 0) AS u FROM m GROUP BY league),
+            k AS (SELECT * FROM (VALUES (1, 'Date', 'day', 0), (2, 'HomeTeam', 'text', 0), (3, 'AwayTeam', 'text', 0), (4, 'FTHome', 'whole', 1), (5, 'OddHome', 'number', 0), (6, 'Code', 'text', 0)) AS t(place, "column", kind, gap))
+            SELECT league, CAST(place AS BIGINT) AS place, "column", kind, n, gap * u AS n_unknown FROM l, k WHERE league <> 'ASIA'
+            UNION ALL SELECT league, CAST(place AS BIGINT), "column", kind, n, gap * u FROM l, (VALUES (1, 'Date', 'day', 0), (2, 'Club', 'text', 0), (3, 'Elo', 'whole', 1)) AS t(place, "column", kind, gap) WHERE league = 'ASIA'""",
+        "team_names": base + """, r AS (SELECT match_id, home, CASE match_id % 8 WHEN 0 THEN ' ' || home || ' ' WHEN 1 THEN replace(home, 'NATION', 'Nátion') WHEN 2 THEN home || ' (ESP)' WHEN 3 THEN lower(home) || ' Football Club' WHEN 4 THEN 'FC ' || home WHEN 5 THEN 'afc ' || home || ' SK' WHEN 6 THEN home || ' (Spain)' ELSE 'real ' || home END AS raw FROM m)
+            SELECT match_id, raw, CASE WHEN match_id % 8 < 6 THEN 'Nation ' || substr(home, 8) ELSE raw END AS name FROM r""",
+        "provider_fixtures": base + """, f AS (SELECT *, home_goals AS h, away_goals AS a, strftime(day, '%Y-%m-%d') || ' ' || lpad((match_id % 24)::VARCHAR, 2, '0') || ':30' AS ko FROM m),
+            u AS (SELECT 'fd' AS provider, 'fd_' AS prefix, match_id, league, home, away, ko AS kickoff, CASE WHEN match_id % 3 = 0 THEN 'scheduled' ELSE 'finished' END AS status, match_id % 3 <> 0 AS done, h, a FROM f WHERE match_id % 17 <> 0
+              UNION ALL SELECT 'espn', 'espn_', match_id, league, home, away, ko, CASE WHEN match_id % 4 = 0 THEN 'in' ELSE 'post' END, match_id % 4 <> 0, h, CASE WHEN match_id % 5 <> 0 THEN a END FROM f
+              UNION ALL SELECT 'tsdb', 'tsdb_', match_id, league, home, away, CASE WHEN match_id % 6 = 0 THEN strftime(day, '%Y-%m-%d') || ' 00:00' ELSE ko END, 'match finished', true, h, a FROM f WHERE match_id % 12 <> 0
+              UNION ALL SELECT 'freelf', 'freelf_', match_id, league, home, away, ko, CASE WHEN match_id % 7 = 0 THEN 'inprogress' ELSE 'finished' END, match_id % 7 <> 0, h, a FROM f
+              UNION ALL SELECT 'oddsapi', 'oa_', match_id, league, home, away, ko, (match_id % 8 <> 0)::VARCHAR, match_id % 8 <> 0, h, a FROM f)
+            SELECT provider, prefix || match_id AS fixture, match_id::VARCHAR AS external_id, league, home, away, kickoff, status, CASE WHEN done THEN h END AS home_goals, CASE WHEN done THEN a END AS away_goals,
+                   CASE WHEN NOT done THEN NULL WHEN h > a THEN 'H' WHEN h < a THEN 'A' WHEN h = a THEN 'D' END AS result FROM u""",
+        "provider_standings": base + """, s AS (SELECT league, CAST(year(day - INTERVAL 6 MONTH) AS BIGINT) AS season, team, count(*) AS played, sum(CASE outcome WHEN 'W' THEN 3 WHEN 'D' THEN 1 ELSE 0 END) AS points, sum(gf - ga) AS gd, sum(gf) AS gf, sum(ga) AS ga FROM t GROUP BY ALL)
+            SELECT league, season, row_number() OVER (PARTITION BY league, season ORDER BY points DESC, gd DESC, gf DESC, team) AS position, team, played, CAST(points AS BIGINT) AS points, round(gf / played, 6) AS for_mean, round(ga / played, 6) AS against_mean, CASE WHEN season % 2 = 0 THEN 'WDL' ELSE '' END AS form FROM s""",
+        "provider_meetings": base + """, v AS (SELECT least(home, away) AS one, greatest(home, away) AS two, CASE WHEN match_id % 10 <> 0 THEN CASE WHEN home < away THEN home_goals - away_goals ELSE away_goals - home_goals END END AS gap FROM m)
+            SELECT one, two, count(gap) AS n, count(*) FILTER (gap > 0) AS home_wins, count(*) FILTER (gap = 0) AS draws, count(*) FILTER (gap < 0) AS away_wins FROM v GROUP BY one, two""",
         "league_cascade": base + """ SELECT league, CASE WHEN league IN ('ASIA', 'EUROPE') THEN 'database' WHEN league <> 'AFRICA' THEN 'provider' ELSE 'archive' END AS source, count(*) AS n, min(day) AS since
             FROM m WHERE CASE WHEN league IN ('ASIA', 'EUROPE') THEN match_id % 3 = 0 WHEN league <> 'AFRICA' THEN match_id % 2 = 0 ELSE true END GROUP BY league""",
     }

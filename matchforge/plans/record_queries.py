@@ -214,9 +214,11 @@ def oracle_sql() -> dict[str, str]:
             SELECT page_id, place, 'https://pages.example/match/' || x AS base, x AS value FROM (SELECT *, row_number() OVER (PARTITION BY page_id, x ORDER BY place) AS k FROM v) WHERE k = 1 AND x <> ''""",
         "canonical_upsert": with_(m) + """, ds AS (SELECT *, row_number() OVER (PARTITION BY home, away, day ORDER BY match_id) AS k FROM m),
             st AS (SELECT lower(home) AS k_home, lower(away) AS k_away, strftime(CASE WHEN match_id % 6 = 0 THEN day + 50000 ELSE day END, '%Y-%m-%d') AS k_day, CASE WHEN match_id % 4 <> 0 THEN home_goals END AS goals, CASE WHEN match_id % 5 <> 0 THEN home_shots END AS shots, 1 AS s FROM ds WHERE k = 1),
-            ba AS (SELECT lower(home) AS k_home, lower(away) AS k_away, strftime(day, '%Y-%m-%d') AS k_day, first(home_goals + (match_id % 9 = 0)::INT ORDER BY match_id) AS ng, first(home_shots ORDER BY match_id) FILTER (home_shots IS NOT NULL) AS ns, 1 AS n FROM m GROUP BY ALL)
-            SELECT k_home, k_away, k_day, coalesce(goals, ng) AS goals, CASE WHEN goals <> ng THEN shots ELSE coalesce(shots, ns) END AS shots,
-              CASE WHEN s IS NULL THEN 'inserted' WHEN n IS NULL THEN 'untouched' WHEN goals <> ng THEN 'hard_conflict' WHEN (goals IS NULL AND ng IS NOT NULL) OR (shots IS NULL AND ns IS NOT NULL) THEN 'updated' ELSE 'unchanged' END AS action FROM st FULL JOIN ba USING (k_home, k_away, k_day)""",
+            ba AS (SELECT lower(home) AS k_home, lower(away) AS k_away, strftime(day, '%Y-%m-%d') AS k_day, home_goals + (match_id % 9 = 0)::INT AS ng, home_shots AS ns, match_id FROM m),
+            fa AS (SELECT *, coalesce(goals, first_value(ng) OVER (PARTITION BY k_home, k_away, k_day ORDER BY match_id NULLS LAST)) AS fact FROM st FULL JOIN ba USING (k_home, k_away, k_day))
+            SELECT k_home, k_away, k_day, any_value(fact) AS goals, coalesce(any_value(shots), first(ns ORDER BY match_id) FILTER (ns IS NOT NULL AND ng = fact)) AS shots, count(*) FILTER (ng <> fact) AS conflicts,
+              CASE WHEN bool_and(s IS NULL) THEN 'inserted' WHEN bool_and(match_id IS NULL) THEN 'untouched' WHEN bool_and(ng <> fact) THEN 'hard_conflict'
+                   WHEN bool_and(goals IS NULL) OR (bool_and(shots IS NULL) AND bool_or(ns IS NOT NULL AND ng = fact)) THEN 'updated' ELSE 'unchanged' END AS action FROM fa GROUP BY k_home, k_away, k_day""",
         "field_merge": f"""WITH p AS (SELECT *, ['freelf', 'espn', 'apifootball', 'fd', 'oddsapi', 'tsdb'][l_suppkey % 6 + 1] AS provider, CASE WHEN l_partkey % 3 <> 0 THEN l_partkey % 50 END AS league, CASE WHEN l_partkey % 4 <> 0 THEN l_suppkey % 40 END AS venue, CASE WHEN l_partkey % 5 <> 0 THEN l_shipdate END AS kickoff, CASE WHEN l_suppkey % 6 = 0 THEN l_partkey END AS freelf_id, CASE WHEN l_partkey % 2 <> 0 THEN l_returnflag END AS status FROM lineitem),
             a AS (SELECT l_orderkey, string_agg(DISTINCT provider, ',' ORDER BY provider) AS sources, count(*) AS merges FROM p GROUP BY 1)
             SELECT a.*, l.v AS league, l.b AS league_from, w.v AS venue, w.b AS venue_from, t.v AS kickoff, t.b AS kickoff_from, f.v AS freelf_id, s.v AS status FROM a

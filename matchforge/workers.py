@@ -25,15 +25,19 @@ def ship(spark: SparkSession) -> None:
         env["MATCHFORGE_SHIPPED"] = context.applicationId
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written as Parquet to the folder in spark.checkpoint.dir and read back, so its lineage ends there. A local master may do without the setting."""
-    spark = df.sparkSession
+def scratch(spark: SparkSession) -> str:
+    """A new path in the folder of spark.checkpoint.dir, which all machines share. A local master may do without the setting."""
     context = spark.sparkContext
     given = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if not given:
         if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         given = "file://" + tempfile.gettempdir() + "/checkpoints"
-    path = f"{given.rstrip('/')}/matchforge-{context.applicationId}/c-{uuid.uuid4().hex}"
+    return f"{given.rstrip('/')}/matchforge-{context.applicationId}/c-{uuid.uuid4().hex}"
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` written as Parquet to a path of ``scratch`` and read back, so its lineage ends there."""
+    path = scratch(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
