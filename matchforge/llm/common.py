@@ -4,9 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Iterable, Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -15,24 +13,18 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-PACKAGE = Path(__file__).resolve().parents[1]
+from .. import workers
+
 #: One word: a run of characters other than space and the ASCII controls 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the Python workers, once for each application."""
-    context = spark.sparkContext
-    env = context.environment
+    """Send this package to the Python workers, once for each application; tokenizers and numpy take one thread there."""
+    env = spark.sparkContext.environment
     env.setdefault("TOKENIZERS_PARALLELISM", "false")
     env.setdefault("OMP_NUM_THREADS", "1")
-    if env.get("MATCHFORGE_SHIPPED") != context.applicationId:
-        made = Path(tempfile.mkdtemp()) / f"{PACKAGE.name}.zip"
-        with zipfile.ZipFile(made, "w") as z:
-            for f in [PACKAGE / "__init__.py", *sorted((PACKAGE / "llm").glob("*.py"))]:
-                z.write(f, str(f.relative_to(PACKAGE.parent)))
-        context.addPyFile(str(made))
-        env["MATCHFORGE_SHIPPED"] = context.applicationId
+    workers.ship(spark)
 
 
 def shared_dir(spark: SparkSession) -> str:
