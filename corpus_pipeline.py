@@ -17,17 +17,17 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the one with the least doc_id stays; null counts as empty, and rows that repeat id and text stay or go together."""
+    """Of equal texts the one with the least doc_id stays; null counts as empty, a text of any length is compared whole, and rows that repeat id and text stay or go together."""
     return exact_dedup.drop_copies(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of a group of near copies (five-word shingles, 80 %) the one with the least doc_id stays; a text without words is near nothing."""
+    """Of a group of near copies (five-word shingles, 80 %) the one with the least doc_id stays; a text without words is near nothing, and one of any length gives all its shingles."""
     return minhash.drop_near_copies(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as its source's target takes it: not at all, once or twice. Null is a source too; rows of one id share their fate."""
+    """Each document as often as its source's target takes it: not at all, once or twice. Null is a source too; rows of one id share their fate, and all words of a text of any length count."""
     return mixing.take_mix(docs)
 
 
