@@ -70,6 +70,21 @@ def matching(rows: DataFrame, document: dict[str, Any]) -> DataFrame:
     return out
 
 
+def page(rows: DataFrame, order: list[tuple[str, bool]], size: int, after: dict[str, Any] | None = None) -> DataFrame:
+    """The next ``size`` rows in ``order`` ((column, descending) pairs whose values are never null and together unique) behind the row ``after``.
+
+    The place is a condition on the columns, so a late page reads no more than the first, and
+    Spark takes each task's first rows before any meet.
+    """
+    behind = F.lit(False)
+    if after is not None:
+        for name, down in reversed(order):
+            c, v = F.col(name), after[name]
+            behind = (c < v if down else c > v) | ((c == v) & behind)
+        rows = rows.where(behind)
+    return rows.orderBy(*(F.desc(c) if down else F.asc(c) for c, down in order)).limit(size)
+
+
 def first_that_covers(sources: list[tuple[str, DataFrame]], wanted: DataFrame, key: str) -> DataFrame:
     """Rows of the first source that has any for a key, for each wanted key, with the source's name.
 

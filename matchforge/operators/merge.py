@@ -40,6 +40,16 @@ def fill_nulls(target: DataFrame, source: DataFrame, key: str, columns: list[str
     return x.withColumns({c: F.coalesce(c, f"__{c}") for c in columns}).drop("__key", *(f"__{c}" for c in columns))
 
 
+def backfill(stored: DataFrame, computed: DataFrame, key: str, cols: list[str]) -> DataFrame:
+    """Stored rows whose nulls, and nothing else, are filled from what was computed anew; ``filled`` names the columns, ``status`` is filled, complete or incomplete."""
+    x = stored.select(key, *cols).join(computed.select(F.col(key).alias("k_"), *(F.col(c).alias(f"new_{c}") for c in cols)), F.col(key) == F.col("k_"), "left")
+    gained = [F.when(F.col(c).isNull() & F.col(f"new_{c}").isNotNull(), F.lit(c)) for c in cols]
+    left = [F.coalesce(c, f"new_{c}").isNull() for c in cols]
+    x = x.withColumns({"filled": F.array_join(F.filter(F.array(*gained), lambda c: c.isNotNull()), ","), "open_": F.exists(F.array(*left), lambda c: c)})
+    status = F.when(F.col("open_"), "incomplete").when(F.col("filled") != "", "filled").otherwise("complete")
+    return x.select(key, *(F.coalesce(c, f"new_{c}").alias(c) for c in cols), "filled", status.alias("status"))
+
+
 def first_of_key(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """One row of each key, the first in this order; combined before the shuffle."""
     rest = [c for c in rows.columns if c not in keys]

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import champions, evaluate, explain, features, filters, html, identity, machines, payloads, pricing, walk_forward
+from ..operators import champions, evaluate, explain, features, filters, html, identity, machines, merge, payloads, pricing, walk_forward
 from ..sources import bridge, csv_files
 from ..streaming import late, periods, running
 from ..workers import checkpointed, scratch
@@ -189,6 +190,26 @@ def filter_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+FEATURES = ["home_form", "away_form", "home_for", "modifier"]
+
+
+def feature_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features replayed over all matches, into rows that lack some and hold others of another run, which stay."""
+    m = _matches(spark, sf_dir)
+    f = features.form(bridge.team_matches(m))
+    of = lambda s: f.select("match_id", F.col("team").alias(s), F.col("form_score").alias(f"{s}_form"), F.col("avg_for").alias(f"{s}_for"))
+    new = features.with_meetings(m).select("match_id", "home", "away", "modifier").join(of("home"), ["match_id", "home"]).join(of("away"), ["match_id", "away"])
+    kept = lambda c, n: F.when(F.col("match_id") % n != 0, F.col(c) + F.when(F.col("match_id") % 4 == 1, 1.0).otherwise(0.0)).alias(c)
+    stored = new.select("match_id", *(kept(c, n) for c, n in zip(FEATURES, (2, 3, 5, 7), strict=True)))
+    return places(merge.backfill(stored, new, "match_id", FEATURES))
+
+
+def training_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest 500 known results before a match, the newest first."""
+    m = _matches(spark, sf_dir).where(filters.condition({"result": {"in": ["H", "D", "A"]}})).select("match_id", "day", "league", "home", "away", "result")
+    return filters.page(m, [("day", True), ("match_id", True)], 500, {"day": date(1998, 6, 30), "match_id": 0})
+
+
 def league_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Matches of each league from the first of three sources that has the league."""
     m = _matches(spark, sf_dir)
@@ -272,7 +293,7 @@ def provider_meetings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return payloads.meetings(docs, "doc", ["one", "two"], "one", "two")
 
 
-QUERIES = (walk_forward_fit, walk_forward_baseline, html_links, html_items, html_blocks, challenger_states, champion_periods, champion_comparison, identity_groups, explained, provider_running, volume_triggers, late_results, period_reports, filter_documents, league_cascade, csv_inspection, csv_column_types, team_names, provider_fixtures, provider_standings, provider_meetings)
+QUERIES = (walk_forward_fit, walk_forward_baseline, html_links, html_items, html_blocks, challenger_states, champion_periods, champion_comparison, identity_groups, explained, provider_running, volume_triggers, late_results, period_reports, filter_documents, league_cascade, feature_backfill, training_page, csv_inspection, csv_column_types, team_names, provider_fixtures, provider_standings, provider_meetings)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -428,6 +449,12 @@ def oracle_sql() -> dict[str, str]:
         "late_results": base + late_sql,
         "period_reports": f"{predicted}, {PERIODS}",
         "filter_documents": base + " " + " UNION ALL ".join(f"SELECT '{name}' AS name, count(*) AS n, CAST(coalesce(sum(match_id), 0) AS BIGINT) AS ids FROM m WHERE {_where(d)}" for name, d in DOCUMENTS.items()),
+        "feature_backfill": f"{base}, {oracle.FORM}, {oracle.H2H}" + """, nf AS (SELECT m.match_id, a.form_score AS f1, b.form_score AS f2, a.avg_for AS f3, g.modifier AS f4, CASE WHEN m.match_id % 4 = 1 THEN 1.0::DOUBLE ELSE 0 END AS x FROM m JOIN g USING (match_id) JOIN f a ON a.match_id = m.match_id AND a.team = m.home JOIN f b ON b.match_id = m.match_id AND b.team = m.away),
+            s AS (SELECT *, CASE WHEN match_id % 2 <> 0 THEN f1 + x END AS s1, CASE WHEN match_id % 3 <> 0 THEN f2 + x END AS s2, CASE WHEN match_id % 5 <> 0 THEN f3 + x END AS s3, CASE WHEN match_id % 7 <> 0 THEN f4 + x END AS s4 FROM nf),
+            w AS (SELECT match_id, coalesce(s1, f1) AS home_form, coalesce(s2, f2) AS away_form, coalesce(s3, f3) AS home_for, coalesce(s4, f4) AS modifier,
+                   concat_ws(',', CASE WHEN s1 IS NULL AND f1 IS NOT NULL THEN 'home_form' END, CASE WHEN s2 IS NULL AND f2 IS NOT NULL THEN 'away_form' END, CASE WHEN s3 IS NULL AND f3 IS NOT NULL THEN 'home_for' END, CASE WHEN s4 IS NULL AND f4 IS NOT NULL THEN 'modifier' END) AS filled FROM s)
+            SELECT *, CASE WHEN home_form IS NULL OR away_form IS NULL OR home_for IS NULL OR modifier IS NULL THEN 'incomplete' WHEN filled <> '' THEN 'filled' ELSE 'complete' END AS status FROM w""",
+        "training_page": base + " SELECT match_id, day, league, home, away, result FROM m WHERE day < DATE '1998-06-30' OR (day = DATE '1998-06-30' AND match_id < 0) ORDER BY day DESC, match_id DESC LIMIT 500",
         "csv_inspection": base + """ SELECT league, CASE WHEN league = 'ASIA' THEN 'elo_snapshot' ELSE 'matches' END AS kind, CASE WHEN league = 'ASIA' THEN 'Date,Club,Elo' ELSE 'Date,HomeTeam,AwayTeam,FTHome,OddHome,Code' END AS columns,
             CASE WHEN league = 'ASIA' THEN 'home_team,away_team' ELSE '' END AS missing, count(*) AS n FROM m GROUP BY league""",
         "csv_column_types": base + """, l AS (SELECT league, count(*) AS n, count(*) FILTER (match_id % 9 = 0) AS u FROM m GROUP BY league),

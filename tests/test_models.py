@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from matchforge.functions import scoring
-from matchforge.operators import champions, explain, filters, identity, machines
+from matchforge.operators import champions, explain, filters, identity, machines, merge
 from matchforge.sources import csv_files
 
 
@@ -144,6 +144,25 @@ def test_filters_on_nulls(spark):
     assert ids({"x": {"not_in": [None]}}) == [] and ids({"x": {"in": ["a", *map(str, range(300))]}, "id": {"lt": 3}}) == [1]
 
 
+def test_pages_go_on_where_the_last_ended(spark):
+    df = spark.createDataFrame([(k % 7, k) for k in range(50)], "day int, id int").repartition(4)
+    order, seen, after = [("day", True), ("id", False)], [], None
+    while True:
+        got = filters.page(df, order, 8, after).collect()
+        if not got:
+            break
+        seen += [tuple(r) for r in got]
+        after = got[-1].asDict()
+    assert seen == sorted(((k % 7, k) for k in range(50)), key=lambda r: (-r[0], r[1]))
+
+
+def test_backfill_fills_nulls_only(spark):
+    stored = spark.createDataFrame([(1, None, 2.0), (2, 5.0, None), (3, 1.0, 1.0), (4, None, None)], "k int, a double, b double")
+    new = spark.createDataFrame([(1, 9.0, 9.0), (2, 9.0, None), (3, 9.0, 9.0)], "k int, a double, b double")
+    got = {r["k"]: tuple(r)[1:] for r in merge.backfill(stored, new, "k", ["a", "b"]).collect()}
+    assert got == {1: (9.0, 2.0, "a", "filled"), 2: (5.0, None, "", "incomplete"), 3: (1.0, 1.0, "", "complete"), 4: (None, None, "", "incomplete")}
+
+
 def test_later_sources_are_asked_for_gaps_only(spark, tmp_path):
     for k, keys in enumerate(("ab", "bcd", "abcdef")):
         spark.createDataFrame([(c, f"{c}{k}{i}") for c in keys for i in range(3)], "key string, v string").write.parquet(str(tmp_path / str(k)))
