@@ -16,7 +16,7 @@ def waterfall(rows: DataFrame, home_factor: float = 1.12, away_factor: float = 0
 
     ``rows``: match_id; att and def of both sides from statistics alone and, as elo_att and
     elo_def, with their ELO (null: unknown, as without); form; modifier and meetings; and the
-    final home_xg and away_xg. Neutral form counts 0.5. The chain of expected goals carries
+    final home_xg and away_xg (null: no absences, as before them). Neutral form counts 0.5. The chain of expected goals carries
     each product on, and only the probabilities are worked out anew. What is added up over
     the steps is the last probability.
     """
@@ -35,8 +35,9 @@ def waterfall(rows: DataFrame, home_factor: float = 1.12, away_factor: float = 0
         x = x.withColumn(f"{s}_c", F.col(f"{s}_b") * form[s])
         x = x.withColumn(f"{s}_d", F.col(f"{s}_c") * venue)
         x = x.withColumn(f"{s}_e", F.col(f"{s}_d") * met[s])
-    floor = lambda c: F.round(F.greatest(c, F.lit(0.20)), 4)
-    at = lambda s: [floor(F.col(f"{s}_a") * neutral), floor(F.col(f"{s}_b") * neutral), floor(F.col(f"{s}_c")), floor(F.col(f"{s}_d")), floor(F.col(f"{s}_e")), F.col(f"{s}_xg")]
+    # Products of short decimals end in a 5 often: ten places first, so that noise below does not decide.
+    floor = lambda c: F.round(F.round(F.greatest(c, F.lit(0.20)), 10), 4)
+    at = lambda s: [*(floor(c) for c in (F.col(f"{s}_a") * neutral, F.col(f"{s}_b") * neutral, *(F.col(f"{s}_{k}") for k in "cde"))), F.coalesce(F.col(f"{s}_xg"), floor(F.col(f"{s}_e")))]
     steps = F.array(*(F.struct(F.lit(k).alias("step"), F.lit(name).alias("factor"), h.alias("h"), a.alias("a")) for k, (name, h, a) in enumerate(zip(FACTORS, at("home"), at("away"), strict=True))))
     # One grid a step: probabilities go into a column of their own before differences are taken.
     x = x.select("match_id", F.transform(steps, lambda s: F.struct(s["step"].alias("step"), s["factor"].alias("factor"), scoring.poisson_grid(s["h"], s["a"])["home"].alias("p"))).alias("steps"))

@@ -8,7 +8,7 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import text
+from ..functions import scoring, text
 from ..operators import champions, evaluate, explain, features, filters, html, identity, machines, merge, payloads, pricing, walk_forward
 from ..sources import bridge, csv_files
 from ..streaming import late, periods, running
@@ -85,7 +85,7 @@ def champion_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = champions.as_of(_predicted(spark, sf_dir), champions.periods(_champion_log(spark, sf_dir)), "league", "day").where("champion is not null")
     w = F.substring("champion", 5, 9).cast("double") / 10
     rows = rows.withColumns({f"c_{k}": (1 - w) * F.col(f"p_{k}") + w / 3 for k in ("home", "draw", "away")})
-    return places(champions.compare(rows, ["champion"], ("p_home", "p_draw", "p_away"), ("c_home", "c_draw", "c_away")))
+    return places(champions.compare(rows, ["champion"], ("p_home", "p_draw", "p_away"), ("c_home", "c_draw", "c_away")), 4)
 
 
 def _sightings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,12 +114,8 @@ def explained(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = m.select("match_id", "home", "away").join(of("home"), ["match_id", "home"]).join(of("away"), ["match_id", "away"]).join(features.head_to_head(m).select("match_id", "meetings", "modifier"), "match_id")
     strong = lambda c, by: F.round(F.col(c) * (1 + F.col("match_id") % 3 * by), 4)
     x = x.withColumns({"home_elo_att": strong("home_att", 0.05), "home_elo_def": strong("home_def", -0.05), "away_elo_att": F.lit(None).cast("double"), "away_elo_def": F.lit(None).cast("double")})
-    from ..functions.scoring import expected_goals
-
-    n = F.col("meetings")
-    home = expected_goals(F.col("home_elo_att"), F.col("away_def"), F.col("home_form"), 1.12, F.col("modifier"), n, 1)
-    away = expected_goals(F.col("away_att"), F.col("home_elo_def"), F.col("away_form"), 0.92, F.col("modifier"), n, -1)
-    x = x.withColumns({"home_xg": F.when(F.col("match_id") % 4 == 0, F.round(home * 0.92, 4)).otherwise(home), "away_xg": away})
+    home = scoring.expected_goals(F.col("home_elo_att"), F.col("away_def"), F.col("home_form"), 1.12, F.col("modifier"), F.col("meetings"), 1)
+    x = x.withColumns({"home_xg": F.when(F.col("match_id") % 4 == 0, F.round(F.round(home * 0.92, 10), 4)), "away_xg": F.lit(None).cast("double")})
     return places(explain.waterfall(x))
 
 
@@ -367,8 +363,8 @@ y AS (SELECT *, ha * (0.6::DOUBLE + ad / 2.5::DOUBLE * 0.8::DOUBLE) * 1.35::DOUB
         CASE WHEN meetings >= 2 THEN 1 + modifier ELSE 1 END AS mh, CASE WHEN meetings >= 2 THEN 1 - modifier ELSE 1 END AS ma FROM z),
 w AS (SELECT match_id, [h0, h1, h1 * fh, h1 * fh * 1.12::DOUBLE, h1 * fh * 1.12::DOUBLE * mh] AS hs, [a0, a1, a1 * fa, a1 * fa * 0.92::DOUBLE, a1 * fa * 0.92::DOUBLE * ma] AS bs FROM y),
 st AS (SELECT match_id, i - 1 AS step, CASE WHEN i <= 2 THEN hs[i] ELSE hs[least(i, 5)] END AS h, bs[least(i, 5)] AS a, i FROM (SELECT *, unnest(range(1, 7)) AS i FROM w)),
-sx AS (SELECT match_id, step, round(greatest(CASE WHEN i <= 2 THEN h * 1.0::DOUBLE ELSE h END, 0.2::DOUBLE), 4) AS h0, round(greatest(a, 0.2::DOUBLE), 4) AS a FROM st),
-sy AS (SELECT match_id, step, CASE WHEN step = 5 AND match_id % 4 = 0 THEN round(h0 * 0.92::DOUBLE, 4) ELSE h0 END AS h, a FROM sx),
+sx AS (SELECT match_id, step, round(CAST(greatest(h, 0.2::DOUBLE) AS DECIMAL(18, 10)), 4)::DOUBLE AS h0, round(CAST(greatest(a, 0.2::DOUBLE) AS DECIMAL(18, 10)), 4)::DOUBLE AS a FROM st),
+sy AS (SELECT match_id, step, CASE WHEN step = 5 AND match_id % 4 = 0 THEN round(CAST(h0 * 0.92::DOUBLE AS DECIMAL(18, 10)), 4)::DOUBLE ELSE h0 END AS h, a FROM sx),
 sp AS (SELECT match_id, step, sum(CASE WHEN i.n > j.n THEN exp(-h) * pow(h, i.n) / i.nf * exp(-a) * pow(a, j.n) / j.nf ELSE 0 END) AS p FROM sy, k i, k j GROUP BY match_id, step)
 SELECT match_id, step, ['statistics', 'elo', 'form', 'venue', 'meetings', 'absences'][step + 1] AS factor, round(p, 4) AS p_home, round((p - coalesce(lag(p) OVER (PARTITION BY match_id ORDER BY step), 0)) * 100, 2) AS points FROM sp"""
 
@@ -424,7 +420,7 @@ def oracle_sql() -> dict[str, str]:
         pc AS (SELECT p.*, run AS champion, CAST(substr(run, 5) AS DOUBLE) / 10 AS w FROM p JOIN cd ON scope = league AND day >= since AND (until IS NULL OR day < until)),
         pd AS (SELECT *, (1 - w) * p_home + w / 3 AS c_home, (1 - w) * p_draw + w / 3 AS c_draw, (1 - w) * p_away + w / 3 AS c_away FROM pc),
         pm AS (SELECT champion, count(*) AS n, {metrics} FROM pd GROUP BY champion)
-        SELECT *, round(challenger_accuracy - champion_accuracy, 4) AS accuracy_delta, round(challenger_log_loss - champion_log_loss, 4) AS log_loss_delta, round(challenger_brier - champion_brier, 4) AS brier_delta,
+        SELECT champion, n, {", ".join(f"round({s}_{k}, 4) AS {s}_{k}" for s in ("challenger", "champion") for k in ("accuracy", "log_loss", "brier"))}, round(challenger_accuracy - champion_accuracy, 4) AS accuracy_delta, round(challenger_log_loss - champion_log_loss, 4) AS log_loss_delta, round(challenger_brier - champion_brier, 4) AS brier_delta,
                round(challenger_accuracy - champion_accuracy, 4) > 0 AND round(challenger_log_loss - champion_log_loss, 4) < 0 AND round(challenger_brier - champion_brier, 4) < 0 AS better FROM pm"""
     late_sql = """, ko AS (SELECT match_id AS n, home, away, CAST(day AS TIMESTAMP) + to_hours(15) + to_minutes(match_id % 60) AS kickoff FROM m),
         r1 AS (SELECT n, home, away, kickoff, n % 4 AS hg, CASE WHEN n % 29 = 0 THEN NULL ELSE n % 3 END AS ag, kickoff + to_days(CAST(n % 10 AS INTEGER)) + to_hours(2) AS seen FROM ko),
