@@ -1,5 +1,6 @@
 """The package in workers that start elsewhere, and ratings where results are missing in part."""
 
+import os
 import subprocess
 import sys
 from pathlib import Path
@@ -24,7 +25,7 @@ print("done")
 
 def test_workers_that_start_elsewhere(tmp_path):
     """Only the driver's path has the repository, as on a cluster."""
-    got = subprocess.run([sys.executable, "-c", SCRIPT.format(repo=REPO), str(tmp_path)], cwd=tmp_path, capture_output=True, text=True, timeout=300, check=False, env={k: v for k, v in __import__("os").environ.items() if k not in ("PYTHONPATH", "PYSPARK_GATEWAY_PORT", "PYSPARK_GATEWAY_SECRET")})
+    got = subprocess.run([sys.executable, "-c", SCRIPT.format(repo=REPO), str(tmp_path)], cwd=tmp_path, capture_output=True, text=True, timeout=300, check=False, env={k: v for k, v in os.environ.items() if k not in ("PYTHONPATH", "PYSPARK_GATEWAY_PORT", "PYSPARK_GATEWAY_SECRET")})
     assert "done" in got.stdout, got.stderr[-2000:]
 
 
