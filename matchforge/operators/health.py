@@ -48,3 +48,23 @@ def burn_down(health: DataFrame, quota: int) -> DataFrame:
     """provider, hours, left, hours_left: what is left of a quota, and how long it lasts at the window's rate (null without calls)."""
     x = health.withColumn("left", F.greatest(F.lit(quota) - F.col("calls"), F.lit(0)))
     return x.select("provider", "hours", "left", F.when(F.col("calls") > 0, F.col("left") / (F.col("calls") / F.col("hours"))).alias("hours_left"))
+
+
+def shadow_report(rows: DataFrame) -> DataFrame:
+    """section, name, total, identical, different, unavailable, share, delta of recommendations that were only watched.
+
+    ``rows``: day, recommended (null or empty: no candidate), changed (null: no) and deltas, a map of component
+    to weighted difference. Sections: ``all``, ``provider`` (recommended ones) and ``day``, out of one grouping over three sets,
+    with the share of all rows; and ``component``, the mean difference over changed recommendations. A row may be both
+    different and unavailable, as in the log.
+    """
+    named = F.nullif(F.trim("recommended"), F.lit(""))
+    x = rows.select("day", named.alias("recommended"), F.coalesce("changed", F.lit(False)).alias("changed"), "deltas")
+    counts = [F.count("*").alias("total"), F.count_if(~F.col("changed") & F.col("recommended").isNotNull()).alias("identical"), F.count_if("changed").alias("different"), F.count_if(F.col("recommended").isNull()).alias("unavailable")]
+    y = x.groupingSets([[], [F.col("recommended")], [F.col("day")]], F.col("recommended"), F.col("day")).agg(F.grouping("recommended").alias("no_name"), F.grouping("day").alias("no_day"), *counts)
+    section = F.when(F.col("no_name") == 0, "provider").when(F.col("no_day") == 0, "day").otherwise("all")
+    y = y.withColumn("section", section).where("section <> 'provider' or recommended is not null").withColumn("name", F.coalesce("recommended", F.col("day").cast("string"), F.lit("")))
+    every = y.where("section = 'all'").select(F.col("total").alias("every"))  # one row
+    y = y.join(F.broadcast(every)).withColumn("share", F.col("total") / F.nullif(F.col("every"), F.lit(0)))
+    parts = x.where("changed").select(F.explode("deltas").alias("name", "delta")).groupBy("name").agg(F.count("delta").alias("total"), F.avg("delta").alias("delta")).select(F.lit("component").alias("section"), "name", "total", F.lit(0).cast("long").alias("identical"), F.col("total").alias("different"), F.lit(0).cast("long").alias("unavailable"), F.lit(None).cast("double").alias("share"), "delta")
+    return y.select("section", "name", "total", "identical", "different", "unavailable", "share", F.lit(None).cast("double").alias("delta")).unionByName(parts)

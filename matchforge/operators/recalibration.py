@@ -95,5 +95,12 @@ def latest_weights(steps: DataFrame) -> DataFrame:
     return last.select("league", "seen", *(_blend(share, F.col(n), shared(n)).alias(n) for n in WEIGHTS))
 
 
+def learning_stats(steps: DataFrame) -> DataFrame:
+    """league, samples, confidence (per cent of full trust), the league's own weights to 4 places and, as d_*, how far they are from the start."""
+    last = steps.groupBy("league").agg(F.max_by(F.struct("seen", *WEIGHTS), "seen").alias("x")).select("league", "x.*").where("league <> 'default'")
+    trust = F.round(F.least(F.col("seen") / TRUSTED, F.lit(1.0)) * 100)
+    return last.select("league", F.col("seen").alias("samples"), trust.alias("confidence"), *(F.round(n, 4).alias(n) for n in WEIGHTS), *(F.round(F.round(n, 4) - w[0], 4).alias(f"d_{n}") for n, w in WEIGHTS.items()))
+
+
 def _blend(share: Column, own: Column, shared: Column) -> Column:
     return share * own + (1 - share) * shared

@@ -256,13 +256,22 @@ def provider_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def recalibration(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weights of each league after all its matches. Without SQL: a test replays it by a plain loop."""
+    return places(replay.latest_weights(_recalibrated(spark, sf_dir)))
+
+
+def learning_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each league has learned, and from how many matches."""
+    return replay.learning_stats(_recalibrated(spark, sf_dir))
+
+
+def _recalibrated(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = _predicted(spark, sf_dir).select("match_id", "league", "day", "home_xg", "away_xg").join(_matches(spark, sf_dir).select("match_id", "home_goals", "away_goals"), "match_id")
     x = x.join(F.broadcast(x.agg(F.max("day").alias("today"))))  # one row
     x = x.withColumn("recency", profiles.recency_weight(F.col("day"), F.col("today"))).drop("today")
-    return places(replay.latest_weights(replay.recalibrate(x)))
+    return replay.recalibrate(x)
 
 
-QUERIES = (odds_cascade, meeting_cascade, form_context, recent_side_means, recent_elsewhere, player_ratings, melted_statistics, latest_snapshot, lineup_sides, retained_calls, table_counts, bet_ledger, absence_reports, absence_bands, penalised_xg, signed_ranks, median_split, experiment_status, decision_checks, failure_classes, csv_matches, csv_home_rows, rating_collisions, order_states, complete_pairs, finishing_readiness, teams_with_ids, engine_subsets, provider_fit, recalibration)
+QUERIES = (odds_cascade, meeting_cascade, form_context, recent_side_means, recent_elsewhere, player_ratings, melted_statistics, latest_snapshot, lineup_sides, retained_calls, table_counts, bet_ledger, absence_reports, absence_bands, penalised_xg, signed_ranks, median_split, experiment_status, decision_checks, failure_classes, csv_matches, csv_home_rows, rating_collisions, order_states, complete_pairs, finishing_readiness, teams_with_ids, engine_subsets, provider_fit, recalibration, learning_stats)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

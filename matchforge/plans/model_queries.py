@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scoring, text
-from ..operators import champions, evaluate, explain, features, filters, html, identity, machines, merge, payloads, pricing, walk_forward
+from ..operators import champions, evaluate, explain, features, filters, health, html, identity, machines, merge, payloads, pricing, walk_forward
 from ..sources import bridge, csv_files
 from ..streaming import late, periods, running
 from ..workers import checkpointed, scratch
@@ -186,6 +186,12 @@ def filter_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+def shadow_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recommendations that were only watched: all, by provider, by day, and what told for the changed ones."""
+    x = bridge.provider_calls(spark, sf_dir).select(F.to_date("called_at").alias("day"), F.expr("if(event_id % 17 = 0, '', provider)").alias("recommended"), (F.col("event_id") % 20 == 3).alias("changed"), F.expr("map('speed', event_id % 7 / 10D, 'cost', if(event_id % 3 = 0, null, event_id % 5 / 10D))").alias("deltas"))
+    return places(health.shadow_report(x))
+
+
 FEATURES = ["home_form", "away_form", "home_for", "modifier"]
 
 
@@ -289,7 +295,7 @@ def provider_meetings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return payloads.meetings(docs, "doc", ["one", "two"], "one", "two")
 
 
-QUERIES = (walk_forward_fit, walk_forward_baseline, html_links, html_items, html_blocks, challenger_states, champion_periods, champion_comparison, identity_groups, explained, provider_running, volume_triggers, late_results, period_reports, filter_documents, league_cascade, feature_backfill, training_page, csv_inspection, csv_column_types, team_names, provider_fixtures, provider_standings, provider_meetings)
+QUERIES = (walk_forward_fit, walk_forward_baseline, html_links, html_items, html_blocks, challenger_states, champion_periods, champion_comparison, identity_groups, explained, provider_running, volume_triggers, late_results, period_reports, filter_documents, league_cascade, feature_backfill, training_page, shadow_report, csv_inspection, csv_column_types, team_names, provider_fixtures, provider_standings, provider_meetings)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -445,6 +451,11 @@ def oracle_sql() -> dict[str, str]:
         "late_results": base + late_sql,
         "period_reports": f"{predicted}, {PERIODS}",
         "filter_documents": base + " " + " UNION ALL ".join(f"SELECT '{name}' AS name, count(*) AS n, CAST(coalesce(sum(match_id), 0) AS BIGINT) AS ids FROM m WHERE {_where(d)}" for name, d in DOCUMENTS.items()),
+        "shadow_report": calls + """, r AS (SELECT CAST(called_at AS DATE) AS day, CASE WHEN event_id % 17 <> 0 THEN provider END AS rec, event_id % 20 = 3 AS ch, event_id FROM c),
+            u AS (SELECT 'all' AS section, '' AS name, * EXCLUDE (day, event_id) FROM r UNION ALL SELECT 'provider', rec, rec, ch FROM r WHERE rec IS NOT NULL UNION ALL SELECT 'day', day::VARCHAR, rec, ch FROM r),
+            p AS (SELECT 'speed' AS name, event_id % 7 / 10.0::DOUBLE AS d FROM r WHERE ch UNION ALL SELECT 'cost', CASE WHEN event_id % 3 <> 0 THEN event_id % 5 / 10.0::DOUBLE END FROM r WHERE ch)
+            SELECT section, name, count(*) AS total, count(*) FILTER (NOT ch AND rec IS NOT NULL) AS identical, count(*) FILTER (ch) AS different, count(*) FILTER (rec IS NULL) AS unavailable, round(count(*) / (SELECT count(*) FROM r)::DOUBLE, 6) AS share, NULL::DOUBLE AS delta FROM u GROUP BY section, name
+            UNION ALL SELECT 'component', name, count(d), 0, count(d), 0, NULL, round(avg(d), 6) FROM p GROUP BY name""",
         "feature_backfill": f"{base}, {oracle.FORM}, {oracle.H2H}" + """, nf AS (SELECT m.match_id, a.form_score AS f1, b.form_score AS f2, a.avg_for AS f3, g.modifier AS f4, CASE WHEN m.match_id % 4 = 1 THEN 1.0::DOUBLE ELSE 0 END AS x FROM m JOIN g USING (match_id) JOIN f a ON a.match_id = m.match_id AND a.team = m.home JOIN f b ON b.match_id = m.match_id AND b.team = m.away),
             s AS (SELECT *, CASE WHEN match_id % 2 <> 0 THEN f1 + x END AS s1, CASE WHEN match_id % 3 <> 0 THEN f2 + x END AS s2, CASE WHEN match_id % 5 <> 0 THEN f3 + x END AS s3, CASE WHEN match_id % 7 <> 0 THEN f4 + x END AS s4 FROM nf),
             w AS (SELECT match_id, coalesce(s1, f1) AS home_form, coalesce(s2, f2) AS away_form, coalesce(s3, f3) AS home_for, coalesce(s4, f4) AS modifier,

@@ -80,5 +80,8 @@ def test_latest_weights_trust_a_league_by_its_matches(spark, sf):
     last = steps.where("seen = 2").first()
     used = recalibration.latest_weights(steps).first()
     assert used["seen"] == 2 and used["form"] == pytest.approx(0.4 * last["form"] + 0.6 * last["global_form"]) and used["home"] == pytest.approx(0.4 * last["home"] + 0.6 * 1.07)
+    stats = recalibration.learning_stats(steps).first()
+    assert (stats["samples"], stats["confidence"], stats["form"]) == (2, 40.0, round(last["form"], 4)) and stats["d_form"] == pytest.approx(last["form"] - 0.6, abs=1e-4)
+    assert lookup_queries.learning_stats(spark, sf).where("confidence = 100").count() == 5
     got = lookup_queries.recalibration(spark, sf).collect()
     assert len(got) == 5 and all(abs(r["form"] + r["base"] - 1) < 2e-4 for r in got)
