@@ -11,30 +11,56 @@ from ..workers import checkpointed
 def components(links: DataFrame) -> DataFrame:
     """(id, root) of every id in ``links`` (a, b): ids that links connect, however indirectly, have the least of them as root.
 
-    Each round an id takes the least root among its neighbours, then that root's root; rounds
-    are checkpointed and end when none changes. Stars from a hub need two rounds or three.
+    Each round an id with a lesser neighbour goes to the least of them, and on to where that one
+    goes. Links between ids that went to one place are gone, the others link these places, so a
+    round has only what is still apart, and groups that are whole cost nothing more. At the end
+    the rounds' moves are followed from the last to the first.
     """
-    both = links.select(F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("b").alias("other")), F.struct(F.col("b").alias("id"), F.col("a").alias("other")))).alias("x")).select("x.*")
-    pairs = checkpointed(both.distinct())
-    now = checkpointed(pairs.groupBy("id").agg(F.least("id", F.min("other")).alias("root")))
+    ids = links.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    left = checkpointed(_ordered(links))
+    rounds = []
+    while left.take(1):
+        moves = _followed(left.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("root")))
+        rounds.append(moves)
+        at = lambda c: moves.select(F.col("id").alias(c), F.col("root").alias(f"{c}_root"))  # noqa: B023, E731
+        moved = left.join(at("a"), "a", "left").join(at("b"), "b").select(F.coalesce("a_root", "a").alias("a"), F.col("b_root").alias("b"))
+        left = checkpointed(_ordered(moved))
+    if not rounds:
+        return ids.select("id", F.col("id").alias("root"))
+    roots = rounds.pop()
+    while rounds:
+        last = roots.select(F.col("id").alias("root"), F.col("root").alias("end"))
+        earlier = rounds.pop().join(last, "root", "left").select("id", F.coalesce("end", "root").alias("root"))
+        # Ids of a later round that moved there for the first time.
+        roots = checkpointed(earlier.unionByName(roots))
+    return ids.join(roots, "id", "left").select("id", F.coalesce("root", "id").alias("root"))
+
+
+def _ordered(links: DataFrame) -> DataFrame:
+    """Distinct links of two ids, the lesser first."""
+    return links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _followed(moves: DataFrame) -> DataFrame:
+    """(id, root) with each move followed to its end; the way left halves each time."""
+    now = checkpointed(moves)
     while True:
-        root = now.select(F.col("id").alias("other"), F.col("root").alias("seen"))
-        least = pairs.join(root, "other").groupBy("id").agg(F.min("seen").alias("seen"))
-        step = now.join(least, "id").select("id", "root", F.least("root", "seen").alias("next"))
-        jump = step.join(root.select(F.col("other").alias("at"), "seen"), F.col("next") == F.col("at"), "left")
-        after = jump.select("id", F.least("next", F.coalesce("seen", "next")).alias("new"), "root")
-        after = checkpointed(after.select("id", F.col("new").alias("root"), (F.col("new") != F.col("root")).alias("moved")))
-        now = after.select("id", "root")
+        onward = now.select(F.col("id").alias("root"), F.col("root").alias("next"))
+        after = checkpointed(now.join(onward, "root", "left").select("id", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")))
         if not after.where("moved").take(1):
             return now
+        now = after.drop("moved")
 
 
 def _stars(rows: DataFrame, kinds: dict[str, list[str]]) -> DataFrame:
     """(a, b): each row and the least id that shares a piece of evidence with it. A null in a key makes it no evidence."""
-    keys = F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.when(_known(cols), F.to_json(F.struct(*cols))).alias("value")) for k, cols in kinds.items())))
-    x = rows.select("id", keys.alias("x")).select("id", "x.*").where("value is not null")
-    hubs = x.groupBy("kind", "value").agg(F.min("id").alias("a"), F.count("*").alias("n")).where("n > 1")
-    return x.join(hubs, ["kind", "value"]).where("id <> a").select("a", F.col("id").alias("b"))
+    out = None
+    for cols in kinds.values():
+        x = rows.where(_known(cols)).select("id", *cols)
+        hubs = x.groupBy(*cols).agg(F.min("id").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
+        x = x.join(hubs, cols).where("id <> a").select("a", F.col("id").alias("b"))
+        out = x if out is None else out.unionByName(x)
+    return out
 
 
 def _known(cols: list[str]) -> Column:
@@ -56,7 +82,9 @@ def groups(rows: DataFrame, kinds: dict[str, list[str]], facts: list[str]) -> Da
     rows = checkpointed(rows.where("id is not null").dropDuplicates(["id"]).select("id", *sorted({c for cols in kinds.values() for c in cols}), *(F.col(c).cast("string").alias(f"fact_{c}") for c in facts)))
     names, left, done = list(kinds), rows, []
     for n in range(len(names), 0, -1):
-        roots = components(_stars(left, {k: kinds[k] for k in names[:n]}))
+        stars = _stars(left, {k: kinds[k] for k in names[:n]})
+        # Stars of one kind share no row: their hubs are the roots.
+        roots = components(stars) if n > 1 else stars.select(F.col("b").alias("id"), F.col("a").alias("root"))
         grouped = left.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
         torn = grouped.groupBy("root").agg(*((F.min(f"fact_{c}") != F.max(f"fact_{c}")).alias(c) for c in facts))
         torn = torn.select("root", F.coalesce(F.greatest(*(F.coalesce(F.col(c), F.lit(False)) for c in facts), F.lit(False)), F.lit(False)).alias("torn"))

@@ -91,15 +91,16 @@ def champion_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _sightings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each match as three sources saw it: the second under its provider's number, the third with the names only; some contradict."""
     m = _matches(spark, sf_dir)
-    one = m.select((F.col("match_id") * 3).alias("id"), "home", "away", "day", (F.col("match_id") % 997).alias("ref"), F.col("home_goals").alias("goals"), "home_shots", F.lit(1).alias("rank"))
-    two = m.select((F.col("match_id") * 3 + 1).alias("id"), F.concat("home", F.lit(" fc")).alias("home"), "away", "day", (F.col("match_id") % 997).alias("ref"), F.expr("if(match_id % 13 = 0, home_goals + 1, home_goals)").alias("goals"), F.col("away_shots").alias("home_shots"), F.lit(2).alias("rank"))
-    three = m.select((F.col("match_id") * 3 + 2).alias("id"), "home", "away", "day", F.lit(None).cast("long").alias("ref"), F.expr("if(match_id % 7 = 0, null, if(match_id % 11 = 0, home_goals + 2, home_goals))").alias("goals"), F.expr("match_id % 6").alias("home_shots"), F.expr("if(match_id % 50 = 0, null, 3)").alias("rank"))
-    return one.unionByName(two).unionByName(three)
+    of = lambda id_, home, ref, goals, shots, rank: F.struct(F.expr(id_).alias("id"), F.expr(home).alias("home"), "away", "day", F.expr(ref).alias("ref"), F.expr(goals).alias("goals"), F.expr(shots).alias("home_shots"), F.expr(rank).alias("rank"))
+    one = of("match_id * 3", "home", "match_id % 997", "home_goals", "home_shots", "1")
+    two = of("match_id * 3 + 1", "home || ' fc'", "match_id % 997", "if(match_id % 13 = 0, home_goals + 1, home_goals)", "away_shots", "2")
+    three = of("match_id * 3 + 2", "home", "cast(null as bigint)", "if(match_id % 7 = 0, null, if(match_id % 11 = 0, home_goals + 2, home_goals))", "match_id % 6", "if(match_id % 50 = 0, null, 3)")
+    return m.select(F.inline(F.array(one, two, three)))
 
 
 def identity_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sources tied by names and day, and by day, away side and a provider's number."""
-    rows = _sightings(spark, sf_dir)
+    rows = checkpointed(_sightings(spark, sf_dir))
     grouped = identity.groups(rows, {"names": ["home", "away", "day"], "number": ["away", "day", "ref"]}, ["goals"])
     x = identity.reconciled(rows, grouped, "rank", ["goals", "home_shots"])
     return x.select("root", "rows", F.col("canonical").cast("string").alias("canonical"), F.array_join(F.transform("superseded", lambda i: i.cast("string")), ",").alias("superseded"), F.array_join("gaps", ",").alias("gaps"), "refused")
