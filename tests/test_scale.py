@@ -37,3 +37,14 @@ def test_components_leave_out_groups_that_are_whole(spark, monkeypatch):
     monkeypatch.setattr(identity, "checkpointed", lambda df: (out := real(df), written.append(out.count()))[0])
     identity.components(spark.range(100).selectExpr("id * 2 as a", "id * 2 + 1 as b")).collect()
     assert sum(written) <= 400
+
+
+def test_recent_elsewhere_takes_the_last_day(spark, sf):
+    from pyspark.sql import functions as F
+
+    from matchforge.plans import lookup_queries
+    from matchforge.sources import bridge
+
+    last = bridge.matches(spark, sf).where("league not in ('ASIA', 'AFRICA')").agg(F.max("day").alias("d")).first()["d"]
+    got = {r["match_id"] for r in lookup_queries.recent_elsewhere(spark, sf).collect()}
+    assert got & {r["match_id"] for r in bridge.matches(spark, sf).where(F.col("day") == F.lit(last)).collect()}
