@@ -48,3 +48,10 @@ def test_recent_elsewhere_takes_the_last_day(spark, sf):
     last = bridge.matches(spark, sf).where("league not in ('ASIA', 'AFRICA')").agg(F.max("day").alias("d")).first()["d"]
     got = {r["match_id"] for r in lookup_queries.recent_elsewhere(spark, sf).collect()}
     assert got & {r["match_id"] for r in bridge.matches(spark, sf).where(F.col("day") == F.lit(last)).collect()}
+
+
+def test_finishing_readiness_counts_every_match(spark, sf):
+    from matchforge.plans import lookup_queries
+    from matchforge.sources import bridge
+
+    assert sum(r["played"] for r in lookup_queries.finishing_readiness(spark, sf).collect()) == bridge.matches(spark, sf).where("home_goals is not null").count()
