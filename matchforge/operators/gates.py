@@ -76,7 +76,20 @@ def cell_of(seed: int, id_: str, cells: int) -> Column:
     return F.floor(uniform(seed, F.col(id_)) * cells)
 
 
-def paired_tests(rows: DataFrame, group: str, id_: str, differences: dict[str, Column], replicates: int = 2000, cells: int = 512, seed: int = 1) -> DataFrame:
+# Odd multipliers of the mixer, each below 2**31 so that no product passes 62 bits.
+MIX, MASK = (1103515245, 1540483477, 1274126177, 2027808485), 2**31 - 1
+
+
+def mixed_uniform(one: Column, two: Column, rep: Column) -> Column:
+    """A number in [0, 1) of a replicate, from a row's two words of 31 bits: some integer steps where ``uniform`` takes a digest."""
+    z = (one.bitwiseXOR((rep * MIX[0]).bitwiseAND(MASK)) * MIX[1]).bitwiseAND(MASK)
+    z = z.bitwiseXOR(F.shiftright(z, 15)).bitwiseXOR(two)
+    z = (z * MIX[2]).bitwiseAND(MASK)
+    z = (z.bitwiseXOR(F.shiftright(z, 13)) * MIX[3]).bitwiseAND(MASK)
+    return z.bitwiseXOR(F.shiftright(z, 16)).cast("double") / 2.0**31
+
+
+def paired_tests(rows: DataFrame, group: str, id_: str, differences: dict[str, Column], replicates: int = 2000, cells: int | None = 512, seed: int = 1) -> DataFrame:
     """group, name, n, delta, low, high, p_value, better, better_by_flips for each named difference of paired values (lower is better).
 
     delta is the mean, low and high its bootstrap interval of 95 %, p_value the share of sign flips with a mean as
@@ -84,12 +97,19 @@ def paired_tests(rows: DataFrame, group: str, id_: str, differences: dict[str, C
     flipped as wholes, so what meets the replicates has a bounded size whatever the number of rows. A Poisson weight
     stands for drawing with replacement. As a cell's rows are drawn together, the interval's width has a standard error of
     1 / sqrt(2 * cells), 3 %, besides that of the replicates; with fewer rows than cells it is the plain bootstrap but
-    for rows that share a cell by chance.
+    for rows that share a cell by chance. Without ``cells`` each row is drawn and flipped by itself: rows times replicates,
+    which are added up where they arise.
     """
     names = list(differences)
     sums = [a for k, d in enumerate(differences.values()) for a in (F.count(d).alias(f"n{k}"), F.coalesce(F.sum(d), F.lit(0.0)).alias(f"d{k}"))]
-    x = rows.groupBy(group, cell_of(seed, id_, cells).alias("cell")).agg(*sums).select("*", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("rep"))
-    x = x.withColumn("u", uniform(seed, F.col("rep"), F.col("cell"))).withColumn("w", poisson_one(F.col("u")))
+    if cells is None:
+        word = lambda at: F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), id_)), at, 8), 16, 10).cast("long").bitwiseAND(MASK)
+        own = [c for k, d in enumerate(differences.values()) for c in (d.isNotNull().cast("long").alias(f"n{k}"), F.coalesce(d, F.lit(0.0)).alias(f"d{k}"))]
+        x, u = rows.select(group, word(1).alias("one"), word(9).alias("two"), *own), mixed_uniform(F.col("one"), F.col("two"), F.col("rep"))
+    else:
+        x, u = rows.groupBy(group, cell_of(seed, id_, cells).alias("cell")).agg(*sums), uniform(seed, F.col("rep"), F.col("cell"))
+    x = x.select("*", F.explode(F.sequence(F.lit(0).cast("long" if cells is None else "int"), F.lit(replicates - 1).cast("long" if cells is None else "int"))).alias("rep"))
+    x = x.withColumn("u", u).withColumn("w", poisson_one(F.col("u")))
     over = lambda v, n: F.sum(v) / F.nullif(F.sum(n), F.lit(0.0))
     each = lambda k: F.struct(F.lit(names[k]).alias("name"), F.sum(f"n{k}").alias("n"), over(F.col(f"d{k}"), F.col(f"n{k}").cast("double")).alias("mean"), over(F.col("w") * F.col(f"d{k}"), F.col("w") * F.col(f"n{k}")).alias("boot"), over(F.when(F.col("u") < 0.5, F.col(f"d{k}")).otherwise(-F.col(f"d{k}")), F.col(f"n{k}").cast("double")).alias("flip"))
     x = x.groupBy(group, "rep").agg(*(each(k).alias(f"x{k}") for k in range(len(names)))).select(group, F.explode(F.array(*(f"x{k}" for k in range(len(names))))).alias("x")).select(group, "x.*")

@@ -174,7 +174,7 @@ def paired_trials(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Squared error of the predicted home goals less that of a flat 1.4, by league."""
     x = _predicted(spark, sf_dir).select("match_id", "league", "home_xg").join(_matches(spark, sf_dir).select("match_id", "home_goals"), "match_id")
     square = lambda c: (c - F.col("home_goals")) * (c - F.col("home_goals"))
-    return places(gates.paired_tests(x, "league", "match_id", {"square": square(F.col("home_xg")) - square(F.lit(1.4))}).drop("name"))
+    return places(gates.paired_tests(x, "league", "match_id", {"square": square(F.col("home_xg")) - square(F.lit(1.4))}, cells=None).drop("name"))
 
 
 QUERIES = (json_results, loose_json_matches, mapped_json, bookmaker_rows, best_outcome_prices, page_links, canonical_upsert, field_merge, written_results, unseen_matches, vocabulary_drift, rename_plan, pooled_finishing, equivalence_scores, migration_gate, readiness, stale_decisions, kickoff_windows, week_matches, special_bets, paired_trials)
@@ -254,8 +254,10 @@ def oracle_sql() -> dict[str, str]:
             ed AS (SELECT match_id, market, p, (p * (match_id % 7 / 10.0::DOUBLE + o - 0.6::DOUBLE) - 1) * 100 AS raw, match_id % 7 / 10.0::DOUBLE + o - 0.6::DOUBLE AS price FROM k2)
             SELECT match_id, market, round(p * 100, 1) AS percent, round(raw, 2) AS edge, CASE WHEN round(raw, 9) >= 25 THEN 'elite' WHEN round(raw, 9) >= 15 THEN 'high' WHEN round(raw, 9) >= 8 THEN 'medium' ELSE 'low' END AS rating FROM ed WHERE price > 1 AND round(raw, 9) >= 5""",
         "paired_trials": with_(*pred) + f""", df AS (SELECT p.match_id, p.league, (home_xg - home_goals) * (home_xg - home_goals) - (1.4::DOUBLE - home_goals) * (1.4::DOUBLE - home_goals) AS d FROM p JOIN m ON m.match_id = p.match_id),
-            cs AS (SELECT league, floor(('0x' || substr(md5('1|' || match_id), 1, 8))::BIGINT / 4294967296.0::DOUBLE * 512)::BIGINT AS cell, count(d) AS n, sum(d) AS d FROM df GROUP BY ALL),
-            rp AS (SELECT league, n, d, range AS rep, ('0x' || substr(md5('1|' || range || '|' || cell), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM cs, range(2000)), w AS (SELECT *, {poisson} AS w FROM rp),
+            cs AS (SELECT league, 1 AS n, d, ('0x' || substr(md5('1|' || match_id), 1, 8))::BIGINT & 2147483647 AS one, ('0x' || substr(md5('1|' || match_id), 9, 8))::BIGINT & 2147483647 AS two FROM df),
+            z1 AS (SELECT league, n, d, two, range AS rep, (xor(one, (range * 1103515245) & 2147483647) * 1540483477) & 2147483647 AS z FROM cs, range(2000)),
+            z2 AS (SELECT * REPLACE ((xor(xor(z, z >> 15), two) * 1274126177) & 2147483647 AS z) FROM z1), z3 AS (SELECT * REPLACE ((xor(z, z >> 13) * 2027808485) & 2147483647 AS z) FROM z2),
+            rp AS (SELECT league, n, d, rep, xor(z, z >> 16) / 2147483648.0::DOUBLE AS u FROM z3), w AS (SELECT *, {poisson} AS w FROM rp),
             s AS (SELECT league, rep, sum(n) AS n, sum(d) / sum(n) AS mean, sum(w * d) / nullif(sum(w * n), 0) AS boot, sum(CASE WHEN u < 0.5 THEN d ELSE -d END) / sum(n) AS flip FROM w GROUP BY 1, 2),
             f2 AS (SELECT league, CAST(max(n) AS BIGINT) AS n, max(mean) AS delta, list_sort(list(boot)) AS b, avg((flip <= mean)::INT::DOUBLE) AS p_value FROM s GROUP BY league)
             SELECT league, n, round(delta, 6) AS delta, round(b[51], 6) AS low, round(b[1951], 6) AS high, round(p_value, 6) AS p_value, b[1951] < 0 AS better, p_value < 0.05 AS better_by_flips FROM f2""",

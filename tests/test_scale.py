@@ -55,3 +55,17 @@ def test_finishing_readiness_counts_every_match(spark, sf):
     from matchforge.sources import bridge
 
     assert sum(r["played"] for r in lookup_queries.finishing_readiness(spark, sf).collect()) == bridge.matches(spark, sf).where("home_goals is not null").count()
+
+
+def test_paired_tests_draw_each_row_by_itself(spark):
+    # One row carries the difference: drawn by itself it is left out in exp(-1) of the replicates, in which the mean is 0.
+    from pyspark.sql import functions as F
+
+    from matchforge.operators import gates
+
+    rows = spark.range(4000).selectExpr("'a' as g", "id", "if(id = 7, 4000.0D, 0.0D) as d")
+    got = gates.paired_tests(rows, "g", "id", {"d": F.col("d")}, cells=None).first()
+    assert (got["n"], got["delta"], got["low"]) == (4000, 1.0, 0.0) and 2.5 < got["high"] < 4.5
+    u = spark.range(300).select(F.explode(F.sequence(F.lit(0), F.lit(999)).cast("array<bigint>")).alias("rep"), (F.col("id") * 7919 % 65537).alias("a"), (F.col("id") * 104729 % 65521).alias("b"))
+    x = u.select(gates.mixed_uniform(F.col("a"), F.col("b"), F.col("rep")).alias("u"), gates.mixed_uniform(F.col("a"), F.col("b"), F.col("rep") + 1).alias("v")).agg(F.avg("u"), F.variance("u"), F.corr("u", "v")).first()
+    assert abs(x[0] - 0.5) < 0.003 and abs(x[1] - 1 / 12) < 0.001 and abs(x[2]) < 0.01
