@@ -38,8 +38,11 @@ def waterfall(rows: DataFrame, home_factor: float = 1.12, away_factor: float = 0
     # Products of short decimals end in a 5 often: ten places first, so that noise below does not decide.
     floor = lambda c: F.round(F.round(F.greatest(c, F.lit(0.20)), 10), 4)
     at = lambda s: [*(floor(c) for c in (F.col(f"{s}_a") * neutral, F.col(f"{s}_b") * neutral, *(F.col(f"{s}_{k}") for k in "cde"))), F.coalesce(F.col(f"{s}_xg"), floor(F.col(f"{s}_e")))]
-    steps = F.array(*(F.struct(F.lit(k).alias("step"), F.lit(name).alias("factor"), h.alias("h"), a.alias("a")) for k, (name, h, a) in enumerate(zip(FACTORS, at("home"), at("away"), strict=True))))
-    # One grid a step: probabilities go into a column of their own before differences are taken.
-    x = x.select("match_id", F.transform(steps, lambda s: F.struct(s["step"].alias("step"), s["factor"].alias("factor"), scoring.poisson_grid(s["h"], s["a"])["home"].alias("p"))).alias("steps"))
-    x = x.select("match_id", "steps", F.explode("steps").alias("s")).select("match_id", "s.*", F.when(F.col("s.step") > 0, F.get("steps", F.col("s.step") - 1)["p"]).otherwise(0.0).alias("before"))
+    n = len(FACTORS)
+    x = x.select("match_id", *(c.alias(f"{s}_{k}") for s in ("home", "away") for k, c in enumerate(at(s))))
+    # A row a step with its own goals and those of the step before, so that grids are plain columns.
+    rows = F.array(*(F.struct(F.lit(k).alias("step"), F.lit(FACTORS[k]).alias("factor"), F.col(f"home_{k}").alias("h"), F.col(f"away_{k}").alias("a"), F.col(f"home_{max(k - 1, 0)}").alias("h0"), F.col(f"away_{max(k - 1, 0)}").alias("a0")) for k in range(n)))
+    x = x.select("match_id", F.inline(rows))
+    p = lambda h, a: scoring.poisson_grid(F.col(h), F.col(a))["home"]
+    x = x.select("match_id", "step", "factor", p("h", "a").alias("p"), F.when(F.col("step") > 0, p("h0", "a0")).otherwise(0.0).alias("before"))
     return x.select("match_id", "step", "factor", F.round("p", 4).alias("p_home"), F.round((F.col("p") - F.col("before")) * 100, 2).alias("points"))

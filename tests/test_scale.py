@@ -69,3 +69,29 @@ def test_paired_tests_draw_each_row_by_itself(spark):
     u = spark.range(300).select(F.explode(F.sequence(F.lit(0), F.lit(999)).cast("array<bigint>")).alias("rep"), (F.col("id") * 7919 % 65537).alias("a"), (F.col("id") * 104729 % 65521).alias("b"))
     x = u.select(gates.mixed_uniform(F.col("a"), F.col("b"), F.col("rep")).alias("u"), gates.mixed_uniform(F.col("a"), F.col("b"), F.col("rep") + 1).alias("v")).agg(F.avg("u"), F.variance("u"), F.corr("u", "v")).first()
     assert abs(x[0] - 0.5) < 0.003 and abs(x[1] - 1 / 12) < 0.001 and abs(x[2]) < 0.01
+
+
+def test_poisson_grid_equals_the_plain_sum_and_its_last_bits_at_equal_rates(spark):
+    from math import exp, factorial
+
+    from matchforge.functions import scoring
+
+    def plain(h, a):
+        out = [0.0, 0.0, 0.0]
+        for j in range(9):
+            for i in range(9):
+                out[0 if i > j else 1 if i == j else 2] += exp(-h) * h**i / factorial(i) * exp(-a) * a**j / factorial(j)
+        return out
+
+    rates = [(0.2, 0.2), (0.2, 6.5), (6.5, 0.2), (1.35, 1.1), (2.2, 3.9), (1.6514, 1.6514), (2.1139, 2.1139), (1.8, 1.8)]
+    got = spark.createDataFrame(rates, "h double, a double").select("h", "a", scoring.poisson_grid(*map(spark_col, "ha")).alias("g")).select("h", "a", "g.*").collect()
+    for h, a, *p in got:
+        assert max(abs(x - y) for x, y in zip(p, plain(h, a), strict=True)) < 1e-14
+        if h == a:
+            assert (p[0] < p[2]) == (plain(h, a)[0] < plain(h, a)[2])
+
+
+def spark_col(name):
+    from pyspark.sql import functions as F
+
+    return F.col(name)
