@@ -56,9 +56,10 @@ def _stars(rows: DataFrame, kinds: dict[str, list[str]]) -> DataFrame:
     """(a, b): each row and the least id that shares a piece of evidence with it. A null in a key makes it no evidence."""
     out = None
     for cols in kinds.values():
-        x = rows.where(_known(cols)).select("id", *cols)
-        hubs = x.groupBy(*cols).agg(F.min("id").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
-        x = x.join(hubs, cols).where("id <> a").select("a", F.col("id").alias("b"))
+        keys = [f"key_{k}" for k in range(len(cols))]
+        x = rows.where(_known(cols)).select("id", *(F.col(c).alias(k) for c, k in zip(cols, keys, strict=True)))
+        hubs = x.groupBy(*keys).agg(F.min("id").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
+        x = x.join(hubs, keys).where("id <> a").select("a", F.col("id").alias("b"))
         out = x if out is None else out.unionByName(x)
     return out
 
