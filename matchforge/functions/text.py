@@ -72,7 +72,9 @@ def slug(x: Column) -> Column:
 
 def whole_number(x: Column) -> Column:
     """An integer read through a double, cut towards 0; null for what is no number."""
-    d = F.trim(x.cast("string")).try_cast("double")
+    s = F.trim(x.cast("string"))
+    # Without a digit there is no integer; casting such a text would throw and catch in every row.
+    d = F.when(s.rlike("[0-9]"), s.try_cast("double"))
     return F.when(~F.isnan(d), d.try_cast("int"))
 
 

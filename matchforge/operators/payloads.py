@@ -48,9 +48,18 @@ FIXTURES = {
 }
 
 
+def _top(path: str) -> str:
+    """The name at the top of a JSON path."""
+    return path.split(".")[0].split("[")[0]
+
+
 def _first(doc: Column, paths: tuple[str, ...]) -> Column:
-    found = [F.nullif(F.trim(F.get_json_object(doc, f"$.{p}")), F.lit("")) for p in paths]
-    return F.coalesce(*found) if found else F.lit(None).cast("string")
+    return _first_filled([F.get_json_object(doc, f"$.{p}") for p in paths])
+
+
+def _first_filled(texts: list[Column]) -> Column:
+    """The first that is neither null nor blank, trimmed; each is worked out once."""
+    return F.get(F.filter(F.array(*map(F.trim, texts)), lambda s: s != ""), 0) if texts else F.lit(None).cast("string")
 
 
 def fixtures(docs: DataFrame, doc: str, provider: str, maps: dict[str, FixtureMap] = FIXTURES) -> DataFrame:
@@ -59,30 +68,52 @@ def fixtures(docs: DataFrame, doc: str, provider: str, maps: dict[str, FixtureMa
     An event without both names, or without a kickoff that can be read, is none. Status is in lower case; a result needs
     both goals and a finished state. Times are in UTC.
     """
-    out = None
-    for name, m in maps.items():
-        lists = F.coalesce(*(F.from_json(F.get_json_object(doc, f"$.{p}"), "array<string>") for p in m.items))
-        x = docs.where(F.col(provider) == name).select(F.explode(lists).alias("event"))
-        e = F.col("event")
-        raw = _first(e, m.kickoff)
-        kickoff = F.timestamp_seconds(raw.try_cast("long")) if m.epoch else F.try_to_timestamp(F.regexp_replace(raw, "Z$", "+00:00"))
-        home, away, status = _first(e, m.home), _first(e, m.away), F.lower(_first(e, m.status))
-        if m.scores_by_name:
-            pairs = F.from_json(F.get_json_object(e, f"$.{m.scores_by_name}"), "array<struct<name:string,score:string>>")
-            of = lambda side, pairs=pairs: F.get(F.transform(F.filter(pairs, lambda s: F.trim(s["name"]) == side), lambda s: s["score"]), 0)
-            goals = [of(home), of(away)]
-        else:
-            goals = [_first(e, p) for p in m.goals]
-        done = status.isin(*m.finished)
-        h, a = (F.when(done, text.whole_number(g)).cast("long") for g in goals)
-        league = _first(e, m.league)
-        if m.leagues:
-            league = F.coalesce(F.try_element_at(F.create_map(*[F.lit(v) for kv in m.leagues.items() for v in kv]), league), league)
-        x = x.select(F.lit(name).alias("provider"), _first(e, m.id).alias("external_id"), league.alias("league"), home.alias("home"), away.alias("away"), kickoff.alias("kickoff"), status.alias("status"), h.alias("home_goals"), a.alias("away_goals"))
-        x = x.where("home is not null and away is not null and kickoff is not null").withColumn("fixture", F.when(F.col("external_id").isNotNull(), F.concat(F.lit(f"{m.prefix}_"), "external_id")))
-        out = x if out is None else out.unionByName(x)
+    name = F.col(provider)
+
+    def own(of) -> Column:
+        """What ``of`` makes of the row's own provider's map."""
+        chain = F
+        for key, m in maps.items():
+            chain = chain.when(name == key, of(m))
+        return chain
+
+    lists = own(lambda m: F.coalesce(*(F.from_json(F.get_json_object(doc, f"$.{p}"), "array<string>") for p in m.items)))
+    # An outer explode has no filter, for which Spark would parse the lists again; an event that is null has no names.
+    x = docs.where(name.isin(*maps)).select(name.alias("provider"), F.explode_outer(lists).alias("event"))
+    # One pass over an event takes out all names at its top; what lies deeper is read out of these short parts.
+    tops = sorted({_top(p) for m in maps.values() for p in (*m.id, *m.league, *m.home, *m.away, *m.kickoff, *m.status, *m.goals[0], *m.goals[1], *([m.scores_by_name] if m.scores_by_name else []))})
+    x = x.select("provider", F.json_tuple("event", *tops).alias(*(f"top{k}" for k in range(len(tops)))))
+    name = F.col("provider")
+
+    def part(path: str) -> Column:
+        top = _top(path)
+        column = F.col(f"top{tops.index(top)}")
+        return F.get_json_object(column, f"${path[len(top):]}") if len(path) > len(top) else column
+
+    def first(paths: tuple[str, ...]) -> Column:
+        return _first_filled([part(p) for p in paths])
+
+    def goals(m: FixtureMap, k: int) -> Column:
+        if not m.scores_by_name:
+            return first(m.goals[k])
+        pairs = F.from_json(part(m.scores_by_name), "array<struct<name:string,score:string>>")
+        return F.get(F.transform(F.filter(pairs, lambda s: F.trim(s["name"]) == first((m.home, m.away)[k])), lambda s: s["score"]), 0)
+
+    def league(m: FixtureMap) -> Column:
+        found = first(m.league)
+        return F.coalesce(F.try_element_at(F.create_map(*[F.lit(v) for kv in m.leagues.items() for v in kv]), found), found) if m.leagues else found
+
+    raw = {"external_id": own(lambda m: first(m.id)), "league": own(league), "home": own(lambda m: first(m.home)), "away": own(lambda m: first(m.away)), "raw": own(lambda m: first(m.kickoff)), "status": F.lower(own(lambda m: first(m.status))), "h": own(lambda m: goals(m, 0)), "a": own(lambda m: goals(m, 1))}
+    # Out of a list of one, so that each field is read once and not again by all that asks for it.
+    x = x.select("provider", F.inline(F.array(F.struct(*(c.alias(k) for k, c in raw.items()))))).where("home is not null and away is not null")
+    at = own(lambda m: F.timestamp_seconds(F.col("raw").try_cast("long")) if m.epoch else F.when(F.col("raw").rlike("[0-9]"), F.try_to_timestamp(F.regexp_replace("raw", "Z$", "+00:00"))))
+    done = own(lambda m: F.col("status").isin(*m.finished))
+    home, away = (F.when(done, text.whole_number(F.col(g))).cast("long") for g in "ha")
+    fixture = own(lambda m: F.concat(F.lit(f"{m.prefix}_"), "external_id"))
+    typed = F.struct("provider", fixture.alias("fixture"), "external_id", "league", "home", "away", at.alias("kickoff"), "status", home.alias("home_goals"), away.alias("away_goals"))
+    x = x.select(F.inline(F.array(typed))).where("kickoff is not null")
     result = F.when(F.col("home_goals") > F.col("away_goals"), "H").when(F.col("home_goals") < F.col("away_goals"), "A").when(F.col("home_goals") == F.col("away_goals"), "D")
-    return out.withColumn("result", result).select(*FIXTURE)
+    return x.withColumn("result", result).select(*FIXTURE)
 
 
 def standings(docs: DataFrame, doc: str, keys: list[str]) -> DataFrame:

@@ -257,20 +257,18 @@ def team_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each day's matches as five providers would send them, some fields under another name or missing."""
+    """Each day's matches as five providers would send them, some fields under another name or missing. The matches are grouped once."""
     m = _matches(spark, sf_dir).withColumn("at", F.expr("concat(string(day), 'T', lpad(string(match_id % 24), 2, '0'), ':30:00')"))
     shapes = {
-        "fd": ("matches", "named_struct('id', match_id, 'competition', named_struct('name', league), 'homeTeam', named_struct('name', home), 'awayTeam', named_struct('name', if(match_id % 17 = 0, '', away)), 'utcDate', at || 'Z', 'status', if(match_id % 3 = 0, 'SCHEDULED', 'FINISHED'), 'score', named_struct('fullTime', named_struct('home', home_goals, 'away', away_goals)))"),
-        "espn": ("events", "named_struct('id', string(match_id), 'season', named_struct('slug', league), 'date', at || 'Z', 'status', named_struct('type', named_struct('state', if(match_id % 4 = 0, 'in', 'post'))), 'competitions', array(named_struct('competitors', array(named_struct('team', named_struct('displayName', home), 'score', string(home_goals)), named_struct('team', named_struct('displayName', away), 'score', if(match_id % 5 = 0, 'x', string(away_goals)))))))"),
-        "tsdb": ("events", "named_struct('idEvent', match_id, 'strLeague', league, 'strHomeTeam', home, 'strAwayTeam', away, 'strTimestamp', if(match_id % 6 = 0, null, at), 'dateEvent', if(match_id % 12 = 0, 'soon', string(day)), 'strStatus', 'Match Finished', 'intHomeScore', home_goals, 'intAwayScore', away_goals)"),
-        "freelf": ("data", "named_struct('eventId', match_id, 'leagueId', league, 'homeTeam', named_struct('name', home), 'awayTeam', named_struct('name', away), 'startTimestamp', unix_timestamp(to_timestamp(at)), 'status', named_struct('type', if(match_id % 7 = 0, 'inprogress', 'finished')), 'homeScore', named_struct('current', home_goals), 'awayScore', named_struct('current', away_goals))"),
-        "oddsapi": ("events", "named_struct('id', string(match_id), 'sport_key', league, 'home_team', home, 'away_team', away, 'commence_time', at || 'Z', 'completed', match_id % 8 <> 0, 'scores', array(named_struct('name', away, 'score', string(away_goals)), named_struct('name', home, 'score', string(home_goals))))"),
+        "fd": ("matches", "named_struct('id', r.match_id, 'competition', named_struct('name', r.league), 'homeTeam', named_struct('name', r.home), 'awayTeam', named_struct('name', if(r.match_id % 17 = 0, '', r.away)), 'utcDate', r.at || 'Z', 'status', if(r.match_id % 3 = 0, 'SCHEDULED', 'FINISHED'), 'score', named_struct('fullTime', named_struct('home', r.home_goals, 'away', r.away_goals)))"),
+        "espn": ("events", "named_struct('id', string(r.match_id), 'season', named_struct('slug', r.league), 'date', r.at || 'Z', 'status', named_struct('type', named_struct('state', if(r.match_id % 4 = 0, 'in', 'post'))), 'competitions', array(named_struct('competitors', array(named_struct('team', named_struct('displayName', r.home), 'score', string(r.home_goals)), named_struct('team', named_struct('displayName', r.away), 'score', if(r.match_id % 5 = 0, 'x', string(r.away_goals)))))))"),
+        "tsdb": ("events", "named_struct('idEvent', r.match_id, 'strLeague', r.league, 'strHomeTeam', r.home, 'strAwayTeam', r.away, 'strTimestamp', if(r.match_id % 6 = 0, null, r.at), 'dateEvent', if(r.match_id % 12 = 0, 'soon', string(r.day)), 'strStatus', 'Match Finished', 'intHomeScore', r.home_goals, 'intAwayScore', r.away_goals)"),
+        "freelf": ("data", "named_struct('eventId', r.match_id, 'leagueId', r.league, 'homeTeam', named_struct('name', r.home), 'awayTeam', named_struct('name', r.away), 'startTimestamp', unix_timestamp(to_timestamp(r.at)), 'status', named_struct('type', if(r.match_id % 7 = 0, 'inprogress', 'finished')), 'homeScore', named_struct('current', r.home_goals), 'awayScore', named_struct('current', r.away_goals))"),
+        "oddsapi": ("events", "named_struct('id', string(r.match_id), 'sport_key', r.league, 'home_team', r.home, 'away_team', r.away, 'commence_time', r.at || 'Z', 'completed', r.match_id % 8 <> 0, 'scores', array(named_struct('name', r.away, 'score', string(r.away_goals)), named_struct('name', r.home, 'score', string(r.home_goals))))"),
     }
-    out = None
-    for name, (items, event) in shapes.items():
-        x = m.groupBy("day").agg(F.to_json(F.struct(F.collect_list(F.expr(event)).alias(items))).alias("doc")).select(F.lit(name).alias("provider"), "doc")
-        out = x if out is None else out.unionByName(x)
-    return out
+    rows = m.groupBy("day").agg(F.collect_list(F.struct("match_id", "day", "at", "league", "home", "away", "home_goals", "away_goals")).alias("rows"))
+    each = (F.expr(f"named_struct('provider', '{name}', 'doc', to_json(named_struct('{items}', transform(rows, r -> {event}))))") for name, (items, event) in shapes.items())
+    return rows.select(F.inline(F.array(*each)))
 
 
 def provider_fixtures(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -95,3 +95,10 @@ def spark_col(name):
     from pyspark.sql import functions as F
 
     return F.col(name)
+
+
+def test_fixtures_read_documents_in_one_pass(spark, sf):
+    from matchforge.plans import model_queries
+
+    plan = model_queries.provider_fixtures(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("lineitem.parquet") <= 1 and plan.count("l_orderkey") > 0 and "Union" not in plan
