@@ -265,8 +265,10 @@ def learning_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _recalibrated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = _predicted(spark, sf_dir).select("match_id", "league", "day", "home_xg", "away_xg").join(_matches(spark, sf_dir).select("match_id", "home_goals", "away_goals"), "match_id")
-    x = x.join(F.broadcast(x.agg(F.max("day").alias("today"))))  # one row
+    m = _matches(spark, sf_dir)
+    x = _predicted(spark, sf_dir).select("match_id", "league", "day", "home_xg", "away_xg").join(m.select("match_id", "home_goals", "away_goals"), "match_id")
+    # Each match has one prediction, so the matches alone tell the last day. One row.
+    x = x.join(F.broadcast(m.agg(F.max("day").alias("today"))))
     x = x.withColumn("recency", profiles.recency_weight(F.col("day"), F.col("today"))).drop("today")
     return replay.recalibrate(x)
 

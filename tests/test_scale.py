@@ -158,3 +158,10 @@ def test_rolling_known_cut_by_day_equals_a_plain_loop(spark):
             seen[team].append(value)
     assert {r["match_id"]: r["avg_x"] for r in out.collect()} == want
     assert re.search(r"RepartitionByExpression \[team#\d+, stat#\d+, day#\d+\]", out._jdf.queryExecution().optimizedPlan().toString())
+
+
+def test_recalibration_predicts_once(spark, sf):
+    from matchforge.plans import lookup_queries
+
+    plan = lookup_queries.learning_stats(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window [") <= 2 and plan.count("Relation [") <= 21
