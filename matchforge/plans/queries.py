@@ -32,7 +32,8 @@ def _predicted(spark, sf_dir):
 
 
 def _closing(spark, sf_dir):
-    x = merge.open_and_close(bridge.quotes(spark, sf_dir))
+    # Dealt by match, as the predictions are: one shuffle of the lines instead of a sort before it and a second shuffle for the join.
+    x = merge.open_and_close(bridge.quotes(spark, sf_dir).repartition("match_id"))
     return x.select("match_id", "bookmaker", *(F.col(f"close_{p}").alias(p) for p in merge.PRICES))
 
 

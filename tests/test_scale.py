@@ -165,3 +165,26 @@ def test_recalibration_predicts_once(spark, sf):
 
     plan = lookup_queries.learning_stats(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Window [") <= 2 and plan.count("Relation [") <= 21
+
+
+def test_form_of_whole_numbers_and_grid_columns_equal_the_folds_bit_for_bit(spark):
+    from itertools import product
+
+    from pyspark.sql import functions as F
+
+    from matchforge.functions import scoring
+
+    lists = [(list(x),) for n in range(6) for x in product("WDL", repeat=n)] + [(list("WDLWWDLLDW"),), (list("LWDDLWDWLL"),)]
+    got = spark.createDataFrame(lists, "o array<string>").select(scoring.form_score(F.col("o")).alias("a"), scoring.form_of_fifths(F.transform("o", scoring.fifths), 10).alias("b"))
+    assert got.where("a <=> b").count() == len(lists)
+    rates = [(0.2, 0.2), (0.2, 6.5), (6.5, 0.2), (1.35, 1.1), (1.6514, 1.6514), (None, 1.0)]
+    x = scoring.with_grid(spark.createDataFrame(rates, "h double, a double"), "h", "a", ("x", "y", "z")).withColumn("g", scoring.poisson_grid(*map(spark_col, "ha")))
+    assert x.where("x <=> g.home and y <=> g.draw and z <=> g.away").count() == len(rates)
+
+
+def test_portfolio_is_dealt_by_match_once_and_folds_no_list(spark, sf):
+    from matchforge.plans import queries
+
+    plan = queries.portfolio(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"Exchange hashpartitioning\(match_id", plan)) == 2  # predictions and prices
+    assert "transform(" not in plan and "Generate inline(array(CASE" not in plan
