@@ -12,8 +12,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions import scoring
 from ..workers import checkpointed, ship
@@ -55,8 +56,8 @@ def derivatives(x: np.ndarray, y: np.ndarray, weights: np.ndarray) -> tuple[floa
     error = p[:, :k] - (y[:, None] == np.arange(k))
     second = np.empty((k, d, k, d))
     for i in range(k):
-        for j in range(k):
-            second[i, :, j] = (x * (p[:, i] * ((i == j) - p[:, j]))[:, None]).T @ x
+        for j in range(i, k):
+            second[i, :, j] = second[j, :, i] = (x * (p[:, i] * ((i == j) - p[:, j]))[:, None]).T @ x
     return loss, (error.T @ x).ravel(), second.reshape(k * d, k * d)
 
 
@@ -118,7 +119,7 @@ def fit(rows: DataFrame, features: list[str], folds: int = 5, ridge: float = 1.0
     for _ in range(most_rounds):
         if not moving:
             break
-        sums = x.mapInArrow(_sums(moving, len(features)), "fold int, at int, value double").groupBy("fold", "at").agg(F.sum("value").alias("value"))
+        sums = x.where(F.col("segment") < max(moving)).mapInArrow(_sums(moving, len(features)), "fold int, at int, value double").groupBy("fold", "at").agg(F.sum("value").alias("value"))
         got = {k: np.zeros(1 + 2 * d + len(upper[0])) for k in moving}
         for r in sums.collect():
             got[r["fold"]][r["at"]] = r["value"]
@@ -145,20 +146,25 @@ def fit(rows: DataFrame, features: list[str], folds: int = 5, ridge: float = 1.0
 def predict(rows: DataFrame, models: dict[int, Fold], features: list[str]) -> DataFrame:
     """Rows of judged segments with fold, z_home, z_draw, z_away (logits) and p_home, p_draw, p_away.
 
-    The weights go to the executors as a table of a row a fold.
+    Logits come from ``design``, as in the fit, a batch of rows at a time.
     """
-    d = len(features)
-    table = [(k, f.weights.tolist(), f.mean.tolist(), f.spread.tolist()) for k, f in models.items()]
-    weights = rows.sparkSession.createDataFrame(table, "fold int, w array<array<double>>, mean array<double>, spread array<double>")
-    x = rows.join(F.broadcast(weights), F.col("segment") == F.col("fold"))
-    known = [F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")) for c in features]
-
-    def logit(k: int) -> Column:
-        w = lambda i: F.col("w")[k][i]
-        scaled = ((F.coalesce(c, F.col("mean")[i]) - F.col("mean")[i]) / F.col("spread")[i] * w(1 + i) + F.when(c.isNull(), w(1 + d + i)).otherwise(0.0) for i, c in enumerate(known))
-        return sum(scaled, w(0))
-
-    x = x.withColumns({"z_home": logit(0), "z_draw": logit(1), "z_away": F.lit(0.0)}).drop("w", "mean", "spread")
+    ship(rows.sparkSession)
+    known = [F.col(c).cast("double").alias(f"known{i}_") for i, c in enumerate(features)]
+    x = rows.where(F.col("segment").isin(list(models))).select("*", F.col("segment").cast("int").alias("fold"), *known)
+    schema = StructType([f for f in x.schema.fields if f.name not in {f"known{i}_" for i in range(len(features))}] + [StructField(f"z_{k}", DoubleType()) for k in ("home", "draw", "away")])
+    names = schema.fieldNames()
+
+    def logits(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fold = b.column("fold").to_numpy()
+            own = np.column_stack([b.column(f"known{i}_").to_numpy(zero_copy_only=False) for i in range(len(features))])
+            z = np.zeros((len(own), len(CLASSES)))
+            for k, m in models.items():
+                if (mine := fold == k).any():
+                    z[mine] = softmax_logits(design(own[mine], m.mean, m.spread), m.weights)
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names[: -len(CLASSES)]), *map(pa.array, z.T)], names=names)
+
+    x = x.mapInArrow(logits, schema)
     top = F.greatest("z_home", "z_draw", "z_away")
     powers = {k: F.exp(F.col(f"z_{k}") - top) for k in ("home", "draw", "away")}
     x = x.withColumns({f"e_{k}": e for k, e in powers.items()}).withColumn("e", F.expr("e_home + e_draw + e_away"))

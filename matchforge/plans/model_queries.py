@@ -21,20 +21,29 @@ MODEL = ["home_form", "away_form", "home_for", "away_for", "home_against", "away
 
 def _training_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """match_id, day, result, segment and the features known before each match, null where there are none."""
-    m = _matches(spark, sf_dir)
-    t = bridge.team_matches(m)
-    sides = features.form(t).join(features.rolling_shots(t), ["match_id", "team"]).join(features.rest_days(t).drop("modifier"), ["match_id", "team"])
-    of = lambda s: sides.select("match_id", F.col("team").alias(s), F.when(F.col("n_form") > 0, F.col("form_score")).alias(f"{s}_form"), F.col("avg_for").alias(f"{s}_for"), F.col("avg_against").alias(f"{s}_against"), F.col("avg_shots").alias(f"{s}_shots_avg"), F.col("rest_days").alias(f"{s}_rest"))
-    x = m.select("match_id", "day", "home", "away", "result").join(of("home"), ["match_id", "home"]).join(of("away"), ["match_id", "away"])
-    x = x.join(features.head_to_head(m).select("match_id", F.when(F.col("meetings") > 0, F.col("modifier")).alias("modifier")), "match_id")
-    return evaluate.walk_forward(x, ["match_id"])
+    # The matches are planned once: each side goes through the team's windows with what the match carries, and both meet again in one grouping.
+    # ``modifier`` is also what rest_days calls its own.
+    carried = ("day", "home", "away", "result", "of_meetings")
+    x = features.with_meetings(_matches(spark, sf_dir)).withColumn("of_meetings", F.when(F.col("meetings") > 0, F.col("modifier")))
+    side = lambda own, other, home: F.struct(F.col(own).alias("team"), F.lit(home).alias("is_home"), F.col(f"{own}_goals").alias("gf"), F.col(f"{other}_goals").alias("ga"), F.col(f"{own}_shots").alias("shots"))
+    x = x.select("match_id", *carried, F.inline(F.array(side("home", "away", True), side("away", "home", False))))
+    x = x.withColumn("outcome", F.when(F.col("gf") > F.col("ga"), "W").when(F.col("gf") < F.col("ga"), "L").otherwise("D"))
+    keep = (*carried, "is_home")
+    x = features.form(x, keep=(*keep, "shots")).withColumn("form", F.when(F.col("n_form") > 0, F.col("form_score")))
+    seen = ("form", "avg_for", "avg_against")
+    x = features.rest_days(features.rolling_shots(x, keep=(*keep, *seen)), (*keep, *seen, "avg_shots"))
+    named = {"form": "form", "avg_for": "for", "avg_against": "against", "avg_shots": "shots_avg", "rest_days": "rest"}
+    of = lambda s, home: [F.max(F.when(F.col("is_home") == home, F.col(c))).alias(f"{s}_{n}") for c, n in named.items()]
+    x = x.repartition("match_id").groupBy("match_id", *carried).agg(*of("home", True), *of("away", False))
+    # Written before the days are counted, which would work everything out again.
+    return evaluate.walk_forward(checkpointed(x.withColumnRenamed("of_meetings", "modifier")), ["match_id"])
 
 
 def walk_forward_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each fold's model judged on what came after it, and the temperature that fits all of them."""
     rows = checkpointed(_training_rows(spark, sf_dir))
     models = walk_forward.fit(rows, MODEL)
-    predicted = walk_forward.predict(rows, models, MODEL)
+    predicted = checkpointed(walk_forward.predict(rows.select("segment", "result", *MODEL), models, MODEL).drop(*MODEL))
     t = walk_forward.fit_temperature(predicted)
     return places(walk_forward.judged(predicted, models).withColumn("temperature", F.lit(t).cast("double")), 4)
 

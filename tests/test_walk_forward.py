@@ -118,3 +118,41 @@ def test_query_beats_no_one_by_leaking(spark, sf):
     got = model_queries.walk_forward_fit(spark, sf).orderBy("fold").collect()
     assert [r["fold"] for r in got] == [1, 2, 3, 4, 5] and all(r["log_loss"] > 0.9 for r in got)  # results are drawn at random
     assert all(0.05 <= r["temperature"] <= 10 for r in got)
+
+
+def test_training_rows_equal_the_operators_one_by_one(spark, sf):
+    from pyspark.sql import functions as F
+
+    from matchforge.operators import features
+    from matchforge.plans.queries import _matches
+    from matchforge.sources import bridge
+
+    m = _matches(spark, sf)
+    t = bridge.team_matches(m)
+    got = {r["match_id"]: r for r in model_queries._training_rows(spark, sf).collect()}
+    assert len(got) == m.count()
+    form, rest = ({(r["match_id"], r["team"]): r for r in f(t).collect()} for f in (features.form, features.rest_days))
+    meetings = {r["match_id"]: r for r in features.head_to_head(m).collect()}
+    # Known shots of the matches before, in a plain loop.
+    shots, seen = {}, {}
+    for r in t.orderBy("day", "match_id").collect():
+        before = seen.setdefault(r["team"], [])
+        shots[r["match_id"], r["team"]] = sum(before[-10:]) / len(before[-10:]) if before else None
+        if r["shots"] is not None:
+            before.append(r["shots"])
+    for k, r in got.items():
+        assert r["modifier"] == (meetings[k]["modifier"] if meetings[k]["meetings"] else None)
+        for s in ("home", "away"):
+            f = form[k, r[s]]
+            assert (r[f"{s}_form"], r[f"{s}_for"], r[f"{s}_against"]) == (f["form_score"] if f["n_form"] else None, f["avg_for"], f["avg_against"])
+            assert r[f"{s}_shots_avg"] == pytest.approx(shots[k, r[s]]) and r[f"{s}_rest"] == rest[k, r[s]]["rest_days"]
+    assert len({r["modifier"] for r in got.values()}) > 3
+
+
+def test_matches_are_worked_out_once_and_logits_in_batches(spark, sf, monkeypatch):
+    written = []
+    real = model_queries.checkpointed
+    monkeypatch.setattr(model_queries, "checkpointed", lambda df: (written.append(df._jdf.queryExecution().optimizedPlan().toString()), real(df))[1])
+    model_queries.walk_forward_fit(spark, sf)
+    assert max(p.count("lineitem") + p.count("l_linenumber#") for p in written[1:]) == 0  # from written rows on
+    assert written[0].count("min(struct(l_linenumber") == 1 and "MapInArrow" in written[-1]
