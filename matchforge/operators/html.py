@@ -136,7 +136,11 @@ def nodes_of(page: str) -> list[list]:
 
 
 def nodes(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """The node table of all pages. A null page has no nodes; tags that are never closed end by the rules of ``ENDS`` and with their parent."""
+    """The node table of all pages. A null page has no nodes; tags that are never closed end by the rules of ``ENDS`` and with their parent.
+
+    Pages are dealt out by id first, as one file may hold all of them. Every reading of the
+    table parses the pages: write it out if it is read more than once.
+    """
     ship(pages.sparkSession)
     kinds = [pa.int64(), *[pa.int32()] * 4, *[pa.string()] * 5]
     names = [c.split()[0] for c in NODES.split(", ")]
@@ -147,7 +151,7 @@ def nodes(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") ->
                 if rows := nodes_of(page or ""):
                     yield pa.RecordBatch.from_arrays([pa.array([page_id] * len(rows), kinds[0]), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds[1:], strict=True))], names=names)
 
-    return pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(html_col).alias("html")).mapInArrow(run, NODES)
+    return pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(html_col).alias("html")).repartition("page_id").mapInArrow(run, NODES)
 
 
 def has_class(name: str) -> Column:

@@ -53,7 +53,8 @@ def walk_forward_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html.nodes(bridge.table(spark, sf_dir, "pages"))
+    """Written out once: each selection is a join of several readings, and every one of them would parse all pages again."""
+    return checkpointed(html.nodes(bridge.table(spark, sf_dir, "pages")))
 
 
 def html_links(spark: SparkSession, sf_dir: str) -> DataFrame:

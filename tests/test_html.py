@@ -103,3 +103,10 @@ def test_enclosing_takes_the_nearest(spark):
 @pytest.mark.parametrize("page", ["<" * 3000, "<a href=\"" * 3000, "<p>" * 3000, "<div>" * 2000 + "x", "&" * 3000 + "<b", "<script>" * 100])
 def test_hostile_pages_end(spark, page):
     assert made(spark, page).count() >= 0
+
+
+def test_pages_are_dealt_out_and_parsed_once(spark, sf):
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [page_id" in plan(html.nodes(spark.read.parquet(f"{sf}/pages.parquet")))
+    for query in (model_queries.html_items, model_queries.html_links, model_queries.html_blocks):
+        assert "MapInArrow" not in plan(query(spark, sf))  # reads written nodes
