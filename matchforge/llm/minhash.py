@@ -158,15 +158,23 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return x.withColumn("both", both).where(100 * F.col("both") >= percent * (F.size("sa") + F.size("sb") - F.col("both"))).select("a", "b")
 
 
+def starlike(edges: DataFrame) -> bool:
+    """Whether each node of the edges (a, b) is tied to one other at most, and none is tied that others are tied to."""
+    ends = edges.select(F.col("a").alias("n"), F.lit(1).alias("tied"), F.lit(0).alias("centre")).union(edges.select("b", F.lit(0), F.lit(1)))
+    nodes = ends.groupBy("n").agg(F.sum("tied").alias("tied"), F.max("centre").alias("centre"))
+    return nodes.agg(F.count_if(F.col("tied") + F.col("centre") > 1)).first()[0] == 0
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) for each node of the edges (a, b): root is the least node reached.
+    """(a, b) for each node a of the edges (a, b) that reaches a lesser one: b is the least node reached.
 
-    Alternates large-star and small-star steps, each a group-by on narrow rows, until no edge
-    changes; a star's centre is found by a combining aggregate, so a hub of any degree is fine.
+    Alternates large-star and small-star steps, each a group-by on narrow rows, until all
+    edges are stars around their least nodes, which is tried before each round: links that
+    are stars already cost one look. A star's centre is found by a combining aggregate, so a
+    hub of any degree is fine.
     """
     now = durable(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where(F.col("a") != F.col("b")).distinct())
-    state = None
-    while True:
+    while not starlike(now):
         # Large star: each neighbour that is larger than a node is tied to the node's least neighbour.
         both = now.union(now.select("b", "a")).toDF("n", "v")
         least = both.groupBy("n").agg(F.min("v").alias("m")).select("n", F.least("n", "m").alias("m"))
@@ -177,27 +185,35 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.join(least, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.*").where(F.col("a") != F.col("b")).distinct()
         old, now = now, durable(small)
         release(old, large)
-        seen = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")).alias("h")).first()
-        if state == tuple(seen):
-            return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()
-        state = tuple(seen)
+    return now
 
 
 def _relabel(labels: DataFrame | None, links: DataFrame) -> DataFrame:
-    """Labels (fp, root) after more links; classes without a link have no row."""
+    """Labels (fp, root) after more links; roots and classes without a link have no row."""
     if labels is None:
-        return durable(components(links).toDF("fp", "root"))
+        return components(links).toDF("fp", "root")
     a, b = labels.toDF("a", "ra"), labels.toDF("b", "rb")
     lifted = links.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
-    merged = durable(components(lifted).toDF("old", "new"))
-    moved = labels.join(merged, F.col("root") == F.col("old"), "left").select("fp", F.coalesce("new", "root").alias("root"))
-    out = durable(moved.union(merged.toDF("fp", "root").join(labels.select("fp"), "fp", "left_anti")))
+    # Only roots move, and they have no row yet.
+    merged = components(lifted).toDF("old", "new")
+    out = durable(labels.join(merged, F.col("root") == F.col("old"), "left").select("fp", F.coalesce("new", "root").alias("root")).union(merged))
     release(labels, merged)
     return out
 
 
+def opened(rest: DataFrame, known: DataFrame) -> DataFrame:
+    """The rows (fp, bucket) of ``rest`` with what is known of the class, and before: its buckets there of lesser bands.
+
+    Two classes of different components meet in no bucket that isn't in ``rest``, so these say
+    whether a pair has met before as well as all band keys do, and the rows are no wider.
+    """
+    own = rest.groupBy("fp").agg(F.first("root").alias("root"), F.array_sort(F.collect_list(F.struct("band", "bucket", "members"))).alias("open"))
+    rows = own.join(known, "fp").select("*", F.posexplode("open").alias("at", "here"))
+    return rows.select(*own.columns[:2], *known.drop("fp").columns, "here.bucket", "here.members", F.slice("open.bucket", F.lit(1), F.col("at")).alias("before"))
+
+
 def near_classes(classes: DataFrame, texts: DataFrame, width: int, percent: int, most_bits: int) -> DataFrame:
-    """(fp, root) of the classes that have a link. classes: fp, text_hash, n_shingles, bands and the sketch.
+    """(fp, root) of the classes that are linked to a lesser one, the root. classes: fp, text_hash, n_shingles, bands and the sketch.
 
     A bucket (classes with one band key) never gives all its pairs. First each class is held
     against the least class of one of its buckets, then against those of all its buckets;
@@ -213,7 +229,7 @@ def near_classes(classes: DataFrame, texts: DataFrame, width: int, percent: int,
     bucketed = classes.select("fp", F.posexplode("bands").alias("band", "bucket"))
     hubs = bucketed.groupBy("bucket").agg(F.min("fp").alias("hub"), F.count("*").alias("members")).where("members > 1")
     met = durable(bucketed.join(hubs, "bucket").select("bucket", "band", "fp", "hub", F.col("members").cast("int").alias("members")))
-    candidates = durable(classes.join(met.select("fp").distinct(), "fp", "left_semi").select("fp", "text_hash", F.col("n_shingles").cast("int").alias("all"), "bands", *SKETCH))
+    candidates = durable(classes.join(met.select("fp").distinct(), "fp", "left_semi").select("fp", "text_hash", F.col("n_shingles").cast("int").alias("all"), *SKETCH))
     sets = durable(candidate_sets(texts, candidates, width))
 
     def side(rows: DataFrame, key: str, suffix: str) -> DataFrame:
@@ -263,16 +279,16 @@ def near_classes(classes: DataFrame, texts: DataFrame, width: int, percent: int,
         labels = _relabel(labels, links)
     release(links, few)
     # A class's place in its bucket says in which round it is held against the others; a pair
-    # is tried in the first band that it shares and in no other.
+    # is tried in the first bucket that it shares and in no other.
     place = F.shiftrightunsigned(F.xxhash64("bucket", "fp"), 11) / float(1 << 53) * F.col("members")
     for hubs_only in (True, False):
         old = rest
         rest = durable(split(rest.select("bucket", "band", "fp", "members")))
         release(old)
-        x = rest.join(known, "fp").withColumn("bands", F.slice("bands", F.lit(1), F.col("band"))).withColumn("first", place < 16)
-        a, b = (x.where(F.col("first") if hubs_only and c == "a" else F.lit(True) if hubs_only else ~F.col("first")).select("bucket", F.col("fp").alias(c), *(F.col(k).alias(f"{k}_{c}") for k in ("root", "n", "all", "bands", "first", *SKETCH))) for c in "ab")
+        x = opened(rest, known).withColumn("first", place < 16)
+        a, b = (x.where(F.col("first") if hubs_only and c == "a" else F.lit(True) if hubs_only else ~F.col("first")).select("bucket", F.col("fp").alias(c), *(F.col(k).alias(f"{k}_{c}") for k in ("root", "n", "all", "before", "first", *SKETCH))) for c in "ab")
         once = (F.col("a") < F.col("b")) | (~F.col("first_b") if hubs_only else F.lit(False))
-        links = durable(confirm(near(a.join(b, "bucket").where((F.col("root_a") != F.col("root_b")) & once), ~F.arrays_overlap("bands_a", "bands_b")), sets, percent))
+        links = durable(confirm(near(a.join(b, "bucket").where((F.col("root_a") != F.col("root_b")) & once), ~F.arrays_overlap("before_a", "before_b")), sets, percent))
         if links.take(1):
             labels = _relabel(labels, links)
         release(links)

@@ -1,9 +1,11 @@
 """Operator 1 against all pairs of the small table, and on chains and odd rows."""
 
 import numpy as np
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from matchforge.llm import minhash, queries
+from matchforge.llm.common import durable
 
 
 def brute(rows, width, percent):
@@ -63,6 +65,59 @@ def test_edited_copies_chain_and_share_a_passage(spark):
     check(spark.createDataFrame(rows, "doc_id long, text string").withColumn("fp", F.lit("x")), 3, 85)
 
 
+def test_links_that_are_stars_cost_one_look(spark):
+    """The driver keeps something of each stage and task, so stars take no rounds, and labels are written once a round."""
+    edges = lambda rows: spark.createDataFrame([(bytes([a]), bytes([b])) for a, b in rows], "a binary, b binary")
+    links, more = durable(edges([(1, 5), (6, 1), (6, 1), (9, 2), (3, 3)])), durable(edges([(5, 9), (20, 21)]))
+    known = spark.sparkContext.statusTracker()
+
+    def jobs(name, f):
+        spark.sparkContext.setJobGroup(name, name)
+        try:
+            return {r["fp"][0]: r["root"][0] for r in f.collect()} if isinstance(f, DataFrame) else f(), len(known.getJobIdsForGroup(name))
+        finally:
+            spark.sparkContext._jsc.clearJobGroup()
+
+    first, n = jobs("stars", lambda: minhash._relabel(None, links))
+    assert n <= 6
+    assert jobs("rows", first)[0] == {5: 1, 6: 1, 9: 2}
+    second, n = jobs("more stars", lambda: minhash._relabel(first, more))
+    assert n <= 14
+    assert jobs("more rows", second)[0] == {5: 1, 6: 1, 9: 1, 2: 1, 21: 20}
+
+
+def test_components_of_any_shape_in_several_rounds(spark):
+    """Chains, rings, hubs and random links against union and find, all at once and link by link."""
+    rng = np.random.default_rng(11)
+    pairs = [(i, i + 1) for i in range(40)] + [(50 + i, 50 + (i + 7) % 20) for i in range(20)] + [(100, 101 + i) for i in range(30)] + [(200 + int(a), 200 + int(b)) for a, b in rng.integers(0, 50, (30, 2))]
+    up = {x: x for p in pairs for x in p}
+
+    def top(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in pairs:
+        a, b = top(a), top(b)
+        up[max(a, b)] = min(a, b)
+    want = {x: top(x) for x in up if top(x) != x}
+    table = lambda rows: durable(spark.createDataFrame([tuple(map(int, r)) for r in rows], "a long, b long"))
+    assert {r["a"]: r["b"] for r in minhash.components(table(pairs)).collect()} == want
+    labels, rng_order = None, rng.permutation(len(pairs))
+    for part in np.array_split(np.array(pairs)[rng_order], 3):
+        labels = minhash._relabel(labels, table(part))
+    rows = labels.collect()
+    assert len(rows) == len(want) and {r["fp"]: r["root"] for r in rows} == want
+
+
+def test_rows_of_open_buckets_carry_open_buckets_alone(spark):
+    """A bucket that is closed can't be where two components met, so its key isn't carried into the last rounds."""
+    rest = spark.createDataFrame([("x", "r", 4, 40, 9), ("x", "r", 1, 10, 9), ("x", "r", 30, 70, 9), ("y", "y", 30, 70, 9)], "fp string, root string, band int, bucket long, members int")
+    known = spark.createDataFrame([("x", 5), ("y", 6), ("z", 7)], "fp string, n int")
+    got = {(r["fp"], r["bucket"]): (r["root"], r["n"], r["members"], r["before"]) for r in minhash.opened(rest, known).collect()}
+    assert got == {("x", 10): ("r", 5, 9, []), ("x", 40): ("r", 5, 9, [10]), ("x", 70): ("r", 5, 9, [10, 40]), ("y", 70): ("y", 6, 9, [])}
+
+
 def test_signatures_estimate_the_similarity():
     rng = np.random.default_rng(5)
     x = rng.integers(0, 1 << 63, 1200).astype(np.uint64)
