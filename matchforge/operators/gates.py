@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .resampling import MASK, MIX, MOST, draw_rows, poisson_bounds
+
 ELIGIBLE = ("red", "yellow", "green")
 
 
@@ -65,10 +67,9 @@ def uniform(seed: int, *cols: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), *cols)), 1, 8), 16, 10).cast("double") / 2.0**32
 
 
-def poisson_one(u: Column, most: int = 12) -> Column:
+def poisson_one(u: Column, most: int = MOST) -> Column:
     """A Poisson number of mean 1 from a uniform one; above ``most`` there are 6e-11 of them."""
-    bounds = [sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) for k in range(most)]
-    return sum(F.when(u >= b, 1.0).otherwise(0.0) for b in bounds)
+    return sum(F.when(u >= b, 1.0).otherwise(0.0) for b in poisson_bounds(most))
 
 
 def cell_of(seed: int, id_: str, cells: int) -> Column:
@@ -76,10 +77,6 @@ def cell_of(seed: int, id_: str, cells: int) -> Column:
     return F.floor(uniform(seed, F.col(id_)) * cells)
 
 
-# Odd multipliers of the mixer, each below 2**31 so that no product passes 62 bits.
-MIX, MASK = (1103515245, 1540483477, 1274126177, 2027808485), 2**31 - 1
-
-
 def mixed_uniform(one: Column, two: Column, rep: Column) -> Column:
     """A number in [0, 1) of a replicate, from a row's two words of 31 bits: some integer steps where ``uniform`` takes a digest."""
     z = (one.bitwiseXOR((rep * MIX[0]).bitwiseAND(MASK)) * MIX[1]).bitwiseAND(MASK)
@@ -98,20 +95,25 @@ def paired_tests(rows: DataFrame, group: str, id_: str, differences: dict[str, C
     stands for drawing with replacement. As a cell's rows are drawn together, the interval's width has a standard error of
     1 / sqrt(2 * cells), 3 %, besides that of the replicates; with fewer rows than cells it is the plain bootstrap but
     for rows that share a cell by chance. Without ``cells`` each row is drawn and flipped by itself: rows times replicates,
-    which are added up where they arise.
+    which ``resampling`` adds up in the tasks where the rows are.
     """
     names = list(differences)
-    sums = [a for k, d in enumerate(differences.values()) for a in (F.count(d).alias(f"n{k}"), F.coalesce(F.sum(d), F.lit(0.0)).alias(f"d{k}"))]
     if cells is None:
         word = lambda at: F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), id_)), at, 8), 16, 10).cast("long").bitwiseAND(MASK)
-        own = [c for k, d in enumerate(differences.values()) for c in (d.isNotNull().cast("long").alias(f"n{k}"), F.coalesce(d, F.lit(0.0)).alias(f"d{k}"))]
-        x, u = rows.select(group, word(1).alias("one"), word(9).alias("two"), *own), mixed_uniform(F.col("one"), F.col("two"), F.col("rep"))
+        own = [c for k, d in enumerate(differences.values()) for c in (d.isNotNull().cast("long").alias(f"n{k}"), F.coalesce(d, F.lit(0.0)).cast("double").alias(f"d{k}"))]
+        x = draw_rows(rows.select(group, word(1).alias("one"), word(9).alias("two"), *own), group, len(names), replicates)
+        drawn = lambda k: [F.col(f"{c}{k}") for c in ("wn", "wd", "f")]
     else:
-        x, u = rows.groupBy(group, cell_of(seed, id_, cells).alias("cell")).agg(*sums), uniform(seed, F.col("rep"), F.col("cell"))
-    x = x.select("*", F.explode(F.sequence(F.lit(0).cast("long" if cells is None else "int"), F.lit(replicates - 1).cast("long" if cells is None else "int"))).alias("rep"))
-    x = x.withColumn("u", u).withColumn("w", poisson_one(F.col("u")))
+        sums = [a for k, d in enumerate(differences.values()) for a in (F.count(d).alias(f"n{k}"), F.coalesce(F.sum(d), F.lit(0.0)).alias(f"d{k}"))]
+        x = rows.groupBy(group, cell_of(seed, id_, cells).alias("cell")).agg(*sums)
+        x = x.select("*", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("rep")).withColumn("u", uniform(seed, F.col("rep"), F.col("cell"))).withColumn("w", poisson_one(F.col("u")))
+        drawn = lambda k: [F.col("w") * F.col(f"n{k}"), F.col("w") * F.col(f"d{k}"), F.when(F.col("u") < 0.5, F.col(f"d{k}")).otherwise(-F.col(f"d{k}"))]
     over = lambda v, n: F.sum(v) / F.nullif(F.sum(n), F.lit(0.0))
-    each = lambda k: F.struct(F.lit(names[k]).alias("name"), F.sum(f"n{k}").alias("n"), over(F.col(f"d{k}"), F.col(f"n{k}").cast("double")).alias("mean"), over(F.col("w") * F.col(f"d{k}"), F.col("w") * F.col(f"n{k}")).alias("boot"), over(F.when(F.col("u") < 0.5, F.col(f"d{k}")).otherwise(-F.col(f"d{k}")), F.col(f"n{k}").cast("double")).alias("flip"))
+
+    def each(k: int) -> Column:
+        (wn, wd, flip), n = drawn(k), F.col(f"n{k}").cast("double")
+        return F.struct(F.lit(names[k]).alias("name"), F.sum(f"n{k}").alias("n"), over(F.col(f"d{k}"), n).alias("mean"), over(wd, wn).alias("boot"), over(flip, n).alias("flip"))
+
     x = x.groupBy(group, "rep").agg(*(each(k).alias(f"x{k}") for k in range(len(names)))).select(group, F.explode(F.array(*(f"x{k}" for k in range(len(names))))).alias("x")).select(group, "x.*")
     x = x.groupBy(group, "name").agg(F.max("n").alias("n"), F.max("mean").alias("delta"), F.sort_array(F.collect_list("boot")).alias("b"), F.avg((F.col("flip") <= F.col("mean")).cast("double")).alias("p_value"))
     at = lambda q: F.get("b", (F.size("b") * q).cast("int"))
