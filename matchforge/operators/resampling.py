@@ -14,8 +14,8 @@ from ..workers import ship
 
 # Odd multipliers of the mixer, each below 2**31 so that no product passes 62 bits, and the most a Poisson number is asked for.
 MIX, MASK, MOST = (1103515245, 1540483477, 1274126177, 2027808485), 2**31 - 1, 12
-# Places of a block that stay in the processor's cache, sums by replicate that a task holds at once, and how many bounds are compared everywhere.
-BLOCK, HELD, DENSE = 2**16, 2**19, 4
+# Places of a block that stay in the processor's cache, sums by replicate that a task holds at once, how many bounds are compared everywhere, and tasks for each core.
+BLOCK, HELD, DENSE, SLICES = 2**16, 2**19, 4, 4
 
 
 def poisson_bounds(most: int = MOST) -> list[float]:
@@ -67,58 +67,74 @@ class Draws:
         return weight, over
 
 
+class Sums:
+    """What a group's rows add up to: n and d of each difference by weight and by turned sign, and without either."""
+
+    def __init__(self, k: int, replicates: int):
+        self.by, self.total, self.odd = np.zeros((2 * k, 2 * replicates)), np.zeros(2 * k), None
+
+    def add(self, values: np.ndarray, both: np.ndarray) -> None:
+        """``values``: n, then d of each difference. ``both``: weights, then whether the sign is turned, by replicate."""
+        k, r = values.shape[1] // 2, both.shape[1] // 2
+        known = np.isfinite(values)
+        if not known.all():
+            # Zero times infinity would be unknown where a sign keeps it infinite, so such rows are added up by themselves.
+            if self.odd is None:
+                self.odd = np.zeros((3, k, r))
+            with np.errstate(invalid="ignore"):
+                for i, j in zip(*np.nonzero(~known), strict=True):
+                    d = np.full(r, values[i, j])
+                    self.odd[:, j - k] += np.stack([d, both[i, :r] * d, np.where(both[i, r:], -d, d)])
+            values = np.where(known, values, 0.0)
+        self.by += values.T @ both
+        self.total += values.sum(0)
+
+    def figures(self) -> Iterator[np.ndarray]:
+        """n, d, wn, wd, f by replicate, of each difference."""
+        k, r = len(self.total) // 2, self.by.shape[1] // 2
+        for j in range(k):
+            n, d, odd = self.total[j], self.total[k + j], np.zeros((3, r)) if self.odd is None else self.odd[:, j]
+            # What is turned counts twice against the plain sum: with none turned both are equal to the last bit.
+            yield from (np.full(r, int(n)), d + odd[0], self.by[j, :r], self.by[k + j, :r] + odd[1], d - 2.0 * self.by[k + j, r:] + odd[2])
+
+
 def _sums(replicates: int, k: int):
     """For mapInArrow: (group, one, two, n and d of each difference) to (group, rep, n, d, n and d by weights, d by signs)."""
+    names = ["group", "rep", *_figures(k)]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        draws, held = Draws(replicates), {}
-        names, both, kind = ["group", "rep", *(f"{c}{j}" for j in range(k) for c in ("n", "d", "wn", "wd", "f"))], np.empty((draws.rows, 2 * replicates)), None
+        draws, held, kind = Draws(replicates), {}, None
+        reps, both = pa.array(np.arange(replicates)), np.empty((draws.rows, 2 * replicates))
 
         def given() -> Iterator[pa.RecordBatch]:
             for key, sums in held.items():
-                figures = [pa.array(v).cast(pa.int64()) if c == 0 else pa.array(v) for s in sums for c, v in enumerate(s)]
-                yield pa.RecordBatch.from_arrays([pa.array([key] * replicates, kind), pa.array(np.arange(replicates)), *figures], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array([key] * replicates, kind), reps, *map(pa.array, sums.figures())], names=names)
             held.clear()
 
         for b in batches:
             kind = b.column(0).type
             groups = b.column(0).dictionary_encode(null_encoding="encode")
             keys, code = groups.dictionary.to_pylist(), groups.indices.to_numpy()
-            one, two = ((b.column(c).to_numpy() << 1).astype(np.uint32) for c in (1, 2))
-            n, d = (np.column_stack([b.column(3 + 2 * j + c).to_numpy().astype(float) for j in range(k)]) for c in (0, 1))
             order = np.argsort(code, kind="stable")
             ends = np.searchsorted(code[order], np.arange(len(keys) + 1))
+            one, two = ((b.column(c).to_numpy() << 1).astype(np.uint32)[order] for c in (1, 2))
+            values = np.column_stack([b.column(3 + 2 * j + c).to_numpy() for c in (0, 1) for j in range(k)])[order]
             for g, key in enumerate(keys):
                 if key not in held and (len(held) + 1) * replicates * k > HELD:
                     yield from given()
-                sums = held.setdefault(key, np.zeros((k, 5, replicates)))
+                sums = held.setdefault(key, Sums(k, replicates))
                 for start in range(ends[g], ends[g + 1], draws.rows):
-                    rows = order[start : min(start + draws.rows, ends[g + 1])]
-                    _add(sums, *draws.block(one[rows], two[rows]), n[rows], d[rows], both[: len(rows)])
+                    at = slice(start, min(start + draws.rows, ends[g + 1]))
+                    drawn = both[: at.stop - at.start]
+                    drawn[:, :replicates], drawn[:, replicates:] = draws.block(one[at], two[at])
+                    sums.add(values[at], drawn)
         yield from given()
 
     return run
 
 
-def _add(sums: np.ndarray, weight: np.ndarray, turned: np.ndarray, n: np.ndarray, d: np.ndarray, both: np.ndarray) -> None:
-    """Adds a block's rows to the sums by difference, figure and replicate."""
-    r = weight.shape[1]
-    both[:, :r], both[:, r:] = weight, turned
-    # What is turned counts twice against the plain sum: with none turned both are equal to the last bit.
-    plain = np.where(np.isfinite(d), d, 0.0)
-    by_n, by_d = np.split(np.hstack([n, plain]).T @ both, 2)
-    total = plain.sum(0)[:, None]
-    sums[:, 0] += n.sum(0)[:, None]
-    sums[:, 1] += total
-    sums[:, 2] += by_n[:, :r]
-    sums[:, 3] += by_d[:, :r]
-    sums[:, 4] += total - 2.0 * by_d[:, r:]
-    # Zero times infinity would be unknown where a sign keeps it infinite, so such rows are added up by themselves.
-    for i, j in zip(*np.nonzero(~np.isfinite(d)), strict=True):
-        with np.errstate(invalid="ignore"):
-            sums[j, 1] += d[i, j]
-            sums[j, 3] += weight[i] * d[i, j]
-            sums[j, 4] += np.where(turned[i], -d[i, j], d[i, j])
+def _figures(k: int) -> list[str]:
+    return [f"{c}{j}" for j in range(k) for c in ("n", "d", "wn", "wd", "f")]
 
 
 def draw_rows(rows: DataFrame, group: str, k: int, replicates: int) -> DataFrame:
@@ -127,7 +143,10 @@ def draw_rows(rows: DataFrame, group: str, k: int, replicates: int) -> DataFrame
     ``rows``: group, one, two (words of 31 bits), then n (0 or 1) and d of each difference. A task gives one row for each of
     its groups and replicates, however many rows it has; with very many groups it gives some of them more than once.
     """
-    ship(rows.sparkSession)
-    figures = [StructField(f"{c}{j}", LongType() if c == "n" else DoubleType()) for j in range(k) for c in ("n", "d", "wn", "wd", "f")]
-    out = rows.mapInArrow(_sums(replicates, k), StructType([StructField("group", rows.schema[group].dataType), StructField("rep", LongType()), *figures]))
+    spark = rows.sparkSession
+    ship(spark)
+    # Dealt out anew: the work is in the replicates, of which the sizes that partitions are merged by know nothing.
+    dealt = rows.repartition(SLICES * spark.sparkContext.defaultParallelism, "one", "two")
+    figures = [StructField(c, LongType() if c[0] == "n" else DoubleType()) for c in _figures(k)]
+    out = dealt.mapInArrow(_sums(replicates, k), StructType([StructField("group", rows.schema[group].dataType), StructField("rep", LongType()), *figures]))
     return out.withColumnRenamed("group", group)

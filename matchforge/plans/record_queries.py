@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scoring
-from ..operators import gates, health, records
+from ..operators import gates, health, pricing, records
 from ..sources import bridge
 from . import oracle
 from .queries import _matches, _predicted, _teams, places
@@ -172,7 +172,7 @@ def special_bets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def paired_trials(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Squared error of the predicted home goals less that of a flat 1.4, by league."""
-    x = _predicted(spark, sf_dir).select("match_id", "league", "home_xg").join(_matches(spark, sf_dir).select("match_id", "home_goals"), "match_id")
+    x = pricing.expected(_matches(spark, sf_dir), keep=("home_goals",))
     square = lambda c: (c - F.col("home_goals")) * (c - F.col("home_goals"))
     return places(gates.paired_tests(x, "league", "match_id", {"square": square(F.col("home_xg")) - square(F.lit(1.4))}, cells=None).drop("name"))
 

@@ -48,11 +48,20 @@ def test_a_task_gives_sums_and_not_draws(spark):
     assert "MapInArrow" in plan and "explode(org.apache" not in plan and "explode(sequence" not in plan
     words = rows.selectExpr("g", "id * 7919 as one", "id * 104729 % 65521 as two", "1L as n0", "d as d0")
     got = resampling.draw_rows(words, "g", 1, 2000)
-    assert got.count() == 2 * 2 * 2000 and got.agg(F.sum("n0")).first()[0] == 20000 * 2000
+    tasks = resampling.SLICES * spark.sparkContext.defaultParallelism
+    assert got.rdd.getNumPartitions() == tasks and got.count() <= tasks * 2 * 2000 and got.agg(F.sum("n0")).first()[0] == 20000 * 2000
+
+
+def test_trials_read_matches_once_and_work_out_no_probabilities(spark, sf):
+    from matchforge.plans import record_queries
+
+    plan = record_queries.paired_trials(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "EXP(" not in plan.upper() and plan.count("Relation [") == 7
 
 
 def test_groups_beyond_what_a_task_holds_are_whole(spark, monkeypatch):
     monkeypatch.setattr(resampling, "HELD", 500)
+    monkeypatch.setattr(resampling, "SLICES", 1)
     words = spark.range(600, numPartitions=1).selectExpr("id % 40 as g", "id * 7919 as one", "id as two", "1L as n0", "id + 0.5D as d0")
     got = {(r["g"], r["n"], r["d"]) for r in resampling.draw_rows(words, "g", 1, 50).groupBy("g", "rep").agg(F.sum("n0").alias("n"), F.sum("d0").alias("d")).collect()}
     assert got == {(g, 15, sum(i + 0.5 for i in range(g, 600, 40))) for g in range(40)}
